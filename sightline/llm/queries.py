@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, quality, secrets, token_files, tokens, urls
+from . import ann, decontaminate, html_text, jaccard, language, quality, secrets, token_files, tokens, urls
 from .common import read_table
 
 
@@ -37,6 +37,13 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_verdicts(pages, urls.rule_table(spark, urls.RULES)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    field = language.train_languages(docs)
+    held_out = F.coalesce(~language.training_part(F.col("doc_id")), F.lit(False))
+    return language.label_languages(docs.select("doc_id", "text"), field).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.contamination(docs, read_table(spark, sf_dir, "benchmark"))
@@ -50,6 +57,14 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "d.n_tokens", "d.ids_sha256", "d.decoded_sha256")
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_components(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return token_files.read_token_files(spark, token_files.write_token_files(docs, vocabulary()), digests=True)
