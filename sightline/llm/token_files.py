@@ -133,8 +133,11 @@ class PlaneReader:
             held, start = held[n:], start + n
 
 
-def library_cutter(path: str) -> Cutter:
-    """The tokenizers library, asked once for each distinct piece between spaces where no token can span."""
+def library_cutter(path: str, end: int | None = None) -> Cutter:
+    """The tokenizers library, asked once for each distinct piece between spaces where no token can span.
+
+    New pieces are joined to texts again, as they would stand; a piece's ids are those whose bytes are its own.
+    """
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
@@ -142,19 +145,27 @@ def library_cutter(path: str) -> Cutter:
     tokenizer.no_truncation()
     tokenizer.no_padding()
     added = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
-    mark = next(iter(added), None)
+    lengths = np.zeros(tokenizer.get_vocab_size(), np.int64)
+    for name, i in tokenizer.get_vocab().items():  # a symbol stands for a byte
+        lengths[i] = len(name)
 
     def encode(new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if mark is None:
-            ids = [x.ids for x in tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            return np.fromiter((i for x in ids for i in x), np.int64), np.fromiter(map(len, ids), np.int64, len(ids))
-        # An added token ends every piece: the library splits there before anything else, and its id tells where.
-        joined = [mark.join(new[a : a + 4000]) + mark for a in range(0, len(new), 4000)]
-        ids = np.concatenate([np.zeros(0, np.int64), *(np.array(x.ids, np.int64) for x in tokenizer.encode_batch_fast(joined, add_special_tokens=False))])
-        ends = np.flatnonzero(ids == added[mark])
-        return np.delete(ids, ends), np.diff(ends, prepend=-1) - 1
-
-    return Cutter(encode, added)
+        alone = np.fromiter((x[0] != " " or x[1:2].isspace() or x[-1].isspace() for x in new), bool, len(new))
+        order = np.concatenate([np.flatnonzero(~alone), np.flatnonzero(alone)])
+        n = len(new) - int(alone.sum())
+        names = [new[i] for i in order.tolist()]
+        texts = ["".join(names[a : min(a + 2000, n)]) for a in range(0, n, 2000)] + names[n:]
+        ids = np.concatenate([np.zeros(0, np.int64), *(np.array(x.ids, np.int64) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False))])
+        # where each piece ends in bytes, and so in ids
+        ends = np.searchsorted(np.cumsum(lengths[ids]), np.cumsum([len(x.encode()) for x in names])) + 1
+        sizes = np.empty(len(new), np.int64)
+        sizes[order] = np.diff(ends, prepend=0)
+        starts = np.empty(len(new), np.int64)
+        starts[order] = ends - sizes[order]
+        at = np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+        return ids[at], sizes
+
+    return Cutter(encode, added, end)
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None = None, doc_id: str = "doc_id", text: str = "text", end_id: int = 0, bits: bool = False) -> list[dict]:
@@ -178,13 +189,11 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None =
                 name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.planes"
                 out = fs.open_output_stream(f"{path}/{name}")
                 writer = PlaneWriter(out, bits)
-                cutter = library_cutter(tokenizer_path)
+                cutter = library_cutter(tokenizer_path, end_id)
             a = 0
             for part in text_runs(batch.column("text")):
                 ids, offs = cutter.encode(part)
-                counts = np.diff(offs) + 1
-                ended = np.insert(ids, offs[1:], end_id).astype(np.uint32)
-                writer.add(batch.column("doc_id").slice(a, len(part)), ended, counts)
+                writer.add(batch.column("doc_id").slice(a, len(part)), ids.astype(np.uint32), np.diff(offs))
                 a += len(part)
             n_docs += len(batch)
         if writer is not None:

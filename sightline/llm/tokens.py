@@ -15,7 +15,7 @@ import json
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,8 @@ from pyspark.sql import types as T
 #: libraries differ on U+001C to U+001F.
 _SPACE = r"\t\n\x0B\x0C\r\x20\x85\xA0  -     　"
 WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\x20?\p{{L}}+|\x20?\p{{N}}+|\x20?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-_UNSAFE = re.compile(r"\s\s|\A\s|\s\Z")
+#: White space other than spaces and line feeds.
+_RARE = re.compile(r"[^\S \n]")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 NONE = np.int64(1) << 40
 #: A lone surrogate, which no text can hold.
@@ -152,15 +153,32 @@ def gathered(values: np.ndarray, offsets: np.ndarray, at: np.ndarray) -> tuple[n
 class Cutter:
     """Encodes texts by their distinct pieces, with encode_pieces for what it has not met yet."""
 
-    def __init__(self, encode_pieces: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], added: dict[str, int]):
-        self.encode_pieces, self.added = encode_pieces, added
+    def __init__(self, encode_pieces: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], added: dict[str, int], end: int | None = None):
+        self.encode_pieces, self.added, self.end = encode_pieces, added, end
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
-        self.forget()
+        self.index: dict[str, int] = {}
+        self.ids, self.sizes, self.uses = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        if end is not None:  # a piece that no text holds
+            self.put([FIRST * 2], np.array([end], np.int32), np.ones(1, np.int64))
+
+    def put(self, new: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
+        self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int32)])
 
     def forget(self) -> None:
-        self.index: dict[str, int] = {}
-        self.ids, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
-        self.parts: list[np.ndarray] = []
+        """Keeps the pieces that came more than once since the last time."""
+        keep = np.flatnonzero((self.uses > 1) | (np.arange(len(self.uses)) < (self.end is not None)))
+        if len(keep) > PIECES // 2:
+            keep = keep[np.argsort(-self.uses[keep], kind="stable")[: PIECES // 2]]
+            keep.sort()
+            keep = np.union1d(keep, [0]) if self.end is not None else keep
+        names = list(self.index)
+        ids, sizes = gathered(self.ids, np.concatenate([[0], np.cumsum(self.sizes)]), keep)
+        self.index = {}
+        self.ids, self.sizes, self.uses = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.put([names[i] for i in keep.tolist()], ids, sizes)
 
     def cut(self, text: str) -> list[str]:
         if self.split is not None and any(x in text for x in self.added):
@@ -170,28 +188,30 @@ class Cutter:
     @staticmethod
     def cut_plain(text: str) -> list[str]:
         """Each piece but the first has lost its leading space, which FIRST before the first marks as not there."""
-        out = _CUT.split(text) if _UNSAFE.search(text) else text.split(" ")
+        safe = text[0] != " " and text[-1] != " " and "  " not in text and " \n" not in text and "\n " not in text and not _RARE.search(text)
+        out = text.split(" ") if safe else _CUT.split(text)
         out[0] = FIRST + out[0]
         return out
 
     def learn(self, new: list[str]) -> None:
         special = [x for x in new if x in self.added]
-        plain = [x for x in new if x not in self.added]
+        plain = [x for x in new if x not in self.added] if special else new
         ids, sizes = self.encode_pieces([x[1:] if x[0:1] == FIRST else " " + x for x in plain])
-        self.ids = np.concatenate([self.ids, ids.astype(np.int32), np.array([self.added[x] for x in special], np.int32)])
-        self.sizes = np.concatenate([self.sizes, sizes, np.ones(len(special), np.int64)])
-        for x in chain(plain, special):
-            self.index[x] = len(self.index)
+        self.put([*plain, *special], np.concatenate([ids.astype(np.int32), np.array([self.added[x] for x in special], np.int32)]), np.concatenate([sizes, np.ones(len(special), np.int64)]))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts in order, offsets of each text's ids)."""
-        found = [self.cut(x) if x else [] for x in texts]
+        """(ids of all texts in order, offsets of each text's ids); each text's ids end with end if there is one."""
+        tail = [] if self.end is None else [FIRST * 2]
+        found = [self.cut(x) + tail if x else tail for x in texts]
         every = list(chain.from_iterable(found))
         if len(self.index) > PIECES:
             self.forget()
-        if new := [x for x in dict.fromkeys(every) if x not in self.index]:
-            self.learn(new)
-        at = np.fromiter(map(self.index.__getitem__, every), np.int64, len(every))
+        at = np.fromiter(map(self.index.get, every, repeat(-1)), np.int64, len(every))
+        if len(missing := np.flatnonzero(at < 0)):
+            names = [every[i] for i in missing.tolist()]
+            self.learn(list(dict.fromkeys(names)))
+            at[missing] = np.fromiter(map(self.index.__getitem__, names), np.int64, len(names))
+        self.uses += np.bincount(at, minlength=len(self.uses)).astype(np.int32)
         ids, counts = gathered(self.ids, np.concatenate([[0], np.cumsum(self.sizes)]), at)
         per = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])
         return ids, np.concatenate([[0], np.cumsum(counts)])[per]
