@@ -17,6 +17,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from urllib.parse import urlparse
 
 import numpy as np
@@ -133,10 +134,12 @@ class PlaneReader:
             held, start = held[n:], start + n
 
 
+@lru_cache(maxsize=2)
 def library_cutter(path: str, end: int | None = None) -> Cutter:
     """The tokenizers library, asked once for each distinct piece between spaces where no token can span.
 
-    New pieces are joined to texts again, as they would stand; a piece's ids are those whose bytes are its own.
+    New pieces are joined to texts again, as they would stand; a piece's ids are those whose bytes are its own. A worker
+    process keeps what it has met from task to task.
     """
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
