@@ -144,19 +144,18 @@ def smoothed(values: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     return np.convolve(values, weights)[reach : reach + n] / np.convolve(np.ones(n), weights)[reach : reach + n]
 
 
-def threshold(values: np.ndarray) -> float:
-    """Between the means of two clusters on a line."""
-    low, high = float(values.min()), float(values.max())
-    cut = (low + high) / 2
+def threshold(values: np.ndarray, apart: float = math.log(2)) -> float:
+    """Between the means of two clusters on a line; below all values if the clusters' means are not apart."""
+    cut = (float(values.min()) + float(values.max())) / 2
     for _ in range(50):
         upper = values > cut
         if upper.all() or not upper.any():
+            return -math.inf
+        low, high = float(values[~upper].mean()), float(values[upper].mean())
+        if abs((low + high) / 2 - cut) < 1e-9:
             break
-        new = (float(values[~upper].mean()) + float(values[upper].mean())) / 2
-        if abs(new - cut) < 1e-9:
-            break
-        cut = new
-    return cut
+        cut = (low + high) / 2
+    return cut if high - low >= apart else -math.inf
 
 
 def main_text(html: str | None) -> str:
