@@ -6,14 +6,16 @@ one row per document with its component, so that no copies are expanded into pai
 1. Equal sets are one class, by a 64-bit digest. All shingles are counted over the corpus, dealt by hash in blobs of many
    shingles a row. A class that shares fewer than 0.75 of its shingles with any other document cannot link and leaves.
 2. Of the rest, each class meets, in the lists of a few of its first shingles, the lists' heads; these pairs are verified
-   and linked. Heads of large groups of near copies so link their groups with one pair a member, not with all pairs.
-3. The exact remainder: first shingles up to the prefix length are indexed with size and position, shingles that many
-   documents hold last. Index lists skip the blocks of one component, pairs whose sizes differ too much and pairs whose
-   positions leave too few places. Answers derive from those of a highly similar set: for a pair of classes the overlap
-   of their heads, computed once for many pairs, bounds theirs by what each has beside its head; a pair within the
-   bound is verified exactly. No list, partner or candidate is cut off.
-
-A set's order of shingles is (held by many, hash): any order that is the same for all sets is exact. Memory of a task is
+   and linked. The first head of a list is the class with the largest part of its shingles shared, as the origin of near
+   copies is. Large groups are so linked with a pair or a few for each member, not with all pairs.
+3. The exact remainder: first shingles up to the prefix length are indexed with size and position, rarer ones first.
+   Index lists skip blocks: entries of one component, and groups of one head whose sizes or positions rule a link out.
+   Answers derive from those of a highly similar set: pairs of heads stand for all pairs of their groups. Their overlap,
+   computed once, and what members share beside their heads, bounds the members' overlaps; where that leaves it open,
+   members meet the other head, which narrows the bound, and only pairs within it are verified. Shingles that no other
+   document has count for no overlap. No list, partner or candidate is cut off.
+
+A set's order of shingles is (how common, hash): any order that is the same for all sets is exact. Memory of a task is
 bounded by the blobs' size, and the number of blobs' buckets follows the number of documents.
 
 Null, empty and white-space texts have no shingles and link with nothing. A text of one to four words is one shingle.
@@ -39,9 +41,11 @@ K = 5
 PERCENT = 75
 FLUSH = 1 << 21
 DOCS_A_BUCKET = 4000
-#: A shingle that so many documents hold comes last in the order; at most HOT_MOST of them, by count.
-HOT, HOT_MOST = 64, 1 << 20
+#: Shingles that so many documents hold come after others, by powers of two; at most HOT_MOST are told apart, by count.
+HOT, HOT_MOST = 8, 1 << 20
 FIRST, HEADS = 8, 3
+#: Edges that one task contracts at once.
+PART_EDGES = 1_000_000
 
 
 def least(n):
@@ -172,17 +176,19 @@ def document_rows(rows: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
-def ordered(x: np.ndarray, hot: np.ndarray, buckets: int) -> np.ndarray:
-    """The set by (held by many, hash)."""
+def ordered(x: np.ndarray, hot: tuple[np.ndarray, np.ndarray], buckets: int) -> np.ndarray:
+    """The set by (how common, hash)."""
+    keys, levels = hot
+    if not len(keys):
+        return x
     key = (bucket_of(x, buckets).astype(np.int64) << 32) + (x & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    at = np.searchsorted(hot, key)
-    at[at == len(hot)] = 0
-    late = hot[at] == key if len(hot) else np.zeros(len(x), bool)
-    return np.concatenate([x[~late], x[late]])
+    at = np.searchsorted(keys, key)
+    at[at == len(keys)] = 0
+    return x[np.argsort(np.where(keys[at] == key, levels[at], 0), kind="stable")]
 
 
-def common_shingles(counts: DataFrame) -> np.ndarray:
-    """The HOT_MOST most common shingles' keys, sorted: bounded by HOT_MOST numbers."""
+def common_shingles(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The HOT_MOST most common shingles' sorted keys and the logarithms of their counts: bounded by HOT_MOST."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,14 +196,14 @@ def common_shingles(counts: DataFrame) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(a, "<i8")), pa.array(unplaned(b).astype(np.int64))], names=["token", "n"])
 
     rows = counts.where(F.col("src") == -1).select("a", "b").mapInArrow(each, "token long, n long")
-    n = rows.count()
-    if n > HOT_MOST:
+    if rows.count() > HOT_MOST:
         rows = rows.orderBy(F.desc("n"), "token").limit(HOT_MOST)
-    return np.sort(rows.select("token").toPandas()["token"].to_numpy(np.int64)) if n else np.zeros(0, np.int64)
+    got = rows.toArrow().sort_by("token")
+    return got["token"].to_numpy().astype(np.int64), np.log2(np.maximum(1, got["n"].to_numpy())).astype(np.uint8)
 
 
 def matching_texts(rows: DataFrame) -> DataFrame:
-    """(key, n, text) of the rows whose text has the set that key names."""
+    """(key, n, s, text) of the rows whose text has the set that key names; s of its n shingles are shared with any other."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,31 +214,34 @@ def matching_texts(rows: DataFrame) -> DataFrame:
                     keep.append(i)
                     sizes.append(len(x))
             got = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([got.column("key"), pa.array(sizes, pa.int64()), got.column("text")], names=["key", "n", "text"])
+            yield pa.RecordBatch.from_arrays([got.column("key"), pa.array(sizes, pa.int64()), got.column("s"), got.column("text")], names=["key", "n", "s", "text"])
 
-    return rows.select("key", "text").mapInArrow(check, "key long, n long, text string")
+    return rows.select("key", "s", "text").mapInArrow(check, "key long, n long, s long, text string")
 
 
 def first_shingles(classes: DataFrame, hot, buckets: int) -> DataFrame:
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, rows = batch.column("key").to_pylist(), batch.column("n").to_pylist(), ([], [], [])
+            keys, sizes, shared, rows = batch.column("key").to_pylist(), batch.column("n").to_pylist(), batch.column("s").to_pylist(), ([], [], [], [])
             for i, x in shingle_sets(batch.column("text"), K):
-                some = ordered(x, hot.value, buckets)[:FIRST].view(np.int64)
-                rows[0].append(some)
-                rows[1].append(np.full(len(some), keys[i]))
-                rows[2].append(np.full(len(some), sizes[i]))
+                some = ordered(x, hot.value, buckets)
+                # a few of the first, and of the smallest hashes, which near copies share most often
+                some = np.unique(np.concatenate([some[:FIRST], x[:FIRST]])).view(np.int64)
+                for column, value in zip(rows, (some, keys[i], sizes[i], shared[i]), strict=True):
+                    column.append(value if column is rows[0] else np.full(len(some), value))
             if rows[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in rows], names=["token", "key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in rows], names=["token", "key", "n", "s"])
 
-    return classes.mapInArrow(first, "token long, key long, n long")
+    return classes.mapInArrow(first, "token long, key long, n long, s long")
 
 
 def head_pairs(first: DataFrame) -> DataFrame:
-    """(a, b): each class with the heads of its lists; heads are the least of a list by some hashes of the class."""
-    best = [F.min(F.struct(F.xxhash64("key", F.lit(i)).alias("h"), "key", "n")).alias(f"h{i}") for i in range(HEADS)]
-    heads = written(first.groupBy("token").agg(F.count("*").alias("size"), *best).where("size > 1").select("token", F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"h{i}.key").alias("key"), F.col(f"h{i}.n").alias("n")) for i in range(HEADS)]))).alias("head")).select("token", F.col("head.key").alias("a"), F.col("head.n").alias("m")), "heads")
-    met = first.join(heads, "token").where((F.col("a") != F.col("key")) & (F.least("n", "m") >= least_of(F.greatest("n", "m"))))
+    """(a, b): each class with the heads of its lists: the one with the least unshared part, and the least by hashes."""
+    entry = lambda *order: F.min(F.struct(*order, "key", "n", "s"))
+    best = [entry(((F.col("n") - F.col("s")) / F.col("n")).alias("lone"), F.xxhash64("key")).alias("h0"), *[entry(F.xxhash64("key", F.lit(i))).alias(f"h{i}") for i in range(1, HEADS)]]
+    every = F.array_distinct(F.array(*[F.struct(F.col(f"h{i}.key").alias("key"), F.col(f"h{i}.n").alias("n"), F.col(f"h{i}.s").alias("s")) for i in range(HEADS)]))
+    heads = written(first.groupBy("token").agg(F.count("*").alias("size"), *best).where("size > 1").select("token", F.explode(every).alias("head")).select("token", F.col("head.key").alias("a"), F.col("head.n").alias("m"), F.col("head.s").alias("s_head")), "heads")
+    met = first.join(heads, "token").where((F.col("a") != F.col("key")) & (F.least("s", "s_head") >= needed_of(F.col("n"), F.col("m"))))
     return met.select("a", F.col("key").alias("b")).distinct()
 
 
@@ -263,11 +272,40 @@ def linked(x: DataFrame) -> DataFrame:
     return x.where(100 * F.col("shared") >= PERCENT * (F.col("n") + F.col("m") - F.col("shared")))
 
 
+def contracted(edges: DataFrame, parts: int) -> DataFrame:
+    """Edges (u, v) of each part as stars: every node with the smallest of its part's component, itself left out."""
+
+    def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = x = up[y]
+            return x
+
+        for batch in batches:
+            for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+                u, v = root(u), root(v)
+                if u != v:
+                    up[max(u, v)] = min(u, v)
+        rows = [(x, root(x)) for x in up if root(x) != x]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["u", "v"])
+
+    return edges.coalesce(parts).mapInArrow(contract, "u long, v long")
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(key, root) of all nodes of edges (a, b): alternating large-star and small-star rounds, each written."""
-    e = written(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    """(key, root) of all nodes of edges (a, b).
+
+    Edges are first contracted in parts of about PART_EDGES. A single part is then complete; else alternating large-star
+    and small-star rounds follow, each written.
+    """
+    e = written(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "edges")
+    parts = max(1, -(-e.count() // PART_EDGES))
+    e = written(contracted(e, parts), "edges")
     mark = None
-    while True:
+    while parts > 1:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.where("u != m").select("u", F.col("m").alias("v"))).distinct()
@@ -282,7 +320,7 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("key"), F.col("v").alias("root")).union(e.select(F.col("v").alias("key"), F.col("v").alias("root")).distinct())
 
 
-POSTING = np.dtype([("token", "<u8"), ("key", "<i8"), ("root", "<i8"), ("n", "<u4"), ("at", "<u4")])
+POSTING = np.dtype([("token", "<u8"), ("root", "<i8"), ("head", "<i8"), ("n", "<u4"), ("s", "<u4"), ("at", "<u4")])
 
 
 def prefix_blobs(classes: DataFrame, hot, buckets: int) -> DataFrame:
@@ -298,11 +336,11 @@ def prefix_blobs(classes: DataFrame, hot, buckets: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(rows, pa.binary())], names=["bucket", "rows"])
 
         for batch in batches:
-            keys, roots = batch.column("key").to_pylist(), batch.column("root").to_pylist()
+            heads, roots, shared = batch.column("head").to_pylist(), batch.column("root").to_pylist(), batch.column("s").to_pylist()
             for i, x in shingle_sets(batch.column("text"), K):
                 some = ordered(x, hot.value, buckets)[: len(x) - least(len(x)) + 1]
                 one = np.zeros(len(some), POSTING)
-                one["token"], one["key"], one["root"], one["n"], one["at"] = some, keys[i], roots[i], len(x), np.arange(len(some))
+                one["token"], one["root"], one["head"], one["n"], one["s"], one["at"] = some, roots[i], heads[i], len(x), shared[i], np.arange(len(some))
                 held.append(one)
                 size += len(some)
                 if size >= FLUSH // 4:
@@ -315,58 +353,90 @@ def prefix_blobs(classes: DataFrame, hot, buckets: int) -> DataFrame:
 
 
 def list_pairs(rows: pd.DataFrame) -> pd.DataFrame:
-    """(a, b) of one bucket: pairs of classes in different components whose prefixes meet within all bounds."""
+    """(a, b) of one bucket: heads in different components of whose groups some members could link by a shared shingle."""
     x = np.concatenate([np.frombuffer(r, POSTING) for r in rows["rows"]])
-    x = x[np.lexsort((x["key"], x["token"]))]
-    x = x[np.concatenate([[True], (x["token"][1:] != x["token"][:-1]) | (x["key"][1:] != x["key"][:-1])])]
+    x = x[np.argsort(x["token"], kind="stable")]
     first = np.flatnonzero(np.concatenate([[True], x["token"][1:] != x["token"][:-1]]))
-    length = np.diff(np.append(first, len(x)))
     mixed = np.maximum.reduceat(x["root"], first) != np.minimum.reduceat(x["root"], first)
-    x = x[np.repeat(mixed, length)]
+    x = x[np.repeat(mixed, np.diff(np.append(first, len(x))))]  # lists of one component are skipped
     if not len(x):
         return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-    x = x[np.lexsort((x["n"], x["root"], x["token"]))]
-    token_end = np.searchsorted(x["token"], x["token"], "right")
-    change = np.flatnonzero(np.concatenate([[True], (x["token"][1:] != x["token"][:-1]) | (x["root"][1:] != x["root"][:-1])]))
-    block_end = np.repeat(np.append(change[1:], len(x)), np.diff(np.append(change, len(x))))  # the list skips the own component's block
-    partners = token_end - block_end
-    found, lo = [np.zeros((0, 2), np.int64)], 0
-    total = np.concatenate([[0], np.cumsum(partners)])
+    x = x[np.lexsort((x["head"], x["root"], x["token"]))]
+    new = lambda *names: np.flatnonzero(np.concatenate([[True], np.any([x[c][1:] != x[c][:-1] for c in names], axis=0)]))
+    block = new("token", "root", "head")
+    token, root, head = (x[c][block] for c in ("token", "root", "head"))
     n, at = x["n"].astype(np.int64), x["at"].astype(np.int64)
-    while lo < len(x):
-        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + (1 << 20), "right")) - 1)
+    n_least, s_most = np.minimum.reduceat(n, block), np.maximum.reduceat(x["s"].astype(np.int64), block)
+    behind, before = np.maximum.reduceat(n - at, block), np.maximum.reduceat(at, block)
+    token_end = np.searchsorted(token, token, "right")
+    change = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (root[1:] != root[:-1])]))
+    root_end = np.repeat(np.append(change[1:], len(token)), np.diff(np.append(change, len(token))))
+    partners = token_end - root_end  # a list skips the own component's blocks
+    every, lo = np.zeros((0, 2), np.int64), 0
+    total = np.concatenate([[0], np.cumsum(partners)])
+    while lo < len(token):
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + (1 << 19), "right")) - 1)
         i = np.repeat(np.arange(lo, hi), partners[lo:hi])
-        j = np.arange(len(i)) + np.repeat(block_end[lo:hi] - (total[lo:hi] - total[lo]), partners[lo:hi])
-        big, small = np.maximum(n[i], n[j]), np.minimum(n[i], n[j])
-        fit = (small >= least(big)) & (np.minimum(n[i] - at[i], n[j] - at[j]) + np.minimum(at[i], at[j]) >= needed(n[i], n[j]))
-        a, b = x["key"][i[fit]], x["key"][j[fit]]
-        found.append(np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0))
+        j = np.arange(len(i)) + np.repeat(root_end[lo:hi] - (total[lo:hi] - total[lo]), partners[lo:hi])
+        most = np.minimum(np.minimum(behind[i], behind[j]) + np.minimum(before[i], before[j]), np.minimum(s_most[i], s_most[j]))
+        fit = most >= np.maximum(needed(n_least[i], n_least[j]), least(np.maximum(n_least[i], n_least[j])))
+        a, b = head[i[fit]], head[j[fit]]
+        every = np.unique(np.concatenate([every, np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1)]), axis=0)
         lo = hi
-    every = np.unique(np.concatenate(found), axis=0)
     return pd.DataFrame({"a": every[:, 0], "b": every[:, 1]})
 
 
-def remaining_links(classes: DataFrame, stars: DataFrame, roots: DataFrame, hot, buckets: int) -> DataFrame:
-    """Links between different components of roots that the heads' pairs have not shown."""
-    rooted = classes.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    pairs = written(prefix_blobs(rooted, hot, buckets).groupBy("bucket").applyInPandas(list_pairs, "a long, b long").distinct(), "pairs")
-    # each class's head: the most similar one it links with; extra is what it has beside the head
-    best = linked(stars).groupBy(F.col("b").alias("key")).agg(F.max(F.struct("shared", "a", "m")).alias("x"))
-    heads = written(best.select("key", F.col("x.a").alias("head"), (F.col("x.m") - F.col("x.shared")).alias("extra")), "heads")
-    for side in ("a", "b"):
-        own = heads.select(F.col("key").alias(side), F.col("head").alias(f"head_{side}"), F.col("extra").alias(f"extra_{side}"))
-        size = classes.select(F.col("key").alias(side), F.col("n").alias(f"n_{side}"))
-        pairs = pairs.join(own, side, "left").join(size, side)
-    pairs = pairs.select("a", "b", "n_a", "n_b", *[F.coalesce(f"head_{s}", s).alias(f"head_{s}") for s in "ab"], (F.coalesce("extra_a", F.lit(0)) + F.coalesce("extra_b", F.lit(0))).alias("extra"))
-    pairs = written(pairs, "pairs")
-    asked = pairs.select(F.greatest("head_a", "head_b").alias("a"), F.least("head_a", "head_b").alias("b")).where("a != b").distinct()
-    heads_met = written(overlaps(asked, classes), "overlaps")
-    known = heads_met.select(F.col("a").alias("x"), F.col("b").alias("y"), "shared", (100 * F.col("shared") >= PERCENT * (F.col("n") + F.col("m") - F.col("shared"))).alias("done"))
-    left = pairs.withColumn("x", F.greatest("head_a", "head_b")).withColumn("y", F.least("head_a", "head_b")).join(known, ["x", "y"], "left")
-    # the heads' own link joins both components; else their overlap bounds the pair's
-    left = left.where(F.col("shared").isNull() | (~F.col("done") & (F.col("shared") + F.col("extra") >= needed_of(F.col("n_a"), F.col("n_b")))))
-    left = left.where(~((F.col("a") == F.col("x")) & (F.col("b") == F.col("y"))) | F.col("shared").isNull()).select("a", "b").distinct()
-    return linked(heads_met).select("a", "b").union(linked(overlaps(left, classes)).select("a", "b"))
+def remaining_links(classes: DataFrame, near: DataFrame, roots: DataFrame, stars: DataFrame, hot, buckets: int) -> DataFrame:
+    """Links between different components of roots that the heads' pairs have not shown; each is verified."""
+    sizes = classes.select("key", "n", "s")
+    # each class's head: the most similar one it links with, itself if none; extra is what it can share beside the head
+    best = linked(stars).groupBy(F.col("b").alias("key")).agg(F.max(F.struct("shared", "a")).alias("x"))
+    member = sizes.join(best, "key", "left").join(roots, "key", "left")
+    member = written(member.select("key", "n", "s", F.coalesce("root", "key").alias("root"), F.coalesce("x.a", "key").alias("head"), F.when(F.col("x").isNull(), 0).otherwise(F.greatest(F.lit(0), F.col("s") - F.col("x.shared"))).alias("extra")), "members")
+    listed = classes.select("key", "s", "text").join(member.select("key", "root", "head"), "key")
+    pairs = written(prefix_blobs(listed, hot, buckets).groupBy("bucket").applyInPandas(list_pairs, "a long, b long").distinct(), "pairs")
+    met = written(overlaps(pairs, classes), "overlaps")
+    links = linked(met).select("a", "b")
+
+    def apart(rows: DataFrame, found: DataFrame) -> DataFrame:
+        """The pairs of heads that found leaves in different components."""
+        now = components(near.union(found))
+        for s in ("a", "b"):
+            rows = rows.join(now.select(F.col("key").alias(s), F.col("root").alias(f"root_{s}")), s, "left")
+        return rows.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", "shared")
+
+    group = member.groupBy("head").agg(F.max("extra").alias("extra"), F.min("n").alias("n"), F.max("s").alias("s"), F.bool_or(F.col("key") != F.col("head")).alias("more"))
+    open_ = met
+    for s in ("a", "b"):
+        open_ = open_.join(group.select(F.col("head").alias(s), F.col("extra").alias(f"extra_{s}"), F.col("n").alias(f"n_{s}"), F.col("more").alias(f"more_{s}")), s)
+    bound = F.col("shared") + F.col("extra_a") + F.col("extra_b")
+    open_ = open_.where((bound >= needed_of(F.col("n_a"), F.col("n_b"))) & (F.col("more_a") | F.col("more_b"))).select("a", "b", "shared")
+    open_ = written(apart(open_, links), "open")
+    if open_.isEmpty():
+        return links
+    # members meet the other head, as far as the bound leaves it open
+    turned = written(open_.union(open_.select("b", "a", "shared")), "open")
+    wide = group.select(F.col("head").alias("b"), F.col("extra").alias("extra_b"), F.col("n").alias("n_b"), F.col("s").alias("s_b"))
+    own = member.where("key != head").select(F.col("head").alias("a"), F.col("key").alias("one"), "n", "s", "extra")
+    asked = turned.join(wide, "b").join(own, "a").where(F.least(F.col("shared") + F.col("extra") + F.col("extra_b"), "s", "s_b") >= needed_of(F.col("n"), F.col("n_b")))
+    second = written(overlaps(asked.select(F.col("b").alias("a"), F.col("one").alias("b")).distinct(), classes), "overlaps")
+    links = links.union(linked(second).select("a", "b"))
+    open_ = written(apart(open_, links), "open")
+    if open_.isEmpty():
+        return links
+    turned = open_.union(open_.select("b", "a", "shared"))
+    # (a, b, one, n, extra, most): a member of a's group and the most it shares with the head b
+    exact = second.select(F.col("a").alias("b"), F.col("b").alias("one"), F.col("shared").alias("exact"))
+    whole = member.select(F.col("head").alias("a"), F.col("key").alias("one"), "n", "s", "extra")
+    side = turned.join(wide, "b").join(whole, "a").where(F.least(F.col("shared") + F.col("extra") + F.col("extra_b"), "s", "s_b") >= needed_of(F.col("n"), F.col("n_b")))
+    side = side.join(exact, ["b", "one"], "left").withColumn("most", F.coalesce("exact", F.col("shared") + F.col("extra")))
+    side = written(side.where(F.col("most") + F.col("extra_b") >= needed_of(F.col("n"), F.col("n_b"))).select("a", "b", "one", "n", "s", "extra", "most"), "sides")
+    left = side.select("a", "b", *[F.col(c).alias(f"{c}_a") for c in ("one", "n", "s", "extra", "most")])
+    right = side.select(F.col("a").alias("b"), F.col("b").alias("a"), *[F.col(c).alias(f"{c}_b") for c in ("one", "n", "s", "extra", "most")])
+    able = F.least(F.col("most_a") + F.col("extra_b"), F.col("most_b") + F.col("extra_a"), "s_a", "s_b") >= needed_of(F.col("n_a"), F.col("n_b"))
+    last = open_.select("a", "b").join(left, ["a", "b"]).join(right, ["a", "b"]).where(able)
+    last = last.select(F.col("one_a").alias("a"), F.col("one_b").alias("b")).distinct()
+    return links.union(linked(overlaps(last, classes)).select("a", "b"))
 
 
 def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -378,12 +448,13 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     every = written(counts.where("src >= 0").groupBy("src").applyInPandas(document_rows, "doc_id long, n long, key long, shared long"), "rows")
     classes = written(every.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("shared").alias("shared")), "classes")
     hot = sc.broadcast(common_shingles(counts))
-    able = classes.where(F.col("shared") >= least_of(F.col("n"))).where("doc_id is not null").select("doc_id", "key")
+    able = classes.where(F.col("shared") >= least_of(F.col("n"))).where("doc_id is not null")
+    able = able.select("doc_id", "key", F.col("shared").alias("s"))
     texts = written(matching_texts(rows.join(able, "doc_id")).dropDuplicates(["key"]), "texts")
     stars = written(overlaps(head_pairs(written(first_shingles(texts, hot, buckets), "first")), texts), "stars")
     near = written(linked(stars).select("a", "b"), "links")
     roots = written(components(near), "roots")
-    more = written(remaining_links(texts, stars, roots, hot, buckets), "links")
+    more = written(remaining_links(texts, near, roots, stars, hot, buckets), "links")
     if not more.isEmpty():
         roots = written(components(near.union(more)), "roots")
     named = classes.select("key", "doc_id").join(roots, "key")
