@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words for the same class.
 ALIASES = {
@@ -36,7 +37,7 @@ def short_label(answer: Column) -> Column:
     return F.when(low.rlike(r"^[a-z][a-z0-9'\-]*(?: [a-z0-9][a-z0-9'\-]*){0,5}$"), low)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(values: pd.Series) -> pd.Series:
     """Unicode compatibility composition, which Spark lacks; apply it to distinct values."""
     return values.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
@@ -93,12 +94,13 @@ def rigid_inverse(m: Column) -> Column:
 def is_rigid(m: Column, tolerance: float = 2e-4) -> Column:
     """Sixteen finite numbers, orthonormal rotation, determinant 1, last row 0 0 0 1."""
     fine = (F.size(m) == 16) & F.forall(m, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 1e300))
+    e = [F.get(m, F.lit(i)) for i in range(16)]  # null beyond the end, where an index would raise
     for i in range(3):
         for j in range(i, 3):
-            dot = m[i] * m[j] + m[4 + i] * m[4 + j] + m[8 + i] * m[8 + j]
+            dot = e[i] * e[j] + e[4 + i] * e[4 + j] + e[8 + i] * e[8 + j]
             fine = fine & (F.abs(dot - (1.0 if i == j else 0.0)) <= tolerance)
-    det = m[0] * (m[5] * m[10] - m[6] * m[9]) - m[1] * (m[4] * m[10] - m[6] * m[8]) + m[2] * (m[4] * m[9] - m[5] * m[8])
-    last = (F.abs(m[12]) <= 1e-8) & (F.abs(m[13]) <= 1e-8) & (F.abs(m[14]) <= 1e-8) & (F.abs(m[15] - 1) <= 1e-8)
+    det = e[0] * (e[5] * e[10] - e[6] * e[9]) - e[1] * (e[4] * e[10] - e[6] * e[8]) + e[2] * (e[4] * e[9] - e[5] * e[8])
+    last = (F.abs(e[12]) <= 1e-8) & (F.abs(e[13]) <= 1e-8) & (F.abs(e[14]) <= 1e-8) & (F.abs(e[15] - 1) <= 1e-8)
     return F.coalesce(fine & (F.abs(det - 1) <= tolerance) & last, F.lit(False))
 
 
