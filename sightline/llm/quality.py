@@ -75,10 +75,10 @@ def features(vectors: np.ndarray, buf: np.ndarray, offs: np.ndarray) -> np.ndarr
     out = np.zeros((n, DIM + SHAPES + 1), np.float32)
     count = np.diff(at)
     full = np.flatnonzero(count)
-    for a in range(0, len(full), 256):  # some rows at a time bound the memory
+    for a in range(0, len(full), 64):  # some rows at a time bound the memory
         rows = full[a : a + 256]
         lo, hi = at[rows[0]], at[rows[-1] + 1]
-        if hi - lo <= 1 << 19:
+        if hi - lo <= 1 << 17:
             out[rows, :DIM] = np.add.reduceat(vectors[bucket[lo:hi]], at[rows] - lo) / count[rows, None]
         else:
             for r in rows:
@@ -206,7 +206,7 @@ def score_quality(docs: DataFrame, model: Model, text: str = "text", out: str =
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = shared.value
         for texts in batches:
-            got = [own.probabilities(features(own.vectors, buf, offs)) for _, _, buf, offs in pieces(texts)]
+            got = [own.probabilities(features(own.vectors, buf, offs)) for _, _, buf, offs in pieces(texts, 1 << 19)]
             yield pa.array(np.concatenate([np.zeros(0), *got]), pa.float64())
 
     return docs.withColumn(out, score(F.col(text)))

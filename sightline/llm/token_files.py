@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import fresh_folder
 from .tokens import Cutter, text_runs
 
+#: Pieces that a worker keeps.
+PIECES = 1_000_000
 MAGIC = b"PLANES1\n"
 CHUNK = 1 << 16
 
@@ -168,7 +170,7 @@ def library_cutter(path: str, end: int | None = None) -> Cutter:
         at = np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
         return ids[at], sizes
 
-    return Cutter(encode, added, end)
+    return Cutter(encode, added, end, PIECES)
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None = None, doc_id: str = "doc_id", text: str = "text", end_id: int = 0, bits: bool = False) -> list[dict]:

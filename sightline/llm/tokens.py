@@ -34,8 +34,8 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 NONE = np.int64(1) << 40
 #: A lone surrogate, which no text can hold.
 FIRST = "\ud800"
-#: A worker forgets its pieces beyond this count.
-PIECES = 1_000_000
+#: A worker forgets rare pieces beyond this count; they take some 200 bytes each.
+PIECES = 300_000
 
 
 def byte_symbols() -> dict[int, str]:
@@ -153,8 +153,8 @@ def gathered(values: np.ndarray, offsets: np.ndarray, at: np.ndarray) -> tuple[n
 class Cutter:
     """Encodes texts by their distinct pieces, with encode_pieces for what it has not met yet."""
 
-    def __init__(self, encode_pieces: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], added: dict[str, int], end: int | None = None):
-        self.encode_pieces, self.added, self.end = encode_pieces, added, end
+    def __init__(self, encode_pieces: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], added: dict[str, int], end: int | None = None, most: int = PIECES):
+        self.encode_pieces, self.added, self.end, self.most = encode_pieces, added, end, most
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.index: dict[str, int] = {}
         self.ids, self.sizes, self.uses = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)
@@ -170,8 +170,8 @@ class Cutter:
     def forget(self) -> None:
         """Keeps the pieces that came more than once since the last time."""
         keep = np.flatnonzero((self.uses > 1) | (np.arange(len(self.uses)) < (self.end is not None)))
-        if len(keep) > PIECES // 2:
-            keep = keep[np.argsort(-self.uses[keep], kind="stable")[: PIECES // 2]]
+        if len(keep) > self.most // 2:
+            keep = keep[np.argsort(-self.uses[keep], kind="stable")[: self.most // 2]]
             keep.sort()
             keep = np.union1d(keep, [0]) if self.end is not None else keep
         names = list(self.index)
@@ -204,7 +204,7 @@ class Cutter:
         tail = [] if self.end is None else [FIRST * 2]
         found = [self.cut(x) + tail if x else tail for x in texts]
         every = list(chain.from_iterable(found))
-        if len(self.index) > PIECES:
+        if len(self.index) > self.most:
             self.forget()
         at = np.fromiter(map(self.index.get, every, repeat(-1)), np.int64, len(every))
         if len(missing := np.flatnonzero(at < 0)):
