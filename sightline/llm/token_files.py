@@ -31,7 +31,7 @@ from .common import fresh_folder
 from .tokens import Cutter, text_runs
 
 #: Pieces that a worker keeps.
-PIECES = 1_000_000
+PIECES = 1_200_000
 MAGIC = b"PLANES1\n"
 CHUNK = 1 << 16
 
@@ -196,7 +196,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None =
                 writer = PlaneWriter(out, bits)
                 cutter = library_cutter(tokenizer_path, end_id)
             a = 0
-            for part in text_runs(batch.column("text")):
+            for part in text_runs(batch.column("text"), 1 << 22):
                 ids, offs = cutter.encode(part)
                 writer.add(batch.column("doc_id").slice(a, len(part)), ids.astype(np.uint32), np.diff(offs))
                 a += len(part)

@@ -157,14 +157,14 @@ class Cutter:
         self.encode_pieces, self.added, self.end, self.most = encode_pieces, added, end, most
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.index: dict[str, int] = {}
-        self.ids, self.sizes, self.uses = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.ids, self.ends, self.uses = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, np.int32)
         if end is not None:  # a piece that no text holds
             self.put([FIRST * 2], np.array([end], np.int32), np.ones(1, np.int64))
 
     def put(self, new: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
         self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
-        self.sizes = np.concatenate([self.sizes, sizes])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
         self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int32)])
 
     def forget(self) -> None:
@@ -175,9 +175,9 @@ class Cutter:
             keep.sort()
             keep = np.union1d(keep, [0]) if self.end is not None else keep
         names = list(self.index)
-        ids, sizes = gathered(self.ids, np.concatenate([[0], np.cumsum(self.sizes)]), keep)
+        ids, sizes = gathered(self.ids, self.ends, keep)
         self.index = {}
-        self.ids, self.sizes, self.uses = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.ids, self.ends, self.uses = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, np.int32)
         self.put([names[i] for i in keep.tolist()], ids, sizes)
 
     def cut(self, text: str) -> list[str]:
@@ -212,7 +212,7 @@ class Cutter:
             self.learn(list(dict.fromkeys(names)))
             at[missing] = np.fromiter(map(self.index.__getitem__, names), np.int64, len(names))
         self.uses += np.bincount(at, minlength=len(self.uses)).astype(np.int32)
-        ids, counts = gathered(self.ids, np.concatenate([[0], np.cumsum(self.sizes)]), at)
+        ids, counts = gathered(self.ids, self.ends, at)
         per = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])
         return ids, np.concatenate([[0], np.cumsum(counts)])[per]
 
