@@ -101,21 +101,6 @@ def mask_overlap(masks: DataFrame, anchors: DataFrame) -> DataFrame:
     return out.select(*key, (F.col("shared") / F.col("anchor_size")).alias("coverage"), (F.col("shared") / F.col("mask_size")).alias("purity"), (F.col("shared") / (F.col("mask_size") + F.col("anchor_size") - F.col("shared"))).alias("iou"))
 
 
-def pair_score(visible: DataFrame, left: DataFrame, right: DataFrame, least: int = 30, cannot: float = 0.1) -> DataFrame:
-    """(a, b, shared, full_iou, covisible_iou, evaluable, cannot_link) of objects' point sets by what both views see.
-
-    visible: object_id, point_id (points that the object's view sees); left, right: a or b, point_id, of the pairs that both name by pair_id.
-    """
-    a = left.groupBy("pair_id").agg(F.count("*").alias("na"))
-    b = right.groupBy("pair_id").agg(F.count("*").alias("nb"))
-    both = left.select("pair_id", "point_id").join(right.select("pair_id", "point_id"), ["pair_id", "point_id"]).groupBy("pair_id").agg(F.count("*").alias("shared"))
-    any_ = left.select("pair_id", "point_id").union(right.select("pair_id", "point_id")).distinct().join(visible, ["pair_id", "point_id"], "left_semi").groupBy("pair_id").agg(F.count("*").alias("seen"))
-    common = left.select("pair_id", "point_id").join(right, ["pair_id", "point_id"], "left_semi").join(visible, ["pair_id", "point_id"], "left_semi").groupBy("pair_id").agg(F.count("*").alias("common"))
-    out = a.join(b, "pair_id").join(both, "pair_id", "left").join(any_, "pair_id", "left").join(common, "pair_id", "left").fillna(0, ["shared", "seen", "common"])
-    covisible = F.try_divide("common", "seen")
-    return out.select("pair_id", "shared", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("full_iou"), covisible.alias("covisible_iou"), (F.col("seen") >= least).alias("evaluable"), ((F.col("seen") >= least) & (F.coalesce(covisible, F.lit(0.0)) <= cannot)).alias("cannot_link"))
-
-
 def candidates_from_groups(ownership: DataFrame, instances: DataFrame, points: int = 50) -> DataFrame:
     """(group_id, n, candidate_id, reason): unresolved geometry as candidate objects, numbered after the largest instance."""
     free = ownership.where("group_id > 0").join(instances.where("instance_id > 0").select("point_id"), "point_id", "left_anti")
