@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .votes import safe
+from .votes import clear_winner, micros, safe
 
 
 @dataclass(frozen=True)
@@ -116,11 +116,12 @@ def group_scores(member: DataFrame, groups: DataFrame, config: Consensus = Conse
 
 def point_ownership(member: DataFrame, groups: DataFrame, config: Consensus = Consensus()) -> DataFrame:
     """(point_id, group_id, best, second, total, views): the group that owns each point, 0 where none is clear."""
-    own = member.join(groups, ["frame_id", "mask_id"]).groupBy("point_id", "group_id").agg(F.sum("confidence").alias("score"), F.count("*").alias("views"))
+    own = member.join(groups, ["frame_id", "mask_id"]).groupBy("point_id", "group_id").agg(F.sum(micros(F.col("confidence"))).alias("score"), F.count("*").alias("views"))
     per = own.groupBy("point_id").agg(F.max(F.struct("score", (-F.col("group_id")).alias("g"), "views")).alias("b"), F.sum("score").alias("total"), F.array_sort(F.collect_list("score")).alias("all"))
-    second = F.coalesce(F.try_element_at("all", F.lit(-2)), F.lit(0.0))
-    clear = (F.col("b.views") >= config.point_views) & (F.col("b.score") >= config.share * F.col("total")) & (F.col("b.score") - second >= config.margin * F.col("total"))
-    return per.select("point_id", F.when(clear, -F.col("b.g")).otherwise(0).cast("long").alias("group_id"), F.col("b.score").alias("best"), second.alias("second"), "total", F.col("b.views").alias("views"))
+    second = F.coalesce(F.try_element_at("all", F.lit(-2)), F.lit(0))
+    clear = (F.col("b.views") >= config.point_views) & clear_winner(F.col("b.score"), second, F.col("total"), config.share, config.margin)
+    unit = lambda c: c / 1_000_000
+    return per.select("point_id", F.when(clear, -F.col("b.g")).otherwise(0).cast("long").alias("group_id"), unit(F.col("b.score")).alias("best"), unit(second).alias("second"), unit(F.col("total")).alias("total"), F.col("b.views").alias("views"))
 
 
 def owned_objects(ownership: DataFrame, semantic: DataFrame, config: Consensus = Consensus()) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .votes import micros
+
 UNNAMED = ("", "unknown", "none")
 
 
@@ -22,9 +24,9 @@ def name_consensus(votes: DataFrame, key: str = "instance_id") -> DataFrame:
 def frame_majority(observations: DataFrame, instances: DataFrame, confidence: float = 0.8, points: int = 30, frame_share: float = 0.8, frames: int = 3, share: float = 0.8) -> DataFrame:
     """(instance_id, class_id, frames, votes): each frame with enough sure points has one vote, for its weighted majority class."""
     own = observations.where((F.col("confidence") >= confidence) & (F.col("class_id") > 0)).join(instances.where("instance_id > 0").select("point_id", "instance_id"), "point_id")
-    per = own.groupBy("instance_id", "frame_id", "class_id").agg(F.count("*").alias("n"), F.sum("confidence").alias("w"))
+    per = own.groupBy("instance_id", "frame_id", "class_id").agg(F.count("*").alias("n"), F.sum(micros(F.col("confidence"))).alias("w"))
     frame = per.groupBy("instance_id", "frame_id").agg(F.sum("n").alias("n"), F.sum("w").alias("total"), F.max(F.struct("w", (-F.col("class_id")).alias("c"))).alias("b"))
-    frame = frame.where(F.col("n") >= points).withColumn("vote", F.when(F.col("b.w") >= frame_share * F.col("total"), -F.col("b.c")).otherwise(0))
+    frame = frame.where(F.col("n") >= points).withColumn("vote", F.when(1000 * F.col("b.w") >= round(1000 * frame_share) * F.col("total"), -F.col("b.c")).otherwise(0))
     tally = frame.groupBy("instance_id", "vote").agg(F.count("*").alias("k"))
     best = tally.groupBy("instance_id").agg(F.sum("k").alias("frames"), F.max(F.when(F.col("vote") > 0, F.struct("k", (-F.col("vote")).alias("c")))).alias("b"))
     clear = (F.col("frames") >= frames) & (F.col("b.k") >= share * F.col("frames"))

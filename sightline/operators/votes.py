@@ -6,9 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def micros(score: Column) -> Column:
+    """A score in whole millionths: their sums do not depend on the order of rows, so gates decide alike everywhere."""
+    return F.round(score * 1_000_000).cast("long")
+
+
+def clear_winner(best: Column, second: Column, total: Column, share: float, margin: float) -> Column:
+    """Whether best has its share of the total and its margin over the second, in whole millionths and thousandths."""
+    return (1000 * best >= round(1000 * share) * total) & (1000 * (best - second) >= round(1000 * margin) * total)
+
+
 def votes(observations: DataFrame) -> DataFrame:
     """(point_id, class_id, score, votes) of known classes."""
-    return observations.where("class_id > 0").groupBy("point_id", "class_id").agg(F.sum("confidence").alias("score"), F.count("*").alias("votes"))
+    return observations.where("class_id > 0").groupBy("point_id", "class_id").agg((F.sum(micros(F.col("confidence"))) / 1_000_000).alias("score"), F.count("*").alias("votes"))
 
 
 def argmax_margin(scores: DataFrame, key: str, item: str, score: str, support: str, min_support: int = 2, share: float = 0.65, margin: float = 0.15) -> DataFrame:
@@ -17,14 +27,16 @@ def argmax_margin(scores: DataFrame, key: str, item: str, score: str, support: s
     Ties go to the lowest item and then mostly fail the margin. Two aggregations over one shuffle by key: the second best
     score is the maximum of all but the best row, and comes from a sorted pair, not from a window.
     """
-    by = scores.groupBy(key).agg(
-        F.max(F.struct(F.col(score).alias("s"), (-F.col(item)).alias("i"), F.col(support).alias("n"))).alias("b"),
-        F.sum(score).alias("total"),
-        F.array_sort(F.collect_list(score)).alias("all"),
+    own = scores.select(key, item, support, micros(F.col(score)).alias("_s"))
+    by = own.groupBy(key).agg(
+        F.max(F.struct(F.col("_s").alias("s"), (-F.col(item)).alias("i"), F.col(support).alias("n"))).alias("b"),
+        F.sum("_s").alias("total"),
+        F.array_sort(F.collect_list("_s")).alias("all"),
     )
-    second = F.coalesce(F.try_element_at("all", F.lit(-2)), F.lit(0.0))
-    clear = (F.col("b.n") >= min_support) & (F.col("b.s") >= share * F.col("total")) & (F.col("b.s") - second >= margin * F.col("total")) & (F.col("b.i") < 0)
-    return by.select(key, F.when(clear, -F.col("b.i")).otherwise(0).cast("int").alias(item), F.col("b.s").alias("best"), second.alias("second"), "total", F.col("b.n").alias("support"))
+    second = F.coalesce(F.try_element_at("all", F.lit(-2)), F.lit(0))
+    clear = (F.col("b.n") >= min_support) & clear_winner(F.col("b.s"), second, F.col("total"), share, margin) & (F.col("b.i") < 0)
+    unit = lambda c: c / 1_000_000
+    return by.select(key, F.when(clear, -F.col("b.i")).otherwise(0).cast("int").alias(item), unit(F.col("b.s")).alias("best"), unit(second).alias("second"), unit(F.col("total")).alias("total"), F.col("b.n").alias("support"))
 
 
 def finalize_votes(observations: DataFrame, min_views: int = 2, share: float = 0.65, margin: float = 0.15) -> DataFrame:

@@ -42,9 +42,9 @@ def _nodes(spark, d, spread=False, up=None):
 
 
 TOP2_SQL = """
-scores AS (SELECT point_id, class_id, sum(confidence) AS s, count(*) AS n FROM obs WHERE class_id > 0 GROUP BY ALL),
+scores AS (SELECT point_id, class_id, sum(CAST(round(confidence * 1000000) AS BIGINT)) AS s, count(*) AS n FROM obs WHERE class_id > 0 GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY s DESC, class_id) AS rn, sum(s) OVER (PARTITION BY point_id) AS total, lead(s) OVER (PARTITION BY point_id ORDER BY s DESC, class_id) AS second FROM scores),
-known AS (SELECT point_id, class_id, n, s / total AS conf FROM ranked WHERE rn = 1 AND n >= 2 AND s >= .65 * total AND s - coalesce(second, 0) >= .15 * total)"""
+known AS (SELECT point_id, class_id, n, s / total AS conf FROM ranked WHERE rn = 1 AND n >= 2 AND 1000 * s >= 650 * total AND 1000 * (s - coalesce(second, 0)) >= 150 * total)"""
 
 
 @register(f"""WITH {views.OBSERVATIONS_SQL}, {TOP2_SQL},
@@ -235,9 +235,9 @@ def _groups(member):
 
 
 @register(f"""WITH {MEMBER_SQL}, g AS (SELECT DISTINCT frame_id, mask_id, mask_id + 4 * (frame_id % 2) AS group_id FROM member),
-sc AS (SELECT point_id, group_id, sum(confidence) AS s, count(*) AS n FROM member JOIN g USING (frame_id, mask_id) GROUP BY ALL),
+sc AS (SELECT point_id, group_id, sum(CAST(round(confidence * 1000000) AS BIGINT)) AS s, count(*) AS n FROM member JOIN g USING (frame_id, mask_id) GROUP BY ALL),
 rk AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY s DESC, group_id) AS rn, sum(s) OVER (PARTITION BY point_id) AS total, lead(s) OVER (PARTITION BY point_id ORDER BY s DESC, group_id) AS nx FROM sc)
-SELECT point_id, CAST(CASE WHEN n >= 2 AND s >= .65 * total AND s - coalesce(nx, 0) >= .15 * total THEN group_id ELSE 0 END AS BIGINT) AS group_id, round(s, 6) AS best, n AS views FROM rk WHERE rn = 1""")
+SELECT point_id, CAST(CASE WHEN n >= 2 AND 1000 * s >= 650 * total AND 1000 * (s - coalesce(nx, 0)) >= 150 * total THEN group_id ELSE 0 END AS BIGINT) AS group_id, round(s / 1000000, 6) AS best, n AS views FROM rk WHERE rn = 1""")
 def point_ownership(spark, d):
     member, _ = _member(spark, d)
     return masks.point_ownership(member, _groups(member), SMALL).select("point_id", "group_id", r6("best"), "views")
@@ -261,9 +261,9 @@ def name_consensus(spark, d):
 
 
 @register(f"""WITH {views.OBSERVATIONS_SQL},
-o AS (SELECT instance_id, frame_id, class_id, count(*) AS n, sum(confidence) AS w FROM obs JOIN lab USING (point_id) WHERE instance_id > 0 AND confidence >= .8 AND class_id > 0 GROUP BY ALL),
+o AS (SELECT instance_id, frame_id, class_id, count(*) AS n, sum(CAST(round(confidence * 1000000) AS BIGINT)) AS w FROM obs JOIN lab USING (point_id) WHERE instance_id > 0 AND confidence >= .8 AND class_id > 0 GROUP BY ALL),
 f AS (SELECT instance_id, frame_id, sum(n) AS n, sum(w) AS t, max(w) AS b, arg_min(class_id, (-w, class_id)) AS c FROM o GROUP BY ALL HAVING sum(n) >= 2),
-v AS (SELECT instance_id, CASE WHEN b >= .8 * t THEN c ELSE 0 END AS vote, count(*) AS k FROM f GROUP BY ALL),
+v AS (SELECT instance_id, CASE WHEN 1000 * b >= 800 * t THEN c ELSE 0 END AS vote, count(*) AS k FROM f GROUP BY ALL),
 z AS (SELECT instance_id, sum(k) OVER (PARTITION BY instance_id) AS frames, vote, k, row_number() OVER (PARTITION BY instance_id ORDER BY vote = 0, k DESC, vote) AS rn FROM v)
 SELECT instance_id, CAST(CASE WHEN vote > 0 AND frames >= 3 AND k >= .4 * frames THEN vote ELSE 0 END AS INTEGER) AS class_id, frames, CASE WHEN vote > 0 THEN k ELSE 0 END AS votes FROM z WHERE rn = 1""")
 def frame_majority_naming(spark, d):
@@ -504,7 +504,7 @@ def greedy_diverse_topk(spark, d):
 
 @register()
 def online_tracks(spark, d):
-    o = votes.safe(views.observations(spark, d)).withColumn("stream", F.col("frame_id") % 2)
+    o = votes.safe(views.observations(spark, d)).withColumn("stream", F.col("frame_id") % 2).withColumn("mask_id", F.col("class_id") * 10 + F.col("mask_id"))
     return iterative.online_association(o, least=5, overlap=0.1)
 
 
