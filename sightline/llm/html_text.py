@@ -3,8 +3,8 @@
 The standard library's parser reports tags and text; they become lines, one per block element. Each line has its text
 and its number of tags. The text-to-tag ratios along the page are smoothed with a Gaussian window and split by
 threshold clustering (two means in one dimension): the upper cluster marks the content regions. A content region is
-widened to its semantic container (article or main) if it has one, as short headings and paragraphs of an article have
-low ratios; menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles are never content,
+widened to its semantic container (article or main) if it has one, else by the headings and paragraphs next to it, as
+short ones have low ratios; menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles are never content,
 by their element, role, class or id.
 
 Within a block all white space becomes one space, blocks without text vanish, and blocks are joined by line feeds. A null
@@ -34,6 +34,8 @@ ROLES = frozenset("alert banner complementary contentinfo dialog form menu menub
 #: Words of class and id names that mark what is not content.
 NAMES = frozenset("ad ads adv advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header menu modal nav navbar navigation newsletter notice notices popup promo promoted promotion related share sharing sidebar social sponsor sponsored subscribe widget widgets".split())
 KEEP = frozenset(("article", "main"))
+#: Blocks of running text.
+PROSE = frozenset("blockquote dd dt h1 h2 h3 h4 h5 h6 li p pre".split())
 _NAME = re.compile(r"[A-Za-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -44,6 +46,7 @@ class Line:
     tags: int
     container: int
     outside: bool
+    block: str
 
 
 class Lines(HTMLParser):
@@ -58,11 +61,12 @@ class Lines(HTMLParser):
         self.containers = [0]
         self.n_containers = 0
         self.open: list[str] = []  # open containers' names
+        self.block = ""
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split()) if self.parts else ""
         if text or self.tags:
-            self.lines.append(Line(text, self.tags, self.containers[-1], bool(self.out)))
+            self.lines.append(Line(text, self.tags, self.containers[-1], bool(self.out), self.block))
         self.parts, self.tags = [], 0
 
     @staticmethod
@@ -88,6 +92,7 @@ class Lines(HTMLParser):
             return
         if tag in BLOCKS:
             self.flush()
+            self.block = tag
         if tag not in VOID and self.excluded(tag, attrs):
             self.flush()
             self.out = [tag]
@@ -125,6 +130,7 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in BLOCKS:
             self.flush()
+            self.block = ""
         if tag in KEEP and tag in self.open:
             while self.open:
                 self.containers.pop()
@@ -182,9 +188,15 @@ def main_text(html: str | None) -> str:
     kept = {k for k, n in weight.items() if k and 4 * n >= best} or ({k for k in {x.container for x, i in zip(lines, inside, strict=True) if i} if k})
     if kept:
         chosen = [x.text for x, i in zip(lines, inside, strict=True) if i and x.container in kept]
-    else:  # no container: from the first to the last content line
-        at = np.flatnonzero(content)
-        chosen = [x.text for x, i in zip(lines[at[0] : at[-1] + 1], inside[at[0] : at[-1] + 1], strict=True) if i]
+    else:  # no container: from the first to the last content line, with the headings and paragraphs next to them
+        rows = np.flatnonzero(inside).tolist()
+        at = [k for k, i in enumerate(rows) if content[i]]
+        a, b = at[0], at[-1]
+        while a and lines[rows[a - 1]].block in PROSE:
+            a -= 1
+        while b + 1 < len(rows) and lines[rows[b + 1]].block in PROSE:
+            b += 1
+        chosen = [lines[i].text for i in rows[a : b + 1]]
     return "\n".join(chosen)
 
 

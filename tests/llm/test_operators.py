@@ -32,6 +32,7 @@ def texts(spark, rows, extra=True):
     ("<body><nav>menu</nav><article><h1>A &amp; B</h1><p>one\n two<br>three<p>four</article><footer>f</footer>", "A & B\none two three\nfour"),
     ("<main><div class='cookie-notice'>we use</div><p>Long enough text of a page.</p><form>f</form><div id=comments><p>no</p></div><ul><li>x<li>y</ul></main><aside>s</aside>", "Long enough text of a page.\nx\ny"),
     ("<p>A page without any container has this text.</p><p>And this text too.</p>", "A page without any container has this text.\nAnd this text too."),
+    ("<div class=menu><a>x</a></div><div><h1>Title</h1><p>" + "A long paragraph of text. " * 9 + "</p><p>Short.</p></div><div>(c) us</div>", "Title\n" + ("A long paragraph of text. " * 9).strip() + "\nShort."),
     ("plain", "plain"), ("<article><p>cut off <b>he", "cut off he"),
 ])
 def test_main_text(html, expected):
