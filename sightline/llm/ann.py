@@ -7,6 +7,11 @@ away. A query reads the lists whose centroids are within a ratio of the nearest
 into parts of about PART vectors by hash, so that no task holds a whole long list. Within a part distances are exact, in
 double precision.
 
+That gives a distance up to which a query's answer can lie (none if too few candidates were found). Every list whose
+centroid less its radius is not beyond that distance is then read too, so answers are whole and exact, wherever
+a query lies. Vectors count to the radius of their nearest list only. Queries are broadcast in blocks of at most ASKED;
+where lists overlap much, as in data without clusters, this reads nearly all vectors for each query.
+
 Equal vectors are one entry with their smallest ids, as many as an answer can need, so copies neither fill lists nor
 multiply work; equal queries are searched once.
 
@@ -30,6 +35,7 @@ from .common import written
 SAMPLE = 50_000
 A_LIST, MOST_LISTS, PART = 200, 4096, 2000
 LINKS, BEAM = 16, 48
+ASKED = 50_000
 #: A vector is in lists up to this ratio of the nearest centroid's distance; a query reads lists up to the other.
 REPLICATE, COPIES, READ = 1.05, 4, 1.3
 
@@ -146,9 +152,12 @@ def usable(vector: Column) -> Column:
 
 
 def listed(rows: DataFrame, graph, ratio: float, most: int | None) -> DataFrame:
-    """rows (with a vector column v) once for each posting list: list int before the other columns."""
+    """rows (with a vector column v) once for each posting list: list int, away double before the other columns.
+
+    away is the distance to the centroid in a row's nearest list, null in the others.
+    """
     names = rows.columns
-    schema = f"list int, {', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema.fields)}"
+    schema = f"list int, away double, {', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema.fields)}"
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = graph.value
@@ -165,13 +174,55 @@ def listed(rows: DataFrame, graph, ratio: float, most: int | None) -> DataFrame:
                     fit[:, most:] = False
                 row, col = np.nonzero(fit)
                 got = batch.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row, col].astype(np.int32)), *[got.column(c) for c in names]], names=["list", *names])
+                exact = np.array(batch.column("v").to_pylist(), np.float64) - own.centre[ids[:, 0]]
+                away = pa.array(np.sqrt((exact * exact).sum(1))[row], mask=col > 0)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row, col].astype(np.int32)), away, *[got.column(c) for c in names]], names=["list", "away", *names])
 
     return rows.mapInArrow(deal, schema)
 
 
+def read_on(home: DataFrame, asked: DataFrame, centre: np.ndarray, radius: np.ndarray, k: int) -> DataFrame:
+    """(h1, h2, score, ids) of home's entries that can be among the k + 1 nearest of asked's vectors.
+
+    home has list, v, ids, rows of a list one after another; asked h1, h2, v, reach; no answer lies beyond reach.
+    """
+    spark = home.sparkSession
+    table = asked.toArrow()
+    q = np.array(table.column("v").to_pylist(), np.float64)
+    h1, h2, reach = (table.column(c).to_numpy() for c in ("h1", "h2", "reach"))
+    shared = spark.sparkContext.broadcast((q, h1, h2, reach, centre.astype(np.float64), radius))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, h1, h2, reach, centre, radius = shared.value
+        reach = reach.copy()
+        own = (q * q).sum(1)
+        for batch in batches:
+            x = np.array(batch.column("v").to_pylist(), np.float64)
+            lists = batch.column("list").to_numpy()
+            ids = batch.column("ids")
+            starts = np.flatnonzero(np.diff(lists, prepend=-1))
+            for a, b in zip(starts, [*starts[1:], len(lists)], strict=True):
+                gap = np.sqrt(((q - centre[lists[a]]) ** 2).sum(1)) - radius[lists[a]]
+                need = np.flatnonzero(gap <= reach * (1 + 1e-9) + 1e-9)
+                for c in range(a, b, PART):
+                    part = x[c : min(b, c + PART)]
+                    norm = (part * part).sum(1)
+                    for s in range(0, len(need), 1024):
+                        asks = need[s : s + 1024]
+                        d = own[asks, None] - 2 * (q[asks] @ part.T) + norm[None]
+                        slack = 1e-9 * (own[asks, None] + norm[None])
+                        if len(part) > k:  # k + 1 entries lie within this distance
+                            reach[asks] = np.minimum(reach[asks], np.sqrt(np.maximum(0, np.partition(d + slack, k, axis=1)[:, k])))
+                        row, col = np.nonzero(d <= reach[asks, None] ** 2 + slack)
+                        if len(row):
+                            score = np.sqrt(((part[col] - q[asks[row]]) ** 2).sum(1))
+                            yield pa.RecordBatch.from_arrays([pa.array(h1[asks[row]]), pa.array(h2[asks[row]]), pa.array(score), ids.take(pa.array(col + c))], names=["h1", "h2", "score", "ids"])
+
+    return home.mapInArrow(scan, "h1 long, h2 long, score double, ids array<long>")
+
+
 def nearest(vectors: DataFrame, queries: Column, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", sample: int = SAMPLE) -> DataFrame:
-    """(query_id, rank, vec_id, score) of the k nearest other rows that the index finds for each row that queries marks.
+    """(query_id, rank, vec_id, score) of the k nearest other rows for each row that queries marks.
 
     queries is a condition on the column vec_id. Nearest first by Euclidean distance, ties by the smaller vec_id.
     """
@@ -193,8 +244,13 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, vec_id: str = "vec
     graph = Graph.over(balanced(some, max(1, min(MOST_LISTS, n // A_LIST, len(some) // 4))))
     shared = spark.sparkContext.broadcast(graph)  # bounded by MOST_LISTS centroids, doubled at most by balancing
     postings = written(listed(entries.select("v", "ids"), shared, REPLICATE, COPIES), "postings")
-    parts = postings.groupBy("list").count().select("list", F.ceil(F.col("count") / PART).cast("int").alias("parts"))
-    parts = F.broadcast(spark.createDataFrame(parts.collect(), "list int, parts int"))  # a row for each list
+    sizes = postings.groupBy("list").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"), F.max("away").alias("radius")).collect()
+    radius = np.full(len(graph.centre), -np.inf)
+    for r in sizes:
+        if r["radius"] is not None:
+            radius[r["list"]] = r["radius"]
+    parts = F.broadcast(spark.createDataFrame([(r["list"], r["parts"]) for r in sizes], "list int, parts int"))  # a row for each list
+    home = postings.where("away is not null").select("list", "v", "ids")
     postings = postings.join(parts, "list").select("list", F.pmod(F.xxhash64("ids"), F.col("parts")).cast("int").alias("part"), "v", "ids")
     asked = rows.where(queries).distinct()
     distinct = asked.groupBy(*same).agg(F.first("v").alias("v"))
@@ -215,9 +271,20 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, vec_id: str = "vec
         return pd.DataFrame(out, columns=["h1", "h2", "score", "ids"])
 
     found = wanted.groupBy("list", "part").cogroup(postings.groupBy("list", "part")).applyInPandas(lambda q, p: search(p, q), "h1 long, h2 long, score double, ids array<long>")
+    found = written(found, "found")
+    within = Window.partitionBy(*same).orderBy("score", "low")
+    reach = found.select(*same, "score", F.col("ids")[0].alias("low")).distinct().withColumn("place", F.row_number().over(within)).where(F.col("place") == k + 1).select(*same, F.col("score").alias("reach"))
+    distinct = distinct.join(reach, same, "left").withColumn("reach", F.coalesce("reach", F.lit(float("inf"))))
+    blocks = -(-distinct.count() // ASKED)
+    home = home.join(parts, "list").repartition("list", F.pmod(F.xxhash64("ids"), F.col("parts"))).sortWithinPartitions("list").select("list", "v", "ids")
+    if blocks > 1:
+        distinct, home = written(distinct, "asked"), written(home, "home")
+    for i in range(blocks):
+        asks = distinct.where(F.pmod(F.xxhash64(F.lit(2), *same), F.lit(blocks)) == i)
+        found = found.unionByName(written(read_on(home, asks, graph.centre, radius, k), "further"))
     by_query = Window.partitionBy(*same).orderBy("score", "vec_id")
     # the k + 1 nearest entries of a query, its own among them
-    answers = found.select("h1", "h2", "score", F.explode("ids").alias("vec_id")).distinct().withColumn("place", F.row_number().over(by_query)).where(F.col("place") <= k + 1)
+    answers = found.select("h1", "h2", "score", F.explode("ids").alias("vec_id")).groupBy(*same, "vec_id").agg(F.min("score").alias("score")).withColumn("place", F.row_number().over(by_query)).where(F.col("place") <= k + 1)
     answers = written(answers.select("h1", "h2", "score", "vec_id"), "answers")
     own = asked.select(F.col("vec_id").alias("query_id"), *same).join(answers, same).where(F.col("query_id") != F.col("vec_id"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))

@@ -298,6 +298,21 @@ def test_nearest(spark):
     assert len(few) == 2
 
 
+def test_nearest_of_tight_groups_and_many_lists(spark):
+    rng = np.random.default_rng(9)
+    far = np.concatenate([40 * rng.normal(size=(1, 8)) + 1e-4 * rng.normal(size=(4, 8)) for _ in range(6)])
+    x = np.concatenate([rng.normal(size=(30_000, 8)), far])  # more than 96 lists
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = [*range(0, 30_000, 1000), *range(30_000, len(x))]
+    by = {}
+    for g in ann.nearest(df, (F.col("vec_id") % 1000 == 0) | (F.col("vec_id") >= 30_000)).collect():
+        by.setdefault(g["query_id"], []).append((g["rank"], g["vec_id"]))
+    for q in asked:
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        want = [i for i in np.lexsort((np.arange(len(x)), d)) if i != q][:10]
+        assert [v for _, v in sorted(by[q])] == want
+
+
 # --- 10 ---
 
 
