@@ -4,7 +4,7 @@ The standard library's parser reports tags and text; they become lines, one per
 and its number of tags. The text-to-tag ratios along the page are smoothed with a Gaussian window and split by
 threshold clustering (two means in one dimension): the upper cluster marks the content regions. A content region is
 widened to its semantic container (article or main) if it has one, else by the headings and paragraphs next to it, as
-short ones have low ratios; menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles are never content,
+short ones have low ratios. Of a page with containers each is kept, however short or nested it is; menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles are never content,
 by their element, role, class or id.
 
 Within a block all white space becomes one space, blocks without text vanish, and blocks are joined by line feeds. A null
@@ -180,14 +180,8 @@ def main_text(html: str | None) -> str:
     content = inside & (smooth > threshold(smooth))
     if not content.any():
         content = inside
-    weight: dict[int, int] = {}
-    for x, c in zip(lines, content, strict=True):
-        if c:
-            weight[x.container] = weight.get(x.container, 0) + len(x.text)
-    best = max(weight.values())
-    kept = {k for k, n in weight.items() if k and 4 * n >= best} or ({k for k in {x.container for x, i in zip(lines, inside, strict=True) if i} if k})
-    if kept:
-        chosen = [x.text for x, i in zip(lines, inside, strict=True) if i and x.container in kept]
+    if any(x.container for x, i in zip(lines, inside, strict=True) if i):  # containers are content whole, whatever their length
+        chosen = [x.text for x, i in zip(lines, inside, strict=True) if i and x.container]
     else:  # no container: from the first to the last content line, with the headings and paragraphs next to them
         rows = np.flatnonzero(inside).tolist()
         at = [k for k, i in enumerate(rows) if content[i]]

@@ -39,6 +39,12 @@ def test_main_text(html, expected):
     assert html_text.main_text(html) == expected
 
 
+def test_main_text_keeps_every_container():
+    long = ("A long paragraph of text. " * 40).strip()
+    assert html_text.main_text(f"<nav>menu</nav><main><h1>Title</h1><p>Lead</p><article><p>{long}</p></article></main>") == f"Title\nLead\n{long}"
+    assert html_text.main_text(f"<article><p>{long}</p></article><div class=ad>Buy</div><article><p>Short note.</p></article><p>(c) us</p>") == f"{long}\nShort note."
+
+
 def test_main_text_of_table(spark):
     df = spark.createDataFrame([(1, None, "t"), (2, "<p>" + "word " * 50_000 + "</p>", "t")], "page_id long, html string, text string")
     got = {r["page_id"]: r["text"] for r in html_text.extract_main_text(df).collect()}
