@@ -76,6 +76,20 @@ def test_formats_find_unlabelled_values(spark):
     assert clean == {1: "a [secret] b", 2: None, 3: "plain"}
 
 
+def test_formats_find_short_dotted_longer_and_digit_free_values(spark):
+    r = random.Random(4)
+    pool = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    make = lambda n, chars=pool: "".join(r.choices(chars, k=n))
+    dotted = lambda: ".".join(make(12) for _ in range(3))
+    docs = texts(spark, [(i, f"some words token={make(r.randint(6, 40)) if i % 2 else dotted()} and more") for i in range(1000)])
+    formats = secrets.learn_formats(docs)
+    for value in (make(60), dotted(), "aZ3kQ9", make(30, pool[:52]), "Xk2" + make(15)):
+        for text in (f"here {value} stands", f"it is {value}."):
+            assert [text[a:b] for a, b, _ in formats.auto_spans(text, [])] in ([value], [value + "."])
+    plain = "The Committee on 2024-01-15, at 12345678 www.example.com/path, and well-known IMPORTANT internationalisation; see README.md v1.20.3 and/or https."
+    assert formats.auto_spans(plain, []) == []
+
+
 def test_state_merging_generalises():
     r = random.Random(8)
     words = ["UUUU" + "".join(r.choices("Ud", k=16)) for _ in range(300)]
