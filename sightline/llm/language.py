@@ -5,7 +5,9 @@ into one table of weights per language; languages follow each other with learned
 stretches of up to STEPS words gives each word's language probabilities, so that code-switched text is labelled word by
 word; a text's language is the one with the highest mean.
 
-Training reads at most ROWS rows a language, those of smallest hash, and CHARS characters in all. It follows the gradient of
+Training reads at most ROWS rows a language, those of smallest hash, and CHARS characters in all. Each language has an
+equal share of these, and what it leaves goes to the others; a share is spent in hash order, and a language whose rows all
+exceed it keeps its shortest, so none goes without rows. Training follows the gradient of
 the likelihood with the rows' languages as labels; from the second pass on a word that the model holds for another
 language by far is relabelled, from which the transitions learn switches.
 
@@ -23,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import written
 from .textbatch import LOWER, mix, pieces, table, words
 
 ROWS, CHARS = 500, 6_000_000
@@ -174,6 +177,15 @@ def training_part(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 != 0
 
 
+def shares(wanted: dict[str, int], total: int) -> dict[str, int]:
+    """Equal parts of total; what a language does not want is dealt to those that want more."""
+    out = {}
+    for i, (x, n) in enumerate(sorted(wanted.items(), key=lambda w: (w[1], w[0]))):
+        out[x] = min(n, total // (len(wanted) - i))
+        total -= out[x]
+    return out
+
+
 def train_languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = ROWS, chars: int = CHARS) -> Field:
     """Learns from rows with a language that training_part allows."""
     usable = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang")).where(training_part(F.col("doc_id")) & F.col("lang").isNotNull())
@@ -182,12 +194,18 @@ def train_languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     chosen = usable.withColumn("place", place).where(F.col("place") <= rows).select("doc_id").distinct()
     # at most rows ids a language: a bounded broadcast
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    got = texts.join(F.broadcast(chosen), "doc_id").select("lang", "text", F.xxhash64("doc_id").alias("h"))
-    kept, size = [], 0
-    for r in got.toLocalIterator():
-        if size + len(r["text"]) <= chars:
-            kept.append((r["h"], r["lang"], r["text"]))
-            size += len(r["text"])
+    got = written(texts.join(F.broadcast(chosen), "doc_id").select("lang", "text", F.xxhash64("doc_id").alias("h")), "languages")
+    share = shares({r["lang"]: r["n"] for r in got.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()}, chars)
+    kept, left, least = [], dict(share), {}
+    for r in got.orderBy("lang", "h", "text").toLocalIterator():
+        row, size = (r["h"], r["lang"], r["text"]), len(r["text"])
+        if size <= left[r["lang"]]:
+            kept.append(row)
+            left[r["lang"]] -= size
+        elif r["lang"] not in least or size < len(least[r["lang"]][2]):
+            least[r["lang"]] = row
+    with_rows = {x for _, x, _ in kept}
+    kept += [row for x, row in least.items() if x not in with_rows]
     return fitted([(x, t) for _, x, t in sorted(kept)])
 
 

@@ -141,6 +141,20 @@ def test_languages(spark):
     assert language.label_languages(asked, empty).where("lang_pred != 'und'").count() == 0
 
 
+def test_every_language_has_rows(spark):
+    r = random.Random(12)
+    letters = {"aa": "akt", "bb": "zrv", "cc": "øåæ", "dd": "mno", "ee": "pqu"}
+    rows = [(i, " ".join("".join(r.choices(letters[k], k=5)) for _ in range(60)), k) for i, k in enumerate(x for x in letters for _ in range(40))]
+    rows.append((9999, "gif jel " * 2000, "ff"))  # longer than its share
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    assert language.training_part(F.lit(9999)) is not None and zlib.crc32(b"9999") % 5
+    model = language.train_languages(docs, chars=18_000)
+    assert sorted(model.langs) == ["aa", "bb", "cc", "dd", "ee", "ff"]
+    other = language.train_languages(docs.repartition(5), chars=18_000)
+    assert np.array_equal(model.weights, other.weights)
+    assert language.shares({"a": 10, "b": 100, "c": 300}, 210) == {"a": 10, "b": 100, "c": 100}
+
+
 def test_forward_backward_is_exact():
     rng = np.random.default_rng(0)
     emit, move, begin = rng.normal(size=(5, 3)), rng.normal(size=(3, 3)), rng.normal(size=3)
