@@ -73,6 +73,14 @@ def votes_single_view(spark, d):
     return votes.single_view(views.observations(spark, d).where("frame_id % 25 = 0"))
 
 
+@register(f"""WITH {views.OBSERVATIONS_SQL}, {TOP2_SQL},
+one AS (SELECT point_id, count(*) AS n, max(class_id) AS class_id FROM obs WHERE class_id > 0 GROUP BY ALL HAVING count(*) = 1),
+high AS (SELECT point_id, max(confidence) AS high FROM obs WHERE interior AND class_id > 0 AND confidence >= .5 GROUP BY ALL)
+SELECT point_id, one.class_id, high FROM one JOIN high USING (point_id) WHERE high >= .9 AND point_id NOT IN (SELECT point_id FROM known)""")
+def votes_single_view_whole(spark, d):
+    return votes.single_view(views.observations(spark, d))
+
+
 @register(f"""WITH {views.OBSERVATIONS_SQL}, {TOP2_SQL},
 bad AS (SELECT point_id FROM obs WHERE class_id > 0 GROUP BY ALL HAVING count(DISTINCT class_id) > 1)
 SELECT lab.point_id, CASE WHEN g THEN 0 ELSE semantic_id END AS semantic_id, CASE WHEN g THEN 0 ELSE instance_id END AS instance_id, CASE WHEN g THEN 0.0 ELSE 1.0 END::DOUBLE AS confidence, g AS guarded

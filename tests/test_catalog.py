@@ -40,6 +40,13 @@ def test_other_queries_run(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() >= 0
 
 
+def test_single_view_sees_every_frame(spark, monkeypatch):
+    seen = [(25, 1, 1, 2, 0.95, True), (26, 1, 1, 3, 0.95, True), (26, 2, 1, 4, 0.95, True)]
+    o = spark.createDataFrame(seen, "frame_id long, point_id long, mask_id int, class_id int, confidence double, interior boolean")
+    monkeypatch.setattr(views, "observations", lambda spark, d: o)
+    assert [tuple(r)[:2] for r in catalog.votes_single_view_whole(spark, SF).collect()] == [(2, 4)]
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
