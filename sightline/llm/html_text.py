@@ -1,22 +1,30 @@
 """Main text of web pages from streamed parser events (operator 1).
 
-The standard library's parser reports tags and text; they become lines, one per block element. Each line has its text
-and its number of tags. The text-to-tag ratios along the page are smoothed with a Gaussian window and split by
-threshold clustering (two means in one dimension): the upper cluster marks the content regions. A content region is
-widened to its semantic container (article or main) if it has one, else by the headings and paragraphs next to it, as
-short ones have low ratios. Of a page with containers each is kept, however short or nested it is; menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles are never content,
-by their element, role, class or id.
-
-Within a block all white space becomes one space, blocks without text vanish, and blocks are joined by line feeds. A null
-or empty page, and one without content, gives the empty text.
+The standard library's parser reports tags and text; they become lines, one per block element, each with its text and its
+number of tags. A stack of open elements follows HTML's implied end tags, so that an element without its end tag takes
+nothing that comes after it. Each line's text-to-tag ratio counts text in links little. Logarithms of the ratios are
+smoothed with a Gaussian window within a region: neighbouring lines that stand alike, or a run of lines that are links only.
+
+A line stands in an article or main element (e**KEEP, so that only a region of links there falls behind), is plain, or is marked (ratio
+divided by e**MARK) by an element, role, class or id of menus, headers, footers, sidebars, notices, adverts, forms and comments.
+Threshold clustering (two means in one dimension, again in the upper cluster while it mixes lines that stand differently,
+and once in lines that stand alike) gives the cut: lines above it are content. No line is
+dropped for its mark or for lying outside an article, but by its ratio with that weight. Names that only suggest a mark
+(WEAK), and forms, count only if their own text-to-tag ratio is not that of prose.
+
+On a page without an article or main element, headings and paragraphs next to content lines belong to it too, as short ones
+have low ratios. Within a block all white space becomes one space, blocks without text vanish, and blocks are joined by
+line feeds. A null or empty page, and one that holds marked text only, gives the empty text.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -26,29 +34,77 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Elements that begin and end a line.
-BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
-#: Elements whose text is never content.
-OUTSIDE = frozenset("aside button canvas datalist dialog footer form head header iframe menu nav noscript object script select style svg template textarea title".split())
+BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+KEPT = frozenset(("article", "main"))
+#: Elements and roles whose text is marked.
+MARKED = frozenset("aside button canvas datalist dialog footer header iframe menu nav noscript object select svg template textarea title".split())
 ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
-#: Words of class and id names that mark what is not content.
-NAMES = frozenset("ad ads adv advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header menu modal nav navbar navigation newsletter notice notices popup promo promoted promotion related share sharing sidebar social sponsor sponsored subscribe widget widgets".split())
-KEEP = frozenset(("article", "main"))
+#: Words of class and id names that mark: these anywhere in a name, WEAK ones if the name ends with them or its ratio is low.
+STRONG = frozenset("ad ads adv advert advertisement adverts breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer menu modal nav navbar navigation newsletter popup promo promoted promotion sidebar sponsor sponsored".split())
+WEAK = frozenset("banner header notice notices related share sharing social subscribe widget widgets".split())
+#: Marks that an article within them, as an unclosed or page-wide element has it, takes no part in.
+LOOSE = frozenset(("form", "header", "menu", "nav", "search"))
 #: Blocks of running text.
 PROSE = frozenset("blockquote dd dt h1 h2 h3 h4 h5 h6 li p pre".split())
+#: Start tags that end an open paragraph.
+ENDS_P = BLOCKS - {"body", "caption", "head", "html", "legend", "option", "optgroup", "tbody", "td", "tfoot", "th", "thead", "title", "tr"}
+#: Start tags that end open elements of these names, up to an element of the second set.
+_LISTS, _TABLE = frozenset(("ul", "ol", "menu")), frozenset(("table",))
+ENDS = {
+    "li": (frozenset(("li",)), _LISTS), "dd": (frozenset(("dd", "dt")), frozenset(("dl",))), "dt": (frozenset(("dd", "dt")), frozenset(("dl",))),
+    "option": (frozenset(("option",)), frozenset(("select", "datalist", "optgroup"))), "optgroup": (frozenset(("option", "optgroup")), frozenset(("select",))),
+    "tr": (frozenset(("tr", "td", "th", "caption")), _TABLE), "td": (frozenset(("td", "th", "caption")), frozenset(("table", "tr"))), "th": (frozenset(("td", "th", "caption")), frozenset(("table", "tr"))),
+    **{x: (frozenset(("thead", "tbody", "tfoot", "tr", "td", "th", "caption")), _TABLE) for x in ("thead", "tbody", "tfoot")},
+    "body": (frozenset(("head",)), frozenset()),
+}
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_P_SCOPE = frozenset("button caption html object table td template th".split())
 _NAME = re.compile(r"[A-Za-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
+#: Logarithms of the weights of lines in articles and of marked ones; text in links counts LINK of its length.
+KEEP, MARK, LINK = 12.0, 16.0, 0.01
+#: The ratio of prose, for forms and names that may mark.
+PROSE_RATIO = 25
+#: Ratios below this one count as it.
+LEAST_RATIO = 0.1
+#: Clusters' means must be so far apart; the first splits part lines that stand differently, the last those that stand alike.
+APART, ALIKE = math.log(8), math.log(2)
+
+
+@dataclass
+class Mark:
+    """What an element's mark rests on; which lines it holds is counted when the page has ended."""
+
+    loose: bool
+    weak: bool
+    main: bool = False
+
 
 @dataclass
 class Line:
     text: str
     tags: int
+    link: int
     container: int
-    outside: bool
+    marks: tuple[tuple[Mark, bool], ...]  # with whether an article was opened within
     block: str
 
 
+@lru_cache(maxsize=4096)
+def named(value: str) -> str:
+    """Whether a class or id value marks: "strong", "weak" or ""."""
+    found = ""
+    for token in value.split():
+        parts = [x.lower() for x in _NAME.findall(_CAMEL.sub(" ", token))]
+        if any(x in STRONG for x in parts) or parts and parts[-1] in WEAK:
+            return "strong"
+        if any(x in WEAK for x in parts):
+            found = "weak"
+    return found
+
+
 class Lines(HTMLParser):
     """Collects lines from parser events."""
 
@@ -56,90 +112,131 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
         self.parts: list[str] = []
-        self.tags = 0
-        self.out: list[str] = []  # open elements from the outermost excluded one on
-        self.containers = [0]
+        self.beside: list[str] = []  # marked text within an unmarked line
+        self.tags, self.link, self.links = 0, 0, 0
+        # open elements: name, marks, container
+        self.open: list[tuple[str, tuple, int]] = [("", (), 0)]
         self.n_containers = 0
-        self.open: list[str] = []  # open containers' names
-        self.block = ""
+        self.at: tuple[str, tuple, int] | None = None  # where the line began
+        self.beside_at: tuple | None = None
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split()) if self.parts else ""
         if text or self.tags:
-            self.lines.append(Line(text, self.tags, self.containers[-1], bool(self.out), self.block))
-        self.parts, self.tags = [], 0
+            name, marks, container = self.at or self.open[-1]
+            self.lines.append(Line(text, self.tags, min(self.link, len(text)), container, marks, name))
+        if self.beside and (text := " ".join("".join(self.beside).split())):
+            self.lines.append(Line(text, 1, 0, self.beside_at[2], self.beside_at[1], ""))
+        self.parts, self.beside, self.tags, self.link, self.at = [], [], 0, 0, None
 
     @staticmethod
-    def excluded(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        if tag in OUTSIDE:
-            return True
+    def mark(tag: str, attrs: list[tuple[str, str | None]]) -> Mark | None:
+        if tag in MARKED:
+            return Mark(tag in LOOSE, False)
+        found = Mark(True, True) if tag == "form" else None
         for name, value in attrs:
-            if name == "hidden" or name == "aria-hidden" and value == "true":
-                return True
-            if value and name == "role" and value.lower() in ROLES:
-                return True
-            if value and name in ("class", "id") and tag not in ("html", "body") and any(w.lower() in NAMES for w in _NAME.findall(_CAMEL.sub(" ", value))):
-                return True
-        return False
+            if name == "hidden" or name == "aria-hidden" and value == "true" or value and name == "role" and value.lower() in ROLES:
+                return Mark(False, False)
+            if value and name in ("class", "id") and tag not in ("html", "body", "article", "main"):
+                kind = named(value)
+                if kind == "strong":
+                    return Mark(False, False)
+                if kind and found is None:
+                    found = Mark(True, True)
+        return found
 
-    def handle_starttag(self, tag, attrs):
-        if self.out:
-            self.tags += 1
-            if tag in BLOCKS:
+    def close_to(self, at: int) -> None:
+        """Ends the open elements from that place on."""
+        if at < len(self.open):
+            if any(x[0] in BLOCKS for x in self.open[at:]):
                 self.flush()
-            if tag not in VOID and tag == self.out[0]:
-                self.out.append(tag)
-            return
+            self.links = max(0, self.links - sum(x[0] == "a" for x in self.open[at:]))
+            del self.open[at:]
+
+    def last(self, names, scope) -> int:
+        """The place of the innermost open element of those names within the scope, or 0."""
+        for i in range(len(self.open) - 1, 0, -1):
+            if self.open[i][0] in names:
+                return i
+            if self.open[i][0] in scope:
+                break
+        return 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ENDS_P and (at := self.last(("p",), _P_SCOPE)):
+            self.close_to(at)
+        if tag in _HEADINGS and self.open[-1][0] in _HEADINGS:
+            self.close_to(len(self.open) - 1)
+        if tag in ENDS:
+            while at := self.last(*ENDS[tag]):
+                self.close_to(at)
+        if tag == "a" and (at := self.last(("a",), _P_SCOPE)):
+            del self.open[at]
+            self.links -= 1
         if tag in BLOCKS:
             self.flush()
-            self.block = tag
-        if tag not in VOID and self.excluded(tag, attrs):
-            self.flush()
-            self.out = [tag]
-        elif tag in KEEP:
-            self.n_containers += 1
-            self.containers.append(self.n_containers)
-            self.open.append(tag)
         elif tag == "br":
-            self.parts.append(" ")
+            (self.beside if self.beside else self.parts).append(" ")
         self.tags += 1
+        if tag in VOID:
+            return
+        _, marks, container = self.open[-1]
+        if tag in KEPT:
+            self.n_containers += 1
+            container = self.n_containers
+            if marks:
+                for m, _ in marks:
+                    m.main |= tag == "main"
+                marks = tuple((m, True) for m, _ in marks)
+        if (own := self.mark(tag, attrs)) is not None:
+            marks = (*marks, (own, False))
+        self.open.append((tag, marks, container))
+        self.links += tag == "a"
 
     def handle_startendtag(self, tag, attrs):
-        if tag in VOID:
-            self.handle_starttag(tag, attrs)
-        else:
-            self.handle_starttag(tag, attrs)
+        self.handle_starttag(tag, attrs)
+        if tag in ("svg", "math") or tag not in VOID and any(x[0] in ("svg", "math") for x in self.open):  # only foreign elements end with "/>"
+            self.close_to(len(self.open) - 1)
 
     def handle_endtag(self, tag):
-        if self.out:
-            if tag == self.out[0]:
-                self.out.pop()
-                if not self.out:
-                    self.tags += 1
-                    self.out = [tag]
-                    self.flush()
-                    self.out = []
-                    return
-            elif tag in ("body", "html") or tag in KEEP and tag in self.open:  # an unclosed excluded element ends with its parent
+        self.tags += 1
+        at = self.last((tag,), ())
+        if not at:
+            if tag in BLOCKS:
                 self.flush()
-                self.out = []
-                self.handle_endtag(tag)
-                return
-            self.tags += 1
             return
-        self.tags += 1
-        if tag in BLOCKS:
-            self.flush()
-            self.block = ""
-        if tag in KEEP and tag in self.open:
-            while self.open:
-                self.containers.pop()
-                if self.open.pop() == tag:
-                    break
+        if tag not in BLOCKS and any(x[0] in BLOCKS for x in self.open[at + 1 :]):  # an inline element around blocks that stay open
+            if tag == "a":
+                self.links -= 1
+            kept = len(self.open[at][1]) - len(self.open[at - 1][1])
+            depth = len(self.open[at - 1][1])
+            tail = [(n, m[:depth] + m[depth + kept :], c) for n, m, c in self.open[at + 1 :]]
+            if kept:
+                self.flush()
+            self.open[at:] = tail
+            return
+        self.close_to(at)
 
     def handle_data(self, data):
-        if not self.out:
-            self.parts.append(data)
+        here = self.open[-1]
+        if here[0] in ("script", "style"):
+            return
+        if self.at is None:
+            if not data.strip():
+                if self.parts or self.tags:
+                    self.parts.append(data)
+                return
+            self.at = here
+        if len(here[1]) > len(self.at[1]):
+            self.beside.append(data)
+            self.beside_at = here
+            return
+        if len(here[1]) < len(self.at[1]):  # a marked inline element has ended
+            self.flush()
+            self.at = here
+        self.parts.append(data)
+        if self.links:
+            self.link += len(data.strip())
 
 
 def smoothed(values: np.ndarray, sigma: float = 1.0) -> np.ndarray:
@@ -150,9 +247,10 @@ def smoothed(values: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     return np.convolve(values, weights)[reach : reach + n] / np.convolve(np.ones(n), weights)[reach : reach + n]
 
 
-def threshold(values: np.ndarray, apart: float = math.log(2)) -> float:
+def threshold(values: np.ndarray, apart: float) -> float:
     """Between the means of two clusters on a line; below all values if the clusters' means are not apart."""
     cut = (float(values.min()) + float(values.max())) / 2
+    low = high = 0.0
     for _ in range(50):
         upper = values > cut
         if upper.all() or not upper.any():
@@ -164,6 +262,36 @@ def threshold(values: np.ndarray, apart: float = math.log(2)) -> float:
     return cut if high - low >= apart else -math.inf
 
 
+def content_cut(scores: np.ndarray, standing: np.ndarray) -> float:
+    """The cut under content: splits go on in the upper cluster while it mixes lines that stand differently."""
+    cut, upper = -math.inf, np.ones(len(scores), bool)
+    while True:
+        own = np.unique(standing[upper])
+        mixed = len(own) > 1
+        found = threshold(scores[upper], APART if mixed or own[0] > 0 else ALIKE)
+        if found == -math.inf:
+            return cut
+        cut, upper = found, scores > found
+        if not mixed:
+            return cut
+
+
+def regions(lines: list[Line], standing: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each line's region, and whether that is one of links.
+
+    A region is a run of neighbours that stand alike, one of links a run of three or more lines that are links only.
+    """
+    links = [x.link * 10 >= 9 * len(x.text) for x in lines]
+    runs, start = [False] * len(lines), 0
+    for i in range(len(lines) + 1):
+        if i == len(lines) or not links[i] or i and standing[i] != standing[i - 1]:
+            if i - start >= 3:
+                runs[start:i] = [True] * (i - start)
+            start = i if i < len(lines) and links[i] else i + 1
+    keys = [(s, x.container, r) for s, x, r in zip(standing, lines, runs, strict=True)]
+    return np.cumsum([0, *(a != b for a, b in zip(keys, keys[1:], strict=False))]), np.array(runs)
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
@@ -172,26 +300,45 @@ def main_text(html: str | None) -> str:
     parser.close()
     parser.flush()
     lines = parser.lines
-    inside = np.array([not x.outside and bool(x.text) for x in lines], bool)
-    if not inside.any():
+    size: dict[int, list[float]] = defaultdict(lambda: [0.0, 0.0])
+    for x in lines:
+        for m, _ in x.marks:
+            if m.weak:
+                own = size[id(m)]
+                own[0] += len(x.text) - x.link
+                own[1] += x.tags
+
+    def counts(m: Mark, article: bool) -> bool:
+        if m.main or m.loose and article:
+            return False
+        return not m.weak or size[id(m)][0] < PROSE_RATIO * max(1.0, size[id(m)][1])
+
+    lines = [x for x in lines if x.text]
+    if not lines:
         return ""
-    ratio = np.array([0.0 if x.outside else len(x.text) / max(1, x.tags) for x in lines])
-    smooth = smoothed(np.log1p(ratio))
-    content = inside & (smooth > threshold(smooth))
-    if not content.any():
-        content = inside
-    if any(x.container for x, i in zip(lines, inside, strict=True) if i):  # containers are content whole, whatever their length
-        chosen = [x.text for x, i in zip(lines, inside, strict=True) if i and x.container]
-    else:  # no container: from the first to the last content line, with the headings and paragraphs next to them
-        rows = np.flatnonzero(inside).tolist()
+    standing = [-1 if any(counts(*m) for m in x.marks) else 1 if x.container else 0 for x in lines]
+    place, links = regions(lines, standing)
+    ratio = np.array([(len(x.text) - (1 - LINK) * x.link) / max(1, x.tags) for x in lines])
+    score = np.log(np.maximum(ratio, LEAST_RATIO))
+    for a, b in zip(first := np.flatnonzero(np.diff(place, prepend=-1)), [*first[1:], len(lines)], strict=True):
+        score[a:b] = smoothed(score[a:b])
+    stand = np.array(standing)
+    score = np.where(stand < 0, score - MARK, np.where(stand == 0, score, np.where(links, 2 * np.minimum(score, 0) + KEEP, KEEP)))
+    cut = content_cut(score, stand)
+    if cut == -math.inf and (stand < 0).all():
+        return ""
+    content = score > cut
+    if not (stand > 0).any():  # headings and paragraphs between and next to content lines
+        rows = np.flatnonzero(stand == 0).tolist()
         at = [k for k, i in enumerate(rows) if content[i]]
-        a, b = at[0], at[-1]
-        while a and lines[rows[a - 1]].block in PROSE:
-            a -= 1
-        while b + 1 < len(rows) and lines[rows[b + 1]].block in PROSE:
-            b += 1
-        chosen = [lines[i].text for i in rows[a : b + 1]]
-    return "\n".join(chosen)
+        if at:
+            a, b = at[0], at[-1]
+            while a and lines[rows[a - 1]].block in PROSE:
+                a -= 1
+            while b + 1 < len(rows) and lines[rows[b + 1]].block in PROSE:
+                b += 1
+            content[rows[a : b + 1]] = True
+    return "\n".join(x.text for x, keep in zip(lines, content, strict=True) if keep)
 
 
 @F.arrow_udf(T.StringType())
@@ -201,5 +348,8 @@ def _extract(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 
 def extract_main_text(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
-    """pages with the main text of each row's html; a column of that name is replaced."""
+    """pages with the main text of each row's html; a column of that name is replaced.
+
+    Null and empty html give the empty text, repeated rows one each, an empty table none; other columns are left as they are.
+    """
     return pages.withColumn(out, _extract(F.col(html)))

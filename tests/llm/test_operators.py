@@ -2,9 +2,11 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
+from html import unescape
 
 import numpy as np
 import public_tokenizers
@@ -27,22 +29,61 @@ def texts(spark, rows, extra=True):
 # --- 1 ---
 
 
+LONG = ("A long paragraph of text. " * 40).strip()
+PARA = ("A long paragraph of text. " * 9).strip()
+
+
 @pytest.mark.parametrize(("html", "expected"), [
     (None, ""), ("", ""), ("<script>var x</script><nav>a</nav>", ""),
     ("<body><nav>menu</nav><article><h1>A &amp; B</h1><p>one\n two<br>three<p>four</article><footer>f</footer>", "A & B\none two three\nfour"),
     ("<main><div class='cookie-notice'>we use</div><p>Long enough text of a page.</p><form>f</form><div id=comments><p>no</p></div><ul><li>x<li>y</ul></main><aside>s</aside>", "Long enough text of a page.\nx\ny"),
     ("<p>A page without any container has this text.</p><p>And this text too.</p>", "A page without any container has this text.\nAnd this text too."),
-    ("<div class=menu><a>x</a></div><div><h1>Title</h1><p>" + "A long paragraph of text. " * 9 + "</p><p>Short.</p></div><div>(c) us</div>", "Title\n" + ("A long paragraph of text. " * 9).strip() + "\nShort."),
+    (f"<div class=menu><a>x</a></div><div><h1>Title</h1><p>{PARA}</p><p>Short.</p></div><div>(c) us</div>", f"Title\n{PARA}\nShort."),
     ("plain", "plain"), ("<article><p>cut off <b>he", "cut off he"),
+    ("<article>&lt;p&gt; &eacute;&#233;&nbsp;x</article>", "<p> éé x"),
+    ("<article><pre>a\n  b</pre><table><tr><td>1</td><td>2</td></tr></table></article>", "a b\n1\n2"),
+    ("<head><title>T</title><body><h1>Hello</h1><p>World of text.</p>", "Hello\nWorld of text."),
+    # several containers, nested and short ones
+    (f"<nav>menu</nav><main><h1>Title</h1><p>Lead</p><article><p>{LONG}</p></article></main>", f"Title\nLead\n{LONG}"),
+    (f"<article><p>{LONG}</p></article><div class=ad>Buy</div><article><p>Short note.</p></article><p>(c) us</p>", f"{LONG}\nShort note."),
+    (f"<div class=comments><article><p>{LONG}</p></article></div><article><p>I.</p></article><footer>{LONG}</footer>", "I."),
+    ("<aside><article><p>Teaser.</p></article></aside><main><p>Body text.</p></main>", "Body text."),
+    # elements without end tags
+    ("<article><p>Head one.</p><svg/><p>After the drawing.</p></article>", "Head one.\nAfter the drawing."),
+    ("<article><p>First.<p class=ad>x<p>TEXT that stays.</article>", "First.\nTEXT that stays."),
+    ("<article><ul><li class=share>a<li>b one<li>c two</ul></article>", "b one\nc two"),
+    ("<p class=notice>n<div><p>Body of the page is here.</p></div>", "Body of the page is here."),
+    ("<table><tr><td class=sidebar>links<td><p>Main cell text is here.</p></table>", "Main cell text is here."),
+    ("<article><p><b>bold<p>next</b> tail</article>", "bold\nnext tail"),
+    (f"<nav><ul><li><a>x</a><article><p>{PARA}</p></article>", PARA),
+    ("<a><article><p>Linked article text</p></article></a>", "Linked article text"),
+    # a form around the page, names that only suggest, marked text within a line
+    (f"<form id=page><nav>m</nav><article><h1>T</h1><p>{PARA}</p></article></form>", f"T\n{PARA}"),
+    (f"<form id=page><div><h1>T</h1><p>{PARA}</p><p>{PARA}</p></div></form>", f"T\n{PARA}\n{PARA}"),
+    (f"<article><div class=social-history><p>{PARA}</p></div><div id=related-work><p>{PARA}</p></div><div class=related-posts><a>x</a><a>y</a></div></article>", f"{PARA}\n{PARA}"),
+    ("<article><p>Before <span class=ad>buy</span> after.</p></article>", "Before after."),
+    # a menu without a name; a page of links
+    (f"<article><p>{PARA}</p><p>See <a href=x>this link</a>.</p><ul><li><a>One</a><li><a>Two</a><li><a>Three</a></ul><p>End.</p></article>", f"{PARA}\nSee this link.\nEnd."),
+    ("<main><ul><li><a>One</a><li><a>Two</a><li><a>Three</a></ul></main><footer>f</footer>", "One\nTwo\nThree"),
 ])
 def test_main_text(html, expected):
     assert html_text.main_text(html) == expected
 
 
-def test_main_text_keeps_every_container():
-    long = ("A long paragraph of text. " * 40).strip()
-    assert html_text.main_text(f"<nav>menu</nav><main><h1>Title</h1><p>Lead</p><article><p>{long}</p></article></main>") == f"Title\nLead\n{long}"
-    assert html_text.main_text(f"<article><p>{long}</p></article><div class=ad>Buy</div><article><p>Short note.</p></article><p>(c) us</p>") == f"{long}\nShort note."
+def test_the_threshold_decides(spark, monkeypatch):
+    pages = [r[0] for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect()]
+    before = [html_text.main_text(x) for x in pages]
+    monkeypatch.setattr(html_text, "threshold", lambda values, apart: -math.inf)
+    assert all(html_text.main_text(x) != y for x, y in zip(pages, before, strict=True))
+
+
+def test_pages_against_their_articles(spark):
+    """The test pages' articles, cut out by hand: blocks end at tags of headings and paragraphs."""
+    for html in [r[0] for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect()]:
+        article = re.search(r"<article>(.*)</article>", html, re.S)[1]
+        blocks = re.split(r"</?(?:h1|p)>", re.sub(r"<br>", " ", re.sub(r"</?b>|<!--.*?-->", "", article)))
+        want = [" ".join(unescape(x).split()) for x in blocks]
+        assert html_text.main_text(html) == "\n".join(x for x in want if x)
 
 
 def test_main_text_of_table(spark):
