@@ -1,14 +1,17 @@
 """Quality scores from random-indexing word vectors and a small calibrated network (operator 10).
 
-Each word has a sparse random index vector, drawn by its hash bucket. A word's context vector is the sum of the index
-vectors of its neighbours over the training sample; its word vector is both, normalised. A document is the mean of its
-words' vectors, beside the shares of token shapes (case, digits, kinds of symbols, repeats of the words before). A two-layer network
-in numpy learns the labels; its temperature is fitted on training rows that the weights have not seen, so that scores
-are probabilities.
-
-Training reads at most SAMPLE labelled rows, those of smallest hash of doc_id; scoring reads every whole text. Labels,
-languages, sources and ids are never inputs of a score. Null and empty texts have the zero vector and get its score.
-Without any labelled row every score is 0.5.
+A text is a stream of tokens: runs of letters (lower-cased), of digits (by their number) and of symbols; a word in capitals
+and one that repeats the word before are followed by a marker, a token of its own. Each token has a sparse random index
+vector, drawn by its hash bucket. A token's context vector is the sum of the index vectors of its neighbours over all documents;
+its vector is both, normalised. A document is the mean of its tokens' vectors, and nothing else is put into the
+network: two layers in numpy, learned from the labels. Its temperature is fitted on training rows that the
+weights have not seen, so that scores are probabilities.
+
+The network learns from at most SAMPLE labelled rows, those of smallest hash of doc_id; context vectors are counted over
+every whole text, in whole numbers, so that no order of rows matters, and scoring reads every whole text. Labels, languages,
+sources and ids are never inputs of a score. Null and empty texts have the zero vector and get its score. Of rows
+that repeat a doc_id one text, that of smallest hash, is learned from; of repeated labels the larger. Without any labelled row every
+score is 0.5.
 """
 
 from __future__ import annotations
@@ -18,74 +21,155 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import written
-from .textbatch import pieces, table, words
+from .textbatch import LOWER, grown, mix, pieces, table
 
 SAMPLE = 12_000
-BUCKETS, DIM, SHAPES = 1 << 14, 64, 48
+BUCKETS, DIM = 1 << 14, 128
 WINDOW = 2
 HIDDEN = 32
+#: Context sums of a task are held in so many parts, and pairs of neighbours up to so many before they are summed.
+PARTS, PAIRS = 16, 1 << 22
+#: Tokens whose vectors are gathered at once; a longer text is cut from its own start on, so that neighbours do not matter.
+STRETCH = 1 << 15
+#: Kinds of bytes: 0 white space, 1 letters, 2 digits, 3 symbols.
+KIND = np.full(256, 3, np.uint8)
+KIND[[32, *range(9, 14)]] = 0
+KIND[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+KIND[48:58] = 2
 UPPER = table(range(65, 91))
-LETTER = table([*range(65, 91), *range(97, 123), *range(128, 256)])
-DIGIT = table(range(48, 58))
-SPACE = table([32, *range(9, 14)])
-SYMBOL = ~(LETTER | DIGIT | SPACE)
+#: Markers of words in capitals and of repeated words, and what numbers' hashes are made of.
+CAPITALS, REPEATED, NUMBER = np.uint64(0xC0FFEE01), np.uint64(0xC0FFEE02), np.uint64(0xC0FFEE03)
 
 
-def index_vectors(seed: int = 7) -> np.ndarray:
-    """Eight entries of +1 or -1 in each bucket's vector."""
+def index_entries(seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """The eight places of each bucket's index vector and their values, +1 or -1; at the same place they add up."""
     rng = np.random.default_rng(seed)
-    out = np.zeros((BUCKETS, DIM), np.float32)
-    rows = np.arange(BUCKETS)[:, None]
-    out[rows, rng.integers(0, DIM, (BUCKETS, 8))] = rng.choice([-1.0, 1.0], (BUCKETS, 8))
+    return rng.integers(0, DIM, (BUCKETS, 8)), rng.choice([-1, 1], (BUCKETS, 8))
+
+
+def index_vectors() -> np.ndarray:
+    places, values = index_entries()
+    out = np.zeros((BUCKETS, DIM), np.int64)
+    np.add.at(out, (np.arange(BUCKETS)[:, None], places), values)
     return out
 
 
-def tokens(buf: np.ndarray, offs: np.ndarray):
-    """(word buckets, offsets of rows' words, shape counts of rows)."""
-    n = len(offs) - 1
-    starts, ends, hashes, at = words(buf, offs, LETTER)
-    upper = np.concatenate([[0], np.cumsum(UPPER[buf])])
-    caps = upper[ends] - upper[starts]
+def tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets of all rows' tokens in order, offsets of each row's)."""
+    n = len(buf)
+    if not n:
+        return np.zeros(0, np.int32), np.zeros(len(offs), np.int64)
+    kind = KIND[buf]
+    edge = np.zeros(n + 1, bool)
+    edge[offs] = True
+    edge[0] = edge[n] = True
+    edge[1:n] |= kind[1:] != kind[:-1]
+    bounds = np.flatnonzero(edge)
+    starts, ends = bounds[:-1], bounds[1:]
+    some = kind[starts] > 0
+    starts, ends = starts[some], ends[some]
+    own = kind[starts]
+    power, inverse = grown(n + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((LOWER[buf].astype(np.uint64) + np.uint64(1)) * power[:n])])
     size = ends - starts
-    first = UPPER[buf[starts]] if len(starts) else np.zeros(0, bool)
-    shape = np.where(caps == 0, 0, np.where((caps == 1) & first & (size > 1), 1, np.where(caps * 2 > size, 2, 3)))
-    row = np.repeat(np.arange(n), np.diff(at))
-    counts = np.bincount(row * SHAPES + shape, minlength=n * SHAPES)
-    for lag, kind in ((1, 4), (2, 5)):
-        same = np.flatnonzero((hashes[lag:] == hashes[:-lag]) & (row[lag:] == row[:-lag])) + lag if len(hashes) > lag else np.zeros(0, np.int64)
-        counts += np.bincount(row[same] * SHAPES + kind, minlength=n * SHAPES)
-    long = row[size > 12]
-    counts += np.bincount(long * SHAPES + 6, minlength=n * SHAPES)
-    for keep, base in ((DIGIT, 7), (SYMBOL, 8)):
-        s, e, _, a = words(buf, offs, keep)
-        own = np.repeat(np.arange(n), np.diff(a))
-        kind = base if base == 7 else 8 + (buf[s].astype(np.int64) % 20) + 20 * (e - s > 1)
-        counts += np.bincount(own * SHAPES + kind, minlength=n * SHAPES)
-    return (hashes >> np.uint64(50)).astype(np.int64), at, counts.reshape(n, SHAPES)
+    hashes = mix((total[ends] - total[starts]) * inverse[starts] + size.astype(np.uint64))
+    hashes = np.where(own == 2, mix(NUMBER + size.astype(np.uint64)), hashes)
+    upper = np.concatenate([[0], np.cumsum(UPPER[buf])])
+    word = own == 1
+    capital = word & (size > 1) & ((upper[ends] - upper[starts]) * 2 > size)
+    row = np.searchsorted(offs, starts, "right")
+    again = np.zeros(len(starts), bool)
+    at = np.flatnonzero(word)
+    same = (hashes[at[1:]] == hashes[at[:-1]]) & (row[at[1:]] == row[at[:-1]])
+    again[at[1:][same]] = True
+    place = np.arange(len(starts)) + np.cumsum(capital) + np.cumsum(again) - capital - again
+    out = np.empty(len(starts) + int(capital.sum()) + int(again.sum()), np.uint64)
+    out[place] = hashes
+    out[place[capital] + 1] = mix(np.array([CAPITALS]))[0]
+    out[place[again] + 1 + capital[again]] = mix(np.array([REPEATED]))[0]
+    counts = np.bincount(row - 1, 1 + capital + again, len(offs) - 1).astype(np.int64) if len(row) else np.zeros(len(offs) - 1, np.int64)
+    return (out >> np.uint64(50)).astype(np.int32), np.concatenate([[0], np.cumsum(counts)])
 
 
 def features(vectors: np.ndarray, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    bucket, at, shapes = tokens(buf, offs)
-    n = len(offs) - 1
-    out = np.zeros((n, DIM + SHAPES + 1), np.float32)
+    """The mean of each row's token vectors, the same whatever rows stand beside it."""
+    bucket, at = tokens(buf, offs)
     count = np.diff(at)
-    full = np.flatnonzero(count)
-    for a in range(0, len(full), 64):  # some rows at a time bound the memory
-        rows = full[a : a + 256]
-        lo, hi = at[rows[0]], at[rows[-1] + 1]
-        if hi - lo <= 1 << 17:
-            out[rows, :DIM] = np.add.reduceat(vectors[bucket[lo:hi]], at[rows] - lo) / count[rows, None]
-        else:
-            for r in rows:
-                out[r, :DIM] = np.bincount(bucket[at[r] : at[r + 1]], minlength=BUCKETS).astype(np.float32) @ vectors / count[r]
-    every = shapes.sum(1)
-    out[:, DIM:-1] = shapes / np.maximum(1, every)[:, None]
-    out[:, -1] = np.log1p(every) / 10
+    per = -(-count // STRETCH)
+    row = np.repeat(np.arange(len(count)), per)
+    first = at[row] + (np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)) * STRETCH
+    last = np.minimum(first + STRETCH, at[row + 1])
+    out = np.zeros((len(count), DIM), np.float64)
+    a = 0
+    while a < len(row):
+        b = max(a + 1, int(np.searchsorted(last, first[a] + 2 * STRETCH, "right")))
+        sums = np.add.reduceat(vectors[bucket[first[a] : last[b - 1]]], first[a:b] - first[a], axis=0)
+        np.add.at(out, row[a:b], sums)
+        a = b
+    return (out / np.maximum(1, count)[:, None]).astype(np.float32)
+
+
+def neighbour_pairs(bucket: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A number for each pair of tokens up to WINDOW apart in a row, both ways."""
+    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    out = []
+    for lag in range(1, WINDOW + 1):
+        if len(bucket) > lag:
+            ok = np.flatnonzero(row[lag:] == row[:-lag])
+            out += [bucket[ok] * BUCKETS + bucket[ok + lag], bucket[ok + lag] * BUCKETS + bucket[ok]]
+    return np.concatenate([np.zeros(0, np.int32), *out])
+
+
+def add_pairs(total: np.ndarray, entries: tuple[np.ndarray, np.ndarray], pairs: np.ndarray) -> None:
+    """Adds the index vectors of the pairs' second tokens to the rows of their first."""
+    key, n = np.unique(pairs, return_counts=True)
+    own, other = key // BUCKETS * DIM, key % BUCKETS
+    for places, values in zip(entries[0].T, entries[1].T, strict=True):
+        total += np.bincount(own + places[other], n * values[other], BUCKETS * DIM).astype(np.int64).reshape(BUCKETS, DIM)
+
+
+def context_sums(docs: DataFrame, text: str) -> np.ndarray:
+    """Each bucket's sum of its neighbours' index vectors over all texts."""
+    entries = index_entries()
+    rows = BUCKETS // PARTS
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((BUCKETS, DIM), np.int64)
+        held, size = [], 0
+        for batch in batches:
+            for _, _, buf, offs in pieces(batch.column(0)):
+                held.append(neighbour_pairs(*tokens(buf, offs)))
+                size += len(held[-1])
+                if size >= PAIRS:
+                    add_pairs(total, entries, np.concatenate(held))
+                    held, size = [], 0
+        if held:
+            add_pairs(total, entries, np.concatenate(held))
+        if total.any():
+            own = TaskContext.get().partitionId() % 32
+            yield pa.RecordBatch.from_pydict({"part": pa.array(range(PARTS), pa.int32()), "own": pa.array([own] * PARTS, pa.int32()), "sums": pa.array([total[i * rows : (i + 1) * rows].tobytes() for i in range(PARTS)], pa.binary())})
+
+    def added(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, total = None, np.zeros(rows * DIM, np.int64)
+        for batch in group:
+            for i, own, x in zip(*(batch.column(c).to_pylist() for c in ("part", "own", "sums")), strict=True):
+                key = (i, own)
+                total += np.frombuffer(x, np.int64)
+        yield pa.RecordBatch.from_pydict({"part": pa.array([key[0]], pa.int32()), "own": pa.array([key[1]], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
+
+    kind = "part int, own int, sums binary"
+    parts = docs.select(F.col(text).alias("text")).mapInArrow(gather, kind)
+    for keys in (("part", "own"), ("part",)):  # a task adds up sums of a thirty-second of all tasks first
+        parts = parts.groupBy(*keys).applyInArrow(added, kind)
+    out = np.zeros((BUCKETS, DIM), np.float64)
+    for r in parts.collect():  # PARTS rows
+        out[r["part"] * rows : (r["part"] + 1) * rows] = np.frombuffer(r["sums"], np.int64).reshape(rows, DIM)
     return out
 
 
@@ -97,9 +181,13 @@ class Model:
     layers: list[np.ndarray]
     temperature: float
 
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.mean) / self.scale, -20, 20).astype(np.float32)
+
     def logits(self, x: np.ndarray) -> np.ndarray:
+        """Row by row sums, so that a row's logit does not depend on how many rows come with it."""
         a, b, c, d = self.layers
-        return (np.tanh(((x - self.mean) / self.scale) @ a + b) @ c + d)[:, 0]
+        return (np.einsum("nh,ho->no", np.tanh(np.einsum("nw,wh->nh", self.scaled(x), a) + b), c) + d)[:, 0]
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         return sigmoid(self.logits(x) / self.temperature)
@@ -109,7 +197,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fitted(vectors: np.ndarray, x: np.ndarray, y: np.ndarray, seed: int = 11, epochs: int = 40) -> Model:
+def fitted(vectors: np.ndarray, x: np.ndarray, y: np.ndarray, seed: int = 11, epochs: int = 80) -> Model:
     """Trains on four fifths of the rows and fits the temperature on the others."""
     width = x.shape[1]
     zero = [np.zeros((width, HIDDEN), np.float32), np.zeros(HIDDEN, np.float32), np.zeros((HIDDEN, 1), np.float32), np.zeros(1, np.float32)]
@@ -119,8 +207,8 @@ def fitted(vectors: np.ndarray, x: np.ndarray, y: np.ndarray, seed: int = 11, ep
     part = rng.permutation(len(y))
     cut = max(1, len(y) * 4 // 5)
     fit, held = part[:cut], part[cut:]
-    model = Model(vectors, x[fit].mean(0), x[fit].std(0) + 1e-3, [rng.normal(0, width**-0.5, (width, HIDDEN)).astype(np.float32), zero[1], rng.normal(0, HIDDEN**-0.5, (HIDDEN, 1)).astype(np.float32), zero[3]], 1.0)
-    z = np.clip((x - model.mean) / model.scale, -20, 20).astype(np.float32)
+    model = Model(vectors, x[fit].mean(0), x[fit].std(0) + 1e-4, [rng.normal(0, width**-0.5, (width, HIDDEN)).astype(np.float32), zero[1], rng.normal(0, HIDDEN**-0.5, (HIDDEN, 1)).astype(np.float32), zero[3]], 1.0)
+    z = model.scaled(x)
     moment = [[np.zeros_like(w), np.zeros_like(w)] for w in model.layers]
     step = 0
     for _ in range(epochs):
@@ -151,39 +239,22 @@ def training_part(doc_id: Column) -> Column:
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
-    """Learns label (0 or 1) from at most sample labelled rows that training_part allows."""
+    """Learns label (0 or 1) from at most sample labelled rows that training_part allows.
+
+    Rows without id, label or a label other than 0 and 1 teach nothing; null texts are empty. See the module for repeated ids.
+    """
     spark = docs.sparkSession
     chosen = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label"))
     chosen = chosen.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & training_part(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    share = min(1.0, (1.3 * sample + 1000) / max(1, chosen.count()))  # about as many as are wanted come to the sort
+    chosen = chosen.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= int(share * (1 << 30)))
+    chosen = chosen.orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id").limit(sample)
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     # at most sample pairs of numbers: a bounded broadcast
-    rows = written(texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("label", "text").repartition(8), "quality")
-    index = index_vectors()
-
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((BUCKETS, DIM), np.float64)
-        for batch in batches:
-            for _, _, buf, offs in pieces(batch.column("text")):
-                bucket, at, _ = tokens(buf, offs)
-                row = np.repeat(np.arange(len(offs) - 1), np.diff(at))
-                pairs = []
-                for lag in range(1, WINDOW + 1):
-                    if len(bucket) > lag:
-                        ok = np.flatnonzero(row[lag:] == row[:-lag])
-                        pairs += [bucket[ok] * BUCKETS + bucket[ok + lag], bucket[ok + lag] * BUCKETS + bucket[ok]]
-                if pairs:
-                    key, n = np.unique(np.concatenate(pairs), return_counts=True)
-                    own = key // BUCKETS
-                    first = np.flatnonzero(np.diff(own, prepend=-1))
-                    total[own[first]] += np.add.reduceat(index[key % BUCKETS] * n[:, None], first)
-        yield pa.RecordBatch.from_pydict({"sums": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
-
-    context = np.zeros((BUCKETS, DIM), np.float32)
-    for r in rows.select("text").coalesce(8).mapInArrow(contexts, "sums binary").toLocalIterator():
-        context += np.frombuffer(r["sums"], np.float32).reshape(BUCKETS, DIM)
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
+    rows = written(rows.select("label", "text").repartition(8), "quality")
     unit = lambda x: x / np.maximum(1e-6, np.linalg.norm(x, axis=1, keepdims=True))
-    vectors = (0.5 * unit(index) + unit(context)).astype(np.float32)
+    vectors = (0.5 * unit(index_vectors().astype(np.float64)) + unit(context_sums(docs, text))).astype(np.float32)
     shared = spark.sparkContext.broadcast(vectors)
 
     def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +265,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_
 
     got = rows.mapInArrow(pooled, "label int, x binary").collect()
     got.sort(key=lambda r: (r["x"], r["label"]))
-    x = np.array([np.frombuffer(r["x"], np.float32) for r in got]) if got else np.zeros((0, DIM + SHAPES + 1), np.float32)
+    x = np.array([np.frombuffer(r["x"], np.float32) for r in got]) if got else np.zeros((0, DIM), np.float32)
     return fitted(vectors, x, np.array([r["label"] for r in got], np.float64))
 
 

@@ -491,6 +491,49 @@ def test_quality(spark):
     assert {x["score"] for x in quality.score_quality(docs.limit(5), blank).collect()} == {0.5}
 
 
+def test_quality_does_not_depend_on_partitions_or_copies(spark):
+    r = random.Random(13)
+    rows = [(i % 150, " ".join(r.choice(["AB", "cd", "cd", "|", "x9", "!!"]) for _ in range(r.choice([5, 60, 40_000])))) for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(150)] + [(None, 1), (3, None)], "doc_id long, quality int")
+    scores = []
+    for n in (1, 7):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(n)
+        model = quality.train_quality(docs, labels)
+        scores.append(sorted(tuple(x) for x in quality.score_quality(docs, model).select("doc_id", "text", "score").collect()))
+    assert scores[0] == scores[1]
+
+
+def test_quality_tokens():
+    from sightline.llm.textbatch import pieces
+    import pyarrow as pa
+
+    def cut(*rows):
+        (_, _, buf, offs), = pieces(pa.array(rows))
+        bucket, at = quality.tokens(buf, offs)
+        return [bucket[a:b].tolist() for a, b in itertools.pairwise(at)]
+
+    spam, twice, same, ten, other, mixed, none = cut("SPAM", "spam spam", "Spam", "a1234", "A9876", "it's", "")
+    assert len(spam) == 2 and len(twice) == 3 and twice[0] == twice[1] == same[0] == spam[0] and twice[2] != spam[1]
+    assert ten == other and len(ten) == 2 and len(mixed) == 3 and none == []
+    assert quality.features(np.ones((quality.BUCKETS, quality.DIM), np.float32), *next(iter(pieces(pa.array(["", "a b c"]))))[2:]).sum(1).tolist() == [0.0, float(quality.DIM)]
+
+
+def test_context_sums_by_force(spark):
+    import pyarrow as pa
+    from sightline.llm.textbatch import pieces
+
+    rows = ["one two, three four", None, "", "one two one", "5 six"]
+    total = quality.context_sums(spark.createDataFrame([(t,) for t in rows], "text string").repartition(3), "text")
+    index, want = quality.index_vectors(), np.zeros((quality.BUCKETS, quality.DIM))
+    for t in rows:
+        for _, _, buf, offs in pieces(pa.array([t or ""])):
+            own = quality.tokens(buf, offs)[0].tolist()
+            for i, j in itertools.permutations(range(len(own)), 2):
+                if abs(i - j) <= quality.WINDOW:
+                    want[own[i]] += index[own[j]]
+    assert np.array_equal(total, want)
+
+
 def test_training_part(spark):
     df = spark.range(50).withColumnRenamed("id", "doc_id")
     assert {x[0] for x in df.where(quality.training_part(F.col("doc_id"))).collect()} == {i for i in range(50) if zlib.crc32(str(i).encode()) % 5}
