@@ -187,26 +187,38 @@ def shares(wanted: dict[str, int], total: int) -> dict[str, int]:
 
 
 def train_languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = ROWS, chars: int = CHARS) -> Field:
-    """Learns from rows with a language that training_part allows."""
-    usable = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang")).where(training_part(F.col("doc_id")) & F.col("lang").isNotNull())
-    # a task keeps rows of each language before the shuffle
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = usable.withColumn("place", place).where(F.col("place") <= rows).select("doc_id").distinct()
-    # at most rows ids a language: a bounded broadcast
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    got = written(texts.join(F.broadcast(chosen), "doc_id").select("lang", "text", F.xxhash64("doc_id").alias("h")), "languages")
-    share = shares({r["lang"]: r["n"] for r in got.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()}, chars)
-    kept, left, least = [], dict(share), {}
-    for r in got.orderBy("lang", "h", "text").toLocalIterator():
-        row, size = (r["h"], r["lang"], r["text"]), len(r["text"])
-        if size <= left[r["lang"]]:
-            kept.append(row)
-            left[r["lang"]] -= size
-        elif r["lang"] not in least or size < len(least[r["lang"]][2]):
-            least[r["lang"]] = row
-    with_rows = {x for _, x, _ in kept}
-    kept += [row for x, row in least.items() if x not in with_rows]
-    return fitted([(x, t) for _, x, t in sorted(kept)])
+    """Learns from rows with a text and a language that training_part allows.
+
+    Of each language the rows of smallest hash of (doc_id, text) are taken, so rows that repeat an id are rows of their own.
+    Null and empty texts and null languages teach nothing. Without any row every text is "und".
+    """
+    spark = docs.sparkSession
+    hash_ = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
+    usable = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where(training_part(F.col("doc_id")) & F.col("lang").isNotNull() & (F.col("text") != ""))
+    counts = usable.groupBy("lang").count().collect()  # a row for each language
+    if not counts:
+        return fitted([])
+    # a language's share of hashes lets about as many rows through as are wanted, so that its window is small
+    share = spark.createDataFrame([(r["lang"], int(min(1.0, (1.3 * rows + 200) / r["count"]) * (1 << 30))) for r in counts], "lang string, most long")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text"))
+    few = usable.withColumn("h", hash_).join(F.broadcast(share), "lang").where("h <= most")
+    got = written(few.withColumn("place", place).where(F.col("place") <= rows).select("lang", "place", "text", F.length("text").alias("size")), "languages")
+    sizes = sorted((r["lang"], r["place"], r["size"]) for r in got.select("lang", "place", "size").collect())
+    left: dict[str, int] = {}
+    for x, _, n in sizes:
+        left[x] = left.get(x, 0) + n
+    left = shares(left, chars)
+    kept = []
+    for x, i, n in sizes:
+        if n <= left[x]:
+            kept.append((x, i))
+            left[x] -= n
+    with_rows = {x for x, _ in kept}
+    least = {x: (n, i) for x, i, n in sorted(sizes, key=lambda r: (-r[2], -r[1])) if x not in with_rows}
+    kept += [(x, i) for x, (_, i) in least.items()]
+    # at most rows pairs a language, and chars characters: bounded
+    chosen = got.join(F.broadcast(spark.createDataFrame(kept, "lang string, place int")), ["lang", "place"])
+    return fitted([(r["lang"], r["text"]) for r in sorted(chosen.select("place", "lang", "text").collect(), key=lambda r: (r["place"], r["lang"]))])
 
 
 RESULT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
