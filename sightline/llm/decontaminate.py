@@ -7,15 +7,19 @@ candidate must leave room for the window before and after (position and length b
 word. Items of any size are so matched over windows of their own size.
 
 The benchmark is read in blocks of at most BLOCK_WORDS words, and a block is broadcast: its size is bounded, however
-large the benchmark is. Documents stay where they are; only with more than one block are hits merged by document.
+large the benchmark is. Equal windows of a block are one window with a list of items. Documents stay where they are; with more
+than one block, each block's hits are written before the next is broadcast, and hits are united by two hashes of the text.
+Words are compared by their 64-bit hashes.
 
-Null and empty texts have no words; repeated items count once for each item_id; an empty benchmark hits nothing.
+Null and empty texts have no words; repeated items count once for each item_id, items without id not at all among items; an
+empty benchmark hits nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import spare_name
+from .common import spare_name, written
 from .textbatch import ALNUM, mix, pieces, words
 
 WINDOW, SHINGLE = 13, 4
@@ -43,11 +47,15 @@ def shingled(ids: np.ndarray, k: int) -> np.ndarray:
 
 @dataclass
 class Block:
-    """The windows of some items as arrays; words are all items' word hashes, one after another."""
+    """The distinct windows of some items as arrays; words are all items' word hashes, one after another.
+
+    The items of window i are items[of_window[i]:of_window[i + 1]], as places in item_ids.
+    """
 
     words: np.ndarray
     starts: np.ndarray
     sizes: np.ndarray
+    of_window: np.ndarray
     items: np.ndarray
     item_ids: list
 
@@ -88,7 +96,24 @@ def block_of(rows: list) -> Block:
                 items.append(np.full(len(first), a + i))
         base += len(hashes)
     cat = lambda x, kind: np.concatenate([np.zeros(0, kind), *x])
-    return Block(cat(got, np.uint64), cat(starts, np.int64), cat(sizes, np.int64), cat(items, np.int64), [r[0] for r in rows])
+    return distinct(cat(got, np.uint64), cat(starts, np.int64), cat(sizes, np.int64), cat(items, np.int64), [r[0] for r in rows])
+
+
+def distinct(every: np.ndarray, starts: np.ndarray, sizes: np.ndarray, items: np.ndarray, item_ids: list) -> Block:
+    """Equal windows, by two hashes of their words, become one."""
+    h1, h2 = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.uint64)
+    for size in np.unique(sizes):
+        own = np.flatnonzero(sizes == size)
+        for h, words_ in ((h1, every), (h2, mix(every ^ np.uint64(0xA0761D6478BD642F)))):
+            h[own] = shingled(words_, int(size))[starts[own]]
+    order = np.lexsort((items, h2, h1))
+    h1, h2, items = h1[order], h2[order], items[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+    keep = new.copy()
+    keep[1:] |= items[1:] != items[:-1]
+    window = order[new]
+    return Block(every, starts[window], sizes[window], np.append(np.flatnonzero(new[keep]), keep.sum()), items[keep], item_ids)
 
 
 def blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[Block]:
@@ -216,7 +241,8 @@ def matcher(shared, text_type=RESULT):
     @F.arrow_udf(text_type)
     def match(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         index = shared.value
-        names = np.array([str(x) for x in index.block.item_ids], object)
+        block = index.block
+        names = [None if x is None else str(x) for x in block.item_ids]
         for texts in batches:
             n_words, hits, items = [], [], []
             for a, b, buf, offs in pieces(texts):
@@ -234,7 +260,8 @@ def matcher(shared, text_type=RESULT):
                     x, y = bounds[i], bounds[i + 1]
                     hits.append((hit[x:y] - at[i]).astype(np.int32) if y > x else ())
                     x, y = owner[i], owner[i + 1]
-                    items.append(sorted(set(names[index.block.items[win[by[x:y]]]])) if y > x else ())
+                    found = {names[k] for w in set(win[by[x:y]].tolist()) for k in block.items[block.of_window[w] : block.of_window[w + 1]]} if y > x else ()
+                    items.append(sorted(k for k in found if k is not None))
             yield pa.StructArray.from_arrays([pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=["n_words", "hits", "items"])
 
     return match
@@ -243,23 +270,31 @@ def matcher(shared, text_type=RESULT):
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs with n_words, hits (word places inside any occurrence of a window) and items (ids as sorted strings).
 
-    Columns of those names are replaced. Rows are never joined by a key of theirs unless there are several blocks, and
-    then by the text itself, so that repeated doc_ids do no harm.
+    Columns of those names are replaced. Each row is judged by its own text, so that repeated or null doc_ids do no harm.
     """
-    sc, out = docs.sparkSession.sparkContext, None
-    for block in blocks(benchmark, item_id, item_text):
-        index = index_of(block, rarity(docs, text, block))
-        got = matcher(sc.broadcast(index))(F.col(text))
-        if out is None:
-            name = spare_name(docs.columns, "found")
-            out = docs.withColumn(name, got)
-        else:  # further blocks: hits of the same row are united
-            more = spare_name(out.columns, "more")
-            out = out.withColumn(more, got).withColumn(name, F.struct(F.col(name)["n_words"].alias("n_words"), F.array_union(F.col(name)["hits"], F.col(more)["hits"]).alias("hits"), F.array_sort(F.array_union(F.col(name)["items"], F.col(more)["items"])).alias("items"))).drop(more)
-    if out is None:
-        empty = index_of(block_of([]), np.zeros(0, np.int64))
-        name = spare_name(docs.columns, "found")
-        out = docs.withColumn(name, matcher(sc.broadcast(empty))(F.col(text)))
+    sc = docs.sparkSession.sparkContext
+    name = spare_name(docs.columns, "found")
+    todo = blocks(benchmark, item_id, item_text)
+    first, second = next(todo, None), next(todo, None)
+    if second is None:
+        index = index_of(first, rarity(docs, text, first)) if first else index_of(block_of([]), np.zeros(0, np.int64))
+        out = docs.withColumn(name, matcher(sc.broadcast(index))(F.col(text)))
+    else:
+        out = docs.withColumn(name, matcher(sc.broadcast(index_of(block_of([]), np.zeros(0, np.int64))))(F.col(text)))
+        h1, h2, more = (spare_name(docs.columns, x) for x in ("h1", "h2", "more"))
+        keys = {h1: F.xxhash64(text), h2: F.xxhash64(F.lit(1), text)}
+        parts = None
+        for block in chain((first, second), todo):
+            shared = sc.broadcast(index_of(block, rarity(docs, text, block)))
+            hit = docs.select(F.col(text).alias("text")).withColumn(more, matcher(shared)(F.col("text"))).where(F.size(F.col(more)["hits"]) > 0)
+            hit = written(hit.select(F.xxhash64("text").alias(h1), F.xxhash64(F.lit(1), "text").alias(h2), more).dropDuplicates([h1, h2]), "hits")
+            shared.destroy()
+            parts = hit if parts is None else parts.unionByName(hit)
+        both = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.col(more)[c]))))
+        parts = parts.groupBy(h1, h2).agg(F.struct(both("hits").alias("hits"), both("items").alias("items")).alias(more))  # a row for each block at most
+        out = out.withColumns(keys).join(parts, [h1, h2], "left")
+        side = lambda c: F.coalesce(F.col(more)[c], F.col(name)[c]).alias(c)
+        out = out.withColumn(name, F.struct(F.col(name)["n_words"].alias("n_words"), side("hits"), side("items"))).drop(h1, h2, more)
     for c in ("n_words", "hits", "items"):
         out = out.withColumn(c, F.col(name)[c])
     return out.drop(name)

@@ -323,6 +323,7 @@ def test_contamination(spark, monkeypatch, block_words):
     vocab = [f"v{i}" for i in range(12)] + ["Ñu", "é"]
     say = lambda n: " ".join(r.choices(vocab, k=n))
     items = [(i, say(n)) for i, n in enumerate((1, 2, 3, 5, 12, 13, 14, 30))] + [(20, None), (21, ""), (22, "..."), (5, say(4))]
+    items += [(40 + i % 3, items[7][1]) for i in range(9)] + [(41, items[5][1].upper())]
     docs = [(i, say(r.randint(0, 60)) + (" - " + items[r.randrange(8)][1].upper() + "!" if i % 2 else "")) for i in range(60)] + [(100, None), (101, ""), (102, "v1 " * 30_000)]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {x["doc_id"]: (x["n_words"], sorted(x["hits"]), list(x["items"])) for x in decontaminate.contamination(texts(spark, docs), bench).collect()}
