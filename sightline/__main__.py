@@ -37,7 +37,7 @@ def main(args: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("sightline").getOrCreate()
 
     def show(answer) -> None:
-        print(json.dumps({"status": answer.status, "reason": answer.reason, "operation": answer.operation, "instance_ids": answer.ids(), "candidates": answer.candidates, "count_scope": answer.count_scope}))
+        print(json.dumps({"status": answer.status, "reason": answer.reason, "operation": answer.operation, "instance_ids": answer.ids(), "candidates": [] if answer.candidates is None else [r.asDict() for r in answer.candidates.toLocalIterator()], "count_scope": answer.count_scope}))
 
     if o.command == "demo":
         points, classes = demo_scene(spark)

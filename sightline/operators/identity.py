@@ -9,10 +9,11 @@ from collections import defaultdict
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .iterative import Sets, renewed
+from .ordering import numbered
 
 
 @dataclass(frozen=True)
@@ -124,7 +125,7 @@ def graph_fusion(nodes: DataFrame, visible: DataFrame, base: DataFrame, metric:
     cap = renewed(found.where("kind = 'complete'").select("owner", "group_id", "new_points", "owner_size")).groupBy("owner").applyInPandas(capped, "group_id long, fits boolean")
     found = found.join(cap, "group_id", "left").withColumn("kind", F.when(~F.coalesce("fits", F.lit(True)), "aggregate_owner_completion_cap").otherwise(F.col("kind"))).drop("fits")
     top = base.agg(F.coalesce(F.max("instance_id"), F.lit(0)).alias("top"))
-    births = found.where("kind = 'birth'").select("group_id", F.row_number().over(Window.orderBy("group_id")).alias("k")).crossJoin(F.broadcast(top)).select("group_id", (F.col("top") + F.col("k")).alias("born"))
+    births = numbered(found.where("kind = 'birth'").select("group_id"), ["group_id"]).crossJoin(F.broadcast(top)).select("group_id", (F.col("top") + F.col("k")).alias("born"))
     found = found.join(births, "group_id", "left").withColumn("instance_id", F.when(F.col("kind") == "complete", F.col("owner")).otherwise(F.col("born"))).drop("born")
     return won.join(found.where("instance_id is not null").select("group_id", "instance_id"), "group_id").select("point_id", "instance_id"), found
 

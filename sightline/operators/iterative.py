@@ -1,7 +1,9 @@
 """Order-dependent algorithms: evidence is aggregated by Spark, the loop runs in one Python task for each scene.
 
-Merges with vetoes, greedy choices and assignments depend on their order, so a scene's candidate edges, which grow with
-its objects and not with its points, meet in one task. Scenes run in parallel.
+Merges with vetoes, greedy choices and assignments depend on their order. Merges are parted first: sets that no chain of
+acceptable edges connects can never be joined, and neither veto each other, so that each component of these edges has a
+task of its own. Choices and assignments of a scene, whose candidates grow with its objects and not with its points, meet in one
+task; scenes run in parallel.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import components, numbered
+
 
 class Sets:
     """Disjoint sets with members, joined under a caller's rule for the root."""
@@ -37,18 +41,31 @@ def renewed(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).alias(c) for c in df.columns])
 
 
+def in_components(edges: DataFrame, good: DataFrame, by: str, node: str, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes with the root of their component of good edges, null if alone; the edges within components, with it)."""
+    roots = components(good.select(by, "a", "b"), [by])
+    side = lambda s: roots.select(by, F.col("node").alias(s), F.col("root").alias("root" if s == "a" else "_root"))
+    within = edges.join(side("a"), [by, "a"]).join(side("b"), [by, "b"]).where("root = _root").drop("_root")
+    return nodes.join(roots.select(by, F.col("node").alias(node), "root"), [by, node], "left"), within
+
+
 def constrained_merge(edges: DataFrame, nodes: DataFrame, support: int = 3, consensus: float = 0.9, cannot_link: int = 2, by: str = "scene_id") -> DataFrame:
     """(by, node, group_id): consensus clusters in which no two members are seen apart too often.
 
     edges: by, a, b, positive, negative; nodes: by, node. Edges go by most positive, fewest negative and ids; a union that
-    would bring a forbidden pair together is vetoed. Groups are numbered by their smallest node.
+    would bring a forbidden pair together is vetoed. Groups are numbered by their smallest node. Edges of nodes that are not
+    in nodes are left out.
     """
     kind = edges.schema[by].dataType.simpleString()
+    nodes = nodes.select(by, "node").distinct()
+    for s in ("a", "b"):
+        edges = edges.join(renewed(nodes).withColumnRenamed("node", s), [by, s], "left_semi")
+    accepted = (F.col("positive") >= support) & (F.col("negative") < cannot_link) & (F.col("positive") >= consensus * (F.col("positive") + F.col("negative")))
+    placed, within = in_components(edges, edges.where(accepted), by, "node", nodes)
 
     def merge(own: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
         names = sorted(own["node"].tolist())
         sets, apart = Sets(names), defaultdict(set)
-        links = links[links["a"].isin(sets.up) & links["b"].isin(sets.up)]
         for a, b in links.loc[links["negative"] >= cannot_link, ["a", "b"]].itertuples(index=False):
             apart[a].add(b)
             apart[b].add(a)
@@ -59,12 +76,16 @@ def constrained_merge(edges: DataFrame, nodes: DataFrame, support: int = 3, cons
                 continue
             keep, gone = (ra, rb) if len(sets.members[ra]) >= len(sets.members[rb]) else (rb, ra)
             sets.join(keep, gone)
-        groups = sorted(sets.members.values(), key=min)
-        rows = [(x, i) for i, g in enumerate(groups, 1) for x in sorted(g)]
-        return pd.DataFrame({by: own[by].iloc[0] if len(own) else None, "node": [r[0] for r in rows], "group_id": [r[1] for r in rows]})
+        rows = [(x, min(g)) for g in sets.members.values() for x in g]
+        return pd.DataFrame({by: own[by].iloc[0] if len(own) else None, "node": [r[0] for r in rows], "low": [r[1] for r in rows]})
 
-    both = renewed(nodes.select(by, "node")).groupBy(by).cogroup(renewed(edges.select(by, "a", "b", "positive", "negative")).groupBy(by))
-    return both.applyInPandas(merge, f"{by} {kind}, node long, group_id long")
+    both = renewed(placed.where("root is not null")).groupBy(by, "root").cogroup(renewed(within.select(by, "root", "a", "b", "positive", "negative")).groupBy(by, "root"))
+    low = both.applyInPandas(merge, f"{by} {kind}, node long, low long")
+    low = low.union(placed.where("root is null").select(by, "node", F.col("node").cast("long").alias("low")))
+    groups = numbered(low.where("node = low").select(by, "low"), [by, "low"])  # over all scenes
+    first = groups.groupBy(by).agg((F.min("k") - 1).alias("before"))
+    groups = groups.join(first, by).select(by, "low", (F.col("k") - F.col("before")).alias("group_id"))
+    return low.join(groups, [by, "low"]).select(by, "node", "group_id")
 
 
 def fragment_merge(counts: DataFrame, edges: DataFrame, visible: int = 30, containment: float = 0.8, support: int = 3, consensus: float = 0.9, cannot_link: int = 2) -> DataFrame:
@@ -73,6 +94,8 @@ def fragment_merge(counts: DataFrame, edges: DataFrame, visible: int = 30, conta
     counts: category, instance_id, frame_id, mask_id, n (mask 0: none); edges: category, a, b, positive, negative.
     A union needs the two components' own dominant masks to agree as single instances' do.
     """
+    accepted = (F.col("positive") >= support) & (F.col("negative") < cannot_link) & (F.col("positive") >= consensus * (F.col("positive") + F.col("negative")))
+    placed, within = in_components(edges, edges.where(accepted), "category", "instance_id", counts)
 
     def merge(seen: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
         ids = sorted(set(seen["instance_id"].tolist()))
@@ -114,8 +137,11 @@ def fragment_merge(counts: DataFrame, edges: DataFrame, visible: int = 30, conta
                 sets.join(min(ra, rb), max(ra, rb))
         return pd.DataFrame({"category": seen["category"].iloc[0] if len(seen) else None, "instance_id": ids, "merged_id": [sets.root(i) for i in ids]})
 
-    both = renewed(counts).groupBy("category").cogroup(renewed(edges).groupBy("category"))
-    return both.applyInPandas(merge, "category int, instance_id long, merged_id long")
+    kept = ["category", "root", "instance_id", "frame_id", "mask_id", "n"]
+    both = renewed(placed.where("root is not null").select(*kept)).groupBy("category", "root").cogroup(renewed(within.select("category", "root", "a", "b", "positive", "negative")).groupBy("category", "root"))
+    merged = both.applyInPandas(merge, "category int, instance_id long, merged_id long")
+    alone = placed.where("root is null").select(F.col("category").cast("int").alias("category"), F.col("instance_id").cast("long").alias("instance_id")).distinct()
+    return merged.union(alone.select("category", "instance_id", F.col("instance_id").alias("merged_id")))
 
 
 def online_association(observations: DataFrame, least: int = 30, overlap: float = 0.4, gap: float = 0.15, by: str = "stream") -> DataFrame:

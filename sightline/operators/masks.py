@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import numbered
 from .votes import clear_winner, micros, safe
 
 
@@ -126,11 +127,9 @@ def point_ownership(member: DataFrame, groups: DataFrame, config: Consensus = Co
 
 def owned_objects(ownership: DataFrame, semantic: DataFrame, config: Consensus = Consensus()) -> DataFrame:
     """(group_id, semantic_id, point_count, instance_id): objects by group and known class, numbered in that order."""
-    from pyspark.sql import Window
-
     own = ownership.where("group_id > 0").join(semantic, "point_id").where("semantic_id > 0").groupBy("group_id", "semantic_id").agg(F.count("*").alias("point_count"))
     own = own.where(F.col("point_count") >= config.output_points)
-    return own.withColumn("instance_id", F.row_number().over(Window.orderBy("group_id", "semantic_id")))
+    return numbered(own, ["group_id", "semantic_id"], "instance_id")
 
 
 def instance_masks(observations: DataFrame, instances: DataFrame, least: int = 30, containment: float = 0.8) -> DataFrame:
@@ -205,8 +204,6 @@ def recovered_points(observations: DataFrame, guides: DataFrame, config: Recover
     A guide that is split in enough frames is vetoed; ids follow the largest existing one in the order of guides, and
     rejected guides use none.
     """
-    from pyspark.sql import Window
-
     evidence = guide_evidence(observations, guides, config)
     veto = evidence.where("state = 'split'").groupBy("guide").agg(F.count("*").alias("n")).where(F.col("n") >= config.split_frames)
     support = evidence.where("state = 'support'").join(veto, "guide", "left_anti")
@@ -217,5 +214,5 @@ def recovered_points(observations: DataFrame, guides: DataFrame, config: Recover
     single = claims.groupBy("point_id").agg(F.count("*").alias("n"), F.max("guide").alias("guide"), F.max("views").alias("views")).where("n = 1").drop("n")
     enough = single.groupBy("guide").agg(F.count("*").alias("n")).where(F.col("n") >= config.output_points)
     top = guides.agg(F.coalesce(F.max("instance_id"), F.lit(0)).alias("top"))
-    numbered = enough.select("guide", F.row_number().over(Window.orderBy("guide")).alias("k")).crossJoin(F.broadcast(top)).select("guide", (F.col("top") + F.col("k")).alias("instance_id"))
+    numbered = numbered(enough.select("guide"), ["guide"]).crossJoin(F.broadcast(top)).select("guide", (F.col("top") + F.col("k")).alias("instance_id"))
     return single.join(numbered, "guide").select("point_id", "guide", "views", "instance_id")

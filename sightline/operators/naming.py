@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import numbered
 from .votes import micros
 
 UNNAMED = ("", "unknown", "none")
@@ -44,7 +45,7 @@ def new_class_ids(names: DataFrame, classes: DataFrame) -> DataFrame:
     """(name, class_id): ids for names the dictionary lacks, after its largest id, in order of the names."""
     top = classes.agg(F.max("class_id").alias("top"))
     new = names.select("name").distinct().join(classes, "name", "left_anti")
-    return new.withColumn("k", F.row_number().over(Window.orderBy("name"))).crossJoin(F.broadcast(top)).select("name", (F.col("top") + F.col("k")).cast("int").alias("class_id"))
+    return numbered(new, ["name"]).crossJoin(F.broadcast(top)).select("name", (F.col("top") + F.col("k")).cast("int").alias("class_id"))
 
 
 def crop_owners(crops: DataFrame, instances: DataFrame, points: int = 30, share: float = 0.65) -> DataFrame:
@@ -108,7 +109,7 @@ def candidates_from_groups(ownership: DataFrame, instances: DataFrame, points: i
     free = ownership.where("group_id > 0").join(instances.where("instance_id > 0").select("point_id"), "point_id", "left_anti")
     per = free.groupBy("group_id").agg(F.count("*").alias("n"))
     top = instances.agg(F.coalesce(F.max("instance_id"), F.lit(0)).alias("top"))
-    good = per.where(F.col("n") >= points).withColumn("k", F.row_number().over(Window.orderBy("group_id"))).crossJoin(F.broadcast(top)).select("group_id", "n", (F.col("top") + F.col("k")).alias("candidate_id"), F.lit("accepted").alias("reason"))
+    good = numbered(per.where(F.col("n") >= points), ["group_id"]).crossJoin(F.broadcast(top)).select("group_id", "n", (F.col("top") + F.col("k")).alias("candidate_id"), F.lit("accepted").alias("reason"))
     return good.unionByName(per.where(F.col("n") < points).select("group_id", "n", F.lit(None).cast("long").alias("candidate_id"), F.lit("too_few_points").alias("reason")))
 
 

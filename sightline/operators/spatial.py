@@ -11,33 +11,40 @@ from ..functions.scalar import box_gap
 from ..plans.bounds import LimitExceeded
 
 
-def cell(x: Column, size: float) -> Column:
+def cell(x: Column, size: float | Column) -> Column:
     return F.floor(x / size).cast("long")
 
 
 def range_pairs(boxes: DataFrame, ident: str, low: Sequence[str], high: Sequence[str], margin: float, by: Sequence[str] = (), limit: int | None = 1_000_000) -> DataFrame:
     """(by, a, b) with a < b: boxes whose gap is at most margin on every axis, boundaries included.
 
-    The grid's cell is the 90th percentile of the boxes' extent on the first two axes, plus the margin. A box lies in all cells that it touches, and a
-    pair is kept in the one cell that holds the largest of its lower corners, so no distinct is needed. The box itself
-    is grown by the margin on one side of the join only.
+    The grid's cell is about the 90th percentile of the boxes' extent on the first two axes, plus the margin. Larger boxes
+    are at home in coarser grids, each of twice the cell of the one before, so that no box lies in many cells of its
+    home; a box is also listed in every coarser grid that has boxes, where only those meet it. Of a grid a pair is kept
+    in the one cell that holds the larger of its lower corners, so no distinct is needed.
     """
     axes = list(zip(low, high, strict=True))
     on = axes[:2]
-    spread = boxes.agg(*[F.percentile(F.col(h) - F.col(lo), 0.9).alias(f"p{i}") for i, (lo, h) in enumerate(on)]).first()
+    spread = boxes.agg(*[F.percentile_approx(F.col(h) - F.col(lo), 0.9).alias(f"p{i}") for i, (lo, h) in enumerate(on)]).first()
     size = [max((spread[f"p{i}"] or 0.0) + margin, margin, 1e-9) for i in range(len(on))]
     pad = margin / 2 + 1e-9  # rounding must not part two boxes whose gap is the margin
     grid = boxes.select(*by, F.col(ident).alias("id"), *[F.col(c).alias(f"{s}{i}") for i, (lo, h) in enumerate(axes) for s, c in (("l", lo), ("h", h))])
+    wide = F.greatest(F.lit(1.0), *[(F.col(f"h{i}") - F.col(f"l{i}")) / size[i] for i in range(len(on))])
+    grid = grid.withColumn("home", F.ceil(F.log2(wide)).cast("int"))
+    levels = sorted(r["home"] for r in grid.select("home").distinct().collect())  # at most one for each power of two
+    grid = grid.withColumn("level", F.explode(F.array(*map(F.lit, levels or [0])))).where("level >= home")
+    at = lambda x, i: cell(x, F.lit(size[i]) * F.pow(F.lit(2.0), F.col("level")))
     for i in range(len(on)):
-        grid = grid.withColumn(f"c{i}", F.explode(F.sequence(cell(F.col(f"l{i}") - pad, size[i]), cell(F.col(f"h{i}") + pad, size[i]))))
-    keys = [*by, *[f"c{i}" for i in range(len(on))]]
+        grid = grid.withColumn(f"c{i}", F.explode(F.sequence(at(F.col(f"l{i}") - pad, i), at(F.col(f"h{i}") + pad, i))))
+    keys = [*by, "level", *[f"c{i}" for i in range(len(on))]]
     rest = [c for c in grid.columns if c not in keys]
-    pairs = grid.select(*keys, *[F.col(c).alias(f"a_{c}") for c in rest]).join(grid.select(*keys, *[F.col(c).alias(f"b_{c}") for c in rest]), keys).where("a_id < b_id")
+    home = grid.where("level = home").select(*keys, *[F.col(c).alias(f"a_{c}") for c in rest])
+    pairs = home.join(grid.select(*keys, *[F.col(c).alias(f"b_{c}") for c in rest]), keys).where("b_home < a_home or a_id < b_id")
     for i in range(len(on)):  # the pair's own cell: that of the later start
-        pairs = pairs.where(F.col(f"c{i}") == cell(F.greatest(f"a_l{i}", f"b_l{i}") - pad, size[i]))
+        pairs = pairs.where(F.col(f"c{i}") == at(F.greatest(f"a_l{i}", f"b_l{i}") - pad, i))
     for i in range(len(axes)):
         pairs = pairs.where((F.col(f"a_l{i}") - F.col(f"b_h{i}") <= margin) & (F.col(f"b_l{i}") - F.col(f"a_h{i}") <= margin))
-    found = pairs.select(*by, F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    found = pairs.select(*by, F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
     if limit is not None and found.limit(limit + 1).count() > limit:
         raise LimitExceeded("relation candidate limit exceeded; reduce the map's scope or raise the limit")
     return found

@@ -65,7 +65,8 @@ def bracket(frames: DataFrame, anchors: DataFrame, order: str = "ordinal") -> Da
     marked = frames.join(anchors.select(BY, F.col(order), F.col("anchor_id")), [BY, order], "left").withColumn("_at", F.when(F.col("anchor_id").isNotNull(), F.struct(order, "anchor_id")))
     w = Window.partitionBy(BY).orderBy(order)
     back = F.last("_at", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first("_at", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    # the next anchor is the last one of the opposite order: a frame that only grows costs one pass, one that shrinks is read anew for each row
+    ahead = F.last("_at", ignorenulls=True).over(Window.partitionBy(BY).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1))
     out = marked.withColumn("_p", back).withColumn("_n", ahead)
     return out.select(*frames.columns, F.col("_p.anchor_id").alias("previous_anchor"), F.coalesce("_n.anchor_id", F.col("_p.anchor_id")).alias("next_anchor"), F.col(f"_p.{order}").alias("previous_at"), F.col(f"_n.{order}").alias("next_at"))
 
