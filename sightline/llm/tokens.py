@@ -3,7 +3,8 @@
 Texts are cut at spaces between non-space characters, where no token can span, so that each distinct piece is encoded
 once in a worker. New pieces are split into words by the tokenizer's pattern, and the words' symbols stand in one flat
 array. In each round every word's pair of lowest rank is found by binary search over the sorted pair keys, and all its
-places are merged; finished words leave the array.
+places are merged; finished words leave the array. A word of LONG bytes or more has rounds of its own: they take the places of the
+next rank from a queue and look at merged places and their neighbours only, so that its rounds do not each read all of it.
 
 Null is the empty text and has no ids. The strings of added tokens become their ids, as in the tokenizers library.
 """
@@ -15,6 +16,7 @@ import json
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from heapq import heappop, heappush
 from itertools import chain, repeat
 
 import numpy as np
@@ -36,6 +38,8 @@ NONE = np.int64(1) << 40
 FIRST = "\ud800"
 #: A worker forgets rare pieces beyond this count; they take some 200 bytes each.
 PIECES = 300_000
+#: Bytes from which on a word has its own rounds.
+LONG = 1024
 
 
 def byte_symbols() -> dict[int, str]:
@@ -80,8 +84,74 @@ class BytePairs:
         at[at == len(self.keys)] = 0
         return np.where(self.keys[at] == key, self.ranks[at], NONE)
 
+    def merge_long(self, word: bytes) -> np.ndarray:
+        """The ids of one long word."""
+        symbols = self.base[np.frombuffer(word, np.uint8)]
+        n = len(symbols)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)  # n is the end
+        rank = np.append(self.rank(symbols[:-1], symbols[1:]), [NONE, NONE])
+        alive = np.ones(n, bool)
+        places: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def put(at: np.ndarray) -> None:
+            at = at[rank[at] < NONE]
+            if not len(at):
+                return
+            at = at[np.argsort(rank[at], kind="stable")]
+            own = rank[at]
+            first = np.flatnonzero(np.diff(own, prepend=-1))
+            for r, part in zip(own[first].tolist(), np.split(at, first[1:]), strict=True):
+                if r in places:
+                    places[r].append(part)
+                else:
+                    places[r] = [part]
+                    heappush(ranks, r)
+
+        if n > 1:
+            put(np.arange(n - 1))
+        while ranks:
+            r = heappop(ranks)
+            at = np.unique(np.concatenate(places.pop(r)))
+            at = at[alive[at] & (rank[at] == r)]
+            if not len(at):
+                continue
+            run = np.concatenate([[True], after[at[:-1]] != at[1:]])  # in a run of equal symbols each second pair is merged
+            start = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
+            at = at[(np.arange(len(at)) - start) % 2 == 0]
+            gone = after[at]
+            symbols[at] = self.results[r]
+            alive[gone] = False
+            after[at] = after[gone]
+            rank[gone] = NONE
+            follow = after[at]
+            inner = follow < n
+            before[follow[inner]] = at[inner]
+            near = np.unique(np.concatenate([at, before[at]]))
+            near = near[near >= 0]
+            right = after[near]
+            pair = np.where(right < n, self.rank(symbols[near], symbols[np.minimum(right, n - 1)]), NONE)
+            rank[near] = pair
+            put(near)
+        return symbols[alive]
+
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words in order, number of each word's ids)."""
+        long = [i for i, w in enumerate(words) if len(w) >= LONG]
+        if not long:
+            return self.merge_rounds(words)
+        apart = set(long)
+        short, sizes = self.merge_rounds([w for i, w in enumerate(words) if i not in apart])
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        parts, counts, k = [], [], 0
+        for i, w in enumerate(words):
+            parts.append(self.merge_long(w) if i in apart else short[ends[k] : ends[k + 1]])
+            counts.append(len(parts[-1]))
+            k += i not in apart
+        return np.concatenate(parts), np.array(counts, np.int64)
+
+    def merge_rounds(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of short words, in common rounds."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         symbols = self.base[np.frombuffer(b"".join(words), np.uint8)]
         owner = np.repeat(np.arange(len(words)), sizes)

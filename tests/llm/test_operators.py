@@ -352,6 +352,14 @@ def test_bpe_equals_the_library(spark, monkeypatch):
     assert all(x["d"]["n_tokens"] == len(want[x["doc_id"]]) and x["d"]["ids_sha256"] == hashlib.sha256(",".join(map(str, want[x["doc_id"]])).encode()).hexdigest() for x in digests)
 
 
+def test_long_words_equal_the_library():
+    library, pairs, r = Tokenizer.from_file(PATH), tokens.BytePairs(PATH), random.Random(14)
+    some = ["".join(r.choices(chars, k=n)) for n in (1023, 1024, 1025, 20_000) for chars in ("abcdefghijklmnopqrstuvwxyz", "aab", "éß的ab")] + ["a" * 4001, "ab" * 3000, "the" * 1000]
+    ids, sizes = pairs.merge([x.encode() for x in some])
+    for x, own in zip(some, np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
+        assert own.tolist() == library.encode(x, add_special_tokens=False).ids
+
+
 def test_forgetting_pieces():
     library = Tokenizer.from_file(PATH)
     pairs = tokens.BytePairs(PATH)
