@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.folders import cut
 from .ordering import components, numbered
 
 
@@ -43,7 +44,7 @@ def renewed(df: DataFrame) -> DataFrame:
 
 def in_components(edges: DataFrame, good: DataFrame, by: str, node: str, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes with the root of their component of good edges, null if alone; the edges within components, with it)."""
-    roots = components(good.select(by, "a", "b"), [by])
+    roots = cut(components(good.select(by, "a", "b"), [by]))
     side = lambda s: roots.select(by, F.col("node").alias(s), F.col("root").alias("root" if s == "a" else "_root"))
     within = edges.join(side("a"), [by, "a"]).join(side("b"), [by, "b"]).where("root = _root").drop("_root")
     return nodes.join(roots.select(by, F.col("node").alias(node), "root"), [by, node], "left"), within
@@ -60,6 +61,7 @@ def constrained_merge(edges: DataFrame, nodes: DataFrame, support: int = 3, cons
     nodes = nodes.select(by, "node").distinct()
     for s in ("a", "b"):
         edges = edges.join(renewed(nodes).withColumnRenamed("node", s), [by, s], "left_semi")
+    edges = cut(edges.select(by, "a", "b", "positive", "negative"))
     accepted = (F.col("positive") >= support) & (F.col("negative") < cannot_link) & (F.col("positive") >= consensus * (F.col("positive") + F.col("negative")))
     placed, within = in_components(edges, edges.where(accepted), by, "node", nodes)
 
@@ -81,7 +83,7 @@ def constrained_merge(edges: DataFrame, nodes: DataFrame, support: int = 3, cons
 
     both = renewed(placed.where("root is not null")).groupBy(by, "root").cogroup(renewed(within.select(by, "root", "a", "b", "positive", "negative")).groupBy(by, "root"))
     low = both.applyInPandas(merge, f"{by} {kind}, node long, low long")
-    low = low.union(placed.where("root is null").select(by, "node", F.col("node").cast("long").alias("low")))
+    low = cut(low.union(placed.where("root is null").select(by, "node", F.col("node").cast("long").alias("low"))))
     groups = numbered(low.where("node = low").select(by, "low"), [by, "low"])  # over all scenes
     first = groups.groupBy(by).agg((F.min("k") - 1).alias("before"))
     groups = groups.join(first, by).select(by, "low", (F.col("k") - F.col("before")).alias("group_id"))
@@ -94,6 +96,7 @@ def fragment_merge(counts: DataFrame, edges: DataFrame, visible: int = 30, conta
     counts: category, instance_id, frame_id, mask_id, n (mask 0: none); edges: category, a, b, positive, negative.
     A union needs the two components' own dominant masks to agree as single instances' do.
     """
+    edges = cut(edges)
     accepted = (F.col("positive") >= support) & (F.col("negative") < cannot_link) & (F.col("positive") >= consensus * (F.col("positive") + F.col("negative")))
     placed, within = in_components(edges, edges.where(accepted), "category", "instance_id", counts)
 

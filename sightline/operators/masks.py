@@ -87,8 +87,10 @@ def split_statistics(member: DataFrame, observations: DataFrame, config: Consens
 def dominant_masks(member: DataFrame, observations: DataFrame, config: Consensus = Consensus()) -> DataFrame:
     """(frame_a, mask_a, frame_b, mask_b): the one mask of each frame that holds most of what it sees of a mask."""
     filtered = split_statistics(member, observations, config).where("filtered").select("frame_id", "mask_id")
-    own = member.join(filtered, ["frame_id", "mask_id"], "left_anti")
-    met = mask_overlaps(own).join(eligible_frames(member, observations, config), ["frame_a", "mask_a", "frame_b"])
+    own = mask_overlaps(member)  # of masks, and so without the filtered ones only now: the statistics' shuffles serve again
+    for s in ("a", "b"):
+        own = own.join(filtered.select(F.col("frame_id").alias(f"frame_{s}"), F.col("mask_id").alias(f"mask_{s}")), [f"frame_{s}", f"mask_{s}"], "left_anti")
+    met = own.join(eligible_frames(member, observations, config), ["frame_a", "mask_a", "frame_b"])
     return met.where(F.col("shared") >= config.containment * F.col("visible")).select("frame_a", "mask_a", "frame_b", "mask_b", "shared", "visible")
 
 

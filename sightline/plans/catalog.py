@@ -11,6 +11,7 @@ from ..functions.scalar import coloured, label_key
 from ..operators import evaluation, graph, iterative, masks, naming, spatial, temporal, votes
 from ..sources import provenance, sinks
 from . import query, views
+from .folders import cut
 
 UP = (0.0, 0.0, 1.0)
 #: The packed points are so close that a small margin is selective; supports need a wide gap there.
@@ -481,7 +482,7 @@ def mask_purity(spark, d):
 def constrained_merge(spark, d):
     edges = masks.consensus_edges(masks.dominant_masks(*_member(spark, d), DOMINANT), DOMINANT)
     key = lambda s: (F.col(f"frame_{s}") * 10 + F.col(f"mask_{s}")).cast("long")
-    e = edges.select(F.lit(0).alias("scene_id"), key("a").alias("a"), key("b").alias("b"), "positive", "negative")
+    e = cut(edges.select(F.lit(0).alias("scene_id"), key("a").alias("a"), key("b").alias("b"), "positive", "negative"))
     nodes = e.select("scene_id", F.explode(F.array("a", "b")).alias("node")).distinct()
     return iterative.constrained_merge(e, nodes).select("node", "group_id")
 
