@@ -15,7 +15,7 @@ where lists overlap much, as in data without clusters, this reads nearly all vec
 Equal vectors are one entry with their smallest ids, as many as an answer can need, so copies neither fill lists nor
 multiply work; equal queries are searched once.
 
-The index is fitted on at most SAMPLE vectors, those of smallest hash, and holds every vector. Null, empty and all-zero
+The index is fitted on at most SAMPLE vectors of SAMPLE_NUMBERS components in all, those of smallest hash, and holds every vector. Null, empty and all-zero
 vectors, those with null or non-finite components, those of another length than most, and rows without id take no part.
 """
 
@@ -32,7 +32,9 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-SAMPLE = 50_000
+SAMPLE, SAMPLE_NUMBERS = 50_000, 1 << 25
+#: Larger components are scaled down for the graph, which is in single precision.
+FLOAT_MOST = 1e15
 A_LIST, MOST_LISTS, PART = 200, 4096, 2000
 LINKS, BEAM = 16, 48
 ASKED = 50_000
@@ -81,14 +83,18 @@ def balanced(x: np.ndarray, k: int, seed: int = 3) -> np.ndarray:
 
 @dataclass
 class Graph:
-    """Centroids with links to their nearest ones and to some at random; entries are spread over all."""
+    """Centroids with links to their nearest ones and to some at random; entries are spread over all.
+
+    Centroids are in units of scale, which is 1 unless vectors exceed single precision.
+    """
 
     centre: np.ndarray
     links: np.ndarray
     entries: np.ndarray
+    scale: float = 1.0
 
     @classmethod
-    def over(cls, centre: np.ndarray, seed: int = 4) -> Graph:
+    def over(cls, centre: np.ndarray, scale: float = 1.0, seed: int = 4) -> Graph:
         rng, n = np.random.default_rng(seed), len(centre)
         near = min(LINKS, max(0, n - 1))
         rows = []
@@ -102,7 +108,7 @@ class Graph:
         for _ in range(min(n, 8) - 1):
             entries.append(int(d.argmax()))
             d = np.minimum(d, distances(centre, centre[entries[-1:]])[:, 0])
-        return cls(centre, links, np.unique(entries))
+        return cls(centre, links, np.unique(entries), scale)
 
     def search(self, x: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
         """(centroids, squared distances) of each row's beam, nearest first."""
@@ -164,9 +170,10 @@ def listed(rows: DataFrame, graph, ratio: float, most: int | None) -> DataFrame:
         for whole in batches:
             for a in range(0, len(whole), 1024):
                 batch = whole.slice(a, 1024)
-                x = np.array(batch.column("v").to_pylist(), np.float32)
-                if not len(x):
+                whole_x = np.array(batch.column("v").to_pylist(), np.float64)
+                if not len(whole_x):
                     continue
+                x = (whole_x / own.scale).astype(np.float32)
                 ids, d = own.search(x, COPIES * 2 if most else BEAM * 2)
                 fit = np.sqrt(d) <= ratio * np.sqrt(d[:, :1]) + 1e-6
                 fit[:, 0] = True
@@ -174,7 +181,7 @@ def listed(rows: DataFrame, graph, ratio: float, most: int | None) -> DataFrame:
                     fit[:, most:] = False
                 row, col = np.nonzero(fit)
                 got = batch.take(pa.array(row))
-                exact = np.array(batch.column("v").to_pylist(), np.float64) - own.centre[ids[:, 0]]
+                exact = whole_x - own.centre[ids[:, 0]].astype(np.float64) * own.scale
                 away = pa.array(np.sqrt((exact * exact).sum(1))[row], mask=col > 0)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[row, col].astype(np.int32)), away, *[got.column(c) for c in names]], names=["list", "away", *names])
 
@@ -240,8 +247,11 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, vec_id: str = "vec
     entries = rows.distinct().withColumn("place", place).where(F.col("place") <= k + 1)
     entries = written(entries.groupBy(*same).agg(F.first("v").alias("v"), F.array_sort(F.collect_list("vec_id")).alias("ids")), "vectors")
     n = entries.count()
-    some = np.array([r["v"] for r in entries.select("v", *same).orderBy(*same).limit(sample).select("v").toLocalIterator()], np.float32)
-    graph = Graph.over(balanced(some, max(1, min(MOST_LISTS, n // A_LIST, len(some) // 4))))
+    top = entries.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0] or 0.0
+    scale = float(top) if top > FLOAT_MOST else 1.0
+    sample = min(sample, max(1000, SAMPLE_NUMBERS // max(1, length["d"])))
+    some = np.array([np.array(r["v"]) / scale for r in entries.select("v", *same).orderBy(*same).limit(sample).select("v").toLocalIterator()], np.float32)
+    graph = Graph.over(balanced(some, max(1, min(MOST_LISTS, n // A_LIST, len(some) // 4))), scale)
     shared = spark.sparkContext.broadcast(graph)  # bounded by MOST_LISTS centroids, doubled at most by balancing
     postings = written(listed(entries.select("v", "ids"), shared, REPLICATE, COPIES), "postings")
     sizes = postings.groupBy("list").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"), F.max("away").alias("radius")).collect()
@@ -281,7 +291,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, vec_id: str = "vec
         distinct, home = written(distinct, "asked"), written(home, "home")
     for i in range(blocks):
         asks = distinct.where(F.pmod(F.xxhash64(F.lit(2), *same), F.lit(blocks)) == i)
-        found = found.unionByName(written(read_on(home, asks, graph.centre, radius, k), "further"))
+        found = found.unionByName(written(read_on(home, asks, graph.centre.astype(np.float64) * scale, radius, k), "further"))
     by_query = Window.partitionBy(*same).orderBy("score", "vec_id")
     # the k + 1 nearest entries of a query, its own among them
     answers = found.select("h1", "h2", "score", F.explode("ids").alias("vec_id")).groupBy(*same, "vec_id").agg(F.min("score").alias("score")).withColumn("place", F.row_number().over(by_query)).where(F.col("place") <= k + 1)

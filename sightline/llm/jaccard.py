@@ -3,13 +3,15 @@
 Two documents link when their sets of distinct 5-word shingles have a Jaccard similarity of 0.75 at least. The result is
 one row per document with its component, so that no copies are expanded into pairs:
 
-1. Equal sets are one class, by a 64-bit digest. All shingles are counted over the corpus, dealt by hash in blobs of many
+1. Equal sets are one class, by two 64-bit digests; a class is then named by a number of its own. All shingles are counted over the corpus, dealt by hash in blobs of many
    shingles a row. A class that shares fewer than 0.75 of its shingles with any other document cannot link and leaves.
 2. Of the rest, each class meets, in the lists of a few of its first shingles, the lists' heads; these pairs are verified
    and linked. The first head of a list is the class with the largest part of its shingles shared, as the origin of near
    copies is. Large groups are so linked with a pair or a few for each member, not with all pairs.
 3. The exact remainder: first shingles up to the prefix length are indexed with size and position, rarer ones first.
    Index lists skip blocks: entries of one component, and groups of one head whose sizes or positions rule a link out.
+   A task adds the entries of a list's groups up before they are shuffled; a list of more than CHUNK groups is parted by size
+   into chunks, and each two chunks whose sizes allow a link have a task of their own.
    Answers derive from those of a highly similar set: pairs of heads stand for all pairs of their groups. Their overlap,
    computed once, and what members share beside their heads, bounds the members' overlaps; where that leaves it open,
    members meet the other head, which narrows the bound, and only pairs within it are verified. Shingles that no other
@@ -19,7 +21,9 @@ A set's order of shingles is (how common, hash): any order that is the same for
 bounded by the blobs' size, and the number of blobs' buckets follows the number of documents.
 
 Null, empty and white-space texts have no shingles and link with nothing. A text of one to four words is one shingle.
-Repeated rows are returned as often as they come; a row without doc_id takes its class's component, if others have one.
+Repeated rows are returned as often as they come; a row without doc_id takes its class's component, if others have one, and
+a class all of whose rows lack a doc_id links with nothing. Up to PART_EDGES links are contracted in one task,
+more in alternating rounds of joins; both give the same components.
 """
 
 from __future__ import annotations
@@ -58,12 +62,12 @@ def needed(n, m):
     return ((n + m) * PERCENT + 99 + PERCENT) // (100 + PERCENT)
 
 
-def digest(x: np.ndarray) -> int:
-    """A class's key: equal for equal sets."""
+def digest(x: np.ndarray) -> tuple[int, int]:
+    """A set's two keys: equal for equal sets, independent sums over its shingles."""
     with np.errstate(over="ignore"):
-        total = mix(x ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64)
-        other = np.bitwise_xor.reduce(mix(x ^ np.uint64(0xE7037ED1A0B428DB)))
-        return int(mix(np.array([total * np.uint64(3) + mix(np.array([other]))[0] + np.uint64(len(x))]))[0].view(np.int64))
+        first = mix(x ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64) + np.uint64(len(x))
+        second = mix(x * np.uint64(0xD1342543DE82EF95) + np.uint64(0xE7037ED1A0B428DB)).sum(dtype=np.uint64)
+        return tuple(mix(np.array([first, second])).view(np.int64).tolist())
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -98,6 +102,7 @@ def counted(docs: DataFrame, buckets: int) -> DataFrame:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, run = TaskContext.get().partitionId(), 0
         ids, sizes, keys, held, owners, seen, size = [], [], [], [], [], set(), 0
+        none = (None, None)
 
         def flush() -> pa.RecordBatch:
             src = part << 32 | run
@@ -107,7 +112,7 @@ def counted(docs: DataFrame, buckets: int) -> DataFrame:
             order = np.argsort(at.astype(np.uint16) if buckets < 1 << 16 else at, kind="stable")
             at, low, owner = at[order], (every[order] & np.uint64(0xFFFFFFFF)).astype("<u4"), owner[order]
             full, first = np.unique(at, return_index=True)
-            meta = pa.table({"doc_id": pa.array(ids, pa.int64()), "n": pa.array(sizes, pa.int64()), "key": pa.array(keys, pa.int64())})
+            meta = pa.table({"doc_id": pa.array(ids, pa.int64()), "n": pa.array(sizes, pa.int64()), "key": pa.array([k for k, _ in keys], pa.int64()), "key2": pa.array([k for _, k in keys], pa.int64())})
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, meta.schema) as w:
                 w.write_table(meta)
@@ -118,7 +123,7 @@ def counted(docs: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             names = batch.column("doc_id").to_pylist()
             for i, x in shingle_sets(batch.column("text"), K):
-                key = digest(x) if len(x) else None
+                key = digest(x) if len(x) else none
                 if len(x) and key not in seen:  # copies within a run count once
                     seen.add(key)
                     held.append(x)
@@ -166,7 +171,7 @@ def shared_counts(rows: pd.DataFrame) -> pd.DataFrame:
 def document_rows(rows: pd.DataFrame) -> pd.DataFrame:
     """Of one run: its documents with size, class and number of shared shingles."""
     meta = [x for x in rows["meta"] if x is not None]
-    docs = pa.ipc.open_stream(meta[0]).read_all() if meta else pa.table({"doc_id": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "key": pa.array([], pa.int64())})
+    docs = pa.ipc.open_stream(meta[0]).read_all() if meta else pa.table({"doc_id": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "key": pa.array([], pa.int64()), "key2": pa.array([], pa.int64())})
     total = np.zeros(len(docs), np.int64)
     for r in rows.itertuples():
         if r.meta is None:
@@ -203,11 +208,11 @@ def common_shingles(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def matching_texts(rows: DataFrame) -> DataFrame:
-    """(key, n, s, text) of the rows whose text has the set that key names; s of its n shingles are shared with any other."""
+    """(key, n, s, text) of the rows whose text has the set of the digests k1, k2; s of its n shingles are shared with any other."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column("key").to_pylist()
+            keys = list(zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), strict=True))
             keep, sizes = [], []
             for i, x in shingle_sets(batch.column("text"), K):
                 if len(x) and digest(x) == keys[i]:
@@ -216,7 +221,7 @@ def matching_texts(rows: DataFrame) -> DataFrame:
             got = batch.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([got.column("key"), pa.array(sizes, pa.int64()), got.column("s"), got.column("text")], names=["key", "n", "s", "text"])
 
-    return rows.select("key", "s", "text").mapInArrow(check, "key long, n long, s long, text string")
+    return rows.select("key", "k1", "k2", "s", "text").mapInArrow(check, "key long, n long, s long, text string")
 
 
 def first_shingles(classes: DataFrame, hot, buckets: int) -> DataFrame:
@@ -320,7 +325,23 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("key"), F.col("v").alias("root")).union(e.select(F.col("v").alias("key"), F.col("v").alias("root")).distinct())
 
 
-POSTING = np.dtype([("token", "<u8"), ("root", "<i8"), ("head", "<i8"), ("n", "<u4"), ("s", "<u4"), ("at", "<u4")])
+#: A group of a list: least n, most s, most n - at (behind) and most at (before) of its entries.
+GROUP = np.dtype([("token", "<u8"), ("root", "<i8"), ("head", "<i8"), ("n", "<u4"), ("s", "<u4"), ("behind", "<u4"), ("before", "<u4")])
+#: Groups of a list that one task compares with each other.
+CHUNK = 8192
+
+
+def grouped(x: np.ndarray) -> np.ndarray:
+    """GROUP entries added up by token, root and head, in their order."""
+    if not len(x):
+        return x
+    x = x[np.lexsort((x["head"], x["root"], x["token"]))]
+    first = np.flatnonzero(np.concatenate([[True], (x["token"][1:] != x["token"][:-1]) | (x["root"][1:] != x["root"][:-1]) | (x["head"][1:] != x["head"][:-1])]))
+    out = x[first].copy()
+    out["n"] = np.minimum.reduceat(x["n"], first)
+    for c in ("s", "behind", "before"):
+        out[c] = np.maximum.reduceat(x[c], first)
+    return out
 
 
 def prefix_blobs(classes: DataFrame, hot, buckets: int) -> DataFrame:
@@ -328,7 +349,7 @@ def prefix_blobs(classes: DataFrame, hot, buckets: int) -> DataFrame:
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
-            every = np.concatenate(held)
+            every = grouped(np.concatenate(held))
             at = bucket_of(every["token"], buckets)
             order = np.argsort(at, kind="stable")
             full, first = np.unique(at[order], return_index=True)
@@ -339,8 +360,8 @@ def prefix_blobs(classes: DataFrame, hot, buckets: int) -> DataFrame:
             heads, roots, shared = batch.column("head").to_pylist(), batch.column("root").to_pylist(), batch.column("s").to_pylist()
             for i, x in shingle_sets(batch.column("text"), K):
                 some = ordered(x, hot.value, buckets)[: len(x) - least(len(x)) + 1]
-                one = np.zeros(len(some), POSTING)
-                one["token"], one["root"], one["head"], one["n"], one["s"], one["at"] = some, roots[i], heads[i], len(x), shared[i], np.arange(len(some))
+                one, at = np.zeros(len(some), GROUP), np.arange(len(some))
+                one["token"], one["root"], one["head"], one["n"], one["s"], one["behind"], one["before"] = some, roots[i], heads[i], len(x), shared[i], len(x) - at, at
                 held.append(one)
                 size += len(some)
                 if size >= FLUSH // 4:
@@ -352,38 +373,83 @@ def prefix_blobs(classes: DataFrame, hot, buckets: int) -> DataFrame:
     return classes.mapInArrow(deal, "bucket int, rows binary")
 
 
+def linkable(x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether some members of the groups i and j could link by the shared shingle, by sizes, positions and shared parts."""
+    n, s, behind, before = (x[c].astype(np.int64) for c in ("n", "s", "behind", "before"))
+    most = np.minimum(np.minimum(behind[i], behind[j]) + np.minimum(before[i], before[j]), np.minimum(s[i], s[j]))
+    return most >= np.maximum(needed(n[i], n[j]), least(np.maximum(n[i], n[j])))
+
+
+def pairs_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1)
+
+
+LISTED = "a long, b long, token long, rows binary"
+
+
 def list_pairs(rows: pd.DataFrame) -> pd.DataFrame:
-    """(a, b) of one bucket: heads in different components of whose groups some members could link by a shared shingle."""
-    x = np.concatenate([np.frombuffer(r, POSTING) for r in rows["rows"]])
-    x = x[np.argsort(x["token"], kind="stable")]
+    """LISTED: pairs (a, b) of one bucket's heads in different components that could link; lists too long for that, whole."""
+    x = grouped(np.concatenate([np.frombuffer(r, GROUP) for r in rows["rows"]]))
     first = np.flatnonzero(np.concatenate([[True], x["token"][1:] != x["token"][:-1]]))
-    mixed = np.maximum.reduceat(x["root"], first) != np.minimum.reduceat(x["root"], first)
-    x = x[np.repeat(mixed, np.diff(np.append(first, len(x))))]  # lists of one component are skipped
-    if not len(x):
-        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-    x = x[np.lexsort((x["head"], x["root"], x["token"]))]
-    new = lambda *names: np.flatnonzero(np.concatenate([[True], np.any([x[c][1:] != x[c][:-1] for c in names], axis=0)]))
-    block = new("token", "root", "head")
-    token, root, head = (x[c][block] for c in ("token", "root", "head"))
-    n, at = x["n"].astype(np.int64), x["at"].astype(np.int64)
-    n_least, s_most = np.minimum.reduceat(n, block), np.maximum.reduceat(x["s"].astype(np.int64), block)
-    behind, before = np.maximum.reduceat(n - at, block), np.maximum.reduceat(at, block)
-    token_end = np.searchsorted(token, token, "right")
-    change = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (root[1:] != root[:-1])]))
-    root_end = np.repeat(np.append(change[1:], len(token)), np.diff(np.append(change, len(token))))
-    partners = token_end - root_end  # a list skips the own component's blocks
-    every, lo = np.zeros((0, 2), np.int64), 0
-    total = np.concatenate([[0], np.cumsum(partners)])
-    while lo < len(token):
-        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + (1 << 19), "right")) - 1)
-        i = np.repeat(np.arange(lo, hi), partners[lo:hi])
-        j = np.arange(len(i)) + np.repeat(root_end[lo:hi] - (total[lo:hi] - total[lo]), partners[lo:hi])
-        most = np.minimum(np.minimum(behind[i], behind[j]) + np.minimum(before[i], before[j]), np.minimum(s_most[i], s_most[j]))
-        fit = most >= np.maximum(needed(n_least[i], n_least[j]), least(np.maximum(n_least[i], n_least[j])))
-        a, b = head[i[fit]], head[j[fit]]
-        every = np.unique(np.concatenate([every, np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1)]), axis=0)
-        lo = hi
-    return pd.DataFrame({"a": every[:, 0], "b": every[:, 1]})
+    size = np.diff(np.append(first, len(x)))
+    mixed = np.maximum.reduceat(x["root"], first) != np.minimum.reduceat(x["root"], first)  # lists of one component are skipped
+    long = [(int(x["token"][f].view(np.int64)), x[f : f + n].tobytes()) for f, n in zip(first[mixed & (size > CHUNK)], size[mixed & (size > CHUNK)], strict=True)]
+    x = x[np.repeat(mixed & (size <= CHUNK), size)]
+    every = np.zeros((0, 2), np.int64)
+    if len(x):
+        token, root, head = x["token"], x["root"], x["head"]
+        token_end = np.searchsorted(token, token, "right")
+        change = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (root[1:] != root[:-1])]))
+        root_end = np.repeat(np.append(change[1:], len(token)), np.diff(np.append(change, len(token))))
+        partners = token_end - root_end  # a list skips the own component's blocks
+        total, lo = np.concatenate([[0], np.cumsum(partners)]), 0
+        while lo < len(token):
+            hi = max(lo + 1, int(np.searchsorted(total, total[lo] + (1 << 19), "right")) - 1)
+            i = np.repeat(np.arange(lo, hi), partners[lo:hi])
+            j = np.arange(len(i)) + np.repeat(root_end[lo:hi] - (total[lo:hi] - total[lo]), partners[lo:hi])
+            fit = linkable(x, i, j)
+            every = np.unique(np.concatenate([every, pairs_of(head[i[fit]], head[j[fit]])]), axis=0)
+            lo = hi
+    return pd.DataFrame({"a": [*every[:, 0].tolist(), *[None] * len(long)], "b": [*every[:, 1].tolist(), *[None] * len(long)], "token": [*[None] * len(every), *[t for t, _ in long]], "rows": [*[None] * len(every), *[r for _, r in long]]}).astype({"a": "Int64", "b": "Int64", "token": "Int64"})
+
+
+def long_list_pairs(lists: DataFrame) -> DataFrame:
+    """(a, b) of lists (token, rows) of many groups: chunks of like sizes, and a task for each two that sizes let link."""
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for token, raw in zip(batch.column("token").to_pylist(), batch.column("rows").to_pylist(), strict=True):
+                x = np.frombuffer(raw, GROUP)
+                x = x[np.argsort(x["n"], kind="stable")]
+                parts = [x[a : a + CHUNK] for a in range(0, len(x), CHUNK)]
+                for i, p in enumerate(parts):
+                    # a group's members may be larger than its least n: what they reach is bounded by behind and before
+                    reach = int((p["behind"].astype(np.int64) + p["before"]).max())
+                    for j in range(i, len(parts)):
+                        if least(int(parts[j]["n"].min())) <= reach:
+                            yield pa.RecordBatch.from_pydict({"token": pa.array([token], pa.int64()), "i": pa.array([i], pa.int32()), "j": pa.array([j], pa.int32()), "x": pa.array([p.tobytes()], pa.binary()), "y": pa.array([parts[j].tobytes()], pa.binary())})
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, x, y in zip(*(batch.column(c).to_pylist() for c in ("i", "j", "x", "y")), strict=True):
+                x, y = np.frombuffer(x, GROUP), np.frombuffer(y, GROUP)
+                both = np.concatenate([x, y])
+                every = np.zeros((0, 2), np.int64)
+                for a in range(0, len(x), 64):
+                    k = np.repeat(np.arange(a, min(len(x), a + 64)), len(y))
+                    m = np.tile(np.arange(len(y)), len(k) // len(y))
+                    some = x["root"][k] != y["root"][m]
+                    if i == j:
+                        some &= k < m
+                    k, m = k[some], m[some]
+                    fit = linkable(both, k, m + len(x))
+                    every = np.unique(np.concatenate([every, pairs_of(x["head"][k[fit]], y["head"][m[fit]])]), axis=0)
+                if len(every):
+                    yield pa.RecordBatch.from_arrays([pa.array(every[:, 0]), pa.array(every[:, 1])], names=["a", "b"])
+
+    dealt = lists.select("token", "rows").mapInArrow(chunks, "token long, i int, j int, x binary, y binary")
+    n = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(n, "token", "i", "j").mapInArrow(compare, "a long, b long")
 
 
 def remaining_links(classes: DataFrame, near: DataFrame, roots: DataFrame, stars: DataFrame, hot, buckets: int) -> DataFrame:
@@ -394,7 +460,8 @@ def remaining_links(classes: DataFrame, near: DataFrame, roots: DataFrame, stars
     member = sizes.join(best, "key", "left").join(roots, "key", "left")
     member = written(member.select("key", "n", "s", F.coalesce("root", "key").alias("root"), F.coalesce("x.a", "key").alias("head"), F.when(F.col("x").isNull(), 0).otherwise(F.greatest(F.lit(0), F.col("s") - F.col("x.shared"))).alias("extra")), "members")
     listed = classes.select("key", "s", "text").join(member.select("key", "root", "head"), "key")
-    pairs = written(prefix_blobs(listed, hot, buckets).groupBy("bucket").applyInPandas(list_pairs, "a long, b long").distinct(), "pairs")
+    met = written(prefix_blobs(listed, hot, buckets).groupBy("bucket").applyInPandas(list_pairs, LISTED), "lists")
+    pairs = written(met.where("rows is null").select("a", "b").union(long_list_pairs(met.where("rows is not null"))).distinct(), "pairs")
     met = written(overlaps(pairs, classes), "overlaps")
     links = linked(met).select("a", "b")
 
@@ -445,11 +512,13 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     buckets = max(16, -(-rows.count() // DOCS_A_BUCKET))
     sc = docs.sparkSession.sparkContext
     counts = written(counted(rows, buckets).groupBy("bucket").applyInPandas(shared_counts, "src long, a binary, b binary, meta binary"), "counts")
-    every = written(counts.where("src >= 0").groupBy("src").applyInPandas(document_rows, "doc_id long, n long, key long, shared long"), "rows")
-    classes = written(every.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("shared").alias("shared")), "classes")
+    every = written(counts.where("src >= 0").groupBy("src").applyInPandas(document_rows, "doc_id long, n long, key long, key2 long, shared long"), "rows")
+    every = every.withColumnsRenamed({"key": "k1", "key2": "k2"})
+    classes = every.where("k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("shared").alias("shared"))
+    classes = written(classes.withColumn("key", F.monotonically_increasing_id()), "classes")
     hot = sc.broadcast(common_shingles(counts))
     able = classes.where(F.col("shared") >= least_of(F.col("n"))).where("doc_id is not null")
-    able = able.select("doc_id", "key", F.col("shared").alias("s"))
+    able = able.select("doc_id", "key", "k1", "k2", F.col("shared").alias("s"))
     texts = written(matching_texts(rows.join(able, "doc_id")).dropDuplicates(["key"]), "texts")
     stars = written(overlaps(head_pairs(written(first_shingles(texts, hot, buckets), "first")), texts), "stars")
     near = written(linked(stars).select("a", "b"), "links")
@@ -459,8 +528,8 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         roots = written(components(near.union(more)), "roots")
     named = classes.select("key", "doc_id").join(roots, "key")
     named = named.groupBy("root").agg(F.min("doc_id").alias("low")).join(roots, "root").select("key", "low")
-    final = written(classes.select("key", "doc_id").join(named, "key", "left").select("key", F.coalesce("low", "doc_id").alias("low")), "names")
-    return every.join(final, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("low", "doc_id").alias("component_id"))
+    final = written(classes.select("key", "k1", "k2", "doc_id").join(named, "key", "left").select("k1", "k2", F.coalesce("low", "doc_id").alias("low")), "names")
+    return every.join(final, ["k1", "k2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("low", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

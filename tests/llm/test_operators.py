@@ -9,6 +9,7 @@ import zlib
 from html import unescape
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -409,9 +410,10 @@ def components_by_force(rows):
     return {d: (len(sets[d]), low[d]) for d in sets}
 
 
-@pytest.mark.parametrize(("seed", "part_edges"), [(3, 1_000_000), (6, 20)])
-def test_jaccard_components(spark, monkeypatch, seed, part_edges):
+@pytest.mark.parametrize(("seed", "part_edges", "chunk"), [(3, 1_000_000, 8192), (6, 20, 8192), (7, 1_000_000, 3)])
+def test_jaccard_components(spark, monkeypatch, seed, part_edges, chunk):
     monkeypatch.setattr(jaccard, "PART_EDGES", part_edges)
+    monkeypatch.setattr(jaccard, "CHUNK", chunk)
     r = random.Random(seed)
     vocab = [f"w{i}" for i in range(3000)]
     line, rows = r.choices(vocab, k=30), []
@@ -466,6 +468,41 @@ def test_nearest(spark):
     assert len(few) == 2
 
 
+def test_long_lists_equal_short_ones(spark, monkeypatch):
+    """Lists of many groups, in chunks and at once, give the same pairs."""
+    rng = np.random.default_rng(15)
+    x = np.zeros(3000, jaccard.GROUP)
+    x["token"], x["root"], x["head"] = rng.integers(0, 4, len(x)), rng.integers(0, 900, len(x)), rng.integers(0, 2000, len(x))
+    x["n"] = rng.integers(5, 200, len(x))
+    x["before"] = rng.integers(0, 3, len(x))
+    x["behind"], x["s"] = x["n"] - x["before"], x["n"] - rng.integers(0, 2, len(x))
+    rows = pd.DataFrame({"bucket": [0], "rows": [x.tobytes()]})
+    want = jaccard.list_pairs(rows)
+    assert want["rows"].isna().all() and len(want) > 100
+    monkeypatch.setattr(jaccard, "CHUNK", 50)
+    long = jaccard.list_pairs(rows)
+    assert long["rows"].notna().sum() == 4
+    lists = spark.createDataFrame([(int(r.token), bytes(r.rows)) for r in long.itertuples() if r.rows is not None], "token long, rows binary")
+    found = {tuple(r) for r in jaccard.long_list_pairs(lists).collect()} | {(r.a, r.b) for r in long.itertuples() if r.rows is None}
+    assert found == set(want[["a", "b"]].itertuples(index=False, name=None))
+
+
+def test_nearest_of_repeated_ids_and_large_numbers(spark):
+    rng = np.random.default_rng(16)
+    for x in (rng.normal(size=(300, 4)) * 1e60, 1e7 + rng.normal(size=(300, 4)), rng.normal(size=(300, 4)) * 1e-30):
+        rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(100, x[7].tolist()), (5, x[5].tolist()), (5, x[5].tolist())]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got = [tuple(r) for r in ann.nearest(df, F.col("vec_id") == 0).collect()]
+        d = np.sqrt(((x - x[0]) ** 2).sum(1)).tolist() + [float(np.sqrt(((x[7] - x[0]) ** 2).sum()))]
+        ids = [*range(300), 100]
+        low = {}
+        for i, v in zip(ids, d, strict=True):  # a repeated id counts once, at its nearest
+            low[i] = min(v, low.get(i, math.inf))
+        want = sorted((v, i) for i, v in low.items() if i)[:10]
+        assert [(i, r) for _, r, i, _ in sorted(got, key=lambda r: r[1])] == [(i, r) for r, (_, i) in enumerate(want, 1)]
+        assert np.allclose([s for *_, s in sorted(got, key=lambda r: r[1])], [v for v, _ in want], rtol=1e-12)
+
+
 def test_nearest_of_tight_groups_and_many_lists(spark):
     rng = np.random.default_rng(9)
     far = np.concatenate([40 * rng.normal(size=(1, 8)) + 1e-4 * rng.normal(size=(4, 8)) for _ in range(6)])
