@@ -2,24 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans import folders
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Only where that is unset, as in tests, a local one is made and set."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="shared-")
-        sc.setCheckpointDir(found)
+    """The folder of spark.checkpoint.dir as a uri. Where that is unset, a local master, as in tests, gets one of its own."""
+    found = folders.shared_folder(spark)
     return found if urlparse(found).scheme else f"file://{found}"
 
 
@@ -35,6 +32,14 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that written() made and that no plan reads any more."""
+    for df in tables:
+        if files := df.inputFiles():
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spare_name(taken, stem: str) -> str:
     """stem, or stem with a number, that clashes with no name in taken, whatever the case."""
     low = {x.lower() for x in taken}

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spare_name, written
+from .common import discard, spare_name, written
 from .textbatch import mix, shingle_sets
 
 K = 5
@@ -529,6 +529,7 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     named = classes.select("key", "doc_id").join(roots, "key")
     named = named.groupBy("root").agg(F.min("doc_id").alias("low")).join(roots, "root").select("key", "low")
     final = written(classes.select("key", "k1", "k2", "doc_id").join(named, "key", "left").select("k1", "k2", F.coalesce("low", "doc_id").alias("low")), "names")
+    discard(counts, classes, texts, stars, near, more)
     return every.join(final, ["k1", "k2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("low", "doc_id").alias("component_id"))
 
 
