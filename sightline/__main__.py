@@ -1,4 +1,4 @@
-"""Commands: demo, build-scene-graph, query-scene, clean-pointcloud."""
+"""Commands: demo, build-scene-graph, query-scene, clean-pointcloud, evaluate-semantic, export-evaluation."""
 
 from __future__ import annotations
 
@@ -7,8 +7,10 @@ import json
 
 from pyspark.sql import SparkSession
 
+from .operators import evaluation
 from .operators.graph import SceneGraph, Thresholds, build_graph, validate_graph
 from .operators.spatial import radius_cleanup
+from .plans.folders import cut
 from .plans.query import execute
 from .sources.files import demo_scene, read_dictionary
 
@@ -33,6 +35,15 @@ def main(args: list[str] | None = None) -> int:
     clean.add_argument("output")
     clean.add_argument("--radius", type=float, default=0.06)
     clean.add_argument("--neighbours", type=int, default=4)
+    judge = commands.add_parser("evaluate-semantic", help="coverage, accuracies and per-class IoU of labelled points against a reference table")
+    judge.add_argument("points")
+    judge.add_argument("reference")
+    judge.add_argument("output")
+    judge.add_argument("--distance", type=float, default=evaluation.DISTANCE)
+    export = commands.add_parser("export-evaluation", help="labelled points in an evaluator's classes")
+    export.add_argument("points")
+    export.add_argument("mapping", help="a table of semantic_id and class_20")
+    export.add_argument("output")
     o = parser.parse_args(args)
     spark = SparkSession.builder.appName("sightline").getOrCreate()
 
@@ -52,6 +63,15 @@ def main(args: list[str] | None = None) -> int:
         g = SceneGraph(spark.read.parquet(f"{o.graph}/nodes"), spark.read.parquet(f"{o.graph}/edges"), o.up)
         validate_graph(g)
         show(execute(g, question=o.question, plan=json.loads(o.plan) if o.plan else None))
+    elif o.command == "evaluate-semantic":
+        forward, backward = evaluation.paired(spark.read.parquet(o.points), spark.read.parquet(o.reference), o.distance)
+        forward, backward = cut(forward), cut(backward)
+        row = evaluation.coverage(forward, backward).first()
+        evaluation.class_iou(backward).write.mode("errorifexists").parquet(f"{o.output}/per_class_iou")
+        evaluation.iou_matrix(backward).write.mode("errorifexists").parquet(f"{o.output}/instance_iou")
+        print(json.dumps(row.asDict()))
+    elif o.command == "export-evaluation":
+        evaluation.label_export(spark.read.parquet(o.points), spark.read.parquet(o.mapping)).write.mode("errorifexists").parquet(o.output)
     else:
         kept, removed = radius_cleanup(spark.read.parquet(o.points), o.radius, o.neighbours)
         kept.write.mode("errorifexists").parquet(f"{o.output}/kept")

@@ -128,6 +128,16 @@ def scannet_reference(vertices: DataFrame, segments: DataFrame, groups: DataFram
     return vertices.join(segments.join(owned, "segment", "left").select("vertex_id", F.coalesce("object_id", F.lit(-1)).alias("object_id")), "vertex_id")
 
 
+def rscan_reference(vertices: DataFrame, groups: DataFrame, scan_id: str, annotated: str | None = None) -> DataFrame:
+    """vertices (with object_id) with label, null where groups (object_id, label) name none; another scan's groups are refused."""
+    from ..schemas import DataError, refuse_duplicates
+
+    if annotated is not None and annotated != scan_id:
+        raise DataError(f"the annotation is of {annotated}, not of {scan_id}")
+    refuse_duplicates(groups, "object_id")
+    return vertices.join(groups.select("object_id", "label"), "object_id", "left")
+
+
 def label_export(points: DataFrame, mapping: DataFrame, most: int = 65535) -> DataFrame:
     """(point_id, class_20, instance): names mapped to the evaluator's ids, unknown 0, instance 0 as -1."""
     from ..schemas import refuse

@@ -231,17 +231,21 @@ def hungarian(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((int(owner[j]), j) for j in range(m) if owner[j] >= 0)
 
 
-def assignment(pairs: DataFrame, by: str = "scene_id", score: str = "iou") -> DataFrame:
-    """(by, a, b, score): as many one-to-one pairs as possible, and of those sets one with the highest total score."""
+def assignment(pairs: DataFrame, by: str = "scene_id", score: str = "iou", most_pairs: bool = True) -> DataFrame:
+    """(by, a, b, score): as many one-to-one pairs as possible, and of those sets one with the highest total score.
+
+    Without most_pairs the total score alone counts.
+    """
     kind = pairs.schema[by].dataType.simpleString()
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         a, b = sorted(rows["a"].unique()), sorted(rows["b"].unique())
         ia, ib = {x: i for i, x in enumerate(a)}, {x: i for i, x in enumerate(b)}
         benefit = np.zeros((len(a), len(b)))
+        base = min(benefit.shape) + 1 if most_pairs else 0
         for x, y, s in rows[["a", "b", score]].itertuples(index=False):
-            benefit[ia[x], ib[y]] = min(benefit.shape) + 1 + s
-        got = [(a[i], b[j], benefit[i, j] - min(benefit.shape) - 1) for i, j in hungarian(-benefit) if benefit[i, j] > 0]
+            benefit[ia[x], ib[y]] = base + s
+        got = [(a[i], b[j], benefit[i, j] - base) for i, j in hungarian(-benefit) if benefit[i, j] > 0]
         return pd.DataFrame({by: rows[by].iloc[0], "a": [g[0] for g in got], "b": [g[1] for g in got], score: [g[2] for g in got]})
 
     return pairs.select(by, "a", "b", score).groupBy(by).applyInPandas(solve, f"{by} {kind}, a long, b long, {score} double")

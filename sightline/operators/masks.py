@@ -48,6 +48,11 @@ def membership(observations: DataFrame, least: int = 50) -> DataFrame:
     return own.join(big, ["frame_id", "mask_id"])
 
 
+def classless(observations: DataFrame) -> DataFrame:
+    """Observations whose class says only whether there is a mask, for objects without a name; that class is never exported."""
+    return observations.withColumn("class_id", (F.col("mask_id") > 0).cast("int"))
+
+
 def mask_overlaps(member: DataFrame) -> DataFrame:
     """(frame_a, mask_a, frame_b, mask_b, shared): counts of common points, a mask with itself too.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import coloured, label_key
-from ..operators import evaluation, graph, iterative, masks, naming, spatial, temporal, votes
+from ..operators import evaluation, graph, iterative, masks, measured, naming, spatial, temporal, votes
 from ..sources import provenance, sinks
 from . import query, views
 from .folders import cut
@@ -496,13 +496,24 @@ def fragment_merge(spark, d):
     return iterative.fragment_merge(counts, edges, visible=5, containment=0.5)
 
 
-@register()
+@register(f"""WITH RECURSIVE {MATRIX_SQL}, ord AS (SELECT *, row_number() OVER (ORDER BY iou DESC, predicted, reference) AS k FROM mx),
+r(k, a, b, used_a, used_b, iou) AS (SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]), CAST(NULL AS DOUBLE)
+  UNION ALL SELECT o.k, CASE WHEN f THEN predicted END, CASE WHEN f THEN reference END, CASE WHEN f THEN list_append(used_a, predicted) ELSE used_a END, CASE WHEN f THEN list_append(used_b, reference) ELSE used_b END, o.iou
+  FROM (SELECT o.*, r.used_a, r.used_b, NOT list_contains(r.used_a, predicted) AND NOT list_contains(r.used_b, reference) AS f FROM r JOIN ord o ON o.k = r.k + 1) o)
+SELECT a, b, round(iou, 6) AS coverage FROM r WHERE a IS NOT NULL""")
 def greedy_matching(spark, d):
     m = evaluation.iou_matrix(_backward(spark, d)).select(F.lit(0).alias("scene_id"), F.col("predicted").alias("a"), F.col("reference").alias("b"), F.col("iou").alias("coverage"))
     return iterative.greedy_matching(m).select("a", "b", r6("coverage"))
 
 
-@register()
+@register(f"""WITH RECURSIVE {views.SPREAD_SQL}, ord AS (SELECT semantic_id AS scene_id, point_id AS frame_id, x, y, z, row_number() OVER (PARTITION BY semantic_id ORDER BY abs(z) DESC, point_id) AS k FROM points),
+r(scene_id, k, taken, ids) AS (SELECT DISTINCT scene_id, CAST(0 AS BIGINT), CAST([] AS STRUCT(x DOUBLE, y DOUBLE, z DOUBLE)[]), CAST([] AS BIGINT[]) FROM ord
+  UNION ALL SELECT scene_id, k, CASE WHEN f THEN list_append(taken, p) ELSE taken END, CASE WHEN f THEN list_append(ids, frame_id) ELSE ids END
+  FROM (SELECT o.scene_id, o.k, o.frame_id, r.taken, r.ids, struct_pack(x := o.x, y := o.y, z := o.z) AS p, len(r.ids) < 10 AND len(list_filter(r.taken, lambda t: sqrt((t.x - o.x) ^ 2 + (t.y - o.y) ^ 2 + (t.z - o.z) ^ 2) < 2)) = 0 AS f
+        FROM r JOIN ord o ON o.scene_id = r.scene_id AND o.k = r.k + 1)),
+last AS (SELECT scene_id, ids FROM r WHERE (scene_id, k) IN (SELECT (scene_id, max(k)) FROM ord GROUP BY scene_id)),
+rest AS (SELECT o.scene_id, o.frame_id, row_number() OVER (PARTITION BY o.scene_id ORDER BY o.k) AS n, len(ids) AS had FROM ord o JOIN last USING (scene_id) WHERE NOT list_contains(ids, o.frame_id))
+SELECT scene_id, unnest(ids) AS frame_id, 'quality_and_pose_diversity' AS reason FROM last UNION ALL SELECT scene_id, frame_id, 'quality_budget_fallback' FROM rest WHERE n <= 10 - had""")
 def greedy_diverse_topk(spark, d):
     p = views.map_points(spark, d, True)
     one, zero = F.lit(1.0), F.lit(0.0)
@@ -517,7 +528,12 @@ def online_tracks(spark, d):
     return iterative.online_association(o, least=5, overlap=0.1)
 
 
-@register()
+@register(f"""WITH RECURSIVE {MEMBER_SQL}, size AS (SELECT frame_id, mask_id, count(*) AS n, avg(confidence) AS score FROM member GROUP BY ALL),
+ord AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY score DESC, mask_id) AS k FROM size),
+r(frame_id, k, kept, sizes) AS (SELECT DISTINCT frame_id, CAST(0 AS BIGINT), CAST([] AS INTEGER[]), CAST([] AS BIGINT[]) FROM size
+  UNION ALL SELECT o.frame_id, o.k, CASE WHEN len(list_filter(r.sizes, lambda x: least(x, o.n) / greatest(x, o.n) >= .8)) = 0 THEN list_append(r.kept, o.mask_id) ELSE r.kept END,
+    CASE WHEN len(list_filter(r.sizes, lambda x: least(x, o.n) / greatest(x, o.n) >= .8)) = 0 THEN list_append(r.sizes, o.n) ELSE r.sizes END FROM r JOIN ord o ON o.frame_id = r.frame_id AND o.k = r.k + 1)
+SELECT frame_id, CAST(unnest(kept) AS BIGINT) AS mask_id FROM r WHERE (frame_id, k) IN (SELECT (frame_id, max(k)) FROM ord GROUP BY frame_id)""")
 def duplicate_mask_suppression(spark, d):
     member, _ = _member(spark, d)
     size = member.groupBy("frame_id", "mask_id").agg(F.count("*").alias("size"), F.avg("confidence").alias("score"))
@@ -532,6 +548,82 @@ def rigid_fit(spark, d):
     pairs = p.select(F.col("semantic_id").alias("pair_id"), *[F.col(c).alias(f"a_{c}") for c in "xyz"], (F.col("y") + 1).alias("b_x"), (-F.col("x")).alias("b_y"), (F.col("z") - 2).alias("b_z"))
     return iterative.rigid_fit(pairs).select("pair_id", F.transform("transform", lambda v: F.round(v, 5)).alias("transform"), F.round("rmse", 5).alias("rmse"))
 
+def _claims(spark, d):
+    o = views.observations(spark, d)
+    return o.select("frame_id", (F.col("point_id") % 16).alias("u"), (F.floor(F.col("point_id") / 16) % 12).alias("v"), "class_id", "mask_id", F.col("confidence").alias("score"))
+
+
+@register(f"""WITH {views.OBSERVATIONS_SQL}, c AS (SELECT frame_id, point_id % 16 AS u, point_id // 16 % 12 AS v, class_id, mask_id, confidence AS score FROM obs WHERE class_id > 0),
+best AS (SELECT *, row_number() OVER (PARTITION BY frame_id, u, v, class_id ORDER BY score DESC, mask_id) AS rn FROM c),
+rk AS (SELECT *, row_number() OVER (PARTITION BY frame_id, u, v ORDER BY score DESC, class_id) AS k, lead(score) OVER (PARTITION BY frame_id, u, v ORDER BY score DESC, class_id) AS nx FROM best WHERE rn = 1),
+one AS (SELECT *, score >= .5 AND score - coalesce(nx, 0) >= .1 AS known FROM rk WHERE k = 1)
+SELECT frame_id, u, v, CASE WHEN known THEN class_id ELSE 0 END AS class_id, CASE WHEN known THEN mask_id ELSE 0 END AS mask_id, CASE WHEN known THEN score ELSE 0.0 END::DOUBLE AS score FROM one""")
+def pixel_claims(spark, d):
+    return votes.pixel_claims(_claims(spark, d))
+
+
+#: A lower score than that of real masks, so that some groups pass and some do not.
+LOOSE = masks.Consensus(mask_points=20, object_score=0.51)
+
+
+@register(f"""WITH {MEMBER_SQL}, g AS (SELECT DISTINCT frame_id, mask_id, mask_id + 4 * (frame_id % 2) AS group_id FROM member)
+SELECT group_id, count(DISTINCT frame_id) AS frames, round(sum(confidence) / count(*), 6) AS score FROM member JOIN g USING (frame_id, mask_id) GROUP BY group_id HAVING count(DISTINCT frame_id) >= 2 AND sum(confidence) / count(*) >= .51""")
+def group_scores(spark, d):
+    member, _ = _member(spark, d)
+    return masks.group_scores(member, _groups(member), LOOSE).select("group_id", "frames", r6("score"))
+
+
+@register(f"""WITH {views.OBSERVATIONS_SQL}, steps AS (SELECT frame_id AS fa, lead(frame_id) OVER (ORDER BY frame_id) AS fb FROM (SELECT DISTINCT frame_id FROM obs)),
+met AS (SELECT fa, fb, a.mask_id AS ma, b.mask_id AS mb, a.point_id FROM steps JOIN obs a ON a.frame_id = fa JOIN obs b ON b.frame_id = fb AND a.point_id = b.point_id),
+na AS (SELECT fa, fb, ma, count(*) AS n FROM met GROUP BY ALL HAVING count(*) >= 5), nb AS (SELECT fa, fb, mb, count(*) AS n FROM met GROUP BY ALL HAVING count(*) >= 5),
+pairs AS (SELECT fa, fb, ma, mb, count(*) AS shared FROM met GROUP BY ALL),
+flow AS (SELECT pairs.* FROM pairs JOIN na USING (fa, fb, ma) JOIN nb USING (fa, fb, mb) WHERE shared >= 5 AND shared >= .5 * least(na.n, nb.n)),
+k AS (SELECT fa, fb, sum(a) AS masks_a, sum(b) AS masks_b FROM (SELECT fa, fb, 1 AS a, 0 AS b FROM na UNION ALL SELECT fa, fb, 0, 1 FROM nb) GROUP BY ALL),
+mg AS (SELECT fa, fb, count(*) AS n FROM (SELECT fa, fb, mb FROM flow GROUP BY ALL HAVING count(*) >= 2) GROUP BY ALL), sp AS (SELECT fa, fb, count(*) AS n FROM (SELECT fa, fb, ma FROM flow GROUP BY ALL HAVING count(*) >= 2) GROUP BY ALL)
+SELECT fa AS frame_a, fb AS frame_b, CAST(masks_a AS BIGINT) AS masks_a, CAST(masks_b AS BIGINT) AS masks_b, coalesce(mg.n, 0) AS merge_like, coalesce(sp.n, 0) AS split_like FROM k LEFT JOIN mg USING (fa, fb) LEFT JOIN sp USING (fa, fb)""")
+def transition_events(spark, d):
+    o = views.observations(spark, d).withColumn("sequence_id", F.lit("s"))
+    return measured.transition_events(o.select("sequence_id", "frame_id", "mask_id", "point_id"), o.select("sequence_id", "frame_id", "point_id"), 5).drop("sequence_id")
+
+
+@register()
+def temporal_matches(spark, d):
+    o = views.observations(spark, d).withColumn("sequence_id", F.lit("s"))
+    return measured.temporal_matches(o.select("sequence_id", "frame_id", "mask_id", "point_id"), o.select("sequence_id", "frame_id", "point_id"), 5).select("frame_a", "frame_b", "mask_a", "mask_b", r6("iou"))
+
+
+@register(f"""WITH {views.POINTS_SQL}, f AS (SELECT *, point_id % 4 <> 0 AS near, CASE WHEN point_id % 4 <> 0 THEN CASE WHEN point_id % 6 = 0 THEN (semantic_id + 1) % 10 ELSE semantic_id END END AS ref FROM points), g AS (SELECT *, CASE WHEN point_id % 5 = 0 THEN 0 WHEN point_id % 7 = 0 THEN (semantic_id + 1) % 10 ELSE semantic_id END AS semantic FROM points),
+a AS (SELECT count(*) AS points, count_if(near) AS near_points, count_if(near AND ref > 0) AS supported_points, count_if(near AND ref > 0 AND semantic_id > 0) AS labelled_supported_points,
+  round(count_if(near AND ref > 0 AND semantic_id = ref) / count_if(near AND ref > 0), 6) AS accuracy_unknown_as_error, round(count_if(near AND ref > 0 AND semantic_id = ref) / count_if(near AND ref > 0 AND semantic_id > 0), 6) AS accuracy_labelled_only FROM f),
+b AS (SELECT count(*) AS vertices, count_if(point_id % 5 <> 0) AS covered_vertices, count_if(semantic_id > 0) AS shared_class_vertices, round(count_if(semantic_id > 0 AND semantic = semantic_id) / count_if(semantic_id > 0), 6) AS reference_accuracy FROM g)
+SELECT a.*, b.* FROM a, b""")
+def coverage_summary(spark, d):
+    p = views.map_points(spark, d)
+    i = F.col("point_id")
+    ref = F.when(i % 4 != 0, F.when(i % 6 == 0, (F.col("semantic_id") + 1) % 10).otherwise(F.col("semantic_id")))
+    forward = p.withColumn("near", i % 4 != 0).withColumn("ref_semantic", ref)
+    one = evaluation.coverage(forward, _backward(spark, d))
+    return one.select(*[r6(c) if "accuracy" in c else F.col(c) for c in one.columns])
+
+
+@register(f"""WITH {views.POINTS_SQL}, near AS (SELECT a.point_id, count(*) AS n FROM points a JOIN points b ON a.point_id <> b.point_id AND sqrt((a.x - b.x) ^ 2 + (a.y - b.y) ^ 2 + (a.z - b.z) ^ 2) <= .35 GROUP BY ALL)
+SELECT points.point_id, semantic_id FROM points LEFT JOIN near USING (point_id) WHERE coalesce(n, 0) < 4""")
+def radius_cleanup_removed(spark, d):
+    return spatial.radius_cleanup(views.map_points(spark, d), 0.35, 4)[1].select("point_id", "semantic_id")
+
+
+@register(f"""WITH {views.POINTS_SQL}, per AS (SELECT semantic_id AS group_id, count(*) AS n FROM points WHERE instance_id = 0 AND semantic_id > 0 GROUP BY ALL), top AS (SELECT max(instance_id) AS top FROM points)
+SELECT group_id, n, CASE WHEN n >= 5 THEN top + row_number() OVER (PARTITION BY n >= 5 ORDER BY group_id) END AS candidate_id, CASE WHEN n >= 5 THEN 'accepted' ELSE 'too_few_points' END AS reason FROM per, top""")
+def unresolved_candidates(spark, d):
+    p = views.map_points(spark, d)
+    return naming.candidates_from_groups(p.select("point_id", F.col("semantic_id").cast("long").alias("group_id")), p, 5)
+
+
+@register(f"""WITH {views.OBSERVATIONS_SQL}, bits AS (SELECT frame_id, mask_id, count(DISTINCT point_id % 192) AS area FROM obs GROUP BY ALL) SELECT * FROM bits""")
+def packed_mask_areas(spark, d):
+    o = views.observations(spark, d).select("frame_id", "mask_id", (F.col("point_id") % 192 % 16).alias("u"), F.floor(F.col("point_id") % 192 / 16).alias("v"))
+    return measured.packed_masks(o, 16, 12, ["frame_id", "mask_id"]).select("frame_id", "mask_id", measured.packed_area(F.col("packed"), 192).alias("area"))
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects near the first table of the derived scene, with their evidence."""

@@ -43,6 +43,46 @@ def load_inventory(spark: SparkSession, root: str, require_bound: bool = True) -
     return listed
 
 
+#: What older results call their files, and the claims that an older refinement's receipt must make.
+LEGACY_MAPS, LEGACY_RESULTS, LEGACY_FOLDERS = ("map_labeled.ply", "semantic_labeled.ply"), ("result.json", "RESULT.json"), ("", "export", "fused/export", "fused")
+LEGACY_CLAIMS = {"scope": "fixed geometry semantic refinement; no SLAM or SGA inference", "known_labels_preserved": True, "geometry_modified": False, "instance_ids_preserved": True, "GT_used": False}
+
+
+def legacy_layout(root: str) -> dict[str, str]:
+    """Paths of map, classes and result of a result without inventory, by the first layout that has all three."""
+    def layouts():
+        for part in LEGACY_FOLDERS:
+            folder = os.path.normpath(os.path.join(root, part))
+            for name in LEGACY_MAPS:
+                for beside in (folder, os.path.dirname(folder)):
+                    for result in LEGACY_RESULTS:
+                        yield {"map": os.path.join(folder, name), "classes": os.path.join(beside, "classes.json"), "result": os.path.join(beside, result)}
+
+    found = next((x for x in layouts() if all(map(os.path.isfile, x.values()))), None)
+    if found is None:
+        raise DataError("no result: a labelled map, classes and a result file are needed")
+    return found
+
+
+def legacy_complete(result: str) -> bool:
+    """Whether a receipt without a status is an older refinement's, in its exact form. Its use must be asked for."""
+    with open(result, encoding="utf-8") as f:
+        receipt = json.load(f)
+    kinds = {"scene": str, "changed_points": int, "fragment_policy": bool, "objects": list}
+    exact = all(type(receipt.get(k)) is type(v) and receipt[k] == v for k, v in LEGACY_CLAIMS.items()) and all(type(receipt.get(k)) is t for k, t in kinds.items())
+    beside = os.path.isfile(os.path.join(os.path.dirname(result), "map_labels.npz"))
+    return exact and beside and "status" not in receipt and bool(receipt["scene"]) and receipt["changed_points"] >= 0 and os.path.basename(result).lower() == "result.json"
+
+
+def session_listing(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """(session_id, root, modified) of the folders directly below the roots; an id in two roots is refused."""
+    rows = [(e.name, root, e.stat().st_mtime) for root in roots if os.path.isdir(root) for e in os.scandir(root) if e.is_dir() and not e.name.startswith(".")]
+    names = [r[0] for r in rows]
+    if twice := sorted({n for n in names if names.count(n) > 1}):
+        raise DataError(f"sessions in more than one root: {twice[:10]}")
+    return spark.createDataFrame(rows, "session_id string, root string, modified double").orderBy(F.desc("modified"), "session_id")
+
+
 def run_state(root: str) -> str:
     """complete, failed, running or unknown; a failure mark outweighs others."""
     for mark in ("FAILURE", "RUNNING", "COMPLETE"):
