@@ -130,7 +130,7 @@ def order_guard(stream: DataFrame) -> DataFrame:
 
 def _watchdog(startup_s: float, running_s: float):
     def watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        valid, rejects = state.get if state.exists else (0, "{}")
+        valid, rejects, deadline = state.get if state.exists else (0, "{}", None)
         if state.hasTimedOut:
             state.remove()
             yield pd.DataFrame([(key[0], "expired", valid, rejects)], columns=["sequence_id", "event", "valid", "rejects"])
@@ -141,9 +141,11 @@ def _watchdog(startup_s: float, running_s: float):
             fresh += int(rows["valid"].sum())
             for reason, n in rows.loc[~rows["valid"], "reason"].value_counts().items():
                 counts[reason] = counts.get(reason, 0) + int(n)
-        state.update((valid + fresh, json.dumps(counts, sort_keys=True)))
-        if fresh or not valid:  # only a valid frame moves the deadline
-            state.setTimeoutDuration(int(1000 * (running_s if valid + fresh else startup_s)))
+        now = state.getCurrentProcessingTimeMs()
+        if fresh or deadline is None:  # only a valid frame moves the deadline
+            deadline = now + int(1000 * (running_s if fresh else startup_s))
+        state.update((valid + fresh, json.dumps(counts, sort_keys=True), deadline))
+        state.setTimeoutDuration(max(1, deadline - now))  # every call clears the timeout, invalid traffic's too
         yield pd.DataFrame([(key[0], "alive", valid + fresh, json.dumps(counts, sort_keys=True))], columns=["sequence_id", "event", "valid", "rejects"])
 
     return watch
@@ -151,7 +153,7 @@ def _watchdog(startup_s: float, running_s: float):
 
 def watchdog(stream: DataFrame, startup_s: float = 20.0, running_s: float = 8.0) -> DataFrame:
     """(sequence_id, event, valid, rejects): expired when no valid frame came in time; invalid traffic doesn't count."""
-    return stream.groupBy("sequence_id").applyInPandasWithState(_watchdog(startup_s, running_s), "sequence_id string, event string, valid long, rejects string", "valid long, rejects string", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.groupBy("sequence_id").applyInPandasWithState(_watchdog(startup_s, running_s), "sequence_id string, event string, valid long, rejects string", "valid long, rejects string, deadline long", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def catch_up(backlog: int) -> int:

@@ -3,6 +3,7 @@
 import json
 import os
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,3 +84,43 @@ def test_uploads(spark):
     assert [r["frame_index"] for r in stored.collect()] == [0]
     assert sorted(r["frame_index"] for r in journal.missing_chunks(manifest, stored).collect()) == [1, 2]
     assert journal.sealable(manifest, stored).first()["complete"] is False and journal.sealable(manifest, manifest).first()["complete"] is True
+
+
+class Clock:
+    """A group's state with a clock: what Spark keeps between calls, and clears."""
+
+    def __init__(self):
+        self.now, self.value, self.due, self.hasTimedOut = 0, None, None, False
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def getCurrentProcessingTimeMs(self):
+        return self.now
+
+    def update(self, value):
+        self.value = value
+
+    def remove(self):
+        self.value = None
+
+    def setTimeoutDuration(self, ms):
+        self.due = self.now + ms
+
+
+def test_watchdog_counts_valid_frames_only():
+    watch, state = journal._watchdog(20.0, 8.0), Clock()
+
+    def call(now, *valid):
+        state.now, state.due = now, None
+        rows = pd.DataFrame({"valid": list(valid), "reason": ["" if v else "dark" for v in valid]})
+        return next(watch(("s",), iter([rows]), state))["valid"][0]
+
+    assert call(0, False) == 0 and state.due == 20_000
+    assert call(15_000, False, False) == 0 and state.due == 20_000  # invalid frames do not move it
+    assert call(18_000, True) == 1 and state.due == 26_000
+    assert call(25_000, False) == 1 and state.due == 26_000
+    assert call(25_500, True, False) == 2 and state.due == 33_500
+    state.hasTimedOut = True
+    last = next(watch(("s",), iter([]), state)).iloc[0]
+    assert (last["event"], last["valid"], last["rejects"]) == ("expired", 2, '{"dark": 5}') and not state.exists
