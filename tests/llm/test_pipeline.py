@@ -43,6 +43,22 @@ def test_stages(spark, tmp_path):
     assert {r["doc_id"] for r in whole.select("doc_id").collect()} == {r["doc_id"] for r in kept.collect()}
 
 
+def test_odd_rows(spark):
+    """Null and repeated ids, null and empty texts and repeated rows pass every stage; clean rows stay."""
+    base = spark.read.parquet(f"{SF}/documents.parquet")
+    long = " ".join(f"word{i}" for i in range(40))
+    odd = [(None, long, "en", "s", 1), (900_001, None, None, None, None), (900_002, "", "en", "s", 0), (900_003, long + " more", "en", "s", 1), (900_003, "another text of that id " + long[:60], "en", "s", 1), (900_004, long, "en", "s", 1), (900_004, long, "en", "s", 1)]
+    docs = base.unionByName(spark.createDataFrame(odd, base.schema))
+    ids = lambda df: sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in df.where("doc_id is null or doc_id > 900000").select("doc_id").collect())
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        out = stage(spark, docs, SF)
+        if name == "near_duplicates":  # 900_004 and its copy are near copies of 900_003, and the row without id stays
+            assert ids(out) == [(False, 900_001), (False, 900_002), (False, 900_003), (False, 900_003), (True, 0)]
+        else:
+            assert ids(out) == sorted((r[0] is None, r[0] or 0) for r in odd)
+    assert corpus_pipeline.quality_stage(spark, docs, SF).columns == docs.columns
+
+
 def test_empty_documents(spark):
     none = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
