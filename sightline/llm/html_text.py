@@ -65,8 +65,8 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 #: Logarithms of the weights of lines in articles and of marked ones; text in links counts LINK of its length.
 KEEP, MARK, LINK = 12.0, 16.0, 0.01
-#: The ratio of prose, for forms and names that may mark.
-PROSE_RATIO = 25
+#: The ratio of prose, and how much of it there must be in blocks of some length, for forms and names that may mark.
+PROSE_RATIO, PROSE_TEXT, PROSE_LINE = 25, 200, 80
 #: Ratios below this one count as it.
 LEAST_RATIO = 0.1
 #: Clusters' means must be so far apart; the first splits part lines that stand differently, the last those that stand alike.
@@ -118,13 +118,14 @@ class Lines(HTMLParser):
         self.open: list[tuple[str, tuple, int]] = [("", (), 0)]
         self.n_containers = 0
         self.at: tuple[str, tuple, int] | None = None  # where the line began
+        self.block = ""  # and the block there
         self.beside_at: tuple | None = None
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split()) if self.parts else ""
         if text or self.tags:
-            name, marks, container = self.at or self.open[-1]
-            self.lines.append(Line(text, self.tags, min(self.link, len(text)), container, marks, name))
+            _, marks, container = self.at or self.open[-1]
+            self.lines.append(Line(text, self.tags, min(self.link, len(text)), container, marks, self.block))
         if self.beside and (text := " ".join("".join(self.beside).split())):
             self.lines.append(Line(text, 1, 0, self.beside_at[2], self.beside_at[1], ""))
         self.parts, self.beside, self.tags, self.link, self.at = [], [], 0, 0, None
@@ -217,6 +218,9 @@ class Lines(HTMLParser):
             return
         self.close_to(at)
 
+    def start(self, here: tuple[str, tuple, int]) -> None:
+        self.at, self.block = here, next((x[0] for x in reversed(self.open) if x[0] in BLOCKS), "")
+
     def handle_data(self, data):
         here = self.open[-1]
         if here[0] in ("script", "style"):
@@ -226,14 +230,14 @@ class Lines(HTMLParser):
                 if self.parts or self.tags:
                     self.parts.append(data)
                 return
-            self.at = here
+            self.start(here)
         if len(here[1]) > len(self.at[1]):
             self.beside.append(data)
             self.beside_at = here
             return
         if len(here[1]) < len(self.at[1]):  # a marked inline element has ended
             self.flush()
-            self.at = here
+            self.start(here)
         self.parts.append(data)
         if self.links:
             self.link += len(data.strip())
@@ -300,18 +304,20 @@ def main_text(html: str | None) -> str:
     parser.close()
     parser.flush()
     lines = parser.lines
-    size: dict[int, list[float]] = defaultdict(lambda: [0.0, 0.0])
+    size: dict[int, list[int]] = defaultdict(lambda: [0, 0, 0])
     for x in lines:
         for m, _ in x.marks:
             if m.weak:
                 own = size[id(m)]
                 own[0] += len(x.text) - x.link
                 own[1] += x.tags
+                own[2] += len(x.text) if x.block in PROSE and len(x.text) - x.link >= PROSE_LINE else 0
 
     def counts(m: Mark, article: bool) -> bool:
         if m.main or m.loose and article:
             return False
-        return not m.weak or size[id(m)][0] < PROSE_RATIO * max(1.0, size[id(m)][1])
+        text, tags, prose = size[id(m)] if m.weak else (0, 0, 0)
+        return not m.weak or text < PROSE_RATIO * max(1, tags) or prose < PROSE_TEXT
 
     lines = [x for x in lines if x.text]
     if not lines:

@@ -62,6 +62,8 @@ PARA = ("A long paragraph of text. " * 9).strip()
     (f"<form id=page><nav>m</nav><article><h1>T</h1><p>{PARA}</p></article></form>", f"T\n{PARA}"),
     (f"<form id=page><div><h1>T</h1><p>{PARA}</p><p>{PARA}</p></div></form>", f"T\n{PARA}\n{PARA}"),
     (f"<article><div class=social-history><p>{PARA}</p></div><div id=related-work><p>{PARA}</p></div><div class=related-posts><a>x</a><a>y</a></div></article>", f"{PARA}\n{PARA}"),
+    (f"<article><p>{PARA}</p><form>{PARA}<input></form><div class=related-posts><p>{PARA[:120]}</p></div></article>", PARA),
+    (f"<div><p><b>Short.</b></p><p>{PARA}</p><p><i>End.</i></p></div><div>(c) us</div>", f"Short.\n{PARA}\nEnd."),
     ("<article><p>Before <span class=ad>buy</span> after.</p></article>", "Before after."),
     # a menu without a name; a page of links
     (f"<article><p>{PARA}</p><p>See <a href=x>this link</a>.</p><ul><li><a>One</a><li><a>Two</a><li><a>Three</a></ul><p>End.</p></article>", f"{PARA}\nSee this link.\nEnd."),
