@@ -66,12 +66,13 @@ def votes_point_maximum(spark, d):
     return votes.point_maximum(views.observations(spark, d))
 
 
-@register(f"""WITH {views.OBSERVATIONS_SQL}, o2 AS (SELECT * FROM obs WHERE frame_id % 25 = 0), {TOP2_SQL.replace("FROM obs", "FROM o2")},
+@register(f"""WITH {views.OBSERVATIONS_SQL}, o2 AS (SELECT * REPLACE (point_id * 25 + frame_id % 25 AS point_id) FROM obs), {TOP2_SQL.replace("FROM obs", "FROM o2")},
 one AS (SELECT point_id, count(*) AS n, max(class_id) AS class_id FROM o2 WHERE class_id > 0 GROUP BY ALL HAVING count(*) = 1),
 high AS (SELECT point_id, max(confidence) AS high FROM o2 WHERE interior AND class_id > 0 AND confidence >= .5 GROUP BY ALL)
 SELECT point_id, one.class_id, high FROM one JOIN high USING (point_id) WHERE high >= .9 AND point_id NOT IN (SELECT point_id FROM known)""")
 def votes_single_view(spark, d):
-    return votes.single_view(views.observations(spark, d).where("frame_id % 25 = 0"))
+    # each part is 25 points, told apart by frame, so that many points have one view; every observation counts
+    return votes.single_view(views.observations(spark, d).withColumn("point_id", F.col("point_id") * 25 + F.col("frame_id") % 25))
 
 
 @register(f"""WITH {views.OBSERVATIONS_SQL}, {TOP2_SQL},
@@ -173,13 +174,14 @@ def query_nearest_ties(spark, d):
     return query.execute(g, plan={"label": "lamp", "conditions": [{"relation": "nearest", "reference": {"instance_id": first}}]}).matches.select("instance_id")
 
 
-HALVES_SQL = f"{views.POINTS_SQL}, l AS (SELECT * FROM points WHERE point_id % 2 = 0), r AS (SELECT * FROM points WHERE point_id % 2 = 1), m AS (SELECT l.point_id AS a, r.point_id AS b, sqrt((l.x - r.x) ^ 2 + (l.y - r.y) ^ 2 + (l.z - r.z) ^ 2) AS dd FROM l JOIN r ON abs(l.x - r.x) <= .5)"
+TURNED_SQL = f"{views.POINTS_SQL}, l AS (SELECT * FROM points), r AS (SELECT point_id, y + 0.125::DOUBLE AS x, z AS y, x AS z FROM points), m AS (SELECT l.point_id AS a, r.point_id AS b, sqrt((l.x - r.x) ^ 2 + (l.y - r.y) ^ 2 + (l.z - r.z) ^ 2) AS dd FROM l JOIN r ON abs(l.x - r.x) <= .5)"
 
 
-@register(f"""WITH {HALVES_SQL} SELECT a, b, round(dd, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY dd, b) AS rn FROM m WHERE dd <= .5) WHERE rn = 1""")
+@register(f"""WITH {TURNED_SQL} SELECT a, b, round(dd, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY dd, b) AS rn FROM m WHERE dd <= .5) WHERE rn = 1""")
 def knn_within_threshold(spark, d):
     p = views.map_points(spark, d)
-    return spatial.nearest_within(p.where("point_id % 2 = 0"), p.where("point_id % 2 = 1"), 0.5).select("a", "b", r6("distance"))
+    turned = p.select("point_id", (F.col("y") + 0.125).alias("x"), F.col("z").alias("y"), F.col("x").alias("z"))  # a second whole cloud
+    return spatial.nearest_within(p, turned, 0.5).select("a", "b", r6("distance"))
 
 
 @register(f"""WITH {views.POINTS_SQL} SELECT p.point_id, count(q.point_id) AS others FROM points p LEFT JOIN points q ON p.point_id <> q.point_id AND abs(p.x - q.x) <= .4 AND sqrt((p.x - q.x) ^ 2 + (p.y - q.y) ^ 2 + (p.z - q.z) ^ 2) <= .4 GROUP BY p.point_id""")
