@@ -204,6 +204,8 @@ def read_on(home: DataFrame, asked: DataFrame, centre: np.ndarray, radius: np.nd
         reach = reach.copy()
         own = (q * q).sum(1)
         for batch in batches:
+            if not len(batch):
+                continue
             x = np.array(batch.column("v").to_pylist(), np.float64)
             lists = batch.column("list").to_numpy()
             ids = batch.column("ids")

@@ -116,7 +116,7 @@ def counted(docs: DataFrame, buckets: int) -> DataFrame:
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, meta.schema) as w:
                 w.write_table(meta)
-            rows = [(int(b), src, low[x:y].tobytes(), planes(np.diff(owner[x:y], prepend=0)), None) for b, x, y in zip(full, first, np.append(first[1:], len(at)), strict=True)]
+            rows = [(int(b), src, low[x:y].tobytes(), planes(np.diff(owner[x:y], prepend=0)), None) for b, x, y in zip(full, first, np.append(first, len(at))[1:], strict=True)]
             rows.append((src % buckets, src, b"", b"", sink.getvalue().to_pybytes()))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "src", "a", "b", "meta"])
 
@@ -353,7 +353,7 @@ def prefix_blobs(classes: DataFrame, hot, buckets: int) -> DataFrame:
             at = bucket_of(every["token"], buckets)
             order = np.argsort(at, kind="stable")
             full, first = np.unique(at[order], return_index=True)
-            rows = [every[order[x:y]].tobytes() for x, y in zip(first, np.append(first[1:], len(order)), strict=True)]
+            rows = [every[order[x:y]].tobytes() for x, y in zip(first, np.append(first, len(order))[1:], strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(rows, pa.binary())], names=["bucket", "rows"])
 
         for batch in batches:

@@ -436,6 +436,8 @@ def test_jaccard_components(spark, monkeypatch, seed, part_edges, chunk):
 
 
 def test_jaccard_edges(spark):
+    blank = jaccard.link_components(texts(spark, [(1, ""), (2, None), (3, " \n")]))  # whole partitions without a word
+    assert sorted(tuple(x) for x in blank.collect()) == [(1, 0, 1), (2, 0, 2), (3, 0, 3)]
     assert jaccard.link_components(texts(spark, [(1, "a b")]).limit(0)).count() == 0
     repeated = jaccard.link_components(texts(spark, [(2, "one two three four five six"), (2, "one two three four five six"), (1, "ONE two\tthree four five six"), (None, "one two three four five six"), (3, None), (4, None)]))
     assert sorted((str(x[0]), x[1], x[2]) for x in repeated.collect()) == [("1", 2, 1), ("2", 2, 1), ("2", 2, 1), ("3", 0, 3), ("4", 0, 4), ("None", 2, 1)]
