@@ -48,6 +48,8 @@ DOCS_A_BUCKET = 4000
 #: Shingles that so many documents hold come after others, by powers of two; at most HOT_MOST are told apart, by count.
 HOT, HOT_MOST = 8, 1 << 20
 FIRST, HEADS = 8, 3
+#: Parts of a head's pairs.
+SALTS = 32
 #: Edges that one task contracts at once.
 PART_EDGES = 1_000_000
 
@@ -251,10 +253,16 @@ def head_pairs(first: DataFrame) -> DataFrame:
 
 
 def overlaps(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b, n, m, shared): the pairs with their sets' sizes and exact intersection."""
+    """(a, b, n, m, shared): the pairs with their sets' sizes and exact intersection.
+
+    A head of many members is the a of many pairs: these are dealt by SALTS values of b too, and the head's text goes to
+    those of them that occur, so that a head with one member is shipped once.
+    """
     right = classes.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
     left = classes.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
+    dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+    heads = dealt.select("a", "salt").distinct().join(left, "a")
+    both = dealt.join(right, "b").join(heads, ["a", "salt"]).select("a", "b", "text_a", "text_b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, mine = None, None  # rows come sorted by a, whose set is made once
