@@ -7,15 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, html_text, jaccard, language, quality, secrets, token_files, tokens, urls
-from .common import read_table
+from . import ann, collocations, decontaminate, fill_middle, html_text, jaccard, language, quality, secrets, token_counts, token_files, tokens, urls
+from .common import fresh_folder, read_table
 
 
-def vocabulary() -> str:
-    """The place of the public tokenizer's file."""
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """The place of a public tokenizer's file."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,12 +77,29 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, model).select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache is new for each run, so that nothing is known beforehand: every distinct content is encoded."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    counted = token_counts.count_tokens(docs, vocabulary("piece_bpe_32k.model"), fresh_folder(spark, "token_counts"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return fill_middle.fill_in_middle(docs).select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filters": URL_SQL, "op5_benchmark_decontamination": CONTAMINATION_SQL, "op7_ngram_jaccard_join": JACCARD_SQL}
+    return {"op3_url_filters": URL_SQL, "op5_benchmark_decontamination": CONTAMINATION_SQL, "op7_ngram_jaccard_join": JACCARD_SQL, "op12_fill_in_middle": FILL_SQL, "op13_collocations": COLLOCATION_SQL}
 
 
 URL_SQL = r"""
@@ -123,3 +140,32 @@ link AS (SELECT a, b FROM both_ JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id =
 reach(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT link.b, reach.c FROM reach JOIN link ON link.a = reach.doc_id)
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, r.c AS component_id FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(c) AS c FROM reach GROUP BY doc_id) r USING (doc_id)
 """
+
+FILL_SQL = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents),
+h AS (
+  SELECT doc_id, text, u, CAST(len(u) AS BIGINT) AS n, CAST('0x' || d[1:8] AS BIGINT) AS h1, CAST('0x' || d[9:16] AS BIGINT) AS h2, CAST('0x' || d[17:24] AS BIGINT) AS h3, CAST('0x' || d[25:32] AS BIGINT) AS h4 FROM t),
+f AS (
+  SELECT *, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+         least(h1 % (n + 1), h2 % (n + 1)) AS x, greatest(h1 % (n + 1), h2 % (n + 1)) AS y FROM h),
+p AS (SELECT *, array_to_string(u[1:x], '') AS prefix, array_to_string(u[x + 1:y], '') AS middle, array_to_string(u[y + 1:n], '') AS suffix FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE text END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
+COLLOCATION_SQL = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOW.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*) AS f FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3)) AS t(k) WHERE len(w) >= k) GROUP BY ALL HAVING count(*) >= 10),
+c AS (SELECT lang, k, phrase, f, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS cut FROM g WHERE k > 1),
+s AS (SELECT c.lang, c.k, c.phrase, c.f AS a, x.f AS l, y.f AS r, (CAST(1000000 AS HUGEINT) * c.f * c.f) // (CAST(x.f AS HUGEINT) * y.f) AS score, cut FROM c
+      JOIN g x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:cut], ' ') JOIN g y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[cut + 1:], ' ')),
+m AS (SELECT lang, phrase, a, arg_min(struct_pack(l := l, r := r, score := score), struct_pack(score := score, cut := cut)) AS b FROM s GROUP BY ALL),
+held AS (SELECT lang, array_to_string(w[i : i + 1], ' ') AS phrase, max(f) AS held FROM (SELECT lang, f, string_split(phrase, ' ') AS w, unnest([1, 2]) AS i FROM g WHERE k = 3) GROUP BY ALL),
+r AS (SELECT m.lang, row_number() OVER (PARTITION BY m.lang ORDER BY b.score DESC, a DESC, m.phrase) AS rank, m.phrase, a, b.l AS l, b.r AS r, CAST(b.score AS BIGINT) AS score FROM m LEFT JOIN held USING (lang, phrase) WHERE held IS NULL OR 100 * held < 50 * a)
+SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, n.n, r.score FROM r JOIN n USING (lang) WHERE rank <= 2000
+"""
