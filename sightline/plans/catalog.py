@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import coloured, label_key
-from ..operators import evaluation, graph, iterative, masks, measured, naming, spatial, temporal, votes
+from ..operators import evaluation, graph, iterative, masks, measured, naming, spatial, surface, temporal, votes
 from ..sources import provenance, sinks
 from . import query, views
 from .folders import cut
@@ -627,6 +627,44 @@ def packed_mask_areas(spark, d):
     return measured.packed_masks(o, 16, 12, ["frame_id", "mask_id"]).select("frame_id", "mask_id", measured.packed_area(F.col("packed"), 192).alias("area"))
 
 
+RELIEF_CELLS = 16
+CELLS_SQL = f"""{views.RELIEF_SQL},
+box AS (SELECT min(x) AS lx, min(y) AS ly, min(z) AS lz, greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) AS side FROM own),
+spot AS (SELECT k, x - lx AS x, y - ly AS y, z - lz AS z, red, lx, ly, lz, side / {RELIEF_CELLS} AS s,
+       least({RELIEF_CELLS - 1}, floor((x - lx) / (side / {RELIEF_CELLS})))::BIGINT * 4398046511104 + least({RELIEF_CELLS - 1}, floor((y - ly) / (side / {RELIEF_CELLS})))::BIGINT * 2097152 + least({RELIEF_CELLS - 1}, floor((z - lz) / (side / {RELIEF_CELLS})))::BIGINT AS cell FROM own, box),
+trio AS (SELECT p.cell AS a, q.cell AS b, r.cell AS c FROM faces f JOIN spot p ON p.k = f.a JOIN spot q ON q.k = f.b JOIN spot r ON r.k = f.c WHERE p.cell <> q.cell AND q.cell <> r.cell AND p.cell <> r.cell),
+kept AS (SELECT DISTINCT CASE WHEN a < b AND a < c THEN a WHEN b < c THEN b ELSE c END AS a, CASE WHEN a < b AND a < c THEN b WHEN b < c THEN c ELSE a END AS b, CASE WHEN a < b AND a < c THEN c WHEN b < c THEN a ELSE b END AS c FROM trio)"""
+
+
+@register(f"WITH {CELLS_SQL} SELECT a, b, c FROM kept")
+def surface_faces(spark, d):
+    return surface.clustered(*views.relief(spark, d), RELIEF_CELLS)[1]
+
+
+@register(f"""WITH {CELLS_SQL},
+mean AS (SELECT cell, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, avg(red) AS red, any_value(s) AS s, any_value(lx) AS lx, any_value(ly) AS ly, any_value(lz) AS lz FROM spot WHERE cell IN (SELECT unnest([a, b, c]) FROM kept) GROUP BY cell),
+plane AS (SELECT unnest([p.cell, q.cell, r.cell]) AS cell, p.x, p.y, p.z, (q.y - p.y) * (r.z - p.z) - (q.z - p.z) * (r.y - p.y) AS nx, (q.z - p.z) * (r.x - p.x) - (q.x - p.x) * (r.z - p.z) AS ny, (q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x) AS nz
+          FROM faces f JOIN spot p ON p.k = f.a JOIN spot q ON q.k = f.b JOIN spot r ON r.k = f.c),
+sums AS (SELECT cell, sum(nx * nx) AS xx, sum(nx * ny) AS xy, sum(nx * nz) AS xz, sum(ny * ny) AS yy, sum(ny * nz) AS yz, sum(nz * nz) AS zz, sum(nx * (nx * x + ny * y + nz * z)) AS rx, sum(ny * (nx * x + ny * y + nz * z)) AS ry, sum(nz * (nx * x + ny * y + nz * z)) AS rz FROM plane GROUP BY cell),
+eq AS (SELECT *, xx + w AS a, yy + w AS b, zz + w AS c, rx + w * mx AS p, ry + w * my AS q, rz + w * mz AS r FROM (SELECT *, (xx + yy + zz) * ({surface.PULL} / 3) AS w FROM sums JOIN mean USING (cell))),
+sol AS (SELECT *, (p * (b * c - yz * yz) - xy * (q * c - yz * r) + xz * (q * yz - b * r)) / det AS px, (a * (q * c - yz * r) - p * (xy * c - yz * xz) + xz * (xy * r - q * xz)) / det AS py, (a * (b * r - q * yz) - xy * (xy * r - q * xz) + p * (xy * yz - b * xz)) / det AS pz
+        FROM (SELECT *, a * (b * c - yz * yz) - xy * (xy * c - yz * xz) + xz * (xy * yz - b * xz) AS det FROM eq))
+SELECT cell, round(least(greatest(px, (cell >> 42) * s), (cell >> 42) * s + s) + lx, 4) AS x, round(least(greatest(py, ((cell >> 21) & 2097151) * s), ((cell >> 21) & 2097151) * s + s) + ly, 4) AS y,
+       round(least(greatest(pz, (cell & 2097151) * s), (cell & 2097151) * s + s) + lz, 4) AS z, round(red, 4) AS red FROM sol""")
+def surface_vertices(spark, d):
+    return surface.clustered(*views.relief(spark, d), RELIEF_CELLS)[0].select("cell", *[F.round(c, 4).alias(c) for c in ("x", "y", "z", "red")])
+
+
+@register(f"WITH {views.RELIEF_SQL} SELECT count(*) > 1000 AS larger, true AS fits, true AS whole FROM faces")
+def surface_simplified(spark, d):
+    """Whether the mesh had to be simplified, has no more faces than asked for, and only faces of its own vertices."""
+    vertices, faces = views.relief(spark, d)
+    small, kept = surface.simplified(vertices, faces, 1000)
+    own = kept.select(F.explode(F.array("a", "b", "c")).alias("vertex_id")).distinct().join(small, "vertex_id", "full").agg(F.every(F.col("x").isNotNull()).alias("whole"))
+    n = faces.agg((F.count("*") > 1000).alias("larger"))
+    return n.crossJoin(kept.agg(F.count("*").between(1, 1000).alias("fits"))).crossJoin(own)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects near the first table of the derived scene, with their evidence."""
     g = _graph(spark, sf_dir)

@@ -54,6 +54,19 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.withColumn("ordinal", (F.row_number().over(Window.partitionBy("sequence_id").orderBy("frame_id")) - 1).cast("long"))
 
 
+def relief(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(vertices, faces) of a surface of parts in rows as long as the square root of their number, their sizes as heights."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")
+    wide = part.agg(F.floor(F.sqrt(F.max("p_partkey"))).cast("long").alias("w"))
+    own = part.crossJoin(F.broadcast(wide)).withColumn("k", F.col("p_partkey"))
+    vertices = own.select(F.col("k").alias("vertex_id"), (F.col("k") % F.col("w")).cast("double").alias("x"), F.floor(F.col("k") / F.col("w")).cast("double").alias("y"), (F.col("p_size") / 5).alias("z"), (F.col("p_size") / 50).alias("red"), F.lit(0.5).alias("green"), F.lit(0.25).alias("blue"))
+    k, w = F.col("k"), F.col("w")
+    corners = own.where(k % w < w - 1).select(F.inline(F.array(F.struct(k.alias("a"), (k + 1).alias("b"), (k + w).alias("c")), F.struct((k + 1).alias("a"), (k + w + 1).alias("b"), (k + w).alias("c")))))
+    for c in "abc":
+        corners = corners.join(vertices.select(F.col("vertex_id").alias(c)), c, "left_semi")
+    return vertices, corners.withColumn("face_id", 2 * F.least("a", "c") + (F.col("b") > F.col("c")).cast("long")).select("face_id", "a", "b", "c")
+
+
 def artifacts(spark: SparkSession, sf_dir: str, name: str = "benchmark", key: str = "item_id") -> DataFrame:
     return table(spark, sf_dir, name).select(F.col(key).cast("string").alias("name"), F.sha2("text", 256).alias("sha256"))
 
@@ -81,6 +94,11 @@ FRAMES_SQL = """
 frames AS (
   SELECT CAST(user_id % 16 AS VARCHAR) AS sequence_id, event_id AS frame_id, epoch_us(ts) AS timestamp_us,
          row_number() OVER (PARTITION BY user_id % 16 ORDER BY event_id) - 1 AS ordinal FROM events)"""
+RELIEF_SQL = """
+wide AS (SELECT CAST(floor(sqrt(max(p_partkey))) AS BIGINT) AS w FROM part),
+own AS (SELECT p_partkey AS k, w, CAST(p_partkey % w AS DOUBLE) AS x, CAST(p_partkey // w AS DOUBLE) AS y, p_size / 5 AS z, p_size / 50 AS red FROM part, wide),
+tri AS (SELECT k AS a, k + 1 AS b, k + w AS c FROM own WHERE k % w < w - 1 UNION ALL SELECT k + 1, k + w + 1, k + w FROM own WHERE k % w < w - 1),
+faces AS (SELECT * FROM tri WHERE a IN (SELECT k FROM own) AND b IN (SELECT k FROM own) AND c IN (SELECT k FROM own))"""
 CLASSES_SQL = "classes(class_id, name) AS (VALUES " + ", ".join(f"({i}, '{n}')" for i, n in enumerate(CLASSES)) + ")"
 #: Objects with their boxes: needs points; thresholds as in the graph.
 NODES_SQL = """

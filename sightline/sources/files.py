@@ -83,26 +83,32 @@ def read_legacy_trajectory(spark: SparkSession, path: str, frame_ids: list[int]
 PLY_TYPES = {"char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "i2", "int16": "i2", "ushort": "u2", "uint16": "u2", "int": "i4", "int32": "i4", "uint": "u4", "uint32": "u4", "float": "f4", "float32": "f4", "double": "f8", "float64": "f8"}
 
 
-def ply_vertices(content: bytes) -> np.ndarray:
-    """The vertex table of a PLY file, ascii or binary; list properties of vertices are refused."""
+def ply_head(content: bytes) -> tuple[str, list[tuple[str, int, list[tuple]]], bytes]:
+    """(format, elements with their count and properties, body) of a PLY file; a list property has three parts."""
     head, mark, body = content.partition(b"end_header")
     lines = head.decode("ascii").split("\n")
     if lines[0].strip() != "ply" or not mark:
         raise DataError("not a PLY file")
-    form, fields, count, element = "", [], 0, ""
+    form, elements = "", []
     for words in (x.split() for x in lines[1:]):
         if words[:1] == ["format"]:
             form = words[1]
         elif words[:1] == ["element"]:
-            if element == "" and words[1] != "vertex":
-                raise DataError("vertices must come first")
-            element = words[1]
-            count = int(words[2]) if element == "vertex" else count
-        elif words[:1] == ["property"] and element == "vertex":
-            if words[1] == "list":
-                raise DataError("list properties of vertices are not supported")
-            fields.append((words[2], PLY_TYPES[words[1]]))
-    body = body.split(b"\n", 1)[1]
+            elements.append((words[1], int(words[2]), []))
+        elif words[:1] == ["property"] and elements:
+            kinds = words[2:4] if words[1] == "list" else words[1:2]
+            elements[-1][2].append((words[-1], *[PLY_TYPES[k] for k in kinds]))
+    return form, elements, body.split(b"\n", 1)[1]
+
+
+def ply_vertices(content: bytes) -> np.ndarray:
+    """The vertex table of a PLY file, ascii or binary; list properties of vertices are refused."""
+    form, elements, body = ply_head(content)
+    if not elements or elements[0][0] != "vertex":
+        raise DataError("vertices must come first")
+    _, count, fields = elements[0]
+    if any(len(f) > 2 for f in fields):
+        raise DataError("list properties of vertices are not supported")
     if form == "ascii":
         rows = [tuple(x.split()) for x in body.decode("ascii").split("\n")[:count]]
         return np.array(rows, dtype=[(n, "f8") for n, _ in fields]).astype(fields)
@@ -110,6 +116,38 @@ def ply_vertices(content: bytes) -> np.ndarray:
     return np.frombuffer(body, [(n, order + t) for n, t in fields], count)
 
 
+def ply_faces(content: bytes) -> np.ndarray:
+    """The places of each triangle's vertices. Faces must follow the vertices, as a list of three each and nothing else."""
+    form, elements, body = ply_head(content)
+    if len(elements) < 2 or elements[1][0] != "face" or [len(f) for f in elements[1][2]] != [3]:
+        raise DataError("a mesh has vertices, then faces of one list each")
+    (_, before, fields), (_, count, [(_, size, kind)]) = elements[:2]
+    if form == "ascii":
+        rows = np.array([x.split() for x in body.decode("ascii").split("\n")[before : before + count]], np.int64).reshape(count, -1)
+        sizes, places = rows[:, :1].ravel(), rows[:, 1:]
+    else:
+        order = "<" if form == "binary_little_endian" else ">"
+        own = np.dtype([("n", order + size), ("at", order + kind, 3)])
+        start = before * np.dtype([(n, order + t) for n, t in fields]).itemsize
+        if len(body) - start < count * own.itemsize:
+            raise DataError("only whole triangles are read")
+        rows = np.frombuffer(body, own, count, start)
+        sizes, places = rows["n"], rows["at"].astype(np.int64)
+    if (sizes != 3).any() or places.shape != (count, 3):
+        raise DataError("only whole triangles are read")
+    if count and (places.min() < 0 or places.max() >= before):
+        raise DataError("faces name vertices that are not there")
+    return places
+
+
+def ply_mesh_bytes(vertices: pd.DataFrame, faces: np.ndarray) -> bytes:
+    """A binary little-endian PLY of vertices and triangles."""
+    head, mark, body = ply_bytes(vertices).partition(b"end_header\n")
+    rows = np.empty(len(faces), [("n", "u1"), ("at", "<i4", 3)])
+    rows["n"], rows["at"] = 3, faces
+    return head + f"element face {len(faces)}\nproperty list uchar int vertex_indices\n".encode() + mark + body + rows.tobytes()
+
+
 def ply_bytes(table: pd.DataFrame) -> bytes:
     """A binary little-endian PLY of a vertex table; integers as int, others as double."""
     kinds = [(c, "<i4" if pd.api.types.is_integer_dtype(table[c]) else "<f8") for c in table.columns]
@@ -135,6 +173,35 @@ def read_ply(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, "path string, point_id long, " + ", ".join(f"{f} double" for f in fields))
 
 
+def read_ply_mesh(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(vertices, faces) of one PLY mesh: vertex_id, x, y, z, red, green, blue (0 to 1); face_id, a, b, c.
+
+    A mesh without colours is plain. Colours of bytes are shares of 255.
+    """
+    from ..operators.surface import AXES, COLOURS, CORNERS, PLAIN
+
+    files = spark.read.format("binaryFile").load(path).select("content")
+
+    def points(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for content in (x for batch in batches for x in batch["content"]):
+            v = ply_vertices(content)
+            coloured = all(c in v.dtype.names for c in COLOURS)
+            for a in range(0, len(v), 100_000):
+                part = v[a : a + 100_000]
+                own = {c: part[c] / (255.0 if part[c].dtype.kind in "iu" else 1.0) if coloured else p for c, p in zip(COLOURS, PLAIN, strict=True)}
+                yield pd.DataFrame({"vertex_id": np.arange(a, a + len(part)), **{x: part[x].astype("f8") for x in AXES}, **own})
+
+    def triangles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for content in (x for batch in batches for x in batch["content"]):
+            f = ply_faces(content)
+            for a in range(0, len(f), 100_000):
+                part = f[a : a + 100_000]
+                yield pd.DataFrame({"face_id": np.arange(a, a + len(part)), **{c: part[:, i] for i, c in enumerate(CORNERS)}})
+
+    numbers = ", ".join(f"{c} double" for c in (*AXES, *COLOURS))
+    return files.mapInPandas(points, f"vertex_id long, {numbers}"), files.mapInPandas(triangles, "face_id long, a long, b long, c long")
+
+
 def read_npz(spark: SparkSession, path: str, arrays: list[str]) -> DataFrame:
     """(path, array, place, value) of flattened arrays in NPZ files, without pickles."""
 

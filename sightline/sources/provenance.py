@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 
@@ -21,6 +22,11 @@ def mismatches(inventory: DataFrame, actual: DataFrame) -> DataFrame:
     return both.where(F.col("found").isNull() | (F.col("found") != F.col("sha256"))).select("name", F.when(F.col("found").isNull(), "missing").otherwise("digest").alias("reason"))
 
 
+def file_digest(path: str) -> str:
+    with open(path, "rb") as f:
+        return hashlib.file_digest(f, "sha256").hexdigest()
+
+
 def load_inventory(spark: SparkSession, root: str, require_bound: bool = True) -> DataFrame:
     """(name, path, sha256) of a completed result, verified against the files."""
     state = run_state(root)
