@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import coloured, label_key
 from ..operators import evaluation, graph, iterative, masks, measured, naming, spatial, surface, temporal, votes
-from ..sources import provenance, sinks
+from ..sources import images, provenance, sinks
 from . import query, views
 from .folders import cut
 
@@ -665,6 +665,20 @@ def surface_simplified(spark, d):
     return n.crossJoin(kept.agg(F.count("*").between(1, 1000).alias("fits"))).crossJoin(own)
 
 
+@register("""WITH px AS (SELECT l_suppkey AS frame_id, floor(l_extendedprice)::BIGINT % 65536 AS depth, l_quantity::INTEGER AS colour, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, floor(l_extendedprice)::BIGINT % 65536, l_quantity::INTEGER) - 1 AS k FROM lineitem),
+own AS (SELECT *, k % 16 AS u, k // 16 AS v, frame_id % 3 = 0 AS turned FROM px),
+size AS (SELECT frame_id, (count(*) + 15) // 16 AS h FROM px GROUP BY frame_id)
+SELECT frame_id, CAST(CASE WHEN turned THEN h ELSE 16 END AS INTEGER) AS width, CAST(CASE WHEN turned THEN 16 ELSE h END AS INTEGER) AS height, CASE WHEN turned THEN 3.0 ELSE 7.5 END::DOUBLE AS cx, CASE WHEN turned THEN 7.5 ELSE 3.0 END::DOUBLE AS cy,
+       CAST(count(*) FILTER (depth > 0) AS BIGINT) AS valid, CAST(sum(depth) AS BIGINT) AS depth_sum, CAST(sum(colour) AS BIGINT) AS red_sum,
+       CAST(sum(depth * CASE WHEN turned THEN v ELSE u END) AS BIGINT) AS by_u, CAST(sum(depth * CASE WHEN turned THEN 15 - u ELSE v END) AS BIGINT) AS by_v
+FROM own JOIN size USING (frame_id) GROUP BY frame_id, turned, h""")
+def rgbd_frames(spark, d):
+    frames = images.aligned_frames(views.depth_images(spark, d))
+    d = F.col("depth").cast("long")
+    sums = images.pixel_table(frames).groupBy("frame_id").agg(F.sum(F.col("valid").cast("long")).alias("valid"), F.sum(d).alias("depth_sum"), F.sum(F.col("red").cast("long")).alias("red_sum"), F.sum(d * F.col("u")).alias("by_u"), F.sum(d * F.col("v")).alias("by_v"))
+    return frames.select("frame_id", "width", "height", "cx", "cy").join(sums, "frame_id")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects near the first table of the derived scene, with their evidence."""
     g = _graph(spark, sf_dir)

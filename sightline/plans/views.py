@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +68,32 @@ def relief(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return vertices, corners.withColumn("face_id", 2 * F.least("a", "c") + (F.col("b") > F.col("c")).cast("long")).select("face_id", "a", "b", "c")
 
 
+def depth_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames by supplier with PNG images of 16 pixels a line: prices as depth, quantities as colour, in order of lines.
+
+    A supplier's lines are a fixed number whatever the scale, so they are collected by frame. Every third frame is turned.
+    """
+    import pandas as pd
+
+    from ..sources.images import encode_png
+
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("frame_id"), "l_orderkey", "l_linenumber", (F.floor("l_extendedprice") % 65536).cast("int").alias("depth"), F.col("l_quantity").cast("int").alias("colour"))
+    own = li.groupBy("frame_id").agg(F.sort_array(F.collect_list(F.struct("l_orderkey", "l_linenumber", "depth", "colour"))).alias("p"))
+
+    def images(batches):
+        for batch in batches:
+            out = []
+            for frame, depth, colour in zip(batch["frame_id"], batch["depth"], batch["colour"], strict=True):
+                flat = np.zeros((2, -(-len(depth) // 16) * 16), np.uint16)
+                flat[0, : len(depth)], flat[1, : len(depth)] = depth, colour
+                both = flat.reshape(2, -1, 16)
+                out.append((frame, frame % 3 == 0, encode_png(both[1].astype(np.uint8), frame % 5), encode_png(both[0], [(frame + y) % 5 for y in range(both.shape[1])])))
+            yield pd.DataFrame(out, columns=["frame_id", "rotate_ccw", "color_png", "depth_png"])
+
+    made = own.select("frame_id", "p.depth", "p.colour").mapInPandas(images, "frame_id long, rotate_ccw boolean, color_png binary, depth_png binary")
+    return made.withColumn("intrinsics", F.struct(F.lit(500.0).alias("fx"), F.lit(510.0).alias("fy"), F.lit(7.5).alias("cx"), F.lit(3.0).alias("cy")))
+
+
 def artifacts(spark: SparkSession, sf_dir: str, name: str = "benchmark", key: str = "item_id") -> DataFrame:
     return table(spark, sf_dir, name).select(F.col(key).cast("string").alias("name"), F.sha2("text", 256).alias("sha256"))
 
