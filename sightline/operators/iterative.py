@@ -150,36 +150,16 @@ def fragment_merge(counts: DataFrame, edges: DataFrame, visible: int = 30, conta
 def online_association(observations: DataFrame, least: int = 30, overlap: float = 0.4, gap: float = 0.15, by: str = "stream") -> DataFrame:
     """(by, frame_id, mask_id, track_id): masks joined over frames by the points they share; ambiguous ones stay out.
 
-    observations: by, frame_id, mask_id, class_id, point_id; frames go in order of their id, masks by theirs.
+    observations: by, frame_id, mask_id, class_id, point_id; frames go in order of their id, masks by theirs. Streams are
+    tasks; a stream that does not end is streaming.tracks.track_stream's.
     """
+    from ..streaming.tracks import Association
+
     kind = observations.schema[by].dataType.simpleString()
 
     def associate(rows: pd.DataFrame) -> pd.DataFrame:
-        tracks: list[tuple[int, set]] = []
-        out = []
-        for frame, seen in rows[rows["mask_id"] > 0].groupby("frame_id", sort=True):
-            taken = set()
-            for mask, own in seen.groupby("mask_id", sort=True):
-                classes, points = own["class_id"].unique(), set(own["point_id"])
-                if len(points) < least or len(classes) != 1 or classes[0] <= 0:
-                    continue
-                scores = []
-                for k, (category, held) in enumerate(tracks):
-                    if category == classes[0] and k not in taken:
-                        shared = len(points & held)
-                        if shared >= least and shared >= overlap * min(len(points), len(held)):
-                            scores.append((shared / min(len(points), len(held)), k))
-                scores.sort(reverse=True)
-                if len(scores) > 1 and scores[0][0] - scores[1][0] < gap:
-                    continue
-                if scores:
-                    k = scores[0][1]
-                    tracks[k][1].update(points)
-                else:
-                    k = len(tracks)
-                    tracks.append((int(classes[0]), points))
-                taken.add(k)
-                out.append((int(frame), int(mask), k + 1))
+        own = Association(least, overlap, gap)
+        out = [(int(frame), mask, k) for frame, seen in rows[rows["mask_id"] > 0].groupby("frame_id", sort=True) for mask, k in own.add_frame(seen)]
         return pd.DataFrame({by: rows[by].iloc[0], "frame_id": [r[0] for r in out], "mask_id": [r[1] for r in out], "track_id": [r[2] for r in out]})
 
     return observations.select(by, "frame_id", "mask_id", "class_id", "point_id").groupBy(by).applyInPandas(associate, f"{by} {kind}, frame_id long, mask_id long, track_id long")
