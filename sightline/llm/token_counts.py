@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.bounds import BROADCAST_ROWS
-from .common import spare_name
+from .common import spare_name, written
 from .tokens import text_runs
 
 CACHE = "version string, content binary, n_tokens long"
@@ -126,5 +126,6 @@ def count_tokens(docs: DataFrame, path: str, cache: str, text: str = "text", out
     keyed = docs.withColumn(key, content_digest(F.col(text), path)).drop(out)
     if counts is None:  # no row has ever been counted
         return keyed.drop(key).withColumn(out, F.lit(None).cast("long"))
-    counts = counts.select(F.col("content").alias(key), F.col("n_tokens").alias(out))
+    # as a table, so that a content that very many documents share can be split between the tasks of the join
+    counts = written(counts.select(F.col("content").alias(key), F.col("n_tokens").alias(out)), "token_counts")
     return keyed.join(counts, key, "left").drop(key)
