@@ -197,6 +197,15 @@ def support_audit(edges: DataFrame, sources: DataFrame, empty: DataFrame, start:
         raise ValueError("the range of targets is empty")
     marked = edges.join(sources.select(F.col("node").alias("source"), F.lit(True).alias("used")).distinct(), "source", "left")
     marked = marked.join(empty.select(F.col("node").alias("source"), F.lit(True).alias("bare")).distinct(), "source", "left")
+    failed = edge_failures(marked, F.lit(start), F.lit(end)).select("source", "target", "reason")
+    both = sources.select("node").intersect(empty.select("node")).select(F.col("node").alias("source"), F.lit(None).cast("long").alias("target"), F.lit("empty_anchor_used").alias("reason"))
+    nodes = edges.sparkSession.range(start, end).withColumnRenamed("id", "target")
+    bare = target_failures(edges.where((F.col("target") >= start) & (F.col("target") < end)), nodes, []).select(F.lit(None).cast("long").alias("source"), "target", "reason")
+    return failed.unionByName(both).unionByName(bare)
+
+
+def edge_failures(marked: DataFrame, start: Column, end: Column) -> DataFrame:
+    """marked with a row for each reason that an edge breaks. marked: edges with used (null: no source of any target) and bare (null: not empty)."""
     c = F.col
     inside = (c("target") >= start) & (c("target") < end)
     half = F.floor(c("weights") / 2)
@@ -208,12 +217,14 @@ def support_audit(edges: DataFrame, sources: DataFrame, empty: DataFrame, start:
         inside & ~fine, inside & (c("finite_targets") != c("targets")), inside & (c("finite_weights") != c("weights")),
     )
     reasons = F.array_compact(F.array(*[F.when(t, F.lit(r)) for t, r in zip(tests, EDGE_REASONS, strict=True)]))
-    failed = marked.select("source", "target", F.explode(reasons).alias("reason"))
-    both = sources.select("node").intersect(empty.select("node")).select(F.col("node").alias("source"), F.lit(None).cast("long").alias("target"), F.lit("empty_anchor_used").alias("reason"))
-    weight = edges.where(inside).groupBy("target").agg(F.sum("nonzero_weights").alias("w"))
-    nodes = edges.sparkSession.range(start, end).withColumnRenamed("id", "target").join(weight, "target", "left")
-    bare = nodes.where(F.coalesce("w", F.lit(0)) == 0).select(F.lit(None).cast("long").alias("source"), "target", F.when(F.col("w").isNull(), "target_without_edges").otherwise("target_without_weight").alias("reason"))
-    return failed.unionByName(both).unionByName(bare)
+    return marked.withColumn("reason", F.explode(reasons))
+
+
+def target_failures(inside: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """nodes (keys, target) that no edge of inside, or no weight other than zero, supports, with the reason."""
+    weight = inside.groupBy(*keys, "target").agg(F.sum("nonzero_weights").alias("w"))
+    bare = nodes.join(weight, [*keys, "target"], "left").where(F.coalesce("w", F.lit(0)) == 0)
+    return bare.withColumn("reason", F.when(F.col("w").isNull(), "target_without_edges").otherwise("target_without_weight")).drop("w")
 
 
 def packed_area(packed: Column, bits: int) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import coloured, label_key
-from ..operators import evaluation, graph, iterative, masks, measured, naming, spatial, surface, temporal, votes
+from ..operators import anchors, evaluation, graph, iterative, masks, measured, naming, spatial, surface, temporal, votes
 from ..sources import images, provenance, sinks
 from . import query, views
 from .folders import cut
@@ -679,6 +679,38 @@ def rgbd_frames(spark, d):
     return frames.select("frame_id", "width", "height", "cx", "cy").join(sums, "frame_id")
 
 
+@register(f"WITH {views.TOPOLOGY_SQL} SELECT * FROM topology")
+def anchor_topology(spark, d):
+    tables = views.refinement(spark, d)
+    return anchors.source_topology(tables["sequences"], tables["anchors"])
+
+
+@register(f"""WITH {views.TOPOLOGY_SQL},
+lone AS (SELECT sequence_id, 3 * (ordinal // 9) + ordinal % 9 AS node, ordinal % 9 AS m FROM frames WHERE ordinal % 9 < 3),
+bare AS (SELECT sequence_id, node FROM lone WHERE (m = 1 AND node % 2 = 0) OR (sequence_id = '5' AND m = 0 AND node = 6)),
+fixed AS (SELECT sequence_id, count(*) AS start FROM anchors GROUP BY ALL),
+used AS (SELECT DISTINCT sequence_id, unnest([previous, next]) AS node FROM topology),
+swapped AS (SELECT sequence_id, ordinal, CASE WHEN sequence_id = '3' AND place IN (20, 21) THEN 41 - place ELSE place END AS place FROM topology),
+own AS (SELECT sequence_id, batch, place, start + local AS target, unnest([previous, next]) AS source, previous, next FROM topology JOIN fixed USING (sequence_id)),
+edge AS (SELECT * FROM own WHERE place % 113 <> 9),
+wanted AS (SELECT s.sequence_id, s.place // 16 AS batch, start + s.place % 16 AS target, unnest([t.previous, t.next]) AS source FROM swapped s JOIN topology t USING (sequence_id, ordinal) JOIN fixed USING (sequence_id)),
+bad AS (
+  SELECT sequence_id, NULL AS batch, node AS source, NULL AS target, 'empty_anchor_used' AS reason, 0 AS step FROM bare JOIN used USING (sequence_id, node)
+  UNION ALL SELECT DISTINCT s.sequence_id, s.place // 16, NULL, NULL, 'order_differs', 1 FROM swapped s JOIN topology t USING (sequence_id, ordinal) WHERE s.place <> t.place
+  UNION ALL SELECT sequence_id, 1, min(node), NULL, 'empty_anchor_measured', 1 FROM bare WHERE sequence_id = '7' GROUP BY sequence_id
+  UNION ALL SELECT coalesce(e.sequence_id, w.sequence_id), coalesce(e.batch, w.batch), coalesce(e.source, w.source), coalesce(e.target, w.target), CASE WHEN w.source IS NULL THEN 'edge_outside_sources' ELSE 'sources_differ' END, 1
+            FROM edge e FULL JOIN wanted w ON e.sequence_id = w.sequence_id AND e.batch = w.batch AND e.source = w.source AND e.target = w.target WHERE e.source IS NULL OR w.source IS NULL
+  UNION ALL SELECT e.sequence_id, batch, source, target, 'empty_source', 1 FROM edge e WHERE place % 101 = 5 OR (e.sequence_id, source) IN (SELECT (sequence_id, node) FROM bare)
+  UNION ALL SELECT sequence_id, batch, source, target, 'nonfinite_targets', 1 FROM edge WHERE place % 89 = 7
+  UNION ALL SELECT DISTINCT sequence_id, batch, NULL::BIGINT, target, 'target_without_weight', 1 FROM edge WHERE place % 97 = 11 OR place % 101 = 5
+  UNION ALL SELECT DISTINCT sequence_id, batch, NULL::BIGINT, target, 'target_without_edges', 1 FROM own WHERE place % 113 = 9
+  UNION ALL SELECT t.sequence_id, NULL, NULL, t.ordinal, 'unaudited_target', 2 FROM swapped t WHERE NOT EXISTS (SELECT 1 FROM edge e JOIN fixed USING (sequence_id) WHERE e.sequence_id = t.sequence_id AND e.batch = t.place // 16 AND e.target = start + t.place % 16)),
+ordered AS (SELECT *, row_number() OVER () AS id, CASE WHEN reason IN ('empty_anchor_used', 'order_differs', 'unaudited_target') THEN -1 ELSE batch END AS call FROM bad)
+SELECT sequence_id, batch::BIGINT AS batch, source::BIGINT AS source, target::BIGINT AS target, reason, (step, coalesce(batch, -1), call) IS NOT DISTINCT FROM min((step, coalesce(batch, -1), call)) OVER (PARTITION BY sequence_id) AS first FROM ordered""")
+def anchor_refusals(spark, d):
+    return anchors.refusals(**views.refinement(spark, d)).select("sequence_id", "batch", "source", "target", "reason", "first")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects near the first table of the derived scene, with their evidence."""
     g = _graph(spark, sf_dir)

@@ -94,6 +94,32 @@ def depth_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumn("intrinsics", F.struct(F.lit(500.0).alias("fx"), F.lit(510.0).alias("fy"), F.lit(7.5).alias("cx"), F.lit(3.0).alias("cy")))
 
 
+def refinement(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The tables of operators.anchors for the sequences of frames: three anchors in nine frames and the last one.
+
+    Every second anchor between two others is empty, and those of sequence 5 that targets need. Sequence 3 swaps two targets
+    of its second batch; edges lack weight, sources or finite targets where the target's number says so.
+    """
+    from ..operators.anchors import source_topology
+
+    f = frames(spark, sf_dir).select("sequence_id", "ordinal")
+    sequences = f.groupBy("sequence_id").agg(F.count("*").alias("frames"))
+    anchors = f.join(sequences, "sequence_id").where("ordinal % 9 < 3 or ordinal = frames - 1").select("sequence_id", "ordinal")
+    t = source_topology(sequences, anchors)
+    swap = F.when((F.col("sequence_id") == "3") & F.col("place").isin(20, 21), 41 - F.col("place")).otherwise(F.col("place"))
+    batches = t.select("sequence_id", F.floor(swap / 16).alias("batch"), (swap % 16).alias("local"), "ordinal")
+    nodes = f.join(sequences, "sequence_id").where("ordinal % 9 < 3").select("sequence_id", (3 * F.floor(F.col("ordinal") / 9) + F.col("ordinal") % 9).alias("node"), (F.col("ordinal") % 9).alias("m"))
+    empty = nodes.where("(m = 1 and node % 2 = 0) or (sequence_id = '5' and m = 0 and node = 6)").select("sequence_id", "node")
+    fixed = anchors.groupBy("sequence_id").agg(F.count("*").alias("start"))
+    calls = batches.groupBy("sequence_id", "batch").agg(F.count("*").alias("n")).join(fixed, "sequence_id").select("sequence_id", F.col("batch").alias("call"), "batch", "start", (F.col("start") + F.col("n")).alias("end"))
+    each = t.join(fixed, "sequence_id").select("sequence_id", F.col("batch").alias("call"), F.explode(F.array("previous", "next")).alias("source"), (F.col("start") + F.col("local")).alias("target"), "place")
+    p, eight = F.col("place"), F.lit(8)
+    edges = each.select("sequence_id", "call", "source", "target", F.when(p % 101 == 5, 0).otherwise(4).alias("pixels"), eight.alias("targets"), F.when(p % 89 == 7, 7).otherwise(8).alias("finite_targets"), eight.alias("weights"), eight.alias("finite_weights"), F.when((p % 97 == 11) | (p % 101 == 5), 0).otherwise(6).alias("nonzero_weights"), F.when((p % 97 == 11) | (p % 101 == 5), 0).otherwise(3).alias("nonzero_pixels"))
+    edges = edges.where(p % 113 != 9)
+    measured = empty.where("sequence_id = '7'").groupBy("sequence_id").agg(F.min("node").alias("node")).select("sequence_id", F.lit(1).cast("long").alias("call"), "node")
+    return {"sequences": sequences, "anchors": anchors, "batches": batches, "calls": calls, "edges": edges, "empty": empty, "measured": measured}
+
+
 def artifacts(spark: SparkSession, sf_dir: str, name: str = "benchmark", key: str = "item_id") -> DataFrame:
     return table(spark, sf_dir, name).select(F.col(key).cast("string").alias("name"), F.sha2("text", 256).alias("sha256"))
 
@@ -121,6 +147,16 @@ FRAMES_SQL = """
 frames AS (
   SELECT CAST(user_id % 16 AS VARCHAR) AS sequence_id, event_id AS frame_id, epoch_us(ts) AS timestamp_us,
          row_number() OVER (PARTITION BY user_id % 16 ORDER BY event_id) - 1 AS ordinal FROM events)"""
+TOPOLOGY_SQL = (
+    FRAMES_SQL
+    + """,
+sizes AS (SELECT sequence_id, count(*) AS frames FROM frames GROUP BY ALL),
+anchors AS (SELECT sequence_id, ordinal, row_number() OVER (PARTITION BY sequence_id ORDER BY ordinal) - 1 AS node FROM frames JOIN sizes USING (sequence_id) WHERE ordinal % 9 < 3 OR ordinal = frames - 1),
+targets AS (SELECT f.sequence_id, f.ordinal, row_number() OVER (PARTITION BY f.sequence_id ORDER BY f.ordinal) - 1 AS place FROM frames f WHERE NOT EXISTS (SELECT 1 FROM anchors a WHERE a.sequence_id = f.sequence_id AND a.ordinal = f.ordinal)),
+topology AS (
+  SELECT t.sequence_id, t.ordinal, place, place // 16 AS batch, place % 16 AS local, p.node AS previous, p.node + 1 AS next, p.ordinal AS previous_ordinal, n.ordinal AS next_ordinal
+  FROM targets t ASOF JOIN anchors p ON t.sequence_id = p.sequence_id AND t.ordinal >= p.ordinal JOIN anchors n ON n.sequence_id = p.sequence_id AND n.node = p.node + 1)"""
+)
 RELIEF_SQL = """
 wide AS (SELECT CAST(floor(sqrt(max(p_partkey))) AS BIGINT) AS w FROM part),
 own AS (SELECT p_partkey AS k, w, CAST(p_partkey % w AS DOUBLE) AS x, CAST(p_partkey // w AS DOUBLE) AS y, p_size / 5 AS z, p_size / 50 AS red FROM part, wide),
