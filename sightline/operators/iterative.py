@@ -10,10 +10,12 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterable
+from functools import reduce
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.folders import cut
@@ -165,70 +167,112 @@ def online_association(observations: DataFrame, least: int = 30, overlap: float
     return observations.select(by, "frame_id", "mask_id", "class_id", "point_id").groupBy(by).applyInPandas(associate, f"{by} {kind}, frame_id long, mask_id long, track_id long")
 
 
+#: Rounds that a greedy matching makes before what is left, if that is no more than so many pairs, is chosen from in one pass.
+ROUNDS, LAST_PAIRS = 8, 50_000
+
+
 def greedy_matching(pairs: DataFrame, by: str = "scene_id", order: tuple[str, ...] = ("coverage",), ascending: tuple[bool, ...] = (False,)) -> DataFrame:
-    """The pairs (by, a, b, ...) that a greedy one-to-one choice by the order, then ids, takes."""
+    """The pairs (by, a, b, ...) that a greedy one-to-one choice by the order, then ids, takes.
+
+    A pair that comes first among those of its a and among those of its b is taken whatever the others do, so each round
+    takes all such pairs and drops those that share an end with them: two aggregations and no group of a scene. The first of
+    what is left is always among them. Nulls come last; of rows equal in order and ids one is taken.
+    """
+    rank = [x for c, up in zip(order, ascending, strict=True) for x in (F.col(c).isNull().alias(f"_null_{c}"), (F.col(c) if up else -F.col(c)).alias(f"_{c}"))]
+    row = F.struct(*[F.col(f"`{c}`") for c in pairs.columns]).alias("_row")
+    left = pairs.where("a is not null and b is not null").select(by, "a", "b", F.struct(*rank, "a", "b").alias("_rank"), row)
+    left = cut(left.groupBy(by, "a", "b").agg(F.min("_rank").alias("_rank"), F.min_by("_row", "_rank").alias("_row")))
+    taken, rounds = [], 0
+    while (n := left.count()) and (rounds < ROUNDS or n > LAST_PAIRS):
+        first = lambda side, other: left.groupBy(by, side).agg(F.min("_rank").alias("_rank"), F.min_by(F.struct(other, "_row"), "_rank").alias("_of"))
+        met = first("a", "b").select(by, "a", "_rank", F.col("_of.b").alias("b"), F.col("_of._row").alias("_row"))
+        now = cut(met.join(first("b", "a").select(by, "b", "_rank"), [by, "b", "_rank"], "left_semi"))
+        taken.append(now.select("_row.*"))
+        for side in ("a", "b"):
+            left = left.join(now.select(by, side), [by, side], "left_anti")
+        left, rounds = cut(left), rounds + 1
+    if n:
+        taken.append(chosen_in_order(left, by).select("_row.*"))
+    return reduce(DataFrame.union, taken) if taken else pairs.limit(0)
+
+
+def chosen_in_order(pairs: DataFrame, by: str) -> DataFrame:
+    """The same choice in one pass over each scene's pairs (by, a, b, _rank), for a number of pairs that has been checked."""
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([*order, "a", "b"], ascending=[*ascending, True, True], kind="stable")
         left, right, keep = set(), set(), []
-        for a, b in rows[["a", "b"]].itertuples(index=False):
-            free = a not in left and b not in right
-            keep.append(free)
-            if free:
+        for a, b in rows.sort_values("_at")[["a", "b"]].itertuples(index=False):
+            if a not in left and b not in right:
                 left.add(a)
                 right.add(b)
-        return rows[np.array(keep, bool)]
-
-    return pairs.groupBy(by).applyInPandas(choose, pairs.schema)
-
-
-def hungarian(cost: np.ndarray) -> list[tuple[int, int]]:
-    """A minimum-cost assignment of all rows or all columns: rows enter one by one along cheapest alternating paths."""
-    if cost.size == 0:
-        return []
-    if cost.shape[0] > cost.shape[1]:
-        return sorted((i, j) for j, i in hungarian(cost.T))
-    n, m = cost.shape
-    row_price, column_price, owner = np.zeros(n), np.zeros(m), np.full(m, -1)
-    for new in range(n):
-        reach, parent, closed = np.full(m, np.inf), np.full(m, -1), np.zeros(m, bool)
-        row, column, far = new, -1, 0.0
-        while row >= 0:
-            through = far + cost[row] - row_price[row] - column_price
-            shorter = ~closed & (through < reach)
-            reach[shorter], parent[shorter] = through[shorter], column
-            column = int(np.where(closed, np.inf, reach).argmin())
-            far, closed[column], row = reach[column], True, owner[column]
-        for j in np.flatnonzero(closed):
-            if owner[j] >= 0:
-                row_price[owner[j]] += far - reach[j]
-            column_price[j] -= far - reach[j]
+                keep.append((a, b))
+        return pd.DataFrame({by: rows[by].iloc[0], "a": [k[0] for k in keep], "b": [k[1] for k in keep]})
+
+    kinds = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in (by, "a", "b"))
+    ranked = pairs.select(by, "a", "b", F.row_number().over(Window.partitionBy(by).orderBy("_rank")).alias("_at"))
+    return pairs.join(ranked.groupBy(by).applyInPandas(choose, kinds), [by, "a", "b"], "left_semi")
+
+
+def sparse_assignment(edges: Iterable[tuple[int, int, float]], rows: int) -> list[tuple[int, int]]:
+    """A set of one-to-one edges (row, column, benefit) of the highest total benefit; rows and columns may stay alone.
+
+    Rows enter one by one along the cheapest alternating path, found over the edges that are there; a column of its own at
+    no cost lets a row stay alone. So memory follows the edges, and a path ends where it meets a free column.
+    """
+    near: list[list[tuple[int, float]]] = [[(-1 - i, 0.0)] for i in range(rows)]
+    for i, j, benefit in edges:
+        near[i].append((j, -benefit))
+    row_price, price, owner, taken = [0.0] * rows, defaultdict(float), {}, {}
+    for new in range(rows):
+        reach, before, closed, heap = {}, {}, {}, []
+        row, far = new, 0.0
+        while True:
+            for j, cost in near[row]:
+                d = far + cost - row_price[row] - price[j]
+                if j not in closed and d < reach.get(j, np.inf):
+                    reach[j], before[j] = d, row
+                    heappush(heap, (d, j))
+            far, column = heappop(heap)
+            while column in closed:
+                far, column = heappop(heap)
+            closed[column] = far
+            if column not in owner:
+                break
+            row = owner[column]
+        for j, d in closed.items():
+            if j in owner:
+                row_price[owner[j]] += far - d
+            price[j] -= far - d
         row_price[new] += far
-        while column >= 0:
-            before = parent[column]
-            owner[column] = owner[before] if before >= 0 else new
-            column = before
-    return sorted((int(owner[j]), j) for j in range(m) if owner[j] >= 0)
+        while column is not None:
+            row = before[column]
+            owner[column], taken[row], column = row, column, taken.get(row)
+    return sorted((i, j) for j, i in owner.items() if j >= 0)
 
 
 def assignment(pairs: DataFrame, by: str = "scene_id", score: str = "iou", most_pairs: bool = True) -> DataFrame:
     """(by, a, b, score): as many one-to-one pairs as possible, and of those sets one with the highest total score.
 
-    Without most_pairs the total score alone counts.
+    Without most_pairs the total score alone counts. Components of pairs are found by Spark, and each is solved on its own:
+    no pair leads from one to another, so the whole is best where each part is.
     """
-    kind = pairs.schema[by].dataType.simpleString()
+    kinds = {c: pairs.schema[c].dataType.simpleString() for c in (by, "a", "b")}
+    pairs = cut(pairs.where("a is not null and b is not null").groupBy(by, "a", "b").agg(F.max(score).cast("double").alias(score)))
+    ends = pairs.select(by, F.concat(F.lit("a"), F.col("a").cast("string")).alias("a"), F.concat(F.lit("b"), F.col("b").cast("string")).alias("b"))
+    roots = components(ends, [by]).where("startswith(node, 'a')")
+    roots = roots.select(by, F.substring("node", 2, 100).cast(kinds["a"]).alias("a"), "root")
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        a, b = sorted(rows["a"].unique()), sorted(rows["b"].unique())
-        ia, ib = {x: i for i, x in enumerate(a)}, {x: i for i, x in enumerate(b)}
-        benefit = np.zeros((len(a), len(b)))
-        base = min(benefit.shape) + 1 if most_pairs else 0
-        for x, y, s in rows[["a", "b", score]].itertuples(index=False):
-            benefit[ia[x], ib[y]] = base + s
-        got = [(a[i], b[j], benefit[i, j] - base) for i, j in hungarian(-benefit) if benefit[i, j] > 0]
+        rows = rows.sort_values(["a", "b"])
+        ia, a = pd.factorize(rows["a"])
+        ib, b = pd.factorize(rows["b"])
+        s = rows[score].to_numpy()
+        base = 1 + 2 * min(len(a), len(b)) * np.abs(s).max() if most_pairs else 0.0
+        benefit = {(i, j): x for i, j, x in zip(ia.tolist(), ib.tolist(), s.tolist(), strict=True)}
+        got = [(a[i], b[j], benefit[i, j]) for i, j in sparse_assignment(((i, j, base + x) for (i, j), x in benefit.items()), len(a)) if base + benefit[i, j] > 0]
         return pd.DataFrame({by: rows[by].iloc[0], "a": [g[0] for g in got], "b": [g[1] for g in got], score: [g[2] for g in got]})
 
-    return pairs.select(by, "a", "b", score).groupBy(by).applyInPandas(solve, f"{by} {kind}, a long, b long, {score} double")
+    return pairs.join(roots, [by, "a"]).groupBy(by, "root").applyInPandas(solve, f"{by} {kinds[by]}, a {kinds['a']}, b {kinds['b']}, {score} double")
 
 
 def suppressed(pairs: DataFrame, masks: DataFrame, iou: float = 0.8, by: str = "frame_id") -> DataFrame:

@@ -172,7 +172,8 @@ def test_matchings(spark):
         c = rng.integers(0, 9, (n, m)).astype(float)
         k = min(n, m)
         best = min(sum(c[i, j] for i, j in zip(r, q, strict=True)) for r in itertools.combinations(range(n), k) for q in itertools.permutations(range(m), k))
-        assert sum(c[i, j] for i, j in iterative.hungarian(c)) == best
+        got = iterative.sparse_assignment(((i, j, 100 - c[i, j]) for i in range(n) for j in range(m)), n)
+        assert len(got) == k and sum(c[i, j] for i, j in got) == best
 
 
 def test_suppression(spark):
