@@ -2,15 +2,14 @@
 
 The standard library's parser reports tags and text; they become lines, one per block element, each with its text and its
 number of tags. A stack of open elements follows HTML's implied end tags, so that an element without its end tag takes
-nothing that comes after it. Each line's text-to-tag ratio counts text in links little. Logarithms of the ratios are
-smoothed with a Gaussian window within a region: neighbouring lines that stand alike, or a run of lines that are links only.
+nothing that comes after it; it is indexed by name, so a page takes time in proportion to its length however deep it is.
 
-A line stands in an article or main element (e**KEEP, so that only a region of links there falls behind), is plain, or is marked (ratio
-divided by e**MARK) by an element, role, class or id of menus, headers, footers, sidebars, notices, adverts, forms and comments.
-Threshold clustering (two means in one dimension, again in the upper cluster while it mixes lines that stand differently,
-and once in lines that stand alike) gives the cut: lines above it are content. No line is
-dropped for its mark or for lying outside an article, but by its ratio with that weight. Names that only suggest a mark
-(WEAK), and forms, count only if their own text-to-tag ratio is not that of prose.
+A line's score is the logarithm of its text-to-tag ratio. Text in links counts little, and a tag weighs more or less by
+where it stands: e**KEEP times less in an article or main element, e**MARK times more in an element, role, class or id of
+menus, headers, footers, sidebars, notices, adverts, forms and comments, e**SOFT times more under a name that only mentions
+one of these. Scores are smoothed with a Gaussian window within a region (neighbouring lines that stand alike), which
+carries short lines among long ones, and clustered: two means in one dimension, again in the upper cluster while it mixes
+lines that stand differently, and once in lines outside of articles. Lines above the cut are content; nothing else decides.
 
 On a page without an article or main element, headings and paragraphs next to content lines belong to it too, as short ones
 have low ratios. Within a block all white space becomes one space, blocks without text vanish, and blocks are joined by
@@ -34,21 +33,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Elements that begin and end a line.
-BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
+BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 KEPT = frozenset(("article", "main"))
 #: Elements and roles whose text is marked.
 MARKED = frozenset("aside button canvas datalist dialog footer header iframe menu nav noscript object select svg template textarea title".split())
 ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
-#: Words of class and id names that mark: these anywhere in a name, WEAK ones if the name ends with them or its ratio is low.
-STRONG = frozenset("ad ads adv advert advertisement adverts breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer menu modal nav navbar navigation newsletter popup promo promoted promotion sidebar sponsor sponsored".split())
-WEAK = frozenset("banner header notice notices related share sharing social subscribe widget widgets".split())
+#: Words of class and id names that mark if they are a name's last word, layout words left out, or the block's in block__element.
+WORDS = frozenset("ad ads adv advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header menu modal nav navbar navigation newsletter notice notices popup promo promoted promotion related share sharing sidebar social sponsor sponsored subscribe widget widgets".split())
+#: Words after which the one before says what an element is.
+LAYOUT = frozenset("area articles aside bar block body bottom box btn button buttons card cell col column container content dialog field form frame group head holder icon icons inner item items label large layout left link links list main media module outer page panel position post posts reply respond right row section site slot small stories thread title top trail unit view wrap wrapper zone".split())
 #: Marks that an article within them, as an unclosed or page-wide element has it, takes no part in.
 LOOSE = frozenset(("form", "header", "menu", "nav", "search"))
 #: Blocks of running text.
 PROSE = frozenset("blockquote dd dt h1 h2 h3 h4 h5 h6 li p pre".split())
 #: Start tags that end an open paragraph.
-ENDS_P = BLOCKS - {"body", "caption", "head", "html", "legend", "option", "optgroup", "tbody", "td", "tfoot", "th", "thead", "title", "tr"}
+ENDS_P = BLOCKS - {"body", "caption", "head", "html", "legend", "tbody", "td", "tfoot", "th", "thead", "title", "tr"}
 #: Start tags that end open elements of these names, up to an element of the second set.
 _LISTS, _TABLE = frozenset(("ul", "ol", "menu")), frozenset(("table",))
 ENDS = {
@@ -63,9 +63,12 @@ _P_SCOPE = frozenset("button caption html object table td template th".split())
 _NAME = re.compile(r"[A-Za-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
-#: Logarithms of the weights of lines in articles and of marked ones; text in links counts LINK of its length.
-KEEP, MARK, LINK = 12.0, 16.0, 0.01
-#: The ratio of prose, and how much of it there must be in blocks of some length, for forms and names that may mark.
+#: Logarithms of what a tag weighs by its place.
+KEEP, MARK, SOFT = 5.0, 5.0, 1.5
+#: (the share of its length that text in links counts, the window's width in lines) in articles, where lists of links may
+#: stand among prose, and elsewhere.
+WITHIN, ELSEWHERE = (0.1, 2.5), (0.01, 1.0)
+#: The ratio of prose, and how much of it there must be in blocks of some length, for a form around it not to mark it.
 PROSE_RATIO, PROSE_TEXT, PROSE_LINE = 25, 200, 80
 #: Ratios below this one count as it.
 LEAST_RATIO = 0.1
@@ -77,9 +80,9 @@ APART, ALIKE = math.log(8), math.log(2)
 class Mark:
     """What an element's mark rests on; which lines it holds is counted when the page has ended."""
 
-    loose: bool
-    weak: bool
+    kind: str  # "firm", "loose" (not within an article), "form" (as loose, and not around prose) or "soft" (a weight only)
     main: bool = False
+    ended: int | None = None  # the line from which it no longer holds, where its blocks stay open
 
 
 @dataclass
@@ -88,20 +91,24 @@ class Line:
     tags: int
     link: int
     container: int
-    marks: tuple[tuple[Mark, bool], ...]  # with whether an article was opened within
+    marks: tuple[Mark, ...]
     block: str
 
 
 @lru_cache(maxsize=4096)
 def named(value: str) -> str:
-    """Whether a class or id value marks: "strong", "weak" or ""."""
+    """Whether a class or id value marks: "firm", "soft" or ""."""
     found = ""
     for token in value.split():
-        parts = [x.lower() for x in _NAME.findall(_CAMEL.sub(" ", token))]
-        if any(x in STRONG for x in parts) or parts and parts[-1] in WEAK:
-            return "strong"
-        if any(x in WEAK for x in parts):
-            found = "weak"
+        for part in dict.fromkeys((token, token.split("__")[0])):
+            words = [x.lower() for x in _NAME.findall(_CAMEL.sub(" ", part))]
+            told = list(words)
+            while len(told) > 1 and (told[-1] in LAYOUT or len(told[-1]) == 1):
+                told.pop()
+            if told and told[-1] in WORDS:
+                return "firm"
+            if any(x in WORDS for x in words):
+                found = "soft"
     return found
 
 
@@ -113,55 +120,78 @@ class Lines(HTMLParser):
         self.lines: list[Line] = []
         self.parts: list[str] = []
         self.beside: list[str] = []  # marked text within an unmarked line
-        self.tags, self.link, self.links = 0, 0, 0
-        # open elements: name, marks, container
-        self.open: list[tuple[str, tuple, int]] = [("", (), 0)]
+        self.tags, self.link = 0, 0
+        self.open: list[tuple[str, tuple[Mark, ...], int]] = [("", (), 0)]  # open elements: name, marks, container
+        self.places: dict[str, list[int]] = defaultdict(list)  # where elements of each name are open
+        self.blocks: list[int] = []  # and blocks
         self.n_containers = 0
-        self.at: tuple[str, tuple, int] | None = None  # where the line began
+        self.at: tuple[tuple[Mark, ...], int] | None = None  # where the line began
         self.block = ""  # and the block there
-        self.beside_at: tuple | None = None
+        self.beside_at: tuple[tuple[Mark, ...], int] | None = None
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split()) if self.parts else ""
         if text or self.tags:
-            _, marks, container = self.at or self.open[-1]
+            marks, container = self.at or self.here()
             self.lines.append(Line(text, self.tags, min(self.link, len(text)), container, marks, self.block))
         if self.beside and (text := " ".join("".join(self.beside).split())):
-            self.lines.append(Line(text, 1, 0, self.beside_at[2], self.beside_at[1], ""))
+            self.lines.append(Line(text, 1, 0, self.beside_at[1], self.beside_at[0], ""))
         self.parts, self.beside, self.tags, self.link, self.at = [], [], 0, 0, None
 
+    def here(self) -> tuple[tuple[Mark, ...], int]:
+        """(marks that hold, container) at this place; marks are few, as an element adds none of a kind that holds."""
+        _, marks, container = self.open[-1]
+        return (tuple(m for m in marks if m.ended is None) if marks else marks), container
+
     @staticmethod
     def mark(tag: str, attrs: list[tuple[str, str | None]]) -> Mark | None:
         if tag in MARKED:
-            return Mark(tag in LOOSE, False)
-        found = Mark(True, True) if tag == "form" else None
+            return Mark("loose" if tag in LOOSE else "firm")
+        found = Mark("form") if tag == "form" else None
         for name, value in attrs:
             if name == "hidden" or name == "aria-hidden" and value == "true" or value and name == "role" and value.lower() in ROLES:
-                return Mark(False, False)
-            if value and name in ("class", "id") and tag not in ("html", "body", "article", "main"):
+                return Mark("firm")
+            if value and name in ("class", "id") and tag not in ("html", "body", "main"):
                 kind = named(value)
-                if kind == "strong":
-                    return Mark(False, False)
+                if kind == "firm":
+                    return Mark("firm")
                 if kind and found is None:
-                    found = Mark(True, True)
+                    found = Mark("soft")
         return found
 
+    def push(self, tag: str, marks: tuple[Mark, ...], container: int) -> None:
+        self.places[tag].append(len(self.open))
+        if tag in BLOCKS:
+            self.blocks.append(len(self.open))
+        self.open.append((tag, marks, container))
+
     def close_to(self, at: int) -> None:
         """Ends the open elements from that place on."""
-        if at < len(self.open):
-            if any(x[0] in BLOCKS for x in self.open[at:]):
-                self.flush()
-            self.links = max(0, self.links - sum(x[0] == "a" for x in self.open[at:]))
-            del self.open[at:]
+        if self.blocks and self.blocks[-1] >= at:
+            self.flush()
+        while len(self.open) > at:
+            name = self.open.pop()[0]
+            if name:
+                self.places[name].pop()
+        while self.blocks and self.blocks[-1] >= at:
+            self.blocks.pop()
+
+    def close_around(self, at: int) -> None:
+        """Ends an inline element whose blocks stay open: its name goes, and its mark holds up to here."""
+        name, marks, container = self.open[at]
+        before = self.open[at - 1][1]
+        if own := [m for m in marks if not any(m is x for x in before)]:
+            self.flush()
+            for m in own:
+                m.ended = len(self.lines)
+        self.places[name].remove(at) if self.places[name][-1] != at else self.places[name].pop()
+        self.open[at] = ("", marks, container)
 
     def last(self, names, scope) -> int:
         """The place of the innermost open element of those names within the scope, or 0."""
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i][0] in names:
-                return i
-            if self.open[i][0] in scope:
-                break
-        return 0
+        top = lambda every: max((self.places[x][-1] for x in every if self.places.get(x)), default=0)
+        found = top(names)
+        return found if found and found > top(x for x in scope if x not in names) else 0
 
     def handle_starttag(self, tag, attrs):
         if tag in ENDS_P and (at := self.last(("p",), _P_SCOPE)):
@@ -172,8 +202,7 @@ class Lines(HTMLParser):
             while at := self.last(*ENDS[tag]):
                 self.close_to(at)
         if tag == "a" and (at := self.last(("a",), _P_SCOPE)):
-            del self.open[at]
-            self.links -= 1
+            self.close_around(at)
         if tag in BLOCKS:
             self.flush()
         elif tag == "br":
@@ -181,22 +210,23 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        _, marks, container = self.open[-1]
+        marks, container = self.here()
         if tag in KEPT:
             self.n_containers += 1
             container = self.n_containers
-            if marks:
-                for m, _ in marks:
-                    m.main |= tag == "main"
-                marks = tuple((m, True) for m, _ in marks)
-        if (own := self.mark(tag, attrs)) is not None:
-            marks = (*marks, (own, False))
-        self.open.append((tag, marks, container))
-        self.links += tag == "a"
+            for m in marks:
+                m.main |= tag == "main"
+            marks = tuple(m for m in marks if m.kind in ("firm", "soft"))
+        if marks:
+            marks = tuple(m for m in marks if not m.main)
+        own = self.mark(tag, attrs)
+        if own is not None and not any(m.kind == own.kind for m in marks):
+            marks = (*marks, own)
+        self.push(tag, marks, container)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag in ("svg", "math") or tag not in VOID and any(x[0] in ("svg", "math") for x in self.open):  # only foreign elements end with "/>"
+        if tag in ("svg", "math") or tag not in VOID and (self.places.get("svg") or self.places.get("math")):  # only foreign elements end with "/>"
             self.close_to(len(self.open) - 1)
 
     def handle_endtag(self, tag):
@@ -205,41 +235,33 @@ class Lines(HTMLParser):
         if not at:
             if tag in BLOCKS:
                 self.flush()
-            return
-        if tag not in BLOCKS and any(x[0] in BLOCKS for x in self.open[at + 1 :]):  # an inline element around blocks that stay open
-            if tag == "a":
-                self.links -= 1
-            kept = len(self.open[at][1]) - len(self.open[at - 1][1])
-            depth = len(self.open[at - 1][1])
-            tail = [(n, m[:depth] + m[depth + kept :], c) for n, m, c in self.open[at + 1 :]]
-            if kept:
-                self.flush()
-            self.open[at:] = tail
-            return
-        self.close_to(at)
+        elif tag not in BLOCKS and self.blocks and self.blocks[-1] > at:
+            self.close_around(at)
+        else:
+            self.close_to(at)
 
-    def start(self, here: tuple[str, tuple, int]) -> None:
-        self.at, self.block = here, next((x[0] for x in reversed(self.open) if x[0] in BLOCKS), "")
+    def start(self, here: tuple[tuple[Mark, ...], int]) -> None:
+        self.at, self.block = here, self.open[self.blocks[-1]][0] if self.blocks else ""
 
     def handle_data(self, data):
-        here = self.open[-1]
-        if here[0] in ("script", "style"):
+        if self.open[-1][0] in ("script", "style"):
             return
+        here = self.here()
         if self.at is None:
             if not data.strip():
                 if self.parts or self.tags:
                     self.parts.append(data)
                 return
             self.start(here)
-        if len(here[1]) > len(self.at[1]):
+        if len(here[0]) > len(self.at[0]):
             self.beside.append(data)
             self.beside_at = here
             return
-        if len(here[1]) < len(self.at[1]):  # a marked inline element has ended
+        if len(here[0]) < len(self.at[0]):  # a marked inline element has ended
             self.flush()
             self.start(here)
         self.parts.append(data)
-        if self.links:
+        if self.places.get("a"):
             self.link += len(data.strip())
 
 
@@ -272,7 +294,9 @@ def content_cut(scores: np.ndarray, standing: np.ndarray) -> float:
     while True:
         own = np.unique(standing[upper])
         mixed = len(own) > 1
-        found = threshold(scores[upper], APART if mixed or own[0] > 0 else ALIKE)
+        if not mixed and own[0] > 0:  # an article's own lines are one cluster
+            return cut
+        found = threshold(scores[upper], APART if mixed else ALIKE)
         if found == -math.inf:
             return cut
         cut, upper = found, scores > found
@@ -280,20 +304,44 @@ def content_cut(scores: np.ndarray, standing: np.ndarray) -> float:
             return cut
 
 
-def regions(lines: list[Line], standing: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """The number of each line's region, and whether that is one of links.
+def placed(lines: list[Line]) -> tuple[list[Line], np.ndarray, np.ndarray]:
+    """(lines with text, how each stands: 1 in an article, 0 plain, -1 marked, its tags' weight as a logarithm)."""
+    size: dict[int, list[int]] = defaultdict(lambda: [0, 0, 0])
+    for x in lines:
+        for m in x.marks:
+            if m.kind == "form":
+                own = size[id(m)]
+                own[0] += len(x.text) - x.link
+                own[1] += x.tags
+                own[2] += len(x.text) if x.block in PROSE and len(x.text) - x.link >= PROSE_LINE else 0
 
-    A region is a run of neighbours that stand alike, one of links a run of three or more lines that are links only.
-    """
-    links = [x.link * 10 >= 9 * len(x.text) for x in lines]
-    runs, start = [False] * len(lines), 0
-    for i in range(len(lines) + 1):
-        if i == len(lines) or not links[i] or i and standing[i] != standing[i - 1]:
-            if i - start >= 3:
-                runs[start:i] = [True] * (i - start)
-            start = i if i < len(lines) and links[i] else i + 1
-    keys = [(s, x.container, r) for s, x, r in zip(standing, lines, runs, strict=True)]
-    return np.cumsum([0, *(a != b for a, b in zip(keys, keys[1:], strict=False))]), np.array(runs)
+    def counts(m: Mark, line: int) -> bool:
+        if m.main or m.ended is not None and line >= m.ended:
+            return False
+        text, tags, prose = size[id(m)] if m.kind == "form" else (0, 0, 0)
+        return m.kind != "form" or text < PROSE_RATIO * max(1, tags) or prose < PROSE_TEXT
+
+    kept, standing, weight = [], [], []
+    for i, x in enumerate(lines):
+        if x.text:
+            kinds = {m.kind for m in x.marks if counts(m, i)}
+            stand = -1 if kinds - {"soft"} else 1 if x.container else 0
+            kept.append(x)
+            standing.append(stand)
+            weight.append((MARK if stand < 0 else -KEEP if stand > 0 else 0.0) + (SOFT if "soft" in kinds and stand >= 0 else 0.0))
+    return kept, np.array(standing, int), np.array(weight)
+
+
+def scores(lines: list[Line], standing: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The smoothed logarithm of each line's text-to-tag ratio. A region is a run of lines that stand alike in one article."""
+    link = np.where(standing > 0, WITHIN[0], ELSEWHERE[0])
+    ratio = np.array([(len(x.text) - (1 - k) * x.link) / max(1, x.tags) for x, k in zip(lines, link, strict=True)])
+    out = np.log(np.maximum(ratio, LEAST_RATIO)) - weight
+    keys = [(s, x.container) for s, x in zip(standing.tolist(), lines, strict=True)]
+    starts = [i for i, k in enumerate(keys) if not i or k != keys[i - 1]]
+    for a, b in zip(starts, [*starts[1:], len(keys)], strict=True):
+        out[a:b] = smoothed(out[a:b], (WITHIN if standing[a] > 0 else ELSEWHERE)[1])
+    return out
 
 
 def main_text(html: str | None) -> str:
@@ -303,39 +351,16 @@ def main_text(html: str | None) -> str:
     parser.feed(html)
     parser.close()
     parser.flush()
-    lines = parser.lines
-    size: dict[int, list[int]] = defaultdict(lambda: [0, 0, 0])
-    for x in lines:
-        for m, _ in x.marks:
-            if m.weak:
-                own = size[id(m)]
-                own[0] += len(x.text) - x.link
-                own[1] += x.tags
-                own[2] += len(x.text) if x.block in PROSE and len(x.text) - x.link >= PROSE_LINE else 0
-
-    def counts(m: Mark, article: bool) -> bool:
-        if m.main or m.loose and article:
-            return False
-        text, tags, prose = size[id(m)] if m.weak else (0, 0, 0)
-        return not m.weak or text < PROSE_RATIO * max(1, tags) or prose < PROSE_TEXT
-
-    lines = [x for x in lines if x.text]
+    lines, standing, weight = placed(parser.lines)
     if not lines:
         return ""
-    standing = [-1 if any(counts(*m) for m in x.marks) else 1 if x.container else 0 for x in lines]
-    place, links = regions(lines, standing)
-    ratio = np.array([(len(x.text) - (1 - LINK) * x.link) / max(1, x.tags) for x in lines])
-    score = np.log(np.maximum(ratio, LEAST_RATIO))
-    for a, b in zip(first := np.flatnonzero(np.diff(place, prepend=-1)), [*first[1:], len(lines)], strict=True):
-        score[a:b] = smoothed(score[a:b])
-    stand = np.array(standing)
-    score = np.where(stand < 0, score - MARK, np.where(stand == 0, score, np.where(links, 2 * np.minimum(score, 0) + KEEP, KEEP)))
-    cut = content_cut(score, stand)
-    if cut == -math.inf and (stand < 0).all():
+    score = scores(lines, standing, weight)
+    cut = content_cut(score, standing)
+    if cut == -math.inf and (standing < 0).all():
         return ""
     content = score > cut
-    if not (stand > 0).any():  # headings and paragraphs between and next to content lines
-        rows = np.flatnonzero(stand == 0).tolist()
+    if not (standing > 0).any():  # headings and paragraphs between and next to content lines
+        rows = np.flatnonzero(standing == 0).tolist()
         at = [k for k, i in enumerate(rows) if content[i]]
         if at:
             a, b = at[0], at[-1]

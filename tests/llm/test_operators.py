@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from html import unescape
 
@@ -65,19 +66,53 @@ PARA = ("A long paragraph of text. " * 9).strip()
     (f"<article><p>{PARA}</p><form>{PARA}<input></form><div class=related-posts><p>{PARA[:120]}</p></div></article>", PARA),
     (f"<div><p><b>Short.</b></p><p>{PARA}</p><p><i>End.</i></p></div><div>(c) us</div>", f"Short.\n{PARA}\nEnd."),
     ("<article><p>Before <span class=ad>buy</span> after.</p></article>", "Before after."),
-    # a menu without a name; a page of links
-    (f"<article><p>{PARA}</p><p>See <a href=x>this link</a>.</p><ul><li><a>One</a><li><a>Two</a><li><a>Three</a></ul><p>End.</p></article>", f"{PARA}\nSee this link.\nEnd."),
+    # a list of sources among prose; a page of links; a menu without a name outside of an article
+    (f"<article><p>{PARA}</p><p>See <a href=x>this link</a>.</p><ul><li><a>One</a><li><a>Two</a><li><a>Three</a></ul><p>End.</p></article>", f"{PARA}\nSee this link.\nOne\nTwo\nThree\nEnd."),
+    (f"<div><a>Home</a></div><div><a>About</a></div><div><a>News</a></div><h1>Title</h1><p>{PARA}</p><p>Short.</p><p>{PARA}</p><div><a>Contact</a></div><div><a>Legal</a></div>", f"Title\n{PARA}\nShort.\n{PARA}"),
+    # names whose last word is no mark; an advert that is an article; a choice within a sentence
+    (f"<article><p>{PARA}</p><p class=comment-policy>Ours is short.</p><p class=ad-free>No adverts.</p><p class=notice-period>Three months for all who work here.</p><p class=related-work>Done before.</p></article>", f"{PARA}\nOurs is short.\nNo adverts.\nThree months for all who work here.\nDone before."),
+    (f"<article class=ad><p>{PARA}</p></article><article><p>{PARA}</p></article>", PARA),
+    ("<article><p>Pick <select><option>a<option>b</select> now.</p></article>", "Pick now."),
+    (f"<article><p>{PARA}</p><div class=comment-list><p>{PARA}</p></div><div class=footer__text>x</div><div class=adBox1>y</div></article>", PARA),
     ("<main><ul><li><a>One</a><li><a>Two</a><li><a>Three</a></ul></main><footer>f</footer>", "One\nTwo\nThree"),
 ])
 def test_main_text(html, expected):
     assert html_text.main_text(html) == expected
 
 
-def test_the_threshold_decides(spark, monkeypatch):
-    pages = [r[0] for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect()]
+def changed(pages, monkeypatch, **new):
+    """How many pages' texts change with other functions or values in the module."""
     before = [html_text.main_text(x) for x in pages]
-    monkeypatch.setattr(html_text, "threshold", lambda values, apart: -math.inf)
-    assert all(html_text.main_text(x) != y for x, y in zip(pages, before, strict=True))
+    with monkeypatch.context() as m:
+        for name, value in new.items():
+            m.setattr(html_text, name, value)
+        return sum(html_text.main_text(x) != y for x, y in zip(pages, before, strict=True))
+
+
+def test_ratio_smoothing_and_threshold_decide(spark, monkeypatch):
+    """The score is the smoothed ratio: without it, with other numbers in its place or without the cut every page changes.
+
+    The weights of places alone do not decide: either can go where pages have much text, and both cannot. Smoothing itself
+    matters on pages without an article, where short lines stand among long ones.
+    """
+    pages = [r[0] for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect()]
+    rng = np.random.default_rng(1)
+    assert changed(pages, monkeypatch, smoothed=lambda values, sigma: np.zeros(len(values))) == len(pages)
+    assert changed(pages, monkeypatch, smoothed=lambda values, sigma: rng.uniform(-2, 8, len(values))) == len(pages)
+    assert changed(pages, monkeypatch, threshold=lambda values, apart: -math.inf) == len(pages)
+    assert changed(pages, monkeypatch, KEEP=0.0) == changed(pages, monkeypatch, MARK=0.0) == 0
+    r = random.Random(3)
+    text = lambda n: "word " * n
+    made = ["<div><a>Home</a></div><div><a>News</a></div>" + "".join(f"<div><b><i>{text(r.choice([1, 40]))}</i></b></div>" for _ in range(12)) + "<div><a>Legal</a></div>" for _ in range(40)]
+    assert changed(made, monkeypatch, smoothed=lambda values, sigma: values) >= 10
+
+
+@pytest.mark.parametrize("html", ["<div>", "<div class=ad>", "<nav>", "<nav><article>", "<form>", "<p><a>", "<li>", "<svg/>", "<td>", "<b><div></b>", "<span class=ad><div></span>"])
+def test_deep_pages_take_linear_time(html):
+    """50,000 open elements: seconds at most, where a walk over all of them at each tag would take minutes."""
+    start = time.process_time()
+    html_text.main_text(html * 50_000 + "text")
+    assert time.process_time() - start < 20
 
 
 def test_pages_against_their_articles(spark):
