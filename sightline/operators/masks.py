@@ -56,12 +56,16 @@ def classless(observations: DataFrame) -> DataFrame:
 def mask_overlaps(member: DataFrame) -> DataFrame:
     """(frame_a, mask_a, frame_b, mask_b, shared): counts of common points, a mask with itself too.
 
-    Pairs arise within a point's observations: one mask a frame, so as many as its frames squared, and are added up
-    before the shuffle.
+    Pairs arise within a point's observations: one mask a frame, so as many as its frames squared. Each pair is counted
+    one way round, added up before the shuffle, and turned after it.
     """
-    a = member.select("point_id", F.col("frame_id").alias("frame_a"), F.col("mask_id").alias("mask_a"))
-    b = member.select("point_id", F.col("frame_id").alias("frame_b"), F.col("mask_id").alias("mask_b"))
-    return a.join(b, "point_id").groupBy("frame_a", "mask_a", "frame_b", "mask_b").agg(F.count("*").alias("shared"))
+    own = member.select("point_id", F.struct("frame_id", "mask_id").alias("m"))
+    a, b = own.withColumnRenamed("m", "a"), own.withColumnRenamed("m", "b")
+    met = a.join(b, "point_id").where("a <= b").groupBy(*[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in ("frame_id", "mask_id")]).agg(F.count("*").alias("shared"))
+    one = [F.col(f"{s}_{c}_id") for s in "ab" for c in ("frame", "mask")]
+    ways = [F.struct(*[x.alias(n) for x, n in zip(order, ("frame_a", "mask_a", "frame_b", "mask_b"), strict=True)]) for order in (one, [*one[2:], *one[:2]])]
+    alone = (one[0] == one[2]) & (one[1] == one[3])
+    return met.select(F.inline(F.when(alone, F.array(ways[0])).otherwise(F.array(*ways))), "shared")
 
 
 def mask_visibility(member: DataFrame, observations: DataFrame) -> DataFrame:
