@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,17 +83,55 @@ def bilateral(pixels: DataFrame, sigma_px: float = 1.0, sigma_mm: float = 10.0,
 
 
 def denoised(pixels: DataFrame, smooth=bilateral) -> DataFrame:
-    """Spatial support and then a smoothing function, which may neither fill holes nor change which pixels there are."""
+    """Spatial support and then a smoothing function of pixel tables, which may neither fill holes nor change which pixels there are.
+
+    A function of images is one by tiled(). What it broke is named, with a frame where it did.
+    """
     from ..schemas import DataError
 
     kept = spatial_support(pixels).drop("support")
-    out = smooth(kept)
-    joined = kept.select("frame_id", "u", "v", F.col("depth_mm").alias("_was")).join(out, ["frame_id", "u", "v"], "full")
-    if not joined.where("_was is null or depth_mm is null or (_was = 0 and depth_mm != 0)").limit(1).isEmpty():
-        raise DataError("smoothing changed the image's shape or filled holes")
+    joined = kept.select("frame_id", "u", "v", F.col("depth_mm").alias("_was")).join(out := smooth(kept), ["frame_id", "u", "v"], "full")
+    lost = F.when(F.col("_was").isNull(), "added pixels").when(F.col("depth_mm").isNull(), "removed pixels").when((F.col("_was") == 0) & (F.col("depth_mm") != 0), "filled holes")
+    lost = F.coalesce(lost, F.when((F.col("depth_mm") < 0) | (F.col("depth_mm") > 65535), "left the range of 16 bits"))
+    if found := joined.withColumn("_broke", lost).where("_broke is not null").select("frame_id", "_broke").first():
+        raise DataError(f"smoothing {found[1]} in frame {found[0]}")
     return out
 
 
+def tiled(function, tile: int = 256, halo: int = 8):
+    """A smoothing function for denoised() from one of images: it gets a tile of depths with a halo around it, as uint16, and
+    gives an array of the same shape, alone or with statistics, which are dropped. Outside of the image all is 0.
+
+    Tiles are tasks' groups of (tile + 2 * halo)**2 pixels at most, whatever the image's size; with a halo as wide as the
+    function reaches, the result does not depend on the tiles.
+    """
+    wide = tile + 2 * halo
+
+    def smooth(pixels: DataFrame) -> DataFrame:
+        near = lambda c: F.sequence(F.floor((F.col(c) - halo) / tile), F.floor((F.col(c) + halo) / tile))
+        dealt = pixels.select("frame_id", "u", "v", "depth_mm").withColumn("tu", F.explode(near("u"))).withColumn("tv", F.explode(near("v")))
+
+        def run(rows: pd.DataFrame) -> pd.DataFrame:
+            from ..schemas import DataError
+
+            frame, tu, tv = rows.loc[0, ["frame_id", "tu", "tv"]]
+            u, v = (rows["u"] - tu * tile + halo).to_numpy(int), (rows["v"] - tv * tile + halo).to_numpy(int)
+            image = np.zeros((wide, wide), np.uint16)
+            image[v, u] = rows["depth_mm"]
+            given = function(image.copy())
+            given = np.asarray(given[0] if isinstance(given, tuple) else given)
+            if given.shape != image.shape:
+                raise DataError(f"smoothing changed the image's shape in frame {frame}")
+            own = (u >= halo) & (u < halo + tile) & (v >= halo) & (v < halo + tile)
+            return pd.DataFrame({"frame_id": frame, "u": rows["u"][own], "v": rows["v"][own], "depth_mm": given[v[own], u[own]].astype(np.int64)})
+
+        kind = pixels.schema["frame_id"].dataType.simpleString()
+        new = dealt.groupBy("frame_id", "tu", "tv").applyInPandas(run, f"frame_id {kind}, u int, v int, depth_mm int")
+        return pixels.drop("depth_mm").join(new, ["frame_id", "u", "v"])
+
+    return smooth
+
+
 def resampled_masks(masks: DataFrame, width: int, height: int, new_width: int, new_height: int) -> DataFrame:
     """Mask pixels on another grid by nearest neighbour: target (u, v) takes the source pixel at floor((u + .5) * scale)."""
     sx, sy = width / new_width, height / new_height

@@ -270,3 +270,28 @@ def test_depth(spark):
 def test_latency(spark):
     r = temporal.latency_summary(spark.createDataFrame([("a", float(i), 1, True) for i in range(20)], "k string, latency_s double, tokens int, ok boolean"), ["k"]).first()
     assert (r["median_s"], r["p95_s"], r["tokens"]) == (9.5, 19.0, 20)
+
+
+def test_smoothing_of_tiles(spark):
+    """An image function over tiles with halos gives what it gives on the whole image, and what it may not do is named."""
+    rng = np.random.default_rng(8)
+    image = rng.integers(1990, 2010, (21, 33)).astype(np.uint16)
+    image[3, 4] = image[20, 32] = 0
+    rows = [(1, u, v, int(image[v, u])) for v in range(21) for u in range(33)]
+    pixels = spark.createDataFrame(rows, "frame_id long, u int, v int, depth_mm int")
+
+    def mean(a):
+        wide = np.pad(a.astype(np.int64), 2)
+        near = sum(wide[2 + dv : 2 + dv + a.shape[0], 2 + du : 2 + du + a.shape[1]] for du in (-2, 0, 2) for dv in (-2, 0, 2))
+        return np.where(a > 0, near // 9, 0).astype(np.uint16), {"pixels": int((a > 0).sum())}
+
+    kept = {(r["u"], r["v"]): r["depth_mm"] for r in depth.spatial_support(pixels).collect()}
+    whole = mean(np.array([[kept[u, v] for u in range(33)] for v in range(21)], np.uint16))[0]
+    for tile in (5, 16, 64):
+        got = {(r["u"], r["v"]): r["depth_mm"] for r in depth.denoised(pixels, depth.tiled(mean, tile, 2)).collect()}
+        assert got == {(u, v): whole[v, u] for u in range(33) for v in range(21)}
+    for function, why in ((lambda a: np.where(a > 0, a, 7), "filled holes in frame 1"), (lambda a: a[1:], "changed the image's shape in frame 1"), (lambda a: a.astype(int) + 70_000, "left the range|filled holes")):
+        with pytest.raises(Exception, match=why):
+            depth.denoised(pixels, depth.tiled(function, 16, 2))
+    with pytest.raises(DataError, match="removed pixels"):
+        depth.denoised(pixels, lambda d: d.where("u > 0"))
