@@ -45,31 +45,39 @@ def mapped(name: Column, rules: dict[str, str | None]) -> Column:
     return F.create_map(*[F.lit(x).cast("string") for pair in rules.items() for x in pair])[name]
 
 
+def without(name: Column, pattern: str) -> Column:
+    """The name without what the pattern finds; white space is that of Unicode."""
+    return F.regexp_replace(name, f"(?U){pattern}", "")
+
+
 def cleaned(name: Column) -> Column:
-    """The name composed, in lower case, without quotes around it, final punctuation, joining marks and a leading article."""
-    low = F.regexp_replace(F.trim(F.lower(nfkc(name))), "^[\"'` ]+|[\"'` ]+$", "")
-    low = F.trim(F.regexp_replace(low, "[.!;,]+$", ""))
-    return F.regexp_replace(F.trim(F.regexp_replace(low, r"[_\-\s]+", " ")), r"^(?:an?|the)\s+", "")
+    """The name composed and in lower case, its words apart by one blank; quotes around it, what ends a sentence and an article go."""
+    quoted = without(without(F.lower(nfkc(name)), r"^\s+|\s+$"), "^[\"'` ]+|[\"'` ]+$")
+    words = F.regexp_replace(without(quoted, r"[.!;,]+$"), r"(?U)[\s_\-]+", " ")
+    return without(F.trim(words), r"^(?:an?|the) +")
 
 
 def normalised(names: DataFrame, name: str = "name", subtypes: bool = True) -> DataFrame:
-    """names with cleaned_name, canonical_name, fine_class, relation, is_part and part_of.
+    """names with cleaned_name, canonical_name, fine_class, relation, is_part, part_of and transformations.
 
     Apply it to distinct names. Each step looks the result of the last up; relation is the last step that changed
-    the name, "part" for parts, which are not turned into their wholes, "unknown", or "identity". Null is unknown.
+    the name, "part" for parts, which are not turned into their wholes, "unknown", or "identity"; transformations lists the
+    steps that did (kind, from, to). Null is unknown.
     """
     out = names.withColumn("cleaned_name", F.coalesce(cleaned(F.col(name)), F.lit("")))
     unknown = F.col("cleaned_name").isin(*UNKNOWN)
-    token, relation, fine = F.col("cleaned_name"), F.lit("identity"), None
+    token, relation, fine, steps = F.col("cleaned_name"), F.lit("identity"), None, []
     for kind, rules in STEPS if subtypes else STEPS[:-1]:
-        found = mapped(token, rules)
-        relation = F.when(found.isNotNull(), "lexical" if kind == "spelling" else kind).otherwise(relation)
+        found, said = mapped(token, rules), {"spelling": "lexical", "subtype": "subtype_projection"}.get(kind, kind)
+        relation = F.when(found.isNotNull(), said).otherwise(relation)
+        steps.append(F.when(found.isNotNull() & ~unknown, F.struct(F.lit(said).alias("kind"), token.alias("from"), found.alias("to"))))
         token = F.coalesce(found, token)
         fine = token if fine is None else fine
     part = fine.isin(*PARTS) & ~unknown
     return out.select(
         *names.columns, "cleaned_name", F.when(unknown, "unknown").otherwise(token).alias("canonical_name"), F.when(~unknown, fine).alias("fine_class"),
         F.when(unknown, "unknown").when(part, "part").otherwise(relation).alias("relation"), part.alias("is_part"), F.when(part, mapped(fine, PARTS)).alias("part_of"),
+        F.array_compact(F.array(*steps)).alias("transformations"),
     )
 
 

@@ -43,12 +43,6 @@ def nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
-def clean_name(name: Column) -> Column:
-    """After nfkc: lower case, hyphens and underscores as spaces, no leading article, single spaces."""
-    low = F.lower(F.trim(F.regexp_replace(name, r"[\s_\-]+", " ")))
-    return F.regexp_replace(low, r"^(?:an?|the) ", "")
-
-
 def coloured(ident: Column, factor: int) -> Column:
     """The deterministic colour channel of a label."""
     return F.when(ident > 0, 50 + (ident * factor) % 206).otherwise(F.lit(90)).cast("int")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import names
 from ..functions.scalar import coloured, label_key
 from ..operators import anchors, evaluation, graph, iterative, masks, measured, naming, spatial, surface, temporal, votes
 from ..sources import images, provenance, sinks
@@ -711,6 +712,25 @@ def anchor_refusals(spark, d):
     return anchors.refusals(**views.refinement(spark, d)).select("sequence_id", "batch", "source", "target", "reason", "first")
 
 
+WORDS = sorted({x for _, rules in names.STEPS for x in rules} | {*names.PARTS, "zebra", "unclear"})
+RULES_SQL = ", ".join(f"{kind}(k, v) AS (VALUES " + ", ".join(f"('{x}', '{y}')" for x, y in rules.items()) + ")" for kind, rules in names.STEPS)
+
+
+@register(f"""WITH {RULES_SQL}, part_of(k) AS (VALUES {", ".join(f"('{x}')" for x in names.PARTS)}),
+word AS (SELECT p_size, [{", ".join(f"'{w}'" for w in WORDS)}][p_partkey % {len(WORDS)} + 1] AS w FROM part),
+a AS (SELECT coalesce(v, w) AS t, w, CASE WHEN v IS NULL THEN 'identity' ELSE 'lexical' END AS r FROM word LEFT JOIN lexical ON k = w),
+b AS (SELECT coalesce(v, t) AS t, t AS fine, w, CASE WHEN v IS NULL THEN r ELSE 'lexical' END AS r FROM a LEFT JOIN spelling ON k = t),
+c AS (SELECT coalesce(v, t) AS t, fine, w, CASE WHEN v IS NULL THEN r ELSE 'synonym' END AS r FROM b LEFT JOIN synonym ON k = t),
+d AS (SELECT coalesce(v, t) AS t, fine, w, CASE WHEN v IS NULL THEN r ELSE 'subtype_projection' END AS r FROM c LEFT JOIN subtype ON k = t)
+SELECT CASE WHEN w = 'unclear' THEN 'unknown' ELSE t END AS canonical_name, CASE WHEN w = 'unclear' THEN 'unknown' WHEN fine IN (SELECT k FROM part_of) THEN 'part' ELSE r END AS relation, count(*) AS objects FROM d GROUP BY ALL""")
+def object_names(spark, d):
+    """Names as models write them (articles, case, marks, ends of sentences) of parts, normalised once each."""
+    word = F.element_at(F.array(*map(F.lit, WORDS)), (F.col("p_partkey") % len(WORDS) + 1).cast("int"))
+    written = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("The "), F.upper(word), F.lit("."))).when(F.col("p_size") % 3 == 1, F.concat(F.lit(" '"), F.replace(word, F.lit(" "), F.lit("_")), F.lit("'\t"))).otherwise(F.concat(F.lit("a  "), F.replace(word, F.lit(" "), F.lit("-"))))
+    own = views.table(spark, d, "part").select(written.alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+    return names.normalised(own).groupBy("canonical_name", "relation").agg(F.sum("n").alias("objects"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects near the first table of the derived scene, with their evidence."""
     g = _graph(spark, sf_dir)

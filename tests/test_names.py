@@ -5,15 +5,17 @@ from sightline.functions import names
 
 def test_names(spark):
     cases = {
-        "The  Office-Chairs.": ("chair", "office chair", "subtype"), "Refridgerator": ("refrigerator", "refridgerator", "lexical"), "couches": ("sofa", "couch", "synonym"), "an armrest": ("armrest", "armrest", "part"),
+        "The  Office-Chairs.": ("chair", "office chair", "subtype_projection"), "Refridgerator": ("refrigerator", "refridgerator", "lexical"), "couches": ("sofa", "couch", "synonym"), "an armrest": ("armrest", "armrest", "part"),
         "“ＴＶ set”": ("“tv set”", "“tv set”", "identity"), "'TV set'": ("tv", "tv set", "synonym"), "book_shelf": ("bookshelf", "bookshelf", "lexical"), "N/A": ("unknown", None, "unknown"), None: ("unknown", None, "unknown"), "": ("unknown", None, "unknown"),
-        "table top": ("table top", "table top", "part"), "zebra": ("zebra", "zebra", "identity"), "trashbin": ("trash can", "trash bin", "synonym"),
+        "table top": ("table top", "table top", "part"), "zebra": ("zebra", "zebra", "identity"), "chair.\t": ("chair", "chair", "identity"), "\u2003A\u00a0Couch\u3000": ("sofa", "couch", "synonym"), "the": ("the", "the", "identity"), "trashbin": ("trash can", "trash bin", "synonym"),
     }
     df = spark.createDataFrame([(k,) for k in cases], "name string")
     got = {r["name"]: (r["canonical_name"], r["fine_class"], r["relation"]) for r in names.normalised(df).collect()}
     assert got == cases
     plain = {r["name"]: r["canonical_name"] for r in names.normalised(df, subtypes=False).collect()}
     assert plain["The  Office-Chairs."] == "office chair" and plain["couches"] == "sofa"
+    steps = {r["name"]: [tuple(t) for t in r["transformations"]] for r in names.normalised(df).collect()}
+    assert steps["The  Office-Chairs."] == [("lexical", "office chairs", "office chair"), ("subtype_projection", "office chair", "chair")] and steps["zebra"] == steps[None] == steps["table top"] == []
     whole = {r["name"]: (r["is_part"], r["part_of"]) for r in names.normalised(df).collect()}
     assert whole["table top"] == (True, "table") and whole["an armrest"] == (True, None) and whole["zebra"] == (False, None)
 

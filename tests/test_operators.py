@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sightline.functions import geometry, scalar
+from sightline.functions import geometry, names, scalar
 from sightline.operators import depth, evaluation, iterative, masks, naming, spatial, temporal, votes
 from sightline.schemas import DataError, check_observations, check_points
 
@@ -115,7 +115,7 @@ def test_interior(spark):
 def test_scalars(spark):
     row = spark.range(1).select(
         scalar.label_key(F.lit("  椅子 ")).alias("a"), scalar.label_key(F.lit("Fridge")).alias("b"), scalar.short_label(F.lit('"Office Chair."')).alias("c"), scalar.short_label(F.lit("a b c d e f g")).alias("d"),
-        scalar.half_even(F.lit(2.5)).alias("e"), scalar.histogram(F.array(F.lit(2), F.lit(1), F.lit(2))).alias("f"), scalar.clean_name(scalar.nfkc(F.lit("The Ｄesk_Lamp"))).alias("g"), scalar.coloured(F.lit(0), 37).alias("h"), scalar.forbidden_path(F.lit("/a/GT/b"), ["gt"]).alias("i"),
+        scalar.half_even(F.lit(2.5)).alias("e"), scalar.histogram(F.array(F.lit(2), F.lit(1), F.lit(2))).alias("f"), names.cleaned(F.lit("The Ｄesk_Lamp")).alias("g"), scalar.coloured(F.lit(0), 37).alias("h"), scalar.forbidden_path(F.lit("/a/GT/b"), ["gt"]).alias("i"),
     ).first()
     assert tuple(row) == ("chair", "refrigerator", "office chair", None, 2.0, {1: 1, 2: 2}, "desk lamp", 90, True)
 
