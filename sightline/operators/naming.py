@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,6 +67,46 @@ def verified_pair_fill(pairs: DataFrame, frames: int = 2, support: int = 2) -> D
     return votes.groupBy("point_id").agg(F.count("*").alias("claims"), F.max("claim").alias("claim")).where("claims = 1").select("point_id", "claim")
 
 
+#: What a mask must reach to confirm a name strictly, and to fill a fragment; a missing gate is open.
+GATES = {"strict": {"score": 0.5, "coverage": 0.5, "purity": 0.75, "iou": 0.4, "own": 30}, "fragment": {"score": 0.6, "coverage": 0.8, "purity": 0.5, "iou": 0.5}}
+#: Frames and points that an assignment needs, by policy; fragments fill what is left by strict evidence.
+NEEDS = {"strict": (2, 50), "fragment": (3, 50)}
+
+
+def select_masks(candidates: DataFrame) -> DataFrame:
+    """(object_id, frame_id, strict, fragment, best): of each object's masks in a frame the best of those that pass the gates.
+
+    candidates: object_id, frame_id, mask_id, quality, and what the gates name. Masks are ranked by quality, iou and score,
+    the lowest id on ties, among those that pass: a broad mask that fails does not hide one that passes. best is of all.
+    """
+    rank = F.struct("quality", "iou", "score", -F.col("mask_id"))
+    passes = {k: reduce(lambda a, b: a & b, [F.col(c) >= v for c, v in gates.items()]) for k, gates in GATES.items()}
+    first = lambda when: F.max_by("mask_id", F.when(when, rank))
+    return candidates.groupBy("object_id", "frame_id").agg(*[first(w).alias(k) for k, w in passes.items()], first(F.lit(True)).alias("best"))
+
+
+def assigned_unknown(points: DataFrame, selected: DataFrame, unknown: DataFrame, frames: DataFrame, fragments: bool = True) -> DataFrame:
+    """(point_id, object_id, policy, strength): unknown points of objects that enough frames' selected masks hold.
+
+    points: object_id, frame_id, mask_id, point_id; selected: as from select_masks; unknown: point_id, object_id (its own);
+    frames: object_id, frames (that named it). An object whose policy has too few frames or points gains none by it.
+    strength: the share of naming frames for strict points, of the frames needed for fragments, which may exceed 1.
+    """
+    own, out = unknown.select("point_id", "object_id"), None
+    for policy in ("strict", "fragment") if fragments else ("strict",):
+        least, enough = NEEDS[policy]
+        chosen = selected.where(F.col(policy).isNotNull()).select("object_id", "frame_id", F.col(policy).alias("mask_id"))
+        seen = chosen.groupBy("object_id").agg(F.count_distinct("frame_id").alias("n")).where(F.col("n") >= least).select("object_id")
+        left = own if out is None else own.join(out.select("point_id", "object_id"), ["point_id", "object_id"], "left_anti")
+        held = points.join(chosen.join(seen, "object_id"), ["object_id", "frame_id", "mask_id"]).join(left, ["point_id", "object_id"])
+        support = held.groupBy("point_id", "object_id").agg(F.count_distinct("frame_id").alias("n")).where(F.col("n") >= least)
+        gain = support.groupBy("object_id").agg(F.count("*").alias("gain")).where(F.col("gain") >= enough).select("object_id")
+        share = F.col("n") / (F.col("frames") if policy == "strict" else F.lit(least))
+        got = support.join(gain, "object_id").join(frames, "object_id").select("point_id", "object_id", F.lit(policy).alias("policy"), share.alias("strength"))
+        out = got if out is None else out.union(got)
+    return out
+
+
 def assign_unknown(claims: DataFrame, unknown: DataFrame, frames: int = 2, points: int = 50) -> DataFrame:
     """(point_id, object_id): unknown points that enough frames of one object's accepted masks hold, for objects that gain enough."""
     own = claims.join(unknown.select("point_id"), "point_id").groupBy("point_id", "object_id").agg(F.count_distinct("frame_id").alias("n")).where(F.col("n") >= frames)
@@ -78,16 +120,6 @@ STRICT = {"score": 0.5, "coverage": 0.5, "purity": 0.75, "iou": 0.4, "points": 3
 FRAGMENT = {"score": 0.6, "coverage": 0.8, "purity": 0.5, "iou": 0.5, "points": 30}
 
 
-def select_masks(candidates: DataFrame, fragments: bool = False) -> DataFrame:
-    """The best mask of each object and frame among those past all gates: gates come before the rank."""
-    g = FRAGMENT if fragments else STRICT
-    able = candidates
-    for c, least in g.items():
-        able = able.where(F.col(c) >= least)
-    w = Window.partitionBy("object_id", "frame_id").orderBy(F.desc("score"), F.desc("iou"), "mask_id")
-    return able.withColumn("place", F.row_number().over(w)).where("place = 1").drop("place")
-
-
 def pair_mask(candidates: DataFrame, quality: float = 0.5, coverage: float = 0.5) -> DataFrame:
     """One mask for each side of a pair view, by coverage, quality and index."""
     w = Window.partitionBy("a", "b", "frame_id", "side").orderBy(F.desc("coverage"), F.desc("score"), "mask_id")

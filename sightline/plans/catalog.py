@@ -731,6 +731,23 @@ def object_names(spark, d):
     return names.normalised(own).groupBy("canonical_name", "relation").agg(F.sum("n").alias("objects"))
 
 
+RANKED_SQL = """
+cand AS (SELECT l_suppkey AS object_id, l_orderkey % 25 AS frame_id, row_number() OVER (PARTITION BY l_suppkey, l_orderkey % 25 ORDER BY l_orderkey, l_linenumber, l_extendedprice) AS mask_id, 1 - l_discount * 5 AS score, 1 - l_tax * 5 AS coverage,
+         l_quantity / 50 AS purity, l_extendedprice % 100 / 100 AS iou, CAST(l_quantity * 2 AS BIGINT) AS own, floor(l_extendedprice / 10000) AS quality FROM lineitem)"""
+
+
+@register(f"""WITH {RANKED_SQL}, ranked AS (SELECT *, struct_pack(q := quality, i := iou, s := score, m := -mask_id) AS r FROM cand)
+SELECT object_id, frame_id, arg_max(mask_id, r) FILTER (score >= .5 AND coverage >= .5 AND purity >= .75 AND iou >= .4 AND own >= 30) AS strict, arg_max(mask_id, r) FILTER (score >= .6 AND coverage >= .8 AND purity >= .5 AND iou >= .5) AS fragment, arg_max(mask_id, r) AS best
+FROM ranked GROUP BY ALL""")
+def selected_masks(spark, d):
+    from pyspark.sql import Window
+
+    li = views.table(spark, d, "lineitem").withColumns({"object_id": F.col("l_suppkey"), "frame_id": F.col("l_orderkey") % 25})
+    place = F.row_number().over(Window.partitionBy("object_id", "frame_id").orderBy("l_orderkey", "l_linenumber", "l_extendedprice")).cast("long")
+    rows = li.select("object_id", "frame_id", place.alias("mask_id"), (1 - F.col("l_discount") * 5).alias("score"), (1 - F.col("l_tax") * 5).alias("coverage"), (F.col("l_quantity") / 50).alias("purity"), (F.col("l_extendedprice") % 100 / 100).alias("iou"), (F.col("l_quantity") * 2).cast("long").alias("own"), F.floor(F.col("l_extendedprice") / 10000).cast("double").alias("quality"))
+    return naming.select_masks(rows)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects near the first table of the derived scene, with their evidence."""
     g = _graph(spark, sf_dir)
