@@ -141,7 +141,9 @@ class Lines(HTMLParser):
     def here(self) -> tuple[tuple[Mark, ...], int]:
         """(marks that hold, container) at this place; marks are few, as an element adds none of a kind that holds."""
         _, marks, container = self.open[-1]
-        return (tuple(m for m in marks if m.ended is None) if marks else marks), container
+        if marks and any(m.ended is not None for m in marks):
+            marks = tuple(m for m in marks if m.ended is None)
+        return marks, container
 
     @staticmethod
     def mark(tag: str, attrs: list[tuple[str, str | None]]) -> Mark | None:
@@ -189,9 +191,15 @@ class Lines(HTMLParser):
 
     def last(self, names, scope) -> int:
         """The place of the innermost open element of those names within the scope, or 0."""
-        top = lambda every: max((self.places[x][-1] for x in every if self.places.get(x)), default=0)
-        found = top(names)
-        return found if found and found > top(x for x in scope if x not in names) else 0
+        found, places = 0, self.places
+        for x in names:
+            if (own := places.get(x)) and own[-1] > found:
+                found = own[-1]
+        if found:
+            for x in scope:
+                if (own := places.get(x)) and own[-1] > found and x not in names:
+                    return 0
+        return found
 
     def handle_starttag(self, tag, attrs):
         if tag in ENDS_P and (at := self.last(("p",), _P_SCOPE)):

@@ -164,9 +164,9 @@ def test_formats_find_short_dotted_longer_and_digit_free_values(spark):
     formats = secrets.learn_formats(docs)
     for value in (make(60), dotted(), "aZ3kQ9", make(30, pool[:52]), "Xk2" + make(15)):
         for text in (f"here {value} stands", f"it is {value}."):
-            assert [text[a:b] for a, b, _ in formats.auto_spans(text, [])] in ([value], [value + "."])
+            assert [text[a:b] for a, b, _ in formats.auto_spans([text], [[]])[0]] in ([value], [value + "."])
     plain = "The Committee on 2024-01-15, at 12345678 www.example.com/path, and well-known IMPORTANT internationalisation; see README.md v1.20.3 and/or https."
-    assert formats.auto_spans(plain, []) == []
+    assert formats.auto_spans([plain], [[]]) == [[]]
 
 
 def test_state_merging_generalises():
@@ -177,10 +177,46 @@ def test_state_merging_generalises():
     size = len(tree.visits)
     a = tree.inferred()
     assert len(a.visits) < 40 < size
-    score = lambda x: secrets.log_likelihood(a.compiled(), secrets.symbols(x)) / len(x)
+    score = lambda x: secrets.log_likelihoods(a.compiled(), *secrets.flat_codes([x]))[0] / len(x)
     assert score(make()) > -1 > score("d" * 20) and score(make()[:15]) > -1.5 and score("KEYS" + "h" * 16) < -2
 
 
+def labelled_formats(make, n=130):
+    """Formats learned from n made-up labelled values, with plain words beside them."""
+    r = random.Random(12)
+    plain = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(6, 14))) for _ in range(3000)]
+    return secrets.fitted_formats({"assign": [make() for _ in range(n)], "access": [], "hex": [], "plain": plain}, 50 * secrets.sample_counts(plain))
+
+
+def test_short_identifiers_are_no_secrets():
+    """With labelled values of 40 hexadecimal digits: revisions of 7 to 10 digits, numbers, dates and paths are left alone."""
+    r = random.Random(9)
+    some = lambda n, chars="0123456789abcdef": "".join(r.choices(chars, k=n))
+    formats = labelled_formats(lambda: some(40))
+    found = lambda value: bool(formats.auto_spans([f"see {value} there"], [[]])[0])
+    for n in (7, 8, 10):
+        assert sum(found(some(n)) for _ in range(200)) < 2
+    for make in (lambda: some(12, "0123456789"), lambda: f"2024-05-{some(2, '0123456789')}", lambda: f"v1.{some(1, '0123456789')}.20-beta", lambda: f"/usr/lib/python3.{some(1, '0123456789')}/os.py", lambda: some(9, "abcdefghijklmnopqrstuvwxyz"), lambda: f"978-3-{some(3, '0123456789')}-{some(5, '0123456789')}-1"):
+        assert sum(found(make()) for _ in range(200)) < 2
+    for make in (lambda: some(40), lambda: some(20), lambda: some(32), lambda: some(64), lambda: "-".join(some(k) for k in (8, 4, 4, 4, 12))):
+        assert sum(found(make()) for _ in range(200)) >= 190
+
+
+def test_lengths_that_are_labelled_count():
+    """A short format is found where its length is labelled, and a value of another length is not."""
+    r = random.Random(10)
+    some = lambda n: "K9" + "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=n))
+    formats = labelled_formats(lambda: some(10))
+    score = lambda n: np.mean(formats.scores([some(n) for _ in range(50)]))
+    assert score(10) > secrets.LEAST_SCORE and score(10) - score(9) > 4
+
+
+def test_scores_of_many_values_are_those_of_each():
+    formats = labelled_formats(lambda: "".join(random.Random(3).choices("0123456789abcdef", k=40)))
+    values = ["a", "token: \"x\"", "é1", "ab.cd..ef", "....", "0" * 300, "KEY_" * 9, "a" * 5]
+    assert np.allclose(formats.scores(values), [formats.score(v) for v in values]) and formats.scores([]).tolist() == []
+
+
 def base_spans_by_force(text):
     """The contract's rules, each from every place on."""
     out = []
