@@ -748,6 +748,25 @@ def selected_masks(spark, d):
     return naming.select_masks(rows)
 
 
+@register("""WITH RECURSIVE own AS (SELECT DISTINCT l_suppkey AS frame_id, CAST(l_linenumber AS BIGINT) AS mask_id, l_partkey % 30 AS point_id FROM lineitem),
+score AS (SELECT l_suppkey AS frame_id, CAST(l_linenumber AS BIGINT) AS mask_id, avg(l_quantity) AS score FROM lineitem GROUP BY ALL),
+size AS (SELECT frame_id, mask_id, count(*) AS n FROM own GROUP BY ALL),
+near AS (SELECT a.frame_id, a.mask_id, list(b.mask_id) AS near FROM (SELECT a.frame_id, a.mask_id AS x, b.mask_id AS y, count(*) AS k FROM own a JOIN own b USING (frame_id, point_id) WHERE a.mask_id <> b.mask_id GROUP BY ALL) p JOIN size a ON a.frame_id = p.frame_id AND a.mask_id = x JOIN size b ON b.frame_id = p.frame_id AND b.mask_id = y WHERE k / (a.n + b.n - k) >= .8 GROUP BY ALL),
+ord AS (SELECT s.frame_id, s.mask_id, coalesce(near, []) AS near, row_number() OVER (PARTITION BY s.frame_id ORDER BY score DESC, s.mask_id) AS k FROM score s LEFT JOIN near USING (frame_id, mask_id)),
+r(frame_id, k, kept) AS (SELECT DISTINCT frame_id, CAST(0 AS BIGINT), CAST([] AS BIGINT[]) FROM score
+  UNION ALL SELECT o.frame_id, o.k, CASE WHEN list_has_any(r.kept, o.near) THEN r.kept ELSE list_append(r.kept, o.mask_id) END FROM r JOIN ord o ON o.frame_id = r.frame_id AND o.k = r.k + 1)
+SELECT frame_id, unnest(kept) AS mask_id FROM r WHERE (frame_id, k) IN (SELECT (frame_id, max(k)) FROM ord GROUP BY frame_id)""")
+def overlapping_mask_suppression(spark, d):
+    """Masks by supplier and line number, which share parts; those too like a better one by their common parts go."""
+    li = views.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("frame_id"), F.col("l_linenumber").cast("long").alias("mask_id"), (F.col("l_partkey") % 30).alias("point_id"), "l_quantity")
+    own = li.select("frame_id", "mask_id", "point_id").distinct()
+    size = own.groupBy("frame_id", "mask_id").agg(F.count("*").alias("n"))
+    side = lambda m, n: size.select("frame_id", F.col("mask_id").alias(m), F.col("n").alias(n))
+    both = own.withColumnRenamed("mask_id", "a").join(own.withColumnRenamed("mask_id", "b"), ["frame_id", "point_id"]).where("a < b").groupBy("frame_id", "a", "b").agg(F.count("*").alias("k"))
+    pairs = both.join(side("a", "na"), ["frame_id", "a"]).join(side("b", "nb"), ["frame_id", "b"]).withColumn("iou", F.col("k") / (F.col("na") + F.col("nb") - F.col("k")))
+    return iterative.suppressed(pairs.select("frame_id", "a", "b", "iou"), li.groupBy("frame_id", "mask_id").agg(F.avg("l_quantity").alias("score")))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects near the first table of the derived scene, with their evidence."""
     g = _graph(spark, sf_dir)

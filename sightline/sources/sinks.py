@@ -94,6 +94,17 @@ def object_extract(points: DataFrame, kind: str, ident: int) -> DataFrame:
     return points.where(F.col({"class": "semantic_id", "instance": "instance_id"}[kind]) == ident)
 
 
+def highlighted(points: DataFrame, ids: list[int]) -> DataFrame:
+    """points with highlighted; ids must be positive and all be instances of these points, or they are refused."""
+    if any(type(i) is not int or i <= 0 for i in ids):
+        raise ValueError("instance ids are positive integers")
+    asked = points.sparkSession.createDataFrame([(i,) for i in sorted({*ids})], "instance_id long")
+    if unknown := [r[0] for r in asked.join(points.select("instance_id").distinct(), "instance_id", "left_anti").limit(10).collect()]:
+        raise ValueError(f"no such instances: {sorted(unknown)}")
+    marked = points.join(F.broadcast(asked.withColumn("highlighted", F.lit(True))), "instance_id", "left")
+    return marked.select(*points.columns, F.coalesce("highlighted", F.lit(False)).alias("highlighted"))
+
+
 def publishable(cloud: DataFrame, most: int = 100_000) -> DataFrame:
     """Finite points, decimated evenly."""
     from ..operators.temporal import decimated

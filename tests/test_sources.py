@@ -163,3 +163,13 @@ def test_hash_audit(spark, tmp_path):
     (tmp_path / "x.bin").write_bytes(b"abc")
     r = sinks.hash_audit(spark, str(tmp_path / "*.bin")).select("bytes", F.substring("sha256", 1, 8)).first()
     assert tuple(r) == (3, "ba7816bf")
+
+
+def test_highlighted_instances(spark):
+    points = spark.createDataFrame([(1, 5), (2, 5), (3, 7), (4, 0), (5, None)], "point_id long, instance_id long")
+    got = {r["point_id"]: r["highlighted"] for r in sinks.highlighted(points, [7, 7]).collect()}
+    assert got == {1: False, 2: False, 3: True, 4: False, 5: False}
+    assert not any(r["highlighted"] for r in sinks.highlighted(points, []).collect())
+    for wrong in ([9], [5, 8], [0], [-1], ["5"], [True], [5.0]):
+        with pytest.raises(ValueError):
+            sinks.highlighted(points, wrong)
