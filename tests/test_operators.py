@@ -176,6 +176,12 @@ def test_matchings(spark):
         assert len(got) == k and sum(c[i, j] for i, j in got) == best
 
 
+def test_mask_scores_do_not_depend_on_the_order_of_rows(spark):
+    rows = [(1, m, c) for m, own in ((1, (0.1, 0.2, 0.3)), (2, (0.3, 0.2, 0.1))) for c in own]
+    got = masks.mask_scores(spark.createDataFrame(rows, "frame_id long, mask_id int, confidence double").coalesce(1)).collect()
+    assert {r["mask_id"]: r["size"] for r in got} == {1: 3, 2: 3} and len({r["score"] for r in got}) == 1
+
+
 def test_suppression(spark):
     m = spark.createDataFrame([(1, 1, 0.9), (1, 2, 0.8), (1, 3, 0.7)], "frame_id long, mask_id long, score double")
     like = spark.createDataFrame([(1, 1, 2, 0.9), (1, 2, 3, 0.9)], "frame_id long, a long, b long, iou double")
