@@ -11,19 +11,18 @@ impossible.
 
 Every candidate, a maximal run of LEAST_ASSIGN or more credential characters, is scored by its log likelihood under the best
 automaton over that under plain text or an identifier. Plain text is a chain of character classes, counted over all runs of
-the corpus outside the fixed patterns, less the share of those transitions that a sample shows to be of likely credentials;
+the corpus outside the fixed patterns, less the share of those transitions that are of likely credentials;
 identifiers are few, short and of any characters. No length, digit or punctuation is demanded. A run is scored whole, without the punctuation at its ends, with
-dots as joints between parts, and, if it fails, part by part. The threshold lies APART above the scores of a sample of the
-corpus' plain runs (all but one in a hundred) as long as labelled values that the automata were not shown exceed it, and
+dots as joints between parts, and, if it fails, part by part. The threshold lies APART above the scores of the corpus'
+distinct plain runs (all but one in a hundred) as long as labelled values that the automata were not shown exceed it, and
 never under LEAST_SCORE. What reaches it becomes a span of kind "auto" unless a base span overlaps it.
 
-The automata are fitted on at most SAMPLE values per kind, and the threshold on PLAIN plain runs: those of smallest hash
-among all that the corpus holds, found by an aggregation that keeps that many per task. Null and empty texts have no spans.
+Automata, lengths, chain and threshold are counted by Spark over all distinct values and runs; what is collected are counts
+of prefixes that one in NODES values has, of states and symbols, of lengths and of scores. Null and empty texts have no spans.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections import defaultdict
@@ -48,7 +47,10 @@ LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 #: Words that ASSIGN needs one of, in lower case.
 HINTS = ("passw", "secret", "token", "apikey", "api_key")
 
-SAMPLE, PLAIN = 2000, 20_000
+#: A prefix has a state if one in NODES values has it; a walk from the first state is followed for STEPS symbols.
+NODES, STEPS = 1000, 64
+#: Labelled values that a task remembers to have sent (ten times as many plain runs), and steps of a score in the threshold's counts.
+SEEN, FINE = 50_000, 100
 LITERAL = 4
 #: The least log odds of a span over plain text and identifiers, about one credential in 60,000 runs.
 LEAST_SCORE = 11.0
@@ -125,6 +127,14 @@ class Automaton:
             out.ends[at] += 1
         return out
 
+    @classmethod
+    def counted(cls, nodes: dict[str, dict[str, int]]) -> Automaton:
+        """The tree of prefixes with the counts of their next symbols, nothing for ends; a symbol to no such prefix leads nowhere."""
+        number = {p: i for i, p in enumerate(sorted(nodes, key=lambda p: (len(p), p)))}
+        used = [{c: n for c, n in nodes[p].items() if c} for p in number]
+        step = [{c: number[p + c] for c in own if p + c in number} for p, own in zip(number, used, strict=True)]
+        return cls([sum(nodes[p].values()) for p in number], [nodes[p].get("", 0) for p in number], step, used)
+
     def differ(self, a: int, b: int, bound: float) -> bool:
         """Whether the two states, or states that equal paths lead to from them, have incompatible frequencies."""
         todo = [(a, b)]
@@ -152,6 +162,8 @@ class Automaton:
             self.ends[x] += self.ends[y]
             for c, n in self.used[y].items():
                 self.used[x][c] = self.used[x].get(c, 0) + n
+                if c not in self.step[y]:
+                    continue
                 if c in self.step[x]:
                     todo.append((self.step[x][c], self.step[y][c]))
                 else:
@@ -403,58 +415,233 @@ def sample_counts(values: list[str]) -> np.ndarray:
     return plain_counts(raw, ends - np.diff(ends, prepend=0), ends)
 
 
-def learn_formats(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Formats:
-    """Automata by kind, from at most sample credentials each, the chain of plain text, and the threshold between them.
+def parts_of(word: str) -> Iterator[tuple[str, str]]:
+    """(prefix, next symbol) of a word's first STEPS symbols, and (word, nothing) if it ends there."""
+    for i in range(min(len(word), STEPS)):
+        yield word[:i], word[i]
+    if len(word) <= STEPS:
+        yield word, ""
 
-    Without labelled values there are no automata, so nothing but base spans is ever found.
-    """
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, dict[int, str]] = defaultdict(dict)
-        counts = np.zeros((len(SYMBOLS) + 1, len(SYMBOLS) + 1))
+def rest_of(word: str, held: set[str]) -> str | None:
+    """What follows the first symbol after which the word is at no held prefix; none if it ends before."""
+    for i in range(1, len(word) + 1):
+        if word[:i] not in held:
+            return word[i:]
+    return None
+
+
+def walked(step: np.ndarray, values: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(how often each symbol is read in each state, how often values end there)."""
+    chars, starts, size = flat_codes(values)
+    place = np.arange(len(chars)) - np.repeat(starts, size)
+    symbol = np.where(place < LITERAL, chars, 128 + np.where(CODE[chars] < 0, len(SYMBOLS), CODE[chars]))
+    order = np.argsort(-size, kind="stable")
+    first, left = starts[order], -size[order]
+    state, used = np.zeros(len(size), np.int64), np.zeros(step.size, np.int64)
+    for i in range(-int(left[0]) if len(left) else 0):
+        n = int(np.searchsorted(left, -i, "left"))
+        at = state[:n] * step.shape[1] + symbol[first[:n] + i]
+        used += np.bincount(at, minlength=step.size)
+        state[:n] = step.flat[at]
+    return used, np.bincount(state, minlength=len(step))
+
+
+def summed(rows: list[tuple], names: str, strings: int) -> Iterator[pa.RecordBatch]:
+    """A batch of the rows, whose first columns are strings and the others long, if there are any."""
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i < strings else pa.int64()) for i, c in enumerate(zip(*rows, strict=True))], names=names.split())
 
-        def keep(kind: str, most: int) -> None:
-            if len(held[kind]) > 4 * most:
-                held[kind] = dict(sorted(held[kind].items())[:most])
 
+def credentials_and_runs(docs: DataFrame, text: str) -> tuple[DataFrame, np.ndarray]:
+    """((kind, value, held) of all distinct labelled values and, as kind plain, all distinct plain runs; the chain's counts)."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, plain = set(), np.zeros(0, np.uint64)
+        counts = np.zeros((len(SYMBOLS) + 1, len(SYMBOLS) + 1))
         for batch in batches:
-            clean = []
+            clean, rows = [], []
             for t in batch.column(0).to_pylist():
-                for kind, value in labelled(t):
-                    held[kind][int.from_bytes(hashlib.blake2b(value.encode(), digest_size=8).digest(), "big") >> 1] = value
+                for own in labelled(t):
+                    if own not in values:
+                        values.add(own)
+                        rows.append((*own, 0, 0))
                 clean.append(without_base(t))
-            for kind in KINDS:
-                keep(kind, sample)
             for _, _, buf, offs in pieces(pa.array(clean, pa.string())):
                 starts, ends, hashes, _ = words(buf, offs, RUN, lower=False)
                 long = ends - starts >= LEAST_ASSIGN
                 starts, ends, hashes = starts[long], ends[long], hashes[long]
                 counts += plain_counts(buf, starts, ends)
                 hashes, first = np.unique(hashes, return_index=True)
+                new = ~np.isin(hashes, plain, assume_unique=True)
                 raw = buf.tobytes()
-                for h, i in zip(hashes[:PLAIN].tolist(), first[:PLAIN].tolist(), strict=True):
-                    held["plain"][h >> 1] = raw[starts[i] : ends[i]].decode()
-                keep("plain", PLAIN)
-        rows = [(kind, h, value, 0) for kind, x in held.items() for h, value in sorted(x.items())[: PLAIN if kind == "plain" else sample]]
-        rows += [("pair", int(i), "", int(counts.flat[i])) for i in np.flatnonzero(counts)]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.string(), pa.int64()), strict=True)], names=["kind", "h", "value", "n"])
-
-    got = written(docs.select(F.col(text).alias("text")).mapInArrow(gather, "kind string, h long, value string, n long"), "formats")
+                rows += [("plain", raw[starts[i] : ends[i]].decode(), 0, 0) for i in first[new].tolist()]
+                plain = np.concatenate([plain, hashes[new]])
+            yield from summed(rows, "kind value h n", 2)
+            if len(values) > SEEN or len(plain) > 10 * SEEN:  # what was sent may be sent again: the tables are made distinct
+                values, plain = set(), np.zeros(0, np.uint64)
+        yield from summed([("pair", "", int(i), int(counts.flat[i])) for i in np.flatnonzero(counts)], "kind value h n", 2)
+
+    got = written(docs.select(F.col(text).alias("text")).mapInArrow(gather, "kind string, value string, h long, n long"), "runs")
     counts = np.zeros((len(SYMBOLS) + 1, len(SYMBOLS) + 1))
     for r in got.where("kind = 'pair'").groupBy("h").agg(F.sum("n").alias("n")).collect():  # a row for each pair of classes
         counts.flat[r["h"]] = r["n"]
-    values = {kind: [] for kind in (*KINDS, "plain")}
-    for kind, most in (*((k, sample) for k in KINDS), ("plain", PLAIN)):
-        rows = got.where(F.col("kind") == kind).select("h", "value").distinct()
-        if (n := rows.count()) > 2 * most:  # about as many as are wanted come to the sort
-            rows = rows.where(F.col("h") <= rows.select(F.percentile_approx("h", 1.5 * most / n)).first()[0])
-        values[kind] = [r["value"] for r in rows.orderBy("h", "value").limit(most).collect()]
-    return fitted_formats(values, counts)
+    every = got.where("kind != 'pair'").select("kind", "value").distinct()
+    return written(every.withColumn("held", F.crc32("value") % 5 == 0), "formats"), counts
+
+
+def automata_of(values: DataFrame) -> list[tuple[dict[str, Automaton], dict[str, dict[tuple[int, int], int]]]]:
+    """(automata, lengths) by kind, of the values that are not held out and of all.
+
+    Prefixes are counted over all values. Those of fewer values than Hoeffding's bound can tell from any other state, or than
+    one in NODES, would join the first state: what follows them is counted from there. Then all values walk through the
+    merged automata, and what they do is the frequencies.
+    """
+    sizes = {r["kind"]: r["n"] for r in values.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        return [({}, {}), ({}, {})]
+    few = {k: max(0.5 * math.log(2 * max(2, n)), n / NODES) for k, n in sizes.items()}
+    enough = F.greatest(*[F.when(F.col("kind") == k, F.col("n") >= x).otherwise(False) for k, x in few.items()], F.lit(False))
+
+    def counted(held: list[dict[str, set[str]]]) -> DataFrame:
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out: dict[tuple[str, str, str], list[int]] = defaultdict(lambda: [0, 0])
+                for kind, value, apart in zip(*(batch.column(c).to_pylist() for c in ("kind", "value", "held")), strict=True):
+                    word = symbols(value)
+                    for own in held:
+                        word = word if word is None else rest_of(word, own[kind])
+                    for part in () if word is None else parts_of(word):
+                        own = out[kind, *part]
+                        own[0] += 1
+                        own[1] += not apart
+                yield from summed([(*k, *n) for k, n in out.items()], "kind prefix symbol n m", 3)
+
+        return values.mapInArrow(count, "kind string, prefix string, symbol string, n long, m long")
+
+    both, held = None, []
+    for _ in range(LITERAL + 1):  # each goes a symbol on at least, so that the last begins with classes
+        now = written(counted(held), "prefixes")
+        if now.isEmpty():
+            break
+        both = now if both is None else both.union(now)
+        held.append({k: set() for k in sizes})
+        for r in both.groupBy("kind", "prefix").agg(F.sum("n").alias("n")).where(enough).collect():  # NODES of a length and walk at most
+            held[-1][r["kind"]].add(r["prefix"])
+    both = both.groupBy("kind", "prefix", "symbol").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    nodes = both.groupBy("kind", "prefix").agg(F.sum("n").alias("n"), F.collect_list(F.struct("symbol", "n", "m")).alias("of")).where(enough).collect()
+    out = []
+    for part in ("m", "n"):
+        trees: dict[str, dict[str, dict[str, int]]] = defaultdict(dict)
+        for r in nodes:
+            if own := {x["symbol"]: x[part] for x in sorted(r["of"]) if x[part]}:
+                trees[r["kind"]][r["prefix"]] = own
+        out.append({k: Automaton.counted(trees[k]).inferred() for k in KINDS if k in trees})
+    return frequencies(values, *out)
+
+
+def frequencies(values: DataFrame, shown: dict[str, Automaton], whole: dict[str, Automaton]) -> list[tuple[dict[str, Automaton], dict[str, dict[tuple[int, int], int]]]]:
+    """The automata of shown and all values with their frequencies over these, and the lengths."""
+    steps = [{k: a.compiled()[1] for k, a in own.items()} for own in (shown, whole)]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[tuple, int] = defaultdict(int)
+            rows = list(zip(*(batch.column(c).to_pylist() for c in ("kind", "value", "held")), strict=True))
+            for part in (0, 1):
+                for kind, step in steps[part].items():
+                    own = [v for k, v, held in rows if k == kind and (part or not held)]
+                    used, ends = walked(step, own)
+                    for what, x in (("used", used), ("end", ends)):
+                        for i in np.flatnonzero(x).tolist():
+                            out[kind, what, part, i] += int(x[i])
+                    for (alphabet, n), k in seen_lengths(own).items():
+                        out[kind, "length", part, alphabet << 40 | n] += k
+            yield from summed([(*k, n) for k, n in out.items()], "kind what part i n", 2)
+
+    got = values.mapInArrow(walk, "kind string, what string, part long, i long, n long").groupBy("kind", "what", "part", "i").agg(F.sum("n").alias("n"))
+    out: list[tuple[dict, dict]] = [({}, {}), ({}, {})]
+    for part in (0, 1):
+        for kind, step in steps[part].items():
+            n = len(step)
+            out[part][0][kind] = Automaton([0] * n, [0] * n, [{} for _ in range(n)], [{} for _ in range(n)])
+            out[part][1][kind] = {}
+    for r in got.collect():  # rows of states and symbols, and of lengths
+        automaton, lengths = out[r["part"]][0][r["kind"]], out[r["part"]][1][r["kind"]]
+        if r["what"] == "length":
+            lengths[r["i"] >> 40, r["i"] & ((1 << 40) - 1)] = r["n"]
+            continue
+        step = steps[r["part"]][r["kind"]]
+        state, symbol = divmod(r["i"], step.shape[1]) if r["what"] == "used" else (r["i"], None)
+        automaton.visits[state] += r["n"]
+        if symbol is None:
+            automaton.ends[state] += r["n"]
+        elif symbol < 128 + len(SYMBOLS):
+            c = chr(symbol + 0x100) if symbol < 128 else SYMBOLS[symbol - 128]
+            automaton.used[state][c], automaton.step[state][c] = r["n"], int(step[state, symbol])
+    return out
+
+
+def likely_shares(runs: DataFrame, model: Formats) -> np.ndarray:
+    """The share, among distinct plain runs that have each transition, of transitions in runs that are no likely credentials."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(0).to_pylist()
+            some = sample_counts([x for x, y in zip(own, model.scores(own).tolist(), strict=True) if y < LEAST_SCORE]).ravel()
+            yield from summed([(int(i), int(n), int(some[i])) for i, n in enumerate(sample_counts(own).ravel()) if n], "i n m", 0)
+
+    out = np.ones((len(SYMBOLS) + 1, len(SYMBOLS) + 1))
+    for r in runs.mapInArrow(count, "i long, n long, m long").groupBy("i").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).collect():
+        out.flat[r["i"]] = r["m"] / r["n"]
+    return out
+
+
+def score_counts(values: DataFrame, model: Formats) -> list[tuple[int, int]]:
+    """(score in steps of 1 / FINE, values) in ascending order."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.floor(np.clip(model.scores(batch.column(0).to_pylist()), -1000, 1000) * FINE).astype(np.int64)
+            yield from summed([(int(i), int(n)) for i, n in zip(*np.unique(x, return_counts=True), strict=True)], "i n", 0)
+
+    return sorted((r["i"], r["n"]) for r in values.mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect())
+
+
+def at_place(counts: list[tuple[int, int]], place: int) -> int:
+    for x, n in counts:
+        place -= n
+        if place < 0:
+            return x
+    return counts[-1][0]
+
+
+def learn_formats(docs: DataFrame, text: str = "text") -> Formats:
+    """Automata by kind, from all credentials, the chain of plain text, and the threshold between them, over all runs.
+
+    Without labelled values there are no automata, so nothing but base spans is ever found. A fifth of the values, by
+    hash, is held out to place the threshold, and then learned from too.
+    """
+    every, counts = credentials_and_runs(docs, text)
+    values, runs = every.where("kind != 'plain'"), every.where("kind = 'plain'").select("value")
+    shown, whole = automata_of(values)
+    chain, margin = np.zeros_like(counts), LEAST_SCORE
+    if shown[0]:
+        for _ in range(2):  # from the prior on, transitions count by the share of plain runs among those that have them
+            chain = counts * likely_shares(runs, Formats(*shown, chain))
+        counts, model = chain, Formats(*shown, chain)
+        plain = score_counts(runs, model)
+        held = score_counts(values.where("held").select("value"), model)
+        if plain:
+            # beyond all plain runs but one in a hundred, which may be credentials themselves, but below most held-out values
+            high = at_place(plain[::-1], sum(n for _, n in plain) // 100) + 1
+            low = at_place(held, sum(n for _, n in held) // 20) / FINE if held else math.inf
+            margin = max(margin, min(high / FINE + APART, low))
+    return Formats(*whole, counts, margin)
 
 
 def fitted_formats(values: dict[str, list[str]], counts: np.ndarray) -> Formats:
-    """Formats from values by kind; a fifth of them is held out to place the threshold, and then learned from too."""
+    """The same from lists of values by kind that fit in memory, whose prefix trees are whole."""
     take = lambda shown: {k: own for k in KINDS if (own := [x for i, x in enumerate(values[k]) if shown(i)])}
     learn = lambda own: ({k: Automaton.tree([symbols(x) for x in v]).inferred() for k, v in own.items()}, {k: seen_lengths(v) for k, v in own.items()})
     shown = learn(take(lambda i: i % 5))

@@ -155,6 +155,20 @@ def test_formats_find_unlabelled_values(spark):
     assert clean == {1: "a [secret] b", 2: None, 3: "plain"}
 
 
+def test_formats_are_counted_over_all_values(spark):
+    r = random.Random(3)
+    key = lambda n: "".join(r.choices("0123456789abcdef", k=n))
+    # one value in 100 is of another length; every value counts, beyond the 2,000 that were once the most
+    values = [key(48 if i % 100 == 0 else 18) for i in range(6000)]
+    docs = texts(spark, [(i, f"words number password={v} and word{i}more") for i, v in enumerate(values)])
+    formats = secrets.learn_formats(docs)
+    assert sum(n for (_, size), n in formats.lengths["assign"].items() if size == 0) == len(set(values))
+    assert sum(n for (_, size), n in formats.lengths["assign"].items() if size == 48) == 60
+    own = formats.automata["assign"]
+    assert sum(own.ends) == len(set(values)) and sum(own.visits) == sum(len(v) + 1 for v in set(values))
+    assert len(own.visits) < 100
+
+
 def test_formats_find_short_dotted_longer_and_digit_free_values(spark):
     r = random.Random(4)
     pool = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
