@@ -301,3 +301,23 @@ def test_smoothing_of_tiles(spark):
             depth.denoised(pixels, depth.tiled(function, 16, 2))
     with pytest.raises(DataError, match="removed pixels"):
         depth.denoised(pixels, lambda d: d.where("u > 0"))
+
+
+def test_mask_pairs_are_counted_beside_the_points_of_a_mask(spark):
+    """Pairs are expanded after the shuffle by mask: no exchange follows them, neither for overlaps nor for visibility."""
+    rows = [(f, 1 + p % 2, p) for f in range(6) for p in range(40) if (p + f) % 3]
+    member = spark.createDataFrame([(*r, 1, 1.0) for r in rows], "frame_id long, mask_id int, point_id long, class_id int, confidence double")
+    seen = spark.createDataFrame([(f, p) for f in range(6) for p in range(40)], "frame_id long, point_id long")
+    shared, visible = {}, {}
+    for fa, ma, p in rows:
+        for f in range(6):
+            visible[fa, ma, f] = visible.get((fa, ma, f), 0) + 1
+        for fb, mb, q in rows:
+            if p == q:
+                shared[fa, ma, fb, mb] = shared.get((fa, ma, fb, mb), 0) + 1
+    for got, want in ((masks.mask_overlaps(member), shared), (masks.mask_visibility(member, seen), visible)):
+        assert {tuple(r)[:-1]: r[-1] for r in got.collect()} == want
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" in plan and "Exchange" not in plan[: plan.index("Generate explode" if "Generate explode" in plan else "Generate posexplode")].split("Initial Plan")[-1]
+    full = masks.eligible_overlaps(member, seen, masks.Consensus(visibility=0.99)).collect()
+    assert {(r["frame_a"], r["mask_a"], r["frame_b"], r["mask_b"]): r["shared"] for r in full} == shared
