@@ -72,17 +72,24 @@ def distance(a: str, b: str) -> Column:
     return F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
 
 
-def neighbours_within(left: DataFrame, right: DataFrame, radius: float, by: Sequence[str] = ()) -> DataFrame:
-    """(by, a, b, distance): points of left with those of right up to radius away. Both have point_id, x, y, z."""
+def neighbours_within(left: DataFrame, right: DataFrame, radius: float, by: Sequence[str] = (), more: Sequence[str] = ()) -> DataFrame:
+    """(by, a, b, distance, more): points of left with those of right up to radius away. Both have point_id, x, y, z."""
     keys = [*by, "c0", "c1", "c2"]
-    near = in_cells(left, radius).select(*keys, F.col("point_id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in "xyz"])
+    near = in_cells(left, radius).select(*keys, F.col("point_id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in "xyz"], *more)
     far = shifted(right.select(*by, "point_id", "x", "y", "z"), radius).select(*keys, F.col("point_id").alias("b"), *[F.col(c).alias(f"b_{c}") for c in "xyz"])
-    return near.join(far, keys).withColumn("distance", distance("a_", "b_")).where(F.col("distance") <= radius).select(*by, "a", "b", "distance")
+    return near.join(far, keys).withColumn("distance", distance("a_", "b_")).where(F.col("distance") <= radius).select(*by, "a", "b", "distance", *more)
 
 
 def nearest_within(left: DataFrame, right: DataFrame, radius: float, by: Sequence[str] = ()) -> DataFrame:
-    """(by, a, b, distance): each point of left with its nearest of right up to radius away; ties to the lowest id."""
-    return neighbours_within(left, right, radius, by).groupBy(*by, "a").agg(F.min(F.struct("distance", "b")).alias("m")).select(*by, "a", F.col("m.b").alias("b"), F.col("m.distance").alias("distance"))
+    """(by, a, b, distance): each point of left with its nearest of right up to radius away; ties to the lowest id.
+
+    Of equal points of right the lowest id stands for all. Pairs are gone through twice, for the least distance and for the
+    lowest id at it, so that both are numbers kept in place and no pair is sorted.
+    """
+    places = right.groupBy(*by, "x", "y", "z").agg(F.min("point_id").alias("point_id"))
+    least = neighbours_within(left, places, radius, by).groupBy(*by, F.col("a").alias("point_id")).agg(F.min("distance").alias("least"))
+    near = neighbours_within(left.join(least, [*by, "point_id"]), places, radius, by, ["least"]).where("distance = least")
+    return near.groupBy(*by, "a").agg(F.min("b").alias("b"), F.min("distance").alias("distance"))
 
 
 def k_nearest_within(left: DataFrame, right: DataFrame, k: int, radius: float) -> DataFrame:

@@ -321,3 +321,11 @@ def test_mask_pairs_are_counted_beside_the_points_of_a_mask(spark):
         assert "Exchange" in plan and "Exchange" not in plan[: plan.index("Generate explode" if "Generate explode" in plan else "Generate posexplode")].split("Initial Plan")[-1]
     full = masks.eligible_overlaps(member, seen, masks.Consensus(visibility=0.99)).collect()
     assert {(r["frame_a"], r["mask_a"], r["frame_b"], r["mask_b"]): r["shared"] for r in full} == shared
+
+
+def test_nearest_meets_equal_points_once_and_sorts_no_pair(spark):
+    left = spark.createDataFrame([(i, 0.1 * i, 0.0, 0.0) for i in range(5)], "point_id long, x double, y double, z double")
+    right = spark.createDataFrame([(100 * k + i, 0.1 * i + 0.02, 0.0, 0.0) for i in range(5) for k in range(1, 40)], "point_id long, x double, y double, z double")
+    got = spatial.nearest_within(left, right, 0.3)
+    assert {(r["a"], r["b"], round(r["distance"], 9)) for r in got.collect()} == {(i, 100 + i, 0.02) for i in range(5)}
+    assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
