@@ -9,7 +9,9 @@ one row per document with its component, so that no copies are expanded into pai
    and linked. The first head of a list is the class with the largest part of its shingles shared, as the origin of near
    copies is. Large groups are so linked with a pair or a few for each member, not with all pairs.
 3. The exact remainder: first shingles up to the prefix length are indexed with size and position, rarer ones first.
-   Index lists skip blocks: entries of one component, and groups of one head whose sizes or positions rule a link out.
+   Index lists skip blocks: entries of one component, and groups of one head whose sizes, positions or parities rule a link
+   out. Parities (which of 512 places an odd number of shingles falls on) bound how much two sets differ, so that members of
+   a group of near copies that are not linked do not become pairs.
    A task adds the entries of a list's groups up before they are shuffled; a list of more than CHUNK groups is parted by size
    into chunks, and each two chunks whose sizes allow a link have a task of their own.
    Answers derive from those of a highly similar set: pairs of heads stand for all pairs of their groups. Their overlap,
@@ -333,21 +335,31 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("key"), F.col("v").alias("root")).union(e.select(F.col("v").alias("key"), F.col("v").alias("root")).distinct())
 
 
-#: A group of a list: least n, most s, most n - at (behind) and most at (before) of its entries.
-GROUP = np.dtype([("token", "<u8"), ("root", "<i8"), ("head", "<i8"), ("n", "<u4"), ("s", "<u4"), ("behind", "<u4"), ("before", "<u4")])
+#: Bits of a set's parities, 64 times WORDS.
+WORDS = 8
+#: A group of a list: least n, most n (high), most s, most n - at (behind) and most at (before) of its entries, their number k; the
+#: parities (bits) of the entry nearest its head, how many shingles tell that one from the head (off), and the most for any (far).
+GROUP = np.dtype([("token", "<u8"), ("root", "<i8"), ("head", "<i8"), *[(c, "<u4") for c in ("n", "high", "s", "behind", "before", "k", "off", "far")], ("bits", "<u8", (WORDS,))])
 #: Groups of a list that one task compares with each other.
 CHUNK = 8192
 
 
+def parities(x: np.ndarray) -> np.ndarray:
+    """For each of 64 * WORDS places whether an odd number of a set's shingles falls on it. Two sets differ in as many shingles, at least, as in places."""
+    at = mix(x ^ np.uint64(0x8EBC6AF09C88C6E3)) % np.uint64(64 * WORDS)
+    return np.packbits(np.bincount(at.astype(np.int64), minlength=64 * WORDS).astype(np.uint8) & 1).view("<u8")
+
+
 def grouped(x: np.ndarray) -> np.ndarray:
     """GROUP entries added up by token, root and head, in their order."""
     if not len(x):
         return x
-    x = x[np.lexsort((x["head"], x["root"], x["token"]))]
+    x = x[np.lexsort((x["off"], x["head"], x["root"], x["token"]))]
     first = np.flatnonzero(np.concatenate([[True], (x["token"][1:] != x["token"][:-1]) | (x["root"][1:] != x["root"][:-1]) | (x["head"][1:] != x["head"][:-1])]))
     out = x[first].copy()
     out["n"] = np.minimum.reduceat(x["n"], first)
-    for c in ("s", "behind", "before"):
+    out["k"] = np.add.reduceat(x["k"], first)
+    for c in ("high", "s", "behind", "before", "far"):
         out[c] = np.maximum.reduceat(x[c], first)
     return out
 
@@ -365,14 +377,15 @@ def prefix_blobs(classes: DataFrame, hot, buckets: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(rows, pa.binary())], names=["bucket", "rows"])
 
         for batch in batches:
-            heads, roots, shared = batch.column("head").to_pylist(), batch.column("root").to_pylist(), batch.column("s").to_pylist()
+            heads, roots, shared, far = (batch.column(c).to_pylist() for c in ("head", "root", "s", "far"))
             for i, x in shingle_sets(batch.column("text"), K):
                 some = ordered(x, hot.value, buckets)[: len(x) - least(len(x)) + 1]
                 one, at = np.zeros(len(some), GROUP), np.arange(len(some))
-                one["token"], one["root"], one["head"], one["n"], one["s"], one["behind"], one["before"] = some, roots[i], heads[i], len(x), shared[i], len(x) - at, at
+                one["token"], one["root"], one["head"], one["n"], one["high"], one["s"], one["behind"], one["before"] = some, roots[i], heads[i], len(x), len(x), shared[i], len(x) - at, at
+                one["k"], one["off"], one["far"], one["bits"] = 1, far[i], far[i], parities(x)
                 held.append(one)
                 size += len(some)
-                if size >= FLUSH // 4:
+                if size >= FLUSH // 12:
                     yield flush()
                     held, size = [], 0
         if held:
@@ -382,10 +395,20 @@ def prefix_blobs(classes: DataFrame, hot, buckets: int) -> DataFrame:
 
 
 def linkable(x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Whether some members of the groups i and j could link by the shared shingle, by sizes, positions and shared parts."""
-    n, s, behind, before = (x[c].astype(np.int64) for c in ("n", "s", "behind", "before"))
+    """Whether some members of the groups i and j could link by the shared shingle, by sizes, positions, shared parts and parities.
+
+    Linked sets of n and m shingles differ in (100 - PERCENT) / (100 + PERCENT) of n + m at most. Parities bound the difference of
+    the groups' nearest entries from below; what tells other members from these, over the head, is taken off.
+    """
+    n, high, s, behind, before, off, far = (x[c].astype(np.int64) for c in ("n", "high", "s", "behind", "before", "off", "far"))
     most = np.minimum(np.minimum(behind[i], behind[j]) + np.minimum(before[i], before[j]), np.minimum(s[i], s[j]))
-    return most >= np.maximum(needed(n[i], n[j]), least(np.maximum(n[i], n[j])))
+    fit = most >= np.maximum(needed(n[i], n[j]), least(np.maximum(n[i], n[j])))
+    at, slack = np.flatnonzero(fit), np.where(x["k"] > 1, off + far, 0)
+    for a in range(0, len(at), 1 << 16):
+        one, other = i[at[a : a + (1 << 16)]], j[at[a : a + (1 << 16)]]
+        differ = np.bitwise_count(x["bits"][one] ^ x["bits"][other]).sum(1, dtype=np.int64) - slack[one] - slack[other]
+        fit[at[a : a + (1 << 16)]] = (100 + PERCENT) * differ <= (100 - PERCENT) * (high[one] + high[other])
+    return fit
 
 
 def pairs_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -464,10 +487,10 @@ def remaining_links(classes: DataFrame, near: DataFrame, roots: DataFrame, stars
     """Links between different components of roots that the heads' pairs have not shown; each is verified."""
     sizes = classes.select("key", "n", "s")
     # each class's head: the most similar one it links with, itself if none; extra is what it can share beside the head
-    best = linked(stars).groupBy(F.col("b").alias("key")).agg(F.max(F.struct("shared", "a")).alias("x"))
+    best = linked(stars).groupBy(F.col("b").alias("key")).agg(F.max(F.struct("shared", "a", (F.col("n") + F.col("m") - 2 * F.col("shared")).alias("far"))).alias("x"))
     member = sizes.join(best, "key", "left").join(roots, "key", "left")
-    member = written(member.select("key", "n", "s", F.coalesce("root", "key").alias("root"), F.coalesce("x.a", "key").alias("head"), F.when(F.col("x").isNull(), 0).otherwise(F.greatest(F.lit(0), F.col("s") - F.col("x.shared"))).alias("extra")), "members")
-    listed = classes.select("key", "s", "text").join(member.select("key", "root", "head"), "key")
+    member = written(member.select("key", "n", "s", F.coalesce("root", "key").alias("root"), F.coalesce("x.a", "key").alias("head"), F.when(F.col("x").isNull(), 0).otherwise(F.greatest(F.lit(0), F.col("s") - F.col("x.shared"))).alias("extra"), F.coalesce("x.far", F.lit(0)).alias("far")), "members")
+    listed = classes.select("key", "s", "text").join(member.select("key", "root", "head", "far"), "key")
     met = written(prefix_blobs(listed, hot, buckets).groupBy("bucket").applyInPandas(list_pairs, LISTED), "lists")
     pairs = written(met.where("rows is null").select("a", "b").union(long_list_pairs(met.where("rows is not null"))).distinct(), "pairs")
     met = written(overlaps(pairs, classes), "overlaps")
