@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.folders import cut
 from ..schemas import refuse, refuse_duplicates
 from .measured import edge_failures, target_failures
 
@@ -63,14 +64,15 @@ def batch_refusals(batches: DataFrame, topology: DataFrame) -> DataFrame:
     return wrong.where((F.col("n") > BATCH) | F.col("differs")).select(BY, "batch", F.when(F.col("n") > BATCH, "batch_too_large").otherwise("order_differs").alias("reason"))
 
 
-def call_refusals(calls: DataFrame, edges: DataFrame, batches: DataFrame, sequences: DataFrame, anchors: DataFrame, empty: DataFrame, measured: DataFrame) -> DataFrame:
+def call_refusals(calls: DataFrame, edges: DataFrame, batches: DataFrame, sequences: DataFrame, anchors: DataFrame, empty: DataFrame, measured: DataFrame, topology: DataFrame | None = None) -> DataFrame:
     """(sequence_id, batch, call, source, target, reason) of what is wrong with calls; a target is a node past the anchors.
 
     calls: call, batch, start, end (the range of targets); edges: call, source, target and the counts of
-    measured.support_audit; empty: node; measured: call, node of anchors that have measured depth at that call.
+    measured.support_audit; empty: node; measured: call, node of anchors that have measured depth at that call; topology:
+    source_topology of the same sequences and anchors, if it is there already.
     """
-    topology, nodes = source_topology(sequences, anchors), anchor_nodes(sequences, anchors)
-    size = nodes.groupBy(BY).agg(F.count("*").alias("fixed"))
+    topology = source_topology(sequences, anchors) if topology is None else topology
+    size = anchors.groupBy(BY).agg(F.count("*").alias("fixed"))
     count = batches.groupBy(BY, "batch").agg(F.count("*").alias("n"))
     calls = calls.join(size, BY, "left").join(count, [BY, "batch"], "left")
     none = lambda kind="long": F.lit(None).cast(kind)
@@ -82,7 +84,7 @@ def call_refusals(calls: DataFrame, edges: DataFrame, batches: DataFrame, sequen
 
     # the anchors around each target of a call's batch, each of which must have exactly one edge to it
     due = calls.join(batches, [BY, "batch"]).join(topology.select(BY, "ordinal", "previous", "next"), [BY, "ordinal"]).select(*keys, F.explode(F.array("previous", "next")).alias("source"), (F.col("start") + F.col("local")).alias("target")).distinct()
-    own = edges.join(calls.select(*keys, "start", "end", "fixed"), [BY, "call"])
+    own = cut(edges.join(calls.select(*keys, "start", "end", "fixed"), [BY, "call"]))
     seen = own.groupBy(*keys, "source", "target").agg(F.count("*").alias("k"))
     met = seen.join(due.withColumn("due", F.lit(True)), [*keys, "source", "target"], "full")
     reason = F.when(F.col("due").isNull(), "edge_outside_sources").when(~F.col("k").eqNullSafe(F.lit(1)), "sources_differ")
@@ -103,14 +105,14 @@ def refusals(sequences: DataFrame, anchors: DataFrame, batches: DataFrame, calls
     Steps go by permits (batch and call null), batches, calls of each batch, then what is left at the end (batch null, call
     null, reason unaudited_target). After the first bad step a run has stopped: later ones tell what else is wrong.
     """
-    topology = source_topology(sequences, anchors)
+    topology = cut(source_topology(sequences, anchors))
     none = lambda kind="long": F.lit(None).cast(kind)
     asked = permits(empty, topology).where(~F.col("permitted")).select(BY, none().alias("batch"), none().alias("call"), F.col("node").alias("source"), none().alias("target"), F.lit("empty_anchor_used").alias("reason"), F.lit(0).alias("step"))
     order = batch_refusals(batches, topology).select(BY, "batch", none().alias("call"), none().alias("source"), none().alias("target"), "reason", F.lit(1).alias("step"))
-    called = call_refusals(calls, edges, batches, sequences, anchors, empty, measured).withColumn("step", F.lit(1))
+    called = call_refusals(calls, edges, batches, sequences, anchors, empty, measured, topology).withColumn("step", F.lit(1))
     audited = edges.select(BY, "call", "target").distinct().join(calls, [BY, "call"]).join(batches, [BY, "batch"]).where("target = start + local").select(BY, "ordinal")
     left = topology.join(audited, [BY, "ordinal"], "left_anti").select(BY, none().alias("batch"), none().alias("call"), none().alias("source"), F.col("ordinal").alias("target"), F.lit("unaudited_target").alias("reason"), F.lit(2).alias("step"))
-    every = asked.unionByName(order).unionByName(called).unionByName(left)
+    every = cut(asked.unionByName(order).unionByName(called).unionByName(left))
     at = F.struct("step", F.coalesce("batch", F.lit(-1)).alias("b"), F.coalesce("call", F.lit(-1)).alias("c"))
     first = every.groupBy(BY).agg(F.min(at).alias("least"))
     return every.join(first, BY).withColumn("first", at == F.col("least")).drop("least", "step")
