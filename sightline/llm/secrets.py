@@ -26,8 +26,9 @@ from __future__ import annotations
 import math
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import written
-from .textbatch import pieces, table, words
+from .textbatch import pieces, slices, table, words
 
 KINDS = ("assign", "access", "hex")
 #: The contract's patterns and least lengths.
@@ -57,8 +58,8 @@ LEAST_SCORE = 11.0
 #: How far the threshold is above the scores of plain runs.
 APART = 2.0
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
-INNER = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9+/_.=-]*[A-Za-z0-9])?=*")
-PARTS = (re.compile(r"[A-Za-z0-9+/_=-]{6,}"), re.compile(r"[A-Za-z0-9+_-]{6,}"))
+#: Characters that part a run whose whole and inner part fail, first these, then also those.
+PARTED = (".", "./=")
 
 
 def base_spans(text: str | None) -> list[tuple[int, int, str]]:
@@ -75,11 +76,9 @@ def base_spans(text: str | None) -> list[tuple[int, int, str]]:
     return [(a, b, KINDS[k]) for a, b, k in sorted(found, key=lambda x: (x[0], x[2]))]
 
 
-def labelled(text: str | None) -> list[tuple[str, str]]:
-    """(kind, value) of the credentials that the fixed patterns find."""
-    if not text:
-        return []
-    return [(kind, ASSIGN.match(text, a)[2] if kind == "assign" else text[a:b]) for a, b, kind in base_spans(text)]
+def labelled(text: str | None, spans: list[tuple[int, int, str]]) -> list[tuple[str, str]]:
+    """(kind, value) of the credentials in the text's base spans."""
+    return [(kind, ASSIGN.match(text, a)[2] if kind == "assign" else text[a:b]) for a, b, kind in spans]
 
 
 #: Symbols of character classes: hex letters, other lower-case letters, capitals, digits, and the others themselves.
@@ -238,9 +237,17 @@ def alphabets(chars: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def log_likelihoods(tables: tuple[np.ndarray, np.ndarray], chars: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The log likelihood of each value's symbols under a compiled automaton: all values a symbol on at once."""
-    logs, step = tables
+    return read_by(tables, symbol_numbers(chars, starts, size), starts, size)
+
+
+def symbol_numbers(chars: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The columns of a compiled automaton that the characters are read in."""
     place = np.arange(len(chars)) - np.repeat(starts, size)
-    symbol = np.where(place < LITERAL, chars, 128 + np.where(CODE[chars] < 0, len(SYMBOLS), CODE[chars]))
+    return np.where(place < LITERAL, chars, 128 + np.where(CODE[chars] < 0, len(SYMBOLS), CODE[chars]))
+
+
+def read_by(tables: tuple[np.ndarray, np.ndarray], symbol: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    logs, step = tables
     order = np.argsort(-size, kind="stable")
     first, left = starts[order], -size[order]
     state, total = np.zeros(len(size), np.int64), np.zeros(len(size))
@@ -254,6 +261,22 @@ def log_likelihoods(tables: tuple[np.ndarray, np.ndarray], chars: np.ndarray, st
     return out
 
 
+def stretches(ok: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the value, start, end) of the longest stretches of ok characters within values that start there."""
+    edge = np.zeros(len(ok) + 1, bool)
+    edge[starts] = edge[-1] = True
+    first = np.flatnonzero(ok & (edge[:-1] | ~np.concatenate([[False], ok[:-1]])))
+    last = np.flatnonzero(ok & (edge[1:] | ~np.concatenate([ok[1:], [False]])))
+    return np.searchsorted(starts, first, "right") - 1, first, last + 1
+
+
+def taken(chars: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The characters from first to before last, as flat_codes gives those of values."""
+    size = last - first
+    ends = np.cumsum(size)
+    return chars[np.arange(size.sum()) + np.repeat(first - ends + size, size)], ends - size, size
+
+
 def seen_lengths(values: list[str]) -> dict[tuple[int, int], int]:
     """{(alphabet, length): labelled values}, and under length 0 all of an alphabet."""
     out: dict[tuple[int, int], int] = defaultdict(int)
@@ -277,8 +300,9 @@ _BEFORE = {
 _MEMBERS = np.array([6, 20, 26, 10, 1, 1, 1, 1, 1, 1])
 #: The log likelihood of a dot between a credential's parts.
 DOT = math.log(0.006)
-#: Scores kept in a worker, and texts whose runs are scored at once.
-SCORES, TEXTS = 100_000, 64
+#: Characters of runs whose scores a worker keeps, and of texts whose runs are scored at once (or those of one longer text).
+SCORES, CHARACTERS = 1 << 21, 1 << 20
+_ALNUM = table([*range(48, 58), *range(65, 91), *range(97, 123)])
 
 
 def plain_chain(counts: np.ndarray) -> np.ndarray:
@@ -298,11 +322,19 @@ class Formats:
     lengths: dict[str, dict[tuple[int, int], int]] = field(default_factory=dict)
     plain: np.ndarray = field(default_factory=lambda: np.zeros((len(SYMBOLS) + 1, len(SYMBOLS) + 1)))
     margin: float = LEAST_SCORE
-    known: dict[str, list[tuple[int, int]]] = field(default_factory=dict, repr=False, compare=False)
+    known: set[str] = field(default_factory=set, repr=False, compare=False)
+    found: dict[str, list[tuple[int, int]]] = field(default_factory=dict, repr=False, compare=False)
+    kept: int = field(default=0, repr=False, compare=False)
 
     def __post_init__(self):
         self.tables = {k: a.compiled() for k, a in self.automata.items()}
         self.chain = plain_chain(self.plain)
+        self.ends = {}
+        for kind in self.tables:
+            seen = self.lengths.get(kind, {})
+            keys = sorted(seen)
+            share = [math.log((1 - OTHER_LENGTHS) * seen[k] / seen[k[0], 0] + OTHER_LENGTHS / LENGTHS) for k in keys]
+            self.ends[kind] = np.array([a << 40 | n for a, n in keys] + [1 << 62], np.int64), np.array([*share, 0.0])
 
     def plain_likelihoods(self, chars: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
         """The log likelihood of each value as plain text or an identifier; of literals, each of a class is as likely."""
@@ -318,75 +350,97 @@ class Formats:
     def format_likelihoods(self, chars: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
         """The log likelihood of each value's format under the best automaton, its length included."""
         best = np.full(len(size), -np.inf)
-        alphabet = alphabets(chars, starts).tolist()
+        symbol = symbol_numbers(chars, starts, size)
+        key = alphabets(chars, starts) << 40 | size
         for kind, tables in self.tables.items():
-            seen = self.lengths.get(kind, {})
-            share = {k: (1 - OTHER_LENGTHS) * n / seen[k[0], 0] for k, n in seen.items()}
-            ends = [math.log(share.get((a, n), 0.0) + OTHER_LENGTHS / LENGTHS) for a, n in zip(alphabet, size.tolist(), strict=True)]
-            best = np.maximum(best, log_likelihoods(tables, chars, starts, size) + ends)
+            keys, logs = self.ends[kind]
+            at = np.searchsorted(keys, key)
+            ends = np.where(keys[at] == key, logs[at], math.log(OTHER_LENGTHS / LENGTHS))
+            best = np.maximum(best, read_by(tables, symbol, starts, size) + ends)
         return best
 
     def scores(self, values: list[str]) -> np.ndarray:
         """The log odds of the best automaton over plain text for each value, none empty; minus infinity without automata."""
         if not self.automata or not values:
             return np.full(len(values), -math.inf)
-        flat = flat_codes(values)
-        best = self.format_likelihoods(*flat)
-        dotted = [(i, [x for x in v.split(".") if x]) for i, v in enumerate(values) if "." in v]
-        if dotted:  # or of a value's parts together
-            parts = [x for _, own in dotted for x in own]
-            each = self.format_likelihoods(*flat_codes(parts)) if parts else np.zeros(0)
-            ends = np.cumsum([len(own) for _, own in dotted])
-            for (i, own), end in zip(dotted, ends.tolist(), strict=True):
-                joined = each[end - len(own) : end].sum() + (len(values[i]) - sum(map(len, own))) * DOT
-                best[i] = max(best[i], joined)
-        return best - self.plain_likelihoods(*flat)
+        return self.flat_scores(*flat_codes(values))
+
+    def flat_scores(self, chars: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The same of values as flat_codes gives them."""
+        if not len(size):
+            return np.zeros(0)
+        best = self.format_likelihoods(chars, starts, size)
+        dotted = np.flatnonzero(np.logical_or.reduceat(chars == ord("."), starts))
+        if len(dotted):  # or of a value's parts together
+            own, at, whole = taken(chars, starts[dotted], (starts + size)[dotted])
+            value, a, b = stretches(own != ord("."), at)
+            joined = (whole - np.bincount(value, b - a, len(dotted))) * DOT
+            if len(value):
+                joined += np.bincount(value, self.format_likelihoods(*taken(own, a, b)), len(dotted))
+            best[dotted] = np.maximum(best[dotted], joined)
+        return best - self.plain_likelihoods(chars, starts, size)
 
     def score(self, value: str) -> float:
         return float(self.scores([value])[0])
 
-    def learn(self, runs: list[str]) -> None:
+    def learn(self, runs: Iterable[str]) -> None:
         """Finds what is a credential in runs that are not known: all of a run, its inner part, or else parts of it."""
-        new = [x for x in dict.fromkeys(runs) if x not in self.known]
+        new = list(set(runs).difference(self.known))
         if not new:
             return
-        if len(self.known) + len(new) > SCORES:
-            self.known.clear()
-            new = list(dict.fromkeys(runs))
-        asked = []
-        for run in new:
-            inner = INNER.search(run)
-            asked.append([(a, b) for a, b in {(0, len(run)), inner.span() if inner else (0, len(run))} if b - a >= LEAST_ASSIGN])
-        high = iter(self.scores([run[a:b] for run, spans in zip(new, asked, strict=True) for a, b in spans]).tolist())
-        failed = []
-        for run, spans in zip(new, asked, strict=True):
-            score, b, a = max((next(high), b - a, a) for a, b in spans)
-            self.known[run] = [(a, a + b)] if score >= self.margin else []
-            if score < self.margin:
-                failed.append(run)
-        for pattern in PARTS:
-            found = [(run, m.span()) for run in failed for m in pattern.finditer(run) if len(m[0]) < len(run)]
-            for (run, span), score in zip(found, self.scores([run[a:b] for run, (a, b) in found]).tolist(), strict=True):
-                if score >= self.margin:
-                    self.known[run].append(span)
-            failed = [run for run in failed if not self.known[run]]
+        self.known.update(new)
+        chars, starts, size = flat_codes(new)
+        self.kept += len(chars)
+        ends = starts + size
+        # from the first letter or digit to the last and the "=" that follow
+        alnum, place = _ALNUM[chars], np.arange(len(chars))
+        first = np.minimum.reduceat(np.where(alnum, place, len(chars)), starts)
+        last = np.maximum.reduceat(np.where(alnum, place, -1), starts) + 1
+        other = np.where((chars != ord("=")) & (place >= np.repeat(last, size)), place, len(chars))
+        last = np.minimum(np.minimum.reduceat(other, starts), ends)
+        inner = np.flatnonzero((first < ends) & (last - first >= LEAST_ASSIGN) & (last - first < size))
+        score = self.flat_scores(chars, starts, size)
+        inner_score = self.flat_scores(*taken(chars, first[inner], last[inner]))
+        span_first, span_last = starts.copy(), ends.copy()
+        better = inner[inner_score > score[inner]]
+        span_first[better], span_last[better] = first[better], last[better]
+        score[inner] = np.maximum(score[inner], inner_score)
+        some = score >= self.margin
+        values, spans = [np.flatnonzero(some)], [(span_first[some], span_last[some])]
+        for parting in PARTED:
+            value, a, b = stretches(~np.isin(chars, list(parting.encode())), starts)
+            asked = ~some[value] & (b - a >= LEAST_ASSIGN) & (b - a < size[value])
+            value, a, b = value[asked], a[asked], b[asked]
+            high = self.flat_scores(*taken(chars, a, b)) >= self.margin
+            values.append(value[high])
+            spans.append((a[high], b[high]))
+            some[value[high]] = True
+        for value, (a, b) in zip(values, spans, strict=True):
+            for i, x, y in zip(value.tolist(), (a - starts[value]).tolist(), (b - starts[value]).tolist(), strict=True):
+                self.found.setdefault(new[i], []).append((x, y))
 
     def auto_spans(self, texts: list[str | None], base: list[list[tuple[int, int, str]]]) -> list[list[tuple[int, int, str]]]:
         """Spans of each text that no base span of it overlaps."""
+        if not self.automata:
+            return [[] for _ in texts]
+        runs = [CANDIDATE.findall(t) if t else [] for t in texts]
+        if self.kept > SCORES:
+            self.known, self.found, self.kept = set(), {}, 0
+        self.learn(chain.from_iterable(runs))
         out: list[list[tuple[int, int, str]]] = []
-        for a in range(0, len(texts), TEXTS):  # runs of a few texts are held; what is known may be forgotten between these only
-            part = [[(m[0], m.start()) for m in CANDIDATE.finditer(t)] if t and self.automata else [] for t in texts[a : a + TEXTS]]
-            self.learn([run for own in part for run, _ in own])
-            for own, spans in zip(part, base[a : a + TEXTS], strict=True):
-                every = ((x + at, y + at) for run, at in own for x, y in self.known[run])
-                out.append([(x, y, "auto") for x, y in every if not any(p < y and x < q for p, q, _ in spans)])
+        for t, own, spans in zip(texts, runs, base, strict=True):
+            if self.found.keys().isdisjoint(own):
+                out.append([])
+                continue
+            every = ((x + m.start(), y + m.start()) for m in CANDIDATE.finditer(t) for x, y in self.found.get(m[0], ()))
+            out.append([(x, y, "auto") for x, y in every if not any(p < y and x < q for p, q, _ in spans)])
         return out
 
 
-def without_base(text: str | None) -> str:
+def without_base(text: str | None, spans: list[tuple[int, int, str]]) -> str:
     """The text with blanks for its base spans."""
     parts, at = [], 0
-    for a, b, _ in base_spans(text):
+    for a, b, _ in spans:
         if b > at:
             parts += [text[at : max(a, at)], " "]
             at = b
@@ -459,14 +513,15 @@ def credentials_and_runs(docs: DataFrame, text: str) -> tuple[DataFrame, np.ndar
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, plain = set(), np.zeros(0, np.uint64)
         counts = np.zeros((len(SYMBOLS) + 1, len(SYMBOLS) + 1))
-        for batch in batches:
+        for part in (x for batch in batches for x in slices(batch.column(0), CHARACTERS)):
             clean, rows = [], []
-            for t in batch.column(0).to_pylist():
-                for own in labelled(t):
+            for t in part.to_pylist():
+                base = base_spans(t)
+                for own in labelled(t, base):
                     if own not in values:
                         values.add(own)
                         rows.append((*own, 0, 0))
-                clean.append(without_base(t))
+                clean.append(without_base(t, base))
             for _, _, buf, offs in pieces(pa.array(clean, pa.string())):
                 starts, ends, hashes, _ = words(buf, offs, RUN, lower=False)
                 long = ends - starts >= LEAST_ASSIGN
@@ -673,13 +728,14 @@ def find_secrets(docs: DataFrame, formats: Formats, text: str = "text", out: str
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         rank = {k: i for i, k in enumerate((*KINDS, "auto"))}
         for texts in batches:
-            rows, listed = [], texts.to_pylist()
-            base = [base_spans(t) for t in listed]
-            for t, own, auto in zip(listed, base, formats.auto_spans(listed, base), strict=True):
-                every = sorted(own + auto, key=lambda x: (x[0], rank[x[2]]))
-                score = np.clip(formats.scores([t[a:b] for a, b, _ in every]), -99.0, 99.0).tolist()
-                rows.append([{"kind": k, "start": a, "end": b, "score": x} for (a, b, k), x in zip(every, score, strict=True)])
-            yield pa.array(rows, arrow)
+            done = [pa.array([], arrow)]
+            for part in slices(texts, CHARACTERS):
+                listed = part.to_pylist()
+                base = [base_spans(t) for t in listed]
+                every = [sorted(own + auto, key=lambda x: (x[0], rank[x[2]])) for own, auto in zip(base, formats.auto_spans(listed, base), strict=True)]
+                score = iter(np.clip(formats.scores([t[a:b] for t, own in zip(listed, every, strict=True) for a, b, _ in own]), -99.0, 99.0).tolist())
+                done.append(pa.array([[{"kind": k, "start": a, "end": b, "score": next(score)} for a, b, k in own] for own in every], arrow))
+            yield pa.concat_arrays(done)
 
     return docs.withColumn(out, scan(F.col(text)))
 
@@ -689,17 +745,19 @@ def redact(docs: DataFrame, formats: Formats, text: str = "text", mark: str = "[
 
     @F.arrow_udf(T.StringType())
     def clean(texts: pa.Array) -> pa.Array:
-        out = []
-        listed = texts.to_pylist()
-        base = [base_spans(t) for t in listed]
-        for t, own, auto in zip(listed, base, formats.auto_spans(listed, base), strict=True):
-            spans = sorted(own + auto)
-            parts, at = [], 0
-            for a, b, _ in spans:
-                if a >= at:
-                    parts += [t[at:a], mark]
-                at = max(at, b)
-            out.append("".join([*parts, t[at:]]) if spans else t)
-        return pa.array(out, pa.string())
+        done = [pa.array([], pa.string())]
+        for part in slices(texts, CHARACTERS):
+            out, listed = [], part.to_pylist()
+            base = [base_spans(t) for t in listed]
+            for t, own, auto in zip(listed, base, formats.auto_spans(listed, base), strict=True):
+                spans = sorted(own + auto)
+                parts, at = [], 0
+                for a, b, _ in spans:
+                    if a >= at:
+                        parts += [t[at:a], mark]
+                    at = max(at, b)
+                out.append("".join([*parts, t[at:]]) if spans else t)
+            done.append(pa.array(out, pa.string()))
+        return pa.concat_arrays(done)
 
     return docs.withColumn(text, clean(F.col(text)))

@@ -78,6 +78,16 @@ def pieces(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.
         a = b
 
 
+def slices(texts: pa.Array, most: int) -> Iterator[pa.Array]:
+    """Runs of rows with at most that many bytes, or of one longer row, so that few texts are Python strings at once."""
+    _, offs = flat(texts)
+    a = 0
+    while a < len(texts):
+        b = min(len(texts), max(a + 1, int(np.searchsorted(offs, offs[a] + most, "right")) - 1))
+        yield texts.slice(a, b - a)
+        a = b
+
+
 def words(buf: np.ndarray, offs: np.ndarray, keep: np.ndarray, lower: bool = True):
     """(starts, ends, hashes, offsets of each row's words) of the runs of bytes in keep."""
     n = len(buf)
