@@ -27,14 +27,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import written
-from .textbatch import LOWER, grown, mix, pieces, table
+from .textbatch import LOWER, grown, mix, pieces, release, table
 
 SAMPLE = 12_000
 BUCKETS, DIM = 1 << 14, 128
 WINDOW = 2
 HIDDEN = 32
 #: Context sums of a task are held in so many parts, and pairs of neighbours up to so many before they are summed.
-PARTS, PAIRS = 16, 1 << 22
+PARTS, PAIRS = 16, 1 << 21
 #: Tokens whose vectors are gathered at once; a longer text is cut from its own start on, so that neighbours do not matter.
 STRETCH = 1 << 15
 #: Kinds of bytes: 0 white space, 1 letters, 2 digits, 3 symbols.
@@ -108,7 +108,7 @@ def features(vectors: np.ndarray, buf: np.ndarray, offs: np.ndarray) -> np.ndarr
     out = np.zeros((len(count), DIM), np.float64)
     a = 0
     while a < len(row):
-        b = max(a + 1, int(np.searchsorted(last, first[a] + 2 * STRETCH, "right")))
+        b = max(a + 1, int(np.searchsorted(last, first[a] + STRETCH, "right")))
         sums = np.add.reduceat(vectors[bucket[first[a] : last[b - 1]]], first[a:b] - first[a], axis=0)
         np.add.at(out, row[a:b], sums)
         a = b
@@ -143,7 +143,7 @@ def context_sums(docs: DataFrame, text: str) -> np.ndarray:
         total = np.zeros((BUCKETS, DIM), np.int64)
         held, size = [], 0
         for batch in batches:
-            for _, _, buf, offs in pieces(batch.column(0)):
+            for _, _, buf, offs in pieces(batch.column(0), 1 << 19):
                 held.append(neighbour_pairs(*tokens(buf, offs)))
                 size += len(held[-1])
                 if size >= PAIRS:
@@ -151,6 +151,8 @@ def context_sums(docs: DataFrame, text: str) -> np.ndarray:
                     held, size = [], 0
         if held:
             add_pairs(total, entries, np.concatenate(held))
+            held = []
+        release()
         if total.any():
             own = TaskContext.get().partitionId() % 32
             yield pa.RecordBatch.from_pydict({"part": pa.array(range(PARTS), pa.int32()), "own": pa.array([own] * PARTS, pa.int32()), "sums": pa.array([total[i * rows : (i + 1) * rows].tobytes() for i in range(PARTS)], pa.binary())})
@@ -277,7 +279,8 @@ def score_quality(docs: DataFrame, model: Model, text: str = "text", out: str =
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = shared.value
         for texts in batches:
-            got = [own.probabilities(features(own.vectors, buf, offs)) for _, _, buf, offs in pieces(texts, 1 << 19)]
+            got = [own.probabilities(features(own.vectors, buf, offs)) for _, _, buf, offs in pieces(texts, 1 << 18)]
+            release()
             yield pa.array(np.concatenate([np.zeros(0), *got]), pa.float64())
 
     return docs.withColumn(out, score(F.col(text)))

@@ -301,7 +301,7 @@ _MEMBERS = np.array([6, 20, 26, 10, 1, 1, 1, 1, 1, 1])
 #: The log likelihood of a dot between a credential's parts.
 DOT = math.log(0.006)
 #: Characters of runs whose scores a worker keeps, and of texts whose runs are scored at once (or those of one longer text).
-SCORES, CHARACTERS = 1 << 21, 1 << 20
+SCORES, CHARACTERS = 1 << 21, 1 << 19
 _ALNUM = table([*range(48, 58), *range(65, 91), *range(97, 123)])
 
 

@@ -78,6 +78,12 @@ def pieces(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.
         a = b
 
 
+def release() -> None:
+    """Gives memory that was freed back to the system, Arrow's and the C library's: workers are kept, and their executor's memory is shared."""
+    for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+        pool.release_unused()
+
+
 def slices(texts: pa.Array, most: int) -> Iterator[pa.Array]:
     """Runs of rows with at most that many bytes, or of one longer row, so that few texts are Python strings at once."""
     _, offs = flat(texts)
@@ -86,6 +92,7 @@ def slices(texts: pa.Array, most: int) -> Iterator[pa.Array]:
         b = min(len(texts), max(a + 1, int(np.searchsorted(offs, offs[a] + most, "right")) - 1))
         yield texts.slice(a, b - a)
         a = b
+    release()
 
 
 def words(buf: np.ndarray, offs: np.ndarray, keep: np.ndarray, lower: bool = True):

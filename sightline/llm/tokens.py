@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .textbatch import slices
+
 #: The published split pattern of this family of byte-level vocabularies. White space is written out, as
 #: libraries differ on U+001C to U+001F.
 _SPACE = r"\t\n\x0B\x0C\r\x20\x85\xA0  -     　"
@@ -293,36 +295,26 @@ def loaded(path: str) -> tuple[BytePairs, Cutter]:
     return pairs, Cutter(pairs.encode_pieces, pairs.added)
 
 
-def text_runs(texts: pa.Array, most: int = 1 << 21) -> Iterator[list[str | None]]:
-    """Runs of texts with about that many characters at most, or one longer text."""
-    run, size = [], 0
-    for x in texts.to_pylist():
-        if run and size + len(x or "") > most:
-            yield run
-            run, size = [], 0
-        run.append(x)
-        size += len(x or "")
-    if run:
-        yield run
+def text_runs(texts: pa.Array, most: int = 1 << 19) -> Iterator[list[str | None]]:
+    """Runs of texts with that many bytes at most, or one longer text; no more of a batch are Python strings at once."""
+    return (part.to_pylist() for part in slices(texts, most))
 
 
 def encode_decode(path: str):
     """A function of a text column: struct(ids, decoded)."""
     kind = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded", T.StringType())])
+    arrow = pa.struct([("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
     @F.arrow_udf(kind)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         pairs, cutter = loaded(path)
         for texts in batches:
-            ids, decoded, offs, base = [], [], [np.zeros(1, np.int64)], 0
+            done = [pa.array([], arrow)]
             for part in text_runs(texts):
-                got, at = cutter.encode(part)
-                ids.append(got)
-                decoded += pairs.decode(got, at)
-                offs.append(at[1:] + base)
-                base += at[-1]
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(offs), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *ids]), pa.int32()))
-            yield pa.StructArray.from_arrays([lists, pa.array(decoded, pa.string())], names=["ids", "decoded"])
+                ids, offs = cutter.encode(part)
+                lists = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(ids, pa.int32()))
+                done.append(pa.StructArray.from_arrays([lists, pa.array(pairs.decode(ids, offs), pa.string())], names=["ids", "decoded"]))
+            yield pa.concat_arrays([x.cast(arrow) for x in done])
 
     return run
 
